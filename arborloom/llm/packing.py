@@ -181,6 +181,13 @@ def batches(placed: DataFrame) -> DataFrame:
 
 
 def lower_bound(capacity: int, counts: dict[int, int]) -> int:
-    """No packing needs fewer bins."""
-    return -(-sum(k * v for k, v in counts.items()) // capacity)
-
+    """No packing needs fewer bins: for every size k, items over capacity - k stand alone, those over half the
+    capacity have a bin each, and the others of at least k fill what room is left (the L2 bound)."""
+    best = -(-sum(n * c for n, c in counts.items()) // capacity)
+    for k in range(capacity // 2 + 1):
+        alone = sum(c for n, c in counts.items() if n > capacity - k)
+        large = {n: c for n, c in counts.items() if capacity / 2 < n <= capacity - k}
+        small = sum(n * c for n, c in counts.items() if k <= n <= capacity / 2)
+        room = sum((capacity - n) * c for n, c in large.items())
+        best = max(best, alone + sum(large.values()) + max(0, -(-(small - room) // capacity)))
+    return best

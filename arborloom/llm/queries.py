@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from arborloom.llm import packing
+from pyspark.sql import functions as F
+
+from arborloom.llm import canonical, packing, terms
 from arborloom.plans import Query
 from arborloom.session import read_table
 
@@ -43,3 +45,49 @@ def p1_found(spark, sf_dir):
 def p1_batches(spark, sf_dir):
     """The batches of every GPU run and how full they are."""
     return packing.batches(_placed(spark, sf_dir))
+
+
+_TERMS_SQL = """
+    WITH s AS (SELECT sent_id, arg_min(words, coalesce(loaded_at, TIMESTAMP '9999-12-31')) AS words
+               FROM tagwords WHERE sent_id IS NOT NULL GROUP BY sent_id),
+    f AS (SELECT sent_id, words FROM s WHERE len(words) > 0),
+    w AS (SELECT sent_id, unnest(words) AS word FROM f),
+    c AS (SELECT word, count(*) AS occurrences, count(DISTINCT sent_id) AS records
+          FROM w WHERE word IS NOT NULL AND word <> '' GROUP BY word),
+    m AS (SELECT word, occurrences, records,
+                 CASE WHEN occurrences < 3 OR records < 2 THEN 'rare'
+                      WHEN records * 10 > (SELECT count(*) FROM f) THEN 'common' END AS mark FROM c)
+"""
+
+
+@query("p4_found", _TERMS_SQL + "SELECT word, mark FROM m WHERE mark IS NOT NULL")
+def p4_found(spark, sf_dir):
+    """Words too rare or too common."""
+    return terms.marked_words(read_table(spark, sf_dir, "tagwords")).where("mark is not null").select("word", "mark")
+
+
+@query("p4_terms", _TERMS_SQL + "SELECT word, occurrences, records, mark FROM m")
+def p4_terms(spark, sf_dir):
+    """Occurrences and sentences of every distinct word."""
+    return terms.marked_words(read_table(spark, sf_dir, "tagwords")).select("word", "occurrences", "records", "mark")
+
+
+@query("p5_found")
+def p5_found(spark, sf_dir):
+    """Pairs of dictionary ids whose words look the same."""
+    return canonical.look_alike_pairs(read_table(spark, sf_dir, "word_dict"))
+
+
+@query("p5_forms")
+def p5_forms(spark, sf_dir):
+    """The canonical form of every distinct form of the treebank and word of the tagged text."""
+    forms = read_table(spark, sf_dir, "conll_tokens").select(F.col("form").alias("word"))
+    words = read_table(spark, sf_dir, "tagwords").select(F.explode("words").alias("word"))
+    distinct = forms.unionByName(words).where("word is not null and word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    return canonical.with_canonical(distinct, "word", "canonical")
+
+
+@query("p5_classes")
+def p5_classes(spark, sf_dir):
+    """Every dictionary word with its canonical form and its class of look-alikes."""
+    return canonical.look_alike_classes(read_table(spark, sf_dir, "word_dict"))
