@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arborloom.llm import canonical, packing, terms
+from arborloom.llm import canonical, encoding, mixing, packing, terms
 from arborloom.plans import Query
 from arborloom.session import read_table
 
@@ -91,3 +91,25 @@ def p5_forms(spark, sf_dir):
 def p5_classes(spark, sf_dir):
     """Every dictionary word with its canonical form and its class of look-alikes."""
     return canonical.look_alike_classes(read_table(spark, sf_dir, "word_dict"))
+
+
+@query("p6_ids")
+def p6_ids(spark, sf_dir):
+    """Ids of every document's text."""
+    return encoding.with_ids(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _mixed(spark, sf_dir):
+    return mixing.mix(*(read_table(spark, sf_dir, x) for x in ("documents", "mix_targets", "labels")))
+
+
+@query("p7_mix")
+def p7_mix(spark, sf_dir):
+    """Documents chosen to reach the target shares, with their repeats."""
+    return _mixed(spark, sf_dir)[0]
+
+
+@query("p7_shares")
+def p7_shares(spark, sf_dir):
+    """Shares asked for and reached, by source."""
+    return _mixed(spark, sf_dir)[1]
