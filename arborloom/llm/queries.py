@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arborloom.llm import canonical, encoding, mixing, packing, terms
+from arborloom.llm import canonical, clusters, encoding, mixing, packing, terms
 from arborloom.plans import Query
 from arborloom.session import read_table
 
@@ -47,6 +47,21 @@ def p1_batches(spark, sf_dir):
     return packing.batches(_placed(spark, sf_dir))
 
 
+@query("p2_found")
+def p2_found(spark, sf_dir):
+    """Every word in a cluster, and the smallest id of that cluster."""
+    members, _, _ = clusters.clusters(read_table(spark, sf_dir, "word_vectors"))
+    return members.select(F.col("id").cast("int"), F.col("cluster_id").cast("int"))
+
+
+@query("p2_clusters")
+def p2_clusters(spark, sf_dir):
+    """Size and most typical words of every cluster."""
+    words = read_table(spark, sf_dir, "word_vectors")
+    members, homes, _ = clusters.clusters(words)
+    return clusters.described(members, homes, words.select("id", "word"))
+
+
 _TERMS_SQL = """
     WITH s AS (SELECT sent_id, arg_min(words, coalesce(loaded_at, TIMESTAMP '9999-12-31')) AS words
                FROM tagwords WHERE sent_id IS NOT NULL GROUP BY sent_id),
