@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arborloom.llm import canonical, clusters, encoding, mixing, packing, terms
+from arborloom.llm import canonical, clusters, encoding, mixing, packing, terms, toxicity
 from arborloom.plans import Query
 from arborloom.session import read_table
 
@@ -128,3 +128,26 @@ def p7_mix(spark, sf_dir):
 def p7_shares(spark, sf_dir):
     """Shares asked for and reached, by source."""
     return _mixed(spark, sf_dir)[1]
+
+
+def _scored(spark, sf_dir):
+    documents = read_table(spark, sf_dir, "documents")
+    return toxicity.scored(documents, toxicity.fitted(documents, read_table(spark, sf_dir, "labels")))
+
+
+@query("p8_found")
+def p8_found(spark, sf_dir):
+    """Documents with an abusive, hateful or sexually explicit passage."""
+    return _scored(spark, sf_dir).where("passages > 0").select("doc_id")
+
+
+@query("p8_scores")
+def p8_scores(spark, sf_dir):
+    """Score of every document."""
+    return _scored(spark, sf_dir)
+
+
+@query("p8_rates")
+def p8_rates(spark, sf_dir):
+    """Rates of such documents by source."""
+    return toxicity.rates(_scored(spark, sf_dir))
