@@ -31,6 +31,13 @@ def read_tree(text: str) -> list[list]:
     rows: list[list] = []
     stack: list[int] = []
     leaf, done, fresh = 0, False, False
+
+    def release(at: int) -> None:
+        """A word that turns out not to be alone under its label becomes a node of its own."""
+        if rows[at][4] is not None:
+            word, rows[at][4], rows[at][8] = rows[at][4], None, 1
+            rows.append([len(rows), at, 0, word, word, leaf - 1, leaf - 1, len(stack), 0])
+
     for token in _TOKEN.findall(text):
         if token == "(":
             if done:
@@ -38,6 +45,7 @@ def read_tree(text: str) -> list[list]:
             parent = stack[-1] if stack else -1
             ix = 0
             if parent >= 0:
+                release(parent)
                 ix = rows[parent][8]
                 rows[parent][8] += 1
             stack.append(len(rows))
@@ -58,10 +66,7 @@ def read_tree(text: str) -> list[list]:
                 top[4] = token
                 leaf += 1
             else:
-                if top[4] is not None:  # a second word: both become nodes of their own
-                    first, top[4] = top[4], None
-                    top[8] = 1
-                    rows.append([len(rows), stack[-1], 0, first, first, leaf - 1, leaf - 1, len(stack), 0])
+                release(stack[-1])
                 rows.append([len(rows), stack[-1], top[8], token, token, leaf, leaf, len(stack), 0])
                 top[8] += 1
                 leaf += 1
@@ -121,10 +126,10 @@ def without_unary(nodes: DataFrame) -> DataFrame:
 
 
 def _reparented(kept: DataFrame) -> DataFrame:
-    """Parents, ranks and depths anew for nodes in preorder with spans and old depths: the parent is the last node before with a smaller old depth."""
+    """Parents, ranks and depths anew for nodes in preorder with spans and old depths: the parent is the last node before that lay higher and spans the node."""
     w = W.partitionBy("tree_id")
-    with_all = kept.withColumn("all", F.collect_list(F.struct("node_id", "old_depth")).over(w.orderBy("node_id").rowsBetween(W.unboundedPreceding, -1)))
-    parent = F.coalesce(F.try_element_at(F.filter("all", lambda x: x["old_depth"] < F.col("old_depth")), F.lit(-1))["node_id"], F.lit(-1))
+    with_all = kept.withColumn("all", F.collect_list(F.struct("node_id", "old_depth", "l", "r")).over(w.orderBy("node_id").rowsBetween(W.unboundedPreceding, -1)))
+    parent = F.coalesce(F.try_element_at(F.filter("all", lambda x: (x["old_depth"] < F.col("old_depth")) & (x["l"] <= F.col("l")) & (x["r"] >= F.col("r"))), F.lit(-1))["node_id"], F.lit(-1))
     rows = with_all.withColumn("parent_id", parent).drop("all")
     ix = (F.row_number().over(W.partitionBy("tree_id", "parent_id").orderBy("node_id")) - 1).cast("int")
     return rows.withColumn("child_ix", ix)
