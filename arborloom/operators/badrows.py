@@ -25,8 +25,8 @@ _TOK_ID = re.compile(r"[1-9][0-9]{0,2}")
 _HEAD = re.compile(r"0|[1-9][0-9]{0,2}")
 _FORBIDDEN = re.compile("[\x00-\x08\x0a-\x1f\x7f�]")
 _BLANK = re.compile(" *")
-#: Stands for line breaks inside a record while the csv reader sees it; itself a forbidden control character.
-_BREAK_MARK = "\x01"
+#: Noncharacters; two that a record does not have stand for its line breaks while the csv reader sees it.
+_MARKS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
 
 
 class Rejected(ValueError):
@@ -41,7 +41,8 @@ def split_record(raw: str, delimiter: str = "\t") -> list[str]:
     """
     if '"' not in raw:
         return raw.split(delimiter)
-    line = raw.replace("\r", _BREAK_MARK).replace("\n", _BREAK_MARK)
+    cr, lf = [c for c in _MARKS if c not in raw][:2]
+    line = raw.replace("\r", cr).replace("\n", lf)
     try:
         rows = list(csv.reader([line], delimiter=delimiter, quotechar='"', doublequote=True, strict=True))
     except csv.Error as e:
@@ -56,7 +57,7 @@ def split_record(raw: str, delimiter: str = "\t") -> list[str]:
             raise Rejected(QUOTING)
         else:
             at += len(field) + len(delimiter)
-    return fields
+    return [x.replace(cr, "\r").replace(lf, "\n") for x in fields]
 
 
 def token_row(fields: list[str], tags: frozenset[str]) -> tuple[int, str, str, str, str, str, int]:

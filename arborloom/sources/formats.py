@@ -136,7 +136,15 @@ def read_ltf(spark: SparkSession, path: str) -> DataFrame:
 
 def read_korean_treebank(spark: SparkSession, path: str) -> DataFrame:
     """``(file, tree)`` of EUC-KR files: comment lines dropped, lines joined to trees, word/tag turned to tag/word, traces dropped."""
-    rows = read_lines(spark, path, encoding="EUC-KR").where("not line like ';;%' and trim(line) <> ''")
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The text reader knows no such encoding: files are read whole and decoded in one narrow pass.
+        for batch in batches:
+            lines = [(f, i, x) for f, b in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i, x in enumerate(b.decode("euc-kr", "replace").splitlines())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in lines], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["file", "line_id", "line"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = files.mapInArrow(decode, "file string, line_id bigint, line string").where("not line like ';;%' and trim(line) <> ''")
     joined = joined_brackets(rows, "file", "line_id", "line").select("file", F.col("joined").alias("tree"))
     swapped = F.regexp_replace("tree", "([^\\s()/]+)/([^\\s()/]+)", "$2/$1")
     return joined.select("file", F.trim(F.regexp_replace(F.regexp_replace(swapped, "\\(?[^\\s()]*\\*[^\\s()]*\\)?", ""), " +", " ")).alias("tree"))
