@@ -81,3 +81,19 @@ def annealing(iteration: Column, length: int, initial: float, final: float, phas
     """Stepwise schedule; the whole length and beyond give 1 at the end of the run."""
     phase = F.floor(iteration / (length // phases))
     return F.when(iteration >= length, F.lit(1.0)).otherwise(initial + phase * ((final - initial) / phases))
+
+
+def dirichlet_constant(counts: Column, alpha: float) -> Column:
+    """sum of ln gamma(c + alpha) less ln gamma of the sum, of an array of counts."""
+
+    def f(arrays: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else sum(math.lgamma(c + alpha) for c in x) - math.lgamma(sum(x) + alpha * len(x)) for x in arrays.to_pylist()], pa.float64())
+
+    return F.arrow_udf(f, "double")(counts.cast("array<double>"))
+
+
+def tempered(p: Column, temperature: float) -> Column:
+    """an array of probabilities to the power 1 / T, normalised."""
+    raised = F.transform(p, lambda x: F.pow(x, F.lit(1.0 / temperature)))
+    total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(raised, lambda x: x / total)

@@ -43,14 +43,20 @@ class Chain:
             out[self.into] = np.add.reduceat(alpha[self.prev] * self.p, self.head)
         return out
 
-    def forward(self, obs: list[int]) -> tuple[list[np.ndarray], float]:
-        """Q03: filters after each observation and log10 of the probability, with the end; no mass raises ValueError."""
+    def forward(self, obs: list[int], prune: float = 0.0) -> tuple[list[np.ndarray], float]:
+        """Q03: filters after each observation and log10 of the probability, with the end; no mass raises ValueError.
+
+        Q07: with ``prune`` states under the largest over ``prune`` are dropped after each observation.
+        """
         alphas, log = [], 0.0
         for t, o in enumerate(obs):
             alpha = (self.start if t == 0 else self.step(alphas[-1])) * self.emit(o)
             total = alpha.sum()
             if not total > 0:
                 raise ValueError(f"observation {t} has no mass")
+            if prune:
+                alpha = np.where(alpha >= alpha.max() / prune, alpha, 0.0)
+                total = alpha.sum()
             alphas.append(alpha / total)
             log += np.log10(total)
         if not alphas:

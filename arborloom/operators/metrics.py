@@ -156,3 +156,28 @@ def permutation_test(pairs: DataFrame, n: int, salt: str = "s") -> DataFrame:
         F.round((1 + F.sum((F.col("gap") > F.col("observed") + 1e-12).cast("int"))) / (1 + F.count("*")), 6).alias("p_value"),
         F.round((1 + F.sum((F.col("gap") > F.col("observed") + 1e-12).cast("int"))) / F.count("*"), 6).alias("p_compatible"),
     )
+
+
+def held_out_recall(system: DataFrame, gold: DataFrame, first: int) -> DataFrame:
+    """Labels are chosen on trees below ``first`` and scored on the others: ``(phrase, labels, f1, n_match, n_gold, recall)``."""
+    dev, test = F.col("tree_id") < first, F.col("tree_id") >= first
+    chosen = greedy_labels(label_scores(system.where(dev), gold.where(dev)))
+    pairs = chosen.select("phrase", F.explode(F.split("labels", ",")).alias("label"))
+    scores = label_scores(system.where(test), gold.where(test)).join(pairs, ["phrase", "label"])
+    sums = scores.groupBy("phrase").agg(F.sum("n_match").alias("n_match"), F.max("n_gold").alias("n_gold"))
+    return chosen.join(sums, "phrase", "left").withColumn("recall", F.round(F.try_divide(F.col("n_match"), F.col("n_gold")), 6))
+
+
+def posterior_components(chain: DataFrame, rules: list[str], k: int = 4) -> DataFrame:
+    """Principal components of the rule probabilities of each iteration; ``chain(iter, rule, p)``."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    wide = chain.groupBy("iter").pivot("rule", rules).agg(F.first("p")).fillna(0.0)
+    vectors = wide.select("iter", array_to_vector(F.array(*(F.col(f"`{r}`") for r in rules))).alias("v"))
+    return PCA(k=k, inputCol="v", outputCol="c").fit(vectors).transform(vectors).select("iter", vector_to_array("c").alias("components"))
+
+
+def collected(series: DataFrame, metrics: list[str]) -> DataFrame:
+    """One row an iteration, one column a metric, from ``series(run, iter, metric, value)``."""
+    return series.groupBy("run", "iter").pivot("metric", metrics).agg(F.first("value"))

@@ -198,3 +198,30 @@ def in_reference_order(rows: DataFrame, reference: DataFrame, order: str, value:
     a = rows.select(F.col(order).alias("row_order"), value, rank.alias("rank"))
     b = reference.select(F.col(order).alias("ref_order"), value, rank.alias("rank"))
     return a.join(b, [value, "rank"])
+
+
+def shallow_tree(tree: Column, depth: int) -> Column:
+    """Whether a tree with depth-tagged labels goes to embedding depth 1 or 2 only and is no page junk."""
+    fits = ~tree.rlike("-d[3-4]") & ~tree.rlike("(?i)redirect") & ~F.contains(tree, F.lit("ARTICLE"))
+    if depth == 1:
+        return fits & F.contains(tree, F.lit("-d2")) & ~F.contains(tree, F.lit("d2 ("))
+    return fits & ~F.contains(tree, F.lit("Equation")) & ~F.contains(tree, F.lit("#)"))
+
+
+def expand_morphs(tree: Column) -> Column:
+    """A leaf ``a/T1+b/T2`` becomes the preterminals ``(T1 a) (T2 b)``."""
+    spaced = F.regexp_replace(tree, "(?<=[^\\s()/+]/[^\\s()/+]{1,40})\\+", " ")
+    return F.regexp_replace(spaced, "([^\\s()/]+)/([^\\s()/]+)", "($2 $1)")
+
+
+def state_stream(text: Column, what: str) -> Column:
+    """The POS, ACT or AWA values of a state sequence."""
+    return F.array_join(F.regexp_extract_all(text, F.lit(f"({what}\\d+)"), F.lit(1)), " ")
+
+
+def code_places(html: Column) -> Column:
+    """``code place`` pairs of two-cell table rows whose first cell holds codes with a colon; several places by semicolon."""
+    cells = "<td[^>]*>\\s*((?:[a-z-]+\\|)*[a-z-]+):\\s*</td>\\s*<td[^>]*>([^<]+)</td>"
+    pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(cells), F.lit(1)).alias("c"), F.regexp_extract_all(html, F.lit(cells), F.lit(2)).alias("p"))
+    each = lambda x: F.flatten(F.transform(F.split(x["c"], "\\|"), lambda c: F.transform(F.split(x["p"], " *[;/] *"), lambda p: F.struct(c.alias("code"), F.trim(p).alias("place")))))
+    return F.flatten(F.transform(pairs, each))

@@ -281,3 +281,76 @@ def gold_toy_trees(n: Column) -> Column:
     three = F.format_string("(S (A w%d) (B (C w%d) (D w%d)))", n, n + 1, n + 2)
     seven = F.format_string("(S (A (B w%d) (C w%d)) (D (E (F w%d) (G w%d)) (H (I w%d) (J (K w%d) (L w%d)))))", *(n + i for i in range(7)))
     return F.when(n % 2 == 0, three).otherwise(seven)
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """``(tree_id, node_id, ancestor_id, distance)``: nodes higher up whose preorder range holds the node, within a tree."""
+    w = W.partitionBy("tree_id")
+    with_last = nodes.withColumn("all", F.collect_list(F.struct("node_id", "depth", "l", "r")).over(w.orderBy("node_id").rowsBetween(W.unboundedPreceding, -1)))
+    # Going back from the node, an ancestor is the first node met of each smaller depth.
+    above = F.filter("all", lambda x: (x["depth"] < F.col("depth")) & (x["l"] <= F.col("l")) & (x["r"] >= F.col("r")))
+    rows = with_last.select("tree_id", "node_id", "depth", F.explode(above).alias("x"))
+    return rows.groupBy("tree_id", "node_id", (F.col("depth") - F.col("x.depth")).alias("distance")).agg(F.max("x.node_id").alias("ancestor_id"))
+
+
+def siblings(nodes: DataFrame) -> DataFrame:
+    """Each node with the next one under the same parent, null at the last."""
+    w = W.partitionBy("tree_id", "parent_id").orderBy("child_ix")
+    return nodes.where("parent_id >= 0").select("tree_id", "node_id", F.lead("node_id").over(w).alias("next_id"))
+
+
+def covering(nodes: DataFrame, l: int, r: int) -> DataFrame:  # noqa: E741
+    """The lowest node of each tree over the leaves l .. r."""
+    return nodes.where((F.col("l") <= l) & (F.col("r") >= r)).groupBy("tree_id").agg(F.max_by("node_id", F.struct("depth", "node_id")).alias("node_id"))
+
+
+def head_dependencies(text: str, model: dict[tuple[str, str], float]) -> list[tuple[int, int]]:
+    """``(dependent, head)`` leaf numbers from 1; the head of a phrase is its most probable child (the first of equals), ROOT is 0."""
+    rows = read_tree(text)
+    children: dict[int, list[int]] = {}
+    for r in rows:
+        children.setdefault(r[1], []).append(r[0])
+    head: dict[int, int] = {}
+    for r in reversed(rows):
+        if r[4] is not None:
+            head[r[0]] = r[5] + 1
+        elif kids := children.get(r[0]):
+            head[r[0]] = head[max(kids, key=lambda k: (model.get((r[3], rows[k][3]), 0.0), -k))]
+    out = {}
+    for r in rows:
+        above = head[r[1]] if r[1] >= 0 else 0
+        if head[r[0]] != above and head[r[0]] not in out:
+            out[head[r[0]]] = above
+    return sorted(out.items())
+
+
+def dependencies_of(trees: DataFrame, model: DataFrame, key: str = "tree_id", tree: str = "tree") -> DataFrame:
+    """R12 over a table: ``(tree_id, dependent, head)``; ``model(lhs, child, p)`` is one row a pair of labels (at most 1,000,000, checked)."""
+    rows = model.select("lhs", "child", "p").limit(1_000_001).collect()
+    if len(rows) > 1_000_000:
+        raise ValueError("a head model of more than 1,000,000 pairs")
+    table = {(str(r[0]), str(r[1])): float(r[2]) for r in rows}
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(k, d, h) for k, x in zip(*(c.to_pylist() for c in batch.columns), strict=True) if x for d, h in head_dependencies(x, table)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["tree_id", "dependent", "head"])
+
+    ship_code(trees.sparkSession)
+    return trees.select(F.col(key).cast("bigint"), tree).mapInArrow(f, "tree_id bigint, dependent int, head int")
+
+
+def incremental_parse(steps: list[tuple[int, int, int, int, int, str]], levels: int = 4) -> list[str]:
+    """One line a word, last word first: number, 0 if it forks else 1, the stack of incomplete ``a/b`` before the next word, tag and word."""
+    stack: list[str] = []
+    lines = []
+    for k, (f, j, a, b, g, word) in enumerate(steps, 1):
+        if f == 0 and stack:
+            stack.pop()
+        if j == 1 and stack:
+            stack[-1] = f"{stack[-1].split('/')[0]}/{b}_"
+        elif j == 0:
+            stack.append(f"{a}_/{b}_")
+        shown = [*stack, *["-.0/-.0"] * (levels - len(stack))]
+        lines.append(f"{k} {int(f == 0)};{';'.join(shown)};{g}_ {word}")
+    return lines[::-1]

@@ -206,3 +206,33 @@ def q_depth_counts(spark, sf):
 def q_toy_trees(spark, sf):
     """R16."""
     return spark.range(200).select(F.col("id").alias("tree_id"), trees.gold_toy_trees(F.col("id")).alias("tree"))
+
+
+@query("head_dependencies")
+def q_head_dependencies(spark, sf):
+    """Dependencies of the line trees under the head model of their own rules."""
+    from arborloom.operators import grammar
+
+    p = trees.productions(nodes(spark, sf)).where(~F.col("is_lex") & (F.size("rhs") == 2))
+    rules = p.groupBy("lhs", F.col("rhs")[0].alias("r1"), F.col("rhs")[1].alias("r2"), "is_lex").agg(F.count("*").alias("cnt"))
+    return trees.dependencies_of(line_trees(spark, sf), grammar.head_model(rules))
+
+
+@query("held_out_recall")
+def q_held_out(spark, sf):
+    """Labels chosen on the first sentences, scored on the rest."""
+    return metrics.held_out_recall(_branch_spans(spark, sf, False), _branch_spans(spark, sf, True), 1000)
+
+
+@query("tree_ancestors")
+def q_ancestors(spark, sf):
+    """R09."""
+    return trees.ancestors(nodes(spark, sf))
+
+
+@query("html_code_pairs", """SELECT code, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '<TOKEN[^>]* pos="([A-Z]+)"', 1)) AS code FROM documents WHERE fmt = 'ltf') GROUP BY code""")
+def q_html_pairs(spark, sf):
+    """P29 on the markup at hand: attribute values of annotation XML, counted."""
+    docs = read_table(spark, sf, "documents").where("fmt = 'ltf'")
+    codes = F.regexp_extract_all("text", F.lit('<TOKEN[^>]* pos="([A-Z]+)"'), F.lit(1))
+    return docs.select(F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("n"))

@@ -139,3 +139,21 @@ def test_scalars(spark):
     ).first()
     assert (r.a, r.b, r.c, r.d, r.e, round(r.f, 6), r.g) == (1, -1, 1, "0p25", 1, 3.178054, 0)
     assert scalars.range_values("1:0.5:2") == [1, 1.5, 2] and scalars.range_values("3") == [3] and scalars.range_values("1:3") == [1, 2, 3]
+
+
+def test_pruned_forward_and_more_scalars(spark):
+    from pyspark.sql import functions as F
+
+    assert hmm().forward([0, 1, 1], prune=1e9)[1] == pytest.approx(hmm().forward([0, 1, 1])[1])
+    assert hmm().forward([0, 1, 1], prune=2)[1] < hmm().forward([0, 1, 1])[1]
+    r = spark.range(1).select(scalars.dirichlet_constant(F.array(F.lit(1.0), F.lit(2.0)), 1.0).alias("a"), scalars.tempered(F.array(F.lit(0.2), F.lit(0.8)), 0.5).alias("b")).first()
+    assert r.a == pytest.approx(math.lgamma(2) + math.lgamma(3) - math.lgamma(5)) and r.b == pytest.approx([0.04 / 0.68, 0.64 / 0.68])
+
+
+def test_series(spark):
+    chain = spark.createDataFrame([(i, f"r{k}", 0.1 * k + 0.01 * i * (k % 2)) for i in range(6) for k in range(3)], "iter int, rule string, p double")
+    assert metrics.posterior_components(chain, ["r0", "r1", "r2"], 2).count() == 6
+    s = spark.createDataFrame([("a", 1, "f1", 0.5), ("a", 1, "vi", 2.0), ("a", 2, "f1", 0.6)], "run string, iter int, metric string, value double")
+    assert sorted(map(tuple, metrics.collected(s, ["f1", "vi"]).collect())) == [("a", 1, 0.5, 2.0), ("a", 2, 0.6, None)]
+    best = spark.createDataFrame([("a", 1, -5.0), ("b", 2, -3.0), ("b", 4, -3.0)], "run string, iter int, logprob double")
+    assert tuple(sampler.best_of(best).first()) == ("b", 2, -3.0)

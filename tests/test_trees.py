@@ -51,3 +51,32 @@ def test_repair(spark):
     p = spark.createDataFrame([(1, 0, "x"), (1, 1, "y"), (2, 0, "z")], "tree_id bigint, leaf_ix int, word string")
     g = spark.createDataFrame([(1, 0, "A"), (1, 1, "B"), (2, 0, "C"), (2, 1, "D")], "tree_id bigint, leaf_ix int, word string")
     assert sorted(map(tuple, t.repaired(p, g).collect())) == [(1, 0, "A"), (1, 1, "B"), (2, 0, "z")]
+
+
+def test_heads_navigation_and_incremental_parse(spark):
+    model = {("S", "VP"): 0.9, ("S", "NP"): 0.1, ("NP", "N"): 0.7, ("NP", "D"): 0.3, ("VP", "V"): 1.0}
+    tree = "(S (NP (D the) (N dog)) (VP (V barks)))"
+    assert t.head_dependencies(tree, model) == [(1, 2), (2, 3), (3, 0)]
+    nodes = t.read_trees(spark.createDataFrame([(1, tree)], "tree_id bigint, tree string"))
+    got = {(r.node_id, r.distance, r.ancestor_id) for r in t.ancestors(nodes).collect()}
+    assert {x for x in got if x[0] == 3} == {(3, 1, 1), (3, 2, 0)} and {x for x in got if x[0] == 5} == {(5, 1, 4), (5, 2, 0)}
+    assert {(r.node_id, r.next_id) for r in t.siblings(nodes).collect()} == {(1, 4), (4, None), (2, 3), (3, None), (5, None)}
+    assert t.covering(nodes, 0, 1).first().node_id == 1
+    m = spark.createDataFrame([(a, b, p) for (a, b), p in model.items()], "lhs string, child string, p double")
+    assert t.dependencies_of(spark.createDataFrame([(1, tree)], "tree_id bigint, tree string"), m).count() == 3
+    steps = t.parse_states("-::ACT0/AWA0::+::POS1::x -::ACT2/AWA1::-::POS1::y -::ACT3/AWA2::-::POS2::z")
+    assert t.incremental_parse(steps)[-1] == "1 0;2_/1_;-.0/-.0;-.0/-.0;-.0/-.0;1_ x"
+
+
+def test_text_forms(spark):
+    from pyspark.sql import functions as F
+
+    from arborloom.operators import text as x
+
+    r = spark.range(1).select(
+        x.expand_morphs(F.lit("(NP a/NN+b/PAN)")).alias("a"), x.state_stream(F.lit("-::ACT0/AWA1::+::POS3::w -::ACT2/AWA2::-::POS4::v"), "POS").alias("b"),
+        x.shallow_tree(F.lit("(S-d1 (A-d2 x))"), 1).alias("c"), x.shallow_tree(F.lit("(S-d3 x)"), 2).alias("d"),
+        x.code_places(F.lit("<tr><td>eng|fra:</td> <td>Paris; Lyon</td></tr>")).alias("e"), x.fold_case(F.lit("N/The v/Old")).alias("f"), x.fold_case(F.lit("The Old a/B")).alias("g"),
+    ).first()
+    assert (r.a, r.b, r.c, r.d, r.f, r.g) == ("(NP (NN a) (PAN b))", "POS3 POS4", True, False, "N/the v/old", "the old a/B")
+    assert [tuple(p) for p in r.e] == [("eng", "Paris"), ("eng", "Lyon"), ("fra", "Paris"), ("fra", "Lyon")]
