@@ -314,13 +314,14 @@ def head_dependencies(text: str, model: dict[tuple[str, str], float]) -> list[tu
     for r in reversed(rows):
         if r[4] is not None:
             head[r[0]] = r[5] + 1
-        elif kids := children.get(r[0]):
+        elif kids := [k for k in children.get(r[0], []) if k in head]:  # a label over nothing has no head
             head[r[0]] = head[max(kids, key=lambda k: (model.get((r[3], rows[k][3]), 0.0), -k))]
     out = {}
     for r in rows:
-        above = head[r[1]] if r[1] >= 0 else 0
-        if head[r[0]] != above and head[r[0]] not in out:
-            out[head[r[0]]] = above
+        if r[0] in head:
+            above = head[r[1]] if r[1] >= 0 else 0
+            if head[r[0]] != above and head[r[0]] not in out:
+                out[head[r[0]]] = above
     return sorted(out.items())
 
 

@@ -57,6 +57,7 @@ def test_heads_navigation_and_incremental_parse(spark):
     model = {("S", "VP"): 0.9, ("S", "NP"): 0.1, ("NP", "N"): 0.7, ("NP", "D"): 0.3, ("VP", "V"): 1.0}
     tree = "(S (NP (D the) (N dog)) (VP (V barks)))"
     assert t.head_dependencies(tree, model) == [(1, 2), (2, 3), (3, 0)]
+    assert t.head_dependencies("(S (NP) (VP (V barks)))", model) == [(1, 0)] and t.head_dependencies("(S)", model) == []
     nodes = t.read_trees(spark.createDataFrame([(1, tree)], "tree_id bigint, tree string"))
     got = {(r.node_id, r.distance, r.ancestor_id) for r in t.ancestors(nodes).collect()}
     assert {x for x in got if x[0] == 3} == {(3, 1, 1), (3, 2, 0)} and {x for x in got if x[0] == 5} == {(5, 1, 4), (5, 2, 0)}
