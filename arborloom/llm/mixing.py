@@ -5,8 +5,8 @@ sample without replacement of any size. The token budget of a source is the larg
 and repeat limits; it is spent on complete epochs of the source first and the remainder on the prefix of the key order
 whose tokens add up to it.
 
-Prefix sums need no sort of a whole source: the keys are quantised to BUCKETS ranges, token sums by range
-give the range in which the budget ends, and only that range is sorted.
+Prefix sums need no sort of a whole source: the keys are quantised to BUCKETS ranges, token sums by range give the range in
+which the budget ends, that range is quantised again, and only the documents of the small range that is left are sorted.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from arborloom.llm.encoding import TOKENIZERS, VOCABULARY, token_counts
 from arborloom.session import ship_code, small_side, written
 
-BUCKETS = 4096
+BUCKETS, LEVELS = 512, 2
 #: Weight of a document that no reader has judged; judged ones weigh their mean quality.
 NEUTRAL = 3.0
 #: Sources a target table may list.
@@ -94,26 +94,27 @@ def mix(
     plan = spark.createDataFrame(
         [(s, b // available[s][0], b % available[s][0]) for s, b in budget.items()], "source string, epochs bigint, rest bigint"
     )
-    # A monotone map of the keys to ranges that neutral documents fill evenly.
-    bucket = F.least(F.floor((1 - F.exp(-F.col("key") * NEUTRAL)) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
-    ranged = docs.join(F.broadcast(plan), "source").withColumn("bucket", bucket)
-    sums = ranged.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("inside"))
-    before = F.sum("inside").over(W.partitionBy("source").orderBy("bucket")) - F.col("inside")
-    placed = ranged.join(small_side(sums.withColumn("before", before)), ["source", "bucket"])
+    # A monotone map of the keys to 0 .. 1 that neutral documents fill evenly.
     columns = ["doc_id", "source", "n_tokens", "epochs"]
-    whole = placed.where("before + inside <= rest").select(*columns, F.lit(1).alias("extra"))
-    none = placed.where("before > rest or (before = rest and inside > 0)").select(*columns, F.lit(0).alias("extra"))
-    upto = F.sum("n_tokens").over(W.partitionBy("source").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0)) + F.col("before")
-    last = placed.where("before < rest and before + inside > rest").withColumn("upto", upto)
+    left = docs.join(F.broadcast(plan), "source").withColumn("at", 1 - F.exp(-F.col("key") * NEUTRAL))
+    decided = []
+    for level in range(LEVELS):
+        bucket = F.least(F.floor(F.col("at") * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+        ranged = left.withColumn("bucket", bucket).withColumn("at", F.col("at") * BUCKETS - bucket)
+        sums = ranged.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("inside"))
+        before = F.sum("inside").over(W.partitionBy("source").orderBy("bucket")) - F.col("inside")
+        placed = ranged.join(small_side(sums.withColumn("before", before)), ["source", "bucket"])  # BUCKETS rows a source
+        decided.append(placed.where("before + inside <= rest").select(*columns, F.lit(1).alias("extra")))
+        decided.append(placed.where("before >= rest").select(*columns, F.lit(0).alias("extra")))
+        last = placed.where("before < rest and before + inside > rest").withColumn("rest", F.col("rest") - F.col("before"))
+        left = written(last.drop("bucket", "inside", "before"), f"range{level}")
+    upto = F.sum("n_tokens").over(W.partitionBy("source").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0))
     # Taken if it ends within the budget, or if it crosses it and overshoots by less than half of itself.
     over = (F.col("upto") - F.col("rest")) * 2
-    last = last.select(*columns, F.when(over < F.col("n_tokens"), 1).otherwise(0).alias("extra"))
-    chosen = (
-        whole.unionByName(none)
-        .unionByName(last)
-        .select("doc_id", "source", "n_tokens", (F.col("epochs") + F.col("extra")).cast("int").alias("repeats"))
-        .where("repeats > 0")
-    )
+    ends = left.withColumn("upto", upto).select(*columns, F.when(over < F.col("n_tokens"), 1).otherwise(0).alias("extra"))
+    for d in decided:
+        ends = ends.unionByName(d)
+    chosen = ends.select("doc_id", "source", "n_tokens", (F.col("epochs") + F.col("extra")).cast("int").alias("repeats")).where("repeats > 0")
     got = chosen.groupBy("source").agg(
         F.count("*").alias("n_docs"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats")
     )
