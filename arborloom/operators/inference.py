@@ -33,6 +33,12 @@ class Chain:
         self.into = self.nxt[self.head]
         self.emission, self.kind = np.asarray(emission, float), np.asarray(kind)
         self.name = np.arange(len(self.start)) if name is None else np.asarray(name)
+        #: Log transitions as a matrix where there are few states.
+        self.dense = None
+        if len(self.start) <= 64:
+            with np.errstate(divide="ignore"):
+                self.dense = np.full((len(self.start),) * 2, -np.inf)
+                self.dense[self.prev, self.nxt] = np.log10(self.p)
 
     def emit(self, o: int) -> np.ndarray:
         return self.emission[o][self.kind] if 0 <= o < len(self.emission) else np.zeros(len(self.kind))
@@ -85,10 +91,18 @@ class Chain:
         score = np.empty(0)
         with np.errstate(divide="ignore"):
             p, end = np.log10(self.p), np.log10(self.end)
+            seen: dict[int, np.ndarray] = {}
             for t, o in enumerate(obs):
-                e = np.log10(self.emit(o))
+                if o not in seen:
+                    seen[o] = np.log10(self.emit(o))
+                e = seen[o]
                 if t == 0:
                     score = np.log10(self.start) + e
+                elif self.dense is not None:
+                    w = score[:, None] + self.dense
+                    link = w.argmax(axis=0)
+                    back.append(link)
+                    score = w[link, np.arange(len(link))] + e
                 else:
                     into, link = np.full(len(self.start), -np.inf), np.full(len(self.start), -1)
                     if len(self.head):
@@ -150,7 +164,8 @@ def inferred(sentences: DataFrame, chain: Chain, how: str, key: str = "sent_id",
     """``(key, log10p, path, last, success, error)`` by ``how``: forward, sample, viterbi or beam.
 
     A sentence without a parse has success false and the reason (K05); null and empty sentences have an empty path and probability 1. ``path``
-    holds state names (null for forward), ``last`` the last filter (forward only).
+    holds state names (null for forward), ``last`` the last filter (forward only). A batch is spread over the shuffle partitions by key first: the
+    rows are small and the work on them is not, which adaptive execution, merging partitions by bytes, cannot see (O17).
     """
     ship_code(sentences.sparkSession)
     sent = sentences.sparkSession.sparkContext.broadcast(chain)
@@ -179,4 +194,7 @@ def inferred(sentences: DataFrame, chain: Chain, how: str, key: str = "sent_id",
             yield pa.RecordBatch.from_arrays(columns, names=["key", "log10p", "path", "last", "success", "error"])
 
     schema = "key bigint, log10p double, path array<bigint>, last array<double>, success boolean, error string"
-    return sentences.select(F.col(key).cast("bigint"), F.col(obs).cast("array<int>")).mapInArrow(f, schema).withColumnRenamed("key", key)
+    rows = sentences.select(F.col(key).cast("bigint").alias("key"), F.col(obs).cast("array<int>").alias("obs"))
+    if not sentences.isStreaming:
+        rows = rows.repartition(int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    return rows.mapInArrow(f, schema).withColumnRenamed("key", key)

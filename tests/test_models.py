@@ -68,6 +68,9 @@ def test_chain_against_all_paths():
         best = max(ps, key=ps.get)
         assert tuple(ch.viterbi(obs)[0]) == best and ch.viterbi(obs)[1] == pytest.approx(math.log10(ps[best]))
         assert tuple(ch.viterbi(obs, 2, 2)[0]) == best
+        sparse = hmm()
+        sparse.dense = None
+        assert sparse.viterbi(obs) == ch.viterbi(obs)
         draws = [tuple(ch.sample(obs, np.random.default_rng(i))[0]) for i in range(3000)]
         for path, p in ps.items():
             assert draws.count(path) / 3000 == pytest.approx(p / sum(ps.values()), abs=0.04)
