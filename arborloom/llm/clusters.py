@@ -1,16 +1,16 @@
 """Similarity clusters by grid density: quantise, count cells, join adjacent dense cells, propagate least labels.
 
-A direction is quantised in several randomly turned grids: its cell is the set of its largest coordinates with
-their signs, as many as make cells small against the data (a rule of the number of rows). Cells are counted, each
+A direction is quantised in several randomly turned grids: its cell is the set of its three largest coordinates with
+their signs, whatever the number of rows. Cells are counted, each
 vector goes to the densest of its cells, and dense cells are those whose vectors, trimmed to the ones near their mean,
 point one way. Two dense cells are adjacent if they share vectors and their means are close; the least cell label is
 propagated over adjacent cells until nothing changes. The mean directions of the components are then settled by exact
-passes over all vectors: members are those within the cosine bound, means those of the members.
+passes over all vectors: members are those within the cosine bound, means those of the members. Groups that no dense
+cell shows are searched among the vectors near no mean: each of these is compared with all of them, block by block.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from arborloom.session import ship_code, written
 
 GRIDS = 8
-#: Rows a cell holds on average at most; more coordinates make more cells.
-ROWS_PER_CELL = 4
+#: Largest coordinates that name a cell.
+COORDINATES = 3
 #: Vectors of a dense cell.
 LEAST_IN_CELL = 3
 #: Cosine with the cell's mean that keeps a vector in its cell; length of the mean of a dense cell's unit vectors.
@@ -33,6 +33,9 @@ ADJACENT, ONE = 0.8, 0.85
 #: Centres compared with all vectors in one pass, and all of them at most (one float array of 100,000 x 64 is 26 MB).
 CENTRE_BLOCK, MOST_CENTRES = 4096, 100_000
 PASSES = 12
+#: Cosine of neighbours among the vectors near no mean: two members within 0.75 of a mean have 0.56 on average, of a million
+#: random directions of width 64 about one has it with a given vector. Vectors compared with all others in one pass.
+NEIGHBOUR, ANCHORS = 0.55, 16_384
 
 
 def matrix_of(column: pa.Array, width: int) -> np.ndarray:
@@ -60,17 +63,6 @@ def unit_vectors(vectors: DataFrame, key: str, vec: str, width: int) -> DataFram
     return usable.mapInArrow(scale, "id bigint, vec array<float>").groupBy("id").agg(F.min("vec").alias("vec"))
 
 
-def coordinates_per_cell(rows: int, width: int) -> int:
-    """How many of the largest coordinates name a cell: the fewest for which cells hold ROWS_PER_CELL rows or less.
-
-    Two at least: many clusters share their one largest coordinate.
-    """
-    m = min(2, width)
-    while m < width and rows > ROWS_PER_CELL * math.comb(width, m) * 2**m:
-        m += 1
-    return m
-
-
 def turned(grid: int, width: int, seed: int) -> np.ndarray:
     """The random rotation of a grid."""
     q, r = np.linalg.qr(np.random.default_rng([seed, grid]).normal(size=(width, width)))
@@ -216,6 +208,78 @@ def _new_centres(sums: DataFrame, width: int, least: int) -> tuple[np.ndarray, n
     return mean.astype(np.float32), t[:, 0].astype(np.int64)
 
 
+def outside(units: DataFrame, centres: np.ndarray, bound: float) -> DataFrame:
+    """The vectors within the cosine bound of no centre; a narrow pass for each block of centres."""
+    width = centres.shape[1]
+
+    def block(part: np.ndarray):
+        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = matrix_of(batch.column("vec"), width)
+                best = np.full(len(x), -2.0)
+                for a in range(0, len(x), 2048):  # bounds the products held at once
+                    best[a : a + 2048] = (x[a : a + 2048].astype(np.float64) @ part.T.astype(np.float64)).max(axis=1)
+                yield batch.filter(pa.array(best < bound))
+
+        return f
+
+    for a in range(0, len(centres), CENTRE_BLOCK):
+        units = units.mapInArrow(block(centres[a : a + CENTRE_BLOCK]), "id bigint, vec array<float>")
+    return units
+
+
+def ball_means(units: DataFrame, centres: np.ndarray, bound: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean direction and number of all vectors within the bound of each centre, for centres with ``least`` or more.
+
+    A vector counts for every centre it is near; sums are made in each task first.
+    """
+    width = centres.shape[1]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s = np.zeros(len(centres), np.int64), np.zeros((len(centres), width))
+        for batch in batches:
+            x = matrix_of(batch.column("vec"), width)
+            for a in range(0, len(x), 2048):
+                for b in range(0, len(centres), 1024):
+                    c = centres[b : b + 1024] @ x[a : a + 2048].T
+                    at, row = np.divmod(np.flatnonzero(c.ravel() >= bound), c.shape[1])
+                    which, first, hits = np.unique(at, return_index=True, return_counts=True)
+                    if len(which):
+                        n[b + which] += hits
+                        s[b + which] += np.add.reduceat(x[a + row].astype(np.float64), first)
+        at = np.flatnonzero(n)
+        lists = pa.ListArray.from_arrays(np.arange(0, at.size * width + 1, width, dtype=np.int32), pa.array(s[at].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), lists], names=["centre", "n", "vec"])
+
+    parts = units.mapInArrow(partial, "centre int, n bigint, vec array<double>")
+    sums = parts.groupBy("centre").agg(F.sum("n").alias("n"), *_sums(width)[1:]).where(F.col("n") >= least)
+    t = sums.toPandas().sort_values("centre").drop(columns="centre").to_numpy(np.float64)
+    mean = t[:, 1:] / np.maximum(np.linalg.norm(t[:, 1:], axis=1, keepdims=True), 1e-300)
+    return mean.astype(np.float32), t[:, 0].astype(np.int64)
+
+
+def loose_groups(loose: DataFrame, width: int, least: int) -> np.ndarray:
+    """Centres of groups of ``least`` or more among vectors near no mean; every vector is tried against all of them.
+
+    Vectors with neighbours enough move to the mean of those, then to that of all within NEAR; so members of one
+    group meet in its mean. The time grows with the square of the rows; the driver holds ANCHORS of them at once.
+    """
+    slices = -(-loose.count() // ANCHORS)
+    half = (least + 1) // 2
+    tried = [np.empty((0, width), np.float32)]
+    for k in range(slices):
+        anchors = loose.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == k).select("vec").toArrow()["vec"].combine_chunks()
+        if len(anchors):
+            tried.append(ball_means(loose, matrix_of(anchors, width), NEIGHBOUR, half)[0])
+    centres = np.concatenate(tried)
+    size = np.zeros(len(centres), np.int64)
+    for need in (half, least):
+        if len(centres):
+            moved = [ball_means(loose, centres[a : a + ANCHORS], NEAR, need) for a in range(0, len(centres), ANCHORS)]
+            centres, size = (np.concatenate(x) for x in zip(*moved, strict=True))
+    return _merged(centres, size)
+
+
 def _centre_array(means: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     rows = means.select("mean", "n").limit(MOST_CENTRES + 1).collect()
     if len(rows) > MOST_CENTRES:
@@ -223,6 +287,21 @@ def _centre_array(means: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]
     return np.array([r.mean for r in rows], np.float32).reshape(-1, width), np.array([r.n for r in rows], np.int64)
 
 
+def _settled(units: DataFrame, centres: np.ndarray, bound: float, within: float, least: int) -> np.ndarray:
+    """Centres moved to the means of their members by exact passes, the first with ``bound``, and those with ``least`` members."""
+    need = LEAST_IN_CELL
+    previous: np.ndarray | None = None
+    for _ in range(PASSES):
+        if not len(centres):
+            break
+        centres, size = _new_centres(centre_sums(units, centres, bound), centres.shape[1], need)
+        centres = _merged(centres, size) if len(centres) else centres
+        if bound == within and previous is not None and previous.shape == centres.shape and np.abs(previous - centres).max() < 1e-6:
+            break
+        previous, bound, need = centres, within, least
+    return centres
+
+
 def clusters(
     vectors: DataFrame, key: str = "id", vec: str = "vec", width: int = 64, least: int = 10, within: float = 0.75, apart: float = 0.7, seed: int = 11, grids: int = GRIDS
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -236,7 +315,7 @@ def clusters(
     spark = vectors.sparkSession
     ship_code(spark)
     units = written(unit_vectors(vectors, key, vec, width), "units")
-    m = coordinates_per_cell(units.count(), width)
+    m = min(COORDINATES, width)
 
     def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,16 +349,10 @@ def clusters(
     parts = dense.join(labels, dense.cell == labels.node).select("label", "n", F.transform("mean", lambda v: v * F.col("n") * F.col("coherence")).alias("vec"))
     sums = parts.groupBy("label").agg(F.sum("n").alias("n"), *_sums(width)[1:])
     centres = _merged(*_centre_array(_means(sums, width), width))
-    bound = NEAR
-    previous: np.ndarray | None = None
-    for _ in range(PASSES):
-        if not len(centres):
-            break
-        centres, size = _new_centres(centre_sums(units, centres, bound), width, least if bound == within else LEAST_IN_CELL)
-        centres = _merged(centres, size) if len(centres) else centres
-        if bound == within and previous is not None and previous.shape == centres.shape and np.abs(previous - centres).max() < 1e-6:
-            break
-        previous, bound = centres, within
+    centres = _settled(units, centres, NEAR, within, least)
+    more = loose_groups(written(outside(units, centres, within), "loose"), width, least)
+    if len(more):
+        centres = _settled(units, np.concatenate([centres, more]), within, within, least)
     if not len(centres):
         empty = spark.createDataFrame([], "id bigint, cluster_id bigint, cosine double")
         return empty, homes, spark.createDataFrame([], "cluster_id bigint, mean array<float>")
@@ -292,12 +365,15 @@ def clusters(
 
 
 def described(members: DataFrame, homes: DataFrame, words: DataFrame, typical: int = 5) -> DataFrame:
-    """``(cluster_id, size, mean_cosine, typical)``: size and most typical words, from the cluster's densest cell."""
+    """``(cluster_id, size, mean_cosine, typical)``: size and most typical words, from the cluster's densest cell.
+
+    Members at home in no cell count as one cell, taken where a cluster has no other.
+    """
     size = members.groupBy("cluster_id").agg(F.count("*").alias("size"), F.round(F.avg("cosine"), 6).alias("mean_cosine"))
-    placed = members.join(homes, "id", "left")
-    cells = placed.groupBy("cluster_id", "cell").agg(F.count("*").alias("c"))
-    densest = cells.groupBy("cluster_id").agg(F.max(F.struct("c", "cell")).alias("d")).select("cluster_id", F.col("d.cell").alias("cell"))
-    inside = placed.join(F.broadcast(densest), ["cluster_id", "cell"])
+    placed = members.join(homes.withColumn("homed", F.lit(True)), "id", "left").na.fill({"cell": 0, "homed": False})
+    cells = placed.groupBy("cluster_id", "homed", "cell").agg(F.count("*").alias("c"))
+    densest = cells.groupBy("cluster_id").agg(F.max(F.struct("homed", "c", "cell")).alias("d")).select("cluster_id", F.col("d.homed").alias("homed"), F.col("d.cell").alias("cell"))
+    inside = placed.join(F.broadcast(densest), ["cluster_id", "homed", "cell"])
     rank = F.row_number().over(W.partitionBy("cluster_id").orderBy(F.desc("cosine"), "id"))
     top = inside.withColumn("rank", rank).where(F.col("rank") <= typical)
     text = words.where("id is not null").groupBy("id").agg(F.min("word").alias("word"))

@@ -48,6 +48,26 @@ def test_planted_clusters_are_found(spark, sizes, noise):
         assert 1 <= len(r.typical) <= 5 and all(int(w[1:]) in got[c] for w in r.typical)
 
 
+@pytest.mark.parametrize("coordinates", [3, 4])
+def test_small_clusters_do_not_need_a_dense_cell(spark, monkeypatch, coordinates):
+    monkeypatch.setattr(cl, "COORDINATES", coordinates)
+    monkeypatch.setattr(cl, "ANCHORS", 300)
+    sizes = [10] * 20 + [20] * 5
+    vecs, label = planted(np.random.default_rng(6), sizes, 600, cosine=0.8)
+    df = spark.createDataFrame(list(enumerate(vecs)), VEC)
+    members, homes, _ = cl.clusters(df)
+    got = {}
+    for r in members.collect():
+        got.setdefault(r.cluster_id, set()).add(r.id)
+    want = {}
+    for i, k in enumerate(label):
+        if k >= 0:
+            want.setdefault(k, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    d = cl.described(members, homes, df.selectExpr("id", "concat('w', id) as word")).collect()
+    assert len(d) == 25 and all(r.typical for r in d)
+
+
 def test_nothing_to_find(spark):
     df = spark.createDataFrame([], VEC)
     assert cl.clusters(df)[0].count() == 0
