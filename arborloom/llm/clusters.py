@@ -11,6 +11,7 @@ cell shows are searched among the vectors near no mean: each of these is compare
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,10 @@ NEAR, COHERENT = 0.6, 0.8
 ADJACENT, ONE = 0.8, 0.85
 #: Centres compared with all vectors in one pass, and all of them at most (one float array of 100,000 x 64 is 26 MB).
 CENTRE_BLOCK, MOST_CENTRES = 4096, 100_000
-PASSES = 12
+#: Passes end where no mean moves; each raises the sum of the cosines beyond the bound, so only ties in rounding reach this number.
+PASSES = 200
+#: Cosine of means whose members may exclude each other.
+OVERLAP = 0.5
 #: Cosine of neighbours among the vectors near no mean: two members within 0.75 of a mean have 0.56 on average, of a million
 #: random directions of width 64 about one has it with a given vector. Vectors compared with all others in one pass.
 NEIGHBOUR, ANCHORS = 0.55, 16_384
@@ -299,9 +303,33 @@ def _settled(units: DataFrame, centres: np.ndarray, bound: float, within: float,
         if bound == within and previous is not None and previous.shape == centres.shape and np.abs(previous - centres).max() < 1e-6:
             break
         previous, bound, need = centres, within, least
+    else:
+        warnings.warn(f"means still move after {PASSES} passes", stacklevel=2)
     return centres
 
 
+def assigned(units: DataFrame, centres: np.ndarray, within: float, apart: float, least: int) -> tuple[DataFrame | None, np.ndarray]:
+    """``(id, centre, cosine)`` of the members, and the centres that have ``least`` or more; no table if none has.
+
+    A centre with fewer is dropped and excludes no vector, so the rest is assigned again until none is dropped. Of
+    centres that may exclude each other's members the one with the fewest goes first.
+    """
+    while len(centres):
+        members = written(nearest(units, centres, within, apart).select("id", "centre", "cosine"), "members")
+        n = np.zeros(len(centres), np.int64)
+        for centre, count in members.groupBy("centre").count().collect():  # at most MOST_CENTRES rows
+            n[centre] = count
+        few = np.flatnonzero(n < least)
+        if not len(few):
+            return members, centres
+        gone: list[int] = []
+        for i in few[np.argsort(n[few], kind="stable")]:
+            if not gone or (centres[gone] @ centres[i]).max() < OVERLAP:
+                gone.append(i)
+        centres = np.delete(centres, gone, axis=0)
+    return None, centres
+
+
 def clusters(
     vectors: DataFrame, key: str = "id", vec: str = "vec", width: int = 64, least: int = 10, within: float = 0.75, apart: float = 0.7, seed: int = 11, grids: int = GRIDS
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -353,13 +381,13 @@ def clusters(
     more = loose_groups(written(outside(units, centres, within), "loose"), width, least)
     if len(more):
         centres = _settled(units, np.concatenate([centres, more]), within, within, least)
-    if not len(centres):
+    placed_members, centres = assigned(units, centres, within, apart, least)
+    if placed_members is None:
         empty = spark.createDataFrame([], "id bigint, cluster_id bigint, cosine double")
         return empty, homes, spark.createDataFrame([], "cluster_id bigint, mean array<float>")
-    assigned = written(nearest(units, centres, within, apart).select("id", "centre", "cosine"), "members")
-    names = assigned.groupBy("centre").agg(F.min("id").alias("cluster_id"), F.count("*").alias("n")).where(F.col("n") >= least)
-    named = F.broadcast(names.select("centre", "cluster_id"))  # at most MOST_CENTRES rows
-    members = assigned.join(named, "centre").select("id", "cluster_id", "cosine")
+    names = placed_members.groupBy("centre").agg(F.min("id").alias("cluster_id"))
+    named = F.broadcast(names)  # at most MOST_CENTRES rows
+    members = placed_members.join(named, "centre").select("id", "cluster_id", "cosine")
     means = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "centre int, mean array<float>").join(named, "centre")
     return members, homes, means.select("cluster_id", "mean")
 

@@ -68,6 +68,31 @@ def test_small_clusters_do_not_need_a_dense_cell(spark, monkeypatch, coordinates
     assert len(d) == 25 and all(r.typical for r in d)
 
 
+def test_a_dropped_centre_excludes_nothing(spark):
+    rng = np.random.default_rng(2)
+    e = np.eye(64)
+    a, b, turn = e[0], 0.75 * e[0] + np.sqrt(1 - 0.75**2) * e[1], np.sqrt(1 - 0.75**2) * e[0] - 0.75 * e[1]
+    rest = rng.normal(size=(24, 64)) * (np.arange(64) > 1)
+    rest /= np.linalg.norm(rest, axis=1, keepdims=True)
+    lean = [0.9 * a + 0.3 * e[1]] * 6 + [0.9 * a - 0.2 * e[1]] * 8 + [0.9 * b + 0.2 * turn] * 5 + [0.9 * b - 0.2 * turn] * 5
+    x = np.array(lean)
+    x += np.sqrt(1 - (x * x).sum(axis=1, keepdims=True)) * rest
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vec array<float>")
+    centres = np.array([a, b], np.float32)
+    assert sorted(r["count"] for r in cl.nearest(df, centres, 0.75, 0.7).groupBy("centre").count().collect()) == [5, 8]
+    members, kept = cl.assigned(df, centres, 0.75, 0.7, 10)
+    assert len(kept) == 1 and {r.id for r in members.collect()} >= set(range(14))
+    assert cl.assigned(df, centres, 0.75, 0.7, 30)[0] is None
+
+
+def test_passes_that_do_not_converge_say_so(spark, monkeypatch):
+    monkeypatch.setattr(cl, "PASSES", 1)
+    vecs, _ = planted(np.random.default_rng(4), [30], 20)
+    units = cl.unit_vectors(spark.createDataFrame(list(enumerate(vecs)), VEC), "id", "vec", 64)
+    with pytest.warns(UserWarning, match="still move"):
+        cl._settled(units, np.array([r.vec for r in units.limit(3).collect()], np.float32), 0.6, 0.75, 10)
+
+
 def test_nothing_to_find(spark):
     df = spark.createDataFrame([], VEC)
     assert cl.clusters(df)[0].count() == 0
