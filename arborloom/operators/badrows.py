@@ -1,7 +1,7 @@
 """Rows that fail to parse: delimited records split into valid typed rows and rejected ones with a reason.
 
-Records are assembled quote-aware, every record goes through Python's strict ``csv`` reader inside
-one pass over each partition (``mapInArrow``), and structural exceptions are caught before the typed field constructors run.
+Records of files are assembled quote-aware (``sources/formats.py``), a row of a table is one record. Every record with a
+double quote goes through Python's strict ``csv`` reader, any other is split at the delimiters, inside one pass over each partition (``mapInArrow``), and structural exceptions are caught before the typed field constructors run.
 No shuffle; one narrow pass over the input.
 """
 
