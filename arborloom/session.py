@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a broadcast side may have; a wider side is given its own bound by the caller.
 BROADCAST_ROWS = 200_000
+#: Bytes of Parquet that a broadcast side may have.
+BROADCAST_BYTES = 16 << 20
 
 
 def local_session(cpus: int | str = 8, partitions: int = 8, app: str = "arborloom") -> SparkSession:
@@ -49,26 +51,50 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _path_of(spark: SparkSession, path: str):
+    """File system and path object of a folder."""
+    jvm = spark.sparkContext._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
 
-    The table is computed once, survives lost executors, and is removed when the session's JVM ends.
+    The table is computed once, survives lost executors, and is removed by ``dropped`` or when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/arborloom-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, hadoop_path = _path_of(spark, path)
+    fs.deleteOnExit(hadoop_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._arborloom_path = path
+    return out
+
+
+def named(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df``, a projection of a written table, as the holder of that table for ``dropped``."""
+    df._arborloom_path = table._arborloom_path
+    return df
+
+
+def dropped(df: DataFrame) -> None:
+    """Remove the table of ``written`` that no later plan reads."""
+    if path := getattr(df, "_arborloom_path", None):
+        fs, hadoop_path = _path_of(df.sparkSession, path)
+        fs.delete(hadoop_path, True)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows; otherwise ``df`` itself, for a shuffled join.
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows and ``size`` bytes as Parquet; otherwise without a mark, for a shuffled join.
 
-    Counting stops after ``rows`` + 1 rows.
+    The side is computed once: it is written first, unless it is a written table already, and its files are measured.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    table = df if hasattr(df, "_arborloom_path") else written(df, "side")
+    fs, hadoop_path = _path_of(df.sparkSession, table._arborloom_path)
+    small = fs.getContentSummary(hadoop_path).getLength() <= size and table.count() <= rows
+    return F.broadcast(table) if small else table
 
 
 def ship_code(spark: SparkSession) -> None:
