@@ -1,45 +1,49 @@
-"""Similarity clusters by grid density: quantise, count cells, join adjacent dense cells, propagate least labels.
-
-A direction is quantised in several randomly turned grids: its cell is the set of its three largest coordinates with
-their signs, whatever the number of rows. Cells are counted, each
-vector goes to the densest of its cells, and dense cells are those whose vectors, trimmed to the ones near their mean,
-point one way. Two dense cells are adjacent if they share vectors and their means are close; the least cell label is
-propagated over adjacent cells until nothing changes. The mean directions of the components are then settled by exact
-passes over all vectors: members are those within the cosine bound, means those of the members. Groups that no dense
-cell shows are searched among the vectors near no mean: each of these is compared with all of them, block by block.
+"""Similarity clusters by grid density: quantise features, count cells, join adjacent dense cells, propagate least labels.
+
+The features of a direction are its coordinates in a randomly turned frame, quantised to the two largest with their signs: that is its cell.
+The further coordinates, by size, order the vectors of a cell, so that a full cell falls into finer ones of at most CHUNK vectors wherever vectors are
+dense, by one rule at every number of rows. Cells are counted in SQL; a cell is dense if one of its vectors has enough others near it. Dense cells whose
+means point into one cell of a turned frame and one way are adjacent; the least cell label is propagated over adjacent cells until nothing changes.
+The components' means are settled to their fixed points by exact passes, and the vectors near them leave. The rest is quantised in further frames with a
+lower density until a round of frames shows no new cluster. Membership is tested exactly against all means, as the definition of a cluster asks.
 """
 
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arborloom.session import ship_code, written
-
-GRIDS = 8
-#: Largest coordinates that name a cell.
-COORDINATES = 3
-#: Vectors of a dense cell.
-LEAST_IN_CELL = 3
-#: Cosine with the cell's mean that keeps a vector in its cell; length of the mean of a dense cell's unit vectors.
-NEAR, COHERENT = 0.6, 0.8
-#: Cosine of the means of adjacent cells, and of components that are one.
-ADJACENT, ONE = 0.8, 0.85
-#: Centres compared with all vectors in one pass, and all of them at most (one float array of 100,000 x 64 is 26 MB).
-CENTRE_BLOCK, MOST_CENTRES = 4096, 100_000
+from arborloom.session import dropped, named, ship_code, small_side, written
+
+#: Rounds: vectors near the densest one of a dense cell, and frames. The last kind of round is repeated until it shows nothing new.
+ROUNDS = ((16, 1), (3, 8))
+#: Largest coordinates that name a cell, and those that order the vectors of a cell.
+COORDINATES, FINE = 2, 6
+#: Vectors of the finest cells: those compared with each other.
+CHUNK = 64
+#: Rows of one cell that a task sends on; of more, neighbours in the order are averaged first.
+LOCAL = 256
+#: Cosine of neighbours in a cell: two members within 0.75 of a mean have 0.56 on average, of a million random directions of width 64 about
+#: one has it with a given vector.
+NEIGHBOUR = 0.55
+#: Cosine with a component's mean in the first settling pass; of the means of adjacent cells; of means that are one cluster's.
+NEAR, ADJACENT, ONE = 0.6, 0.8, 0.85
+#: Turned frames in which means of dense cells are compared.
+FRAMES = 6
+#: Means that a task holds at once (16 MB); of more, passes go by blocks.
+BLOCK = 65_536
 #: Passes end where no mean moves; each raises the sum of the cosines beyond the bound, so only ties in rounding reach this number.
 PASSES = 200
 #: Cosine of means whose members may exclude each other.
 OVERLAP = 0.5
-#: Cosine of neighbours among the vectors near no mean: two members within 0.75 of a mean have 0.56 on average, of a million
-#: random directions of width 64 about one has it with a given vector. Vectors compared with all others in one pass.
-NEIGHBOUR, ANCHORS = 0.55, 16_384
+
+Batches = Iterator[pa.RecordBatch]
 
 
 def matrix_of(column: pa.Array, width: int) -> np.ndarray:
@@ -47,134 +51,387 @@ def matrix_of(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def lists_of(x: np.ndarray) -> pa.ListArray:
+    """A list column of the rows of a matrix."""
+    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1] or 1, dtype=np.int32)[: len(x) + 1], pa.array(np.ascontiguousarray(x).ravel()))
+
+
 def unit_vectors(vectors: DataFrame, key: str, vec: str, width: int) -> DataFrame:
-    """``(id, vec)`` scaled to norm 1, once per id, of vectors of the width with finite entries, not all zero."""
+    """``(id, vec)`` scaled to norm 1, once per id, of vectors of the width with finite entries, not all zero.
+
+    Only the vectors of repeated ids are shuffled.
+    """
 
-    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scale(batches: Batches) -> Batches:
         for batch in batches:
             x = matrix_of(batch.column("vec"), width).astype(np.float64)
             with np.errstate(all="ignore"):
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
             ok = np.isfinite(x).all(axis=1)
-            out = x[ok].astype(np.float32)
-            lists = pa.ListArray.from_arrays(np.arange(0, out.size + 1, width, dtype=np.int32), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(ok)), lists], names=["id", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(ok)), lists_of(x[ok].astype(np.float32))], names=["id", "vec"])
 
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vec).cast("array<float>").alias("vec"))
     usable = rows.where(F.col("id").isNotNull() & (F.size("vec") == width) & ~F.exists("vec", lambda v: v.isNull()))
-    # Of different vectors of one id a usable one counts, the least: so unusable ones go first.
-    return usable.mapInArrow(scale, "id bigint, vec array<float>").groupBy("id").agg(F.min("vec").alias("vec"))
+    scaled = usable.mapInArrow(scale, "id bigint, vec array<float>")
+    repeated = small_side(written(rows.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"), "repeated"))
+    # Of different vectors of one id a usable one counts, the least.
+    once = scaled.join(repeated, "id", "left_anti")
+    return once.unionByName(scaled.join(repeated, "id", "left_semi").groupBy("id").agg(F.min("vec").alias("vec")))
 
 
-def turned(grid: int, width: int, seed: int) -> np.ndarray:
-    """The random rotation of a grid."""
-    q, r = np.linalg.qr(np.random.default_rng([seed, grid]).normal(size=(width, width)))
+def turned(frame: int, width: int, seed: int) -> np.ndarray:
+    """The random rotation of a frame."""
+    q, r = np.linalg.qr(np.random.default_rng([seed, frame]).normal(size=(width, width)))
     return (q * np.sign(np.diag(r))).astype(np.float32)
 
 
-def cell_codes(x: np.ndarray, grids: int, m: int, seed: int) -> np.ndarray:
-    """The cells of unit vectors, one a grid: a hash of the grid and the m largest coordinates with their signs."""
-    out = np.empty((len(x), grids), np.int64)
-    for g in range(grids):
-        y = x @ turned(g, x.shape[1], seed)
-        top = np.sort(np.argpartition(-np.abs(y), m - 1, axis=1)[:, :m], axis=1)
-        signed = top * 2 + (np.take_along_axis(y, top, 1) < 0)
-        code = np.full(len(x), g + 1, np.uint64)
-        for c in signed.T:
-            # A step of a 64-bit mix; different cells get one code with negligible chance.
-            code = (code ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            code ^= code >> np.uint64(29)
-        out[:, g] = code.view(np.int64)
+def cell_codes(x: np.ndarray, frame: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cell and order within the cell of directions: the largest coordinates with their signs, and the next ones by size."""
+    y = x @ turned(frame, x.shape[1], seed)
+    m = min(COORDINATES + FINE, x.shape[1])
+    top = np.argpartition(-np.abs(y), m - 1, axis=1)[:, :m]
+    top = np.take_along_axis(top, np.argsort(-np.abs(np.take_along_axis(y, top, 1)), axis=1, kind="stable"), 1)
+    signed = (top * 2 + (np.take_along_axis(y, top, 1) < 0)).astype(np.int64)
+    base = 2 * x.shape[1]
+    cell = np.full(len(x), frame, np.int64)
+    for c in np.sort(signed[:, :COORDINATES], axis=1).T:
+        cell = cell * base + c
+    fine = np.zeros(len(x), np.int64)
+    for c in signed[:, COORDINATES:].T:
+        fine = fine * base + c
+    return cell, fine
+
+
+def quantised(units: DataFrame, frames: range, width: int, seed: int) -> DataFrame:
+    """``(cell, fine, n, q)``: each vector once a frame, its features as 8-bit numbers.
+
+    Pre-aggregated: of a cell with more than LOCAL rows in a task, vectors next to each other in the order become one row of weight n.
+    """
+
+    def f(batches: Batches) -> Batches:
+        held, size = [], 0
+
+        def flush() -> Batches:
+            x = np.concatenate(held)
+            for frame in frames:
+                cell, fine = cell_codes(x, frame, seed)
+                order = np.lexsort((fine, cell))
+                cell, fine, v = cell[order], fine[order], x[order]
+                first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+                count = np.diff(np.append(first, len(cell)))
+                step = np.repeat(-(-count // LOCAL), count)
+                head = np.flatnonzero((np.arange(len(cell)) - np.repeat(first, count)) % step == 0)
+                n = np.diff(np.append(head, len(cell)))
+                q = np.rint(np.add.reduceat(v, head) / n[:, None] * 127).astype(np.int8)
+                data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(q), [None, pa.py_buffer(q.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(cell[head]), pa.array(fine[head]), pa.array(n), data], names=["cell", "fine", "n", "q"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(matrix_of(batch.column("vec"), width))
+                size += batch.num_rows
+            if size >= 50_000:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    return units.select("vec").mapInArrow(f, "cell bigint, fine bigint, n bigint, q binary")
+
+
+def _peaks(x: np.ndarray, n: np.ndarray, need: int) -> list[tuple[int, np.ndarray]]:
+    """``(weight, sum)`` of the densest vectors' neighbourhoods, the densest first, none counted twice."""
+    near = x @ x.T >= NEIGHBOUR
+    free, out = np.ones(len(x), bool), []
+    while True:
+        weight = (near & free) @ n * free
+        at = int(weight.argmax())
+        if weight[at] < need:
+            return out
+        taken = near[at] & free
+        taken[at] = True
+        out.append((int(weight[at]), (x[taken] * n[taken, None]).sum(axis=0)))
+        free &= ~taken
+
+
+def _one_way(peaks: list[tuple[int, np.ndarray]]) -> list[tuple[int, np.ndarray]]:
+    """Neighbourhoods of the finer parts of one cell, those that point one way summed."""
+    n, s = np.array([p[0] for p in peaks]), np.array([p[1] for p in peaks])
+    u = s / np.maximum(np.linalg.norm(s, axis=1, keepdims=True), 1e-30)
+    near, free, out = u @ u.T >= ADJACENT, np.ones(len(n), bool), []
+    for i in np.argsort(-n, kind="stable"):
+        if free[i]:
+            taken = near[i] & free
+            taken[i] = True
+            out.append((int(n[taken].sum()), s[taken].sum(axis=0)))
+            free &= ~taken
     return out
 
 
-def _sums(width: int) -> list:
-    return [F.count("*").alias("n"), *(F.sum(F.col("vec")[i].cast("double")).alias(f"s{i}") for i in range(width))]
+def dense_cells(cells: DataFrame, need: int, width: int) -> DataFrame:
+    """``(node, n, vec)``: cells counted, and of those with ``need`` vectors the parts in which one has so many near it; vec is their sum."""
+    whole = W.partitionBy("cell").orderBy("fine").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    counted = cells.withColumn("c", F.sum("n").over(whole)).where(F.col("c") >= need).drop("c")
+
+    def dense(cell: np.ndarray, n: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        count = np.diff(np.append(first, len(cell)))
+        inside = np.arange(len(cell)) - np.repeat(first, count)
+        head = np.flatnonzero(inside % CHUNK == 0)
+        size = np.diff(np.append(head, len(cell)))
+        found: dict[int, list] = {}
+        for k in np.unique(size):
+            at = head[size == k]
+            for a in range(0, len(at), max(1, 400_000 // int(k * k))):  # bounds the products held at once
+                part = at[a : a + max(1, 400_000 // int(k * k))]
+                rows = part[:, None] + np.arange(k)
+                v = x[rows]
+                weight = ((v @ v.transpose(0, 2, 1) >= NEIGHBOUR) * n[rows][:, None, :]).sum(axis=2)
+                for i in np.flatnonzero((weight >= need).any(axis=1)):
+                    found.setdefault(int(cell[part[i]]), []).extend(_peaks(v[i], n[rows[i]], need))
+        out = [(c << 24 | i, *p) for c, peaks in found.items() for i, p in enumerate(_one_way(peaks))]
+        sums = np.array([o[2] for o in out], np.float32).reshape(-1, width)
+        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), lists_of(sums)], names=["node", "n", "vec"])
+
+    def f(batches: Batches) -> Batches:
+        held: tuple[np.ndarray, ...] = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, width), np.float32))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            q = np.frombuffer(b"".join(batch.column("q").to_pylist()), np.int8).reshape(-1, width).astype(np.float32) / 127
+            new = (batch.column("cell").to_numpy(), batch.column("n").to_numpy(), q)
+            held = tuple(np.concatenate(p) for p in zip(held, new, strict=True))
+            last = int(np.searchsorted(held[0], held[0][-1])) if held[0][0] != held[0][-1] else 0
+            if last >= 100_000:  # whole cells; the last one may go on
+                yield dense(*(p[:last] for p in held))
+                held = tuple(p[last:] for p in held)
+        if len(held[0]):
+            yield dense(*held)
 
+    return counted.select("cell", "n", "q").mapInArrow(f, "node bigint, n bigint, vec array<float>")
 
-def _means(sums: DataFrame, width: int) -> DataFrame:
-    """Mean direction and coherence (length of the mean vector) from sums."""
-    s = F.array(*(F.col(f"s{i}") for i in range(width)))
-    keep = [c for c in sums.columns if not c.startswith("s") or not c[1:].isdigit()]
-    norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, v: a + v * v))
-    return (
-        sums.select(*keep, s.alias("s"))
-        .withColumn("norm", norm)
-        .where("norm > 0")
-        .select(*keep, F.transform("s", lambda v: (v / F.col("norm")).cast("float")).alias("mean"), (F.col("norm") / F.col("n")).alias("coherence"))
-    )
 
+def adjacent(dense: DataFrame, width: int, seed: int) -> DataFrame:
+    """``(a, b)``: dense cells whose means point into one cell of a turned frame and have the cosine ADJACENT; each with the least such node."""
 
-def dot(width: int):
-    """Column function: the inner products of two list columns."""
+    def keyed(batches: Batches) -> Batches:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix_of(batch.column("vec"), width)
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+            for frame in range(FRAMES):
+                cell, fine = cell_codes(x, frame + 1, seed + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(fine), batch.column("node"), lists_of(x)], names=["cell", "fine", "node", "vec"])
+
+    def links(batches: Batches) -> Batches:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            cell, node = t.column("cell").to_numpy(), t.column("node").to_numpy()
+            x = matrix_of(t.column("vec").combine_chunks(), width)
+            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            count = np.diff(np.append(first, len(cell)))
+            a, b = [], []
+            for h, k in zip(first[count > 1], count[count > 1], strict=True):
+                for lo in range(h, h + k, 1024):
+                    hi = min(lo + 1024, h + k)
+                    near = x[lo:hi] @ x[lo:hi].T >= ADJACENT
+                    least = np.where(near, node[lo:hi], np.iinfo(np.int64).max).min(axis=1)
+                    least = np.minimum(least, node[lo:hi])
+                    a.append(node[lo:hi][least < node[lo:hi]])
+                    b.append(least[least < node[lo:hi]])
+            join = lambda p: pa.array(np.concatenate(p) if p else np.empty(0, np.int64))
+            return pa.RecordBatch.from_arrays([join(a), join(b)], names=["a", "b"])
 
-    def f(a: pa.Array, b: pa.Array) -> pa.Array:
-        x, y = (matrix_of(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c, width) for c in (a, b))
-        return pa.array(np.einsum("ij,ij->i", x.astype(np.float64), y.astype(np.float64)))
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= 200_000:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
-    return F.arrow_udf(f, "double")
+    schema = "cell bigint, fine bigint, node bigint, vec array<float>"
+    rows = dense.select("node", "vec").mapInArrow(keyed, schema).repartition("cell").sortWithinPartitions("cell", "fine", "node")
+    return rows.mapInArrow(links, "a bigint, b bigint")
 
 
 def least_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, label)``: the least node that can be reached over ``edges(a, b)``, by propagation to convergence."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(nodes.select("node", F.col("node").alias("label")), "labels")
-    while True:
+    found = Observation()
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = written(both.observe(found, F.count("*").alias("c")), "edges")
+    labels, held, changed = nodes.select("node", F.col("node").alias("label")), None, found.get["c"]
+    while changed:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels.node == near.a, "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
         # A jump to the label of one's label halves the way that is left.
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("further"))
-        moved = written(
-            step.join(jump, "new", "left").select("node", F.least("new", F.coalesce("further", "new")).alias("to"), "label"), "labels"
-        )
-        changed = moved.where("`to` < label").limit(1).count()
-        labels = moved.select("node", F.col("to").alias("label"))
-        if not changed:
-            return labels
+        ends = step.join(jump, "new", "left").select("node", F.least("new", F.coalesce("further", "new")).alias("to"), "label")
+        moves = Observation()
+        moved = written(ends.observe(moves, F.coalesce(F.sum((F.col("to") < F.col("label")).cast("bigint")), F.lit(0)).alias("c")), "labels")
+        labels, changed = moved.select("node", F.col("to").alias("label")), moves.get["c"]
+        if held is not None:
+            dropped(held)
+        held = moved
+    dropped(both)
+    return labels if held is None else named(labels, held)
+
+
+def _summed(parts: DataFrame, key: str, width: int) -> DataFrame:
+    """Sums of ``parts(key, n, vec)`` by key: in each task first, then by key."""
+
+    def f(batches: Batches) -> Batches:
+        held: list[tuple] = []
+        size = 0
+
+        def merged() -> tuple:
+            k, n, s = (np.concatenate(p) for p in zip(*held, strict=True))
+            order = np.argsort(k, kind="stable")
+            k, n, s = k[order], n[order], s[order]
+            head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            return k[head], np.add.reduceat(n, head), np.add.reduceat(s, head)
 
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column(key).to_numpy(), batch.column("n").to_numpy(), matrix_of(batch.column("vec"), width).astype(np.float64)))
+                size += batch.num_rows
+            if size > 100_000:
+                held = [merged()]
+                size = 0
+        if held:
+            k, n, s = merged()
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), lists_of(s)], names=[key, "n", "vec"])
+
+    schema = f"{key} bigint, n bigint, vec array<double>"
+    cells = parts.select(F.col(key).cast("bigint").alias(key), F.col("n").cast("bigint").alias("n"), F.col("vec").cast("array<double>").alias("vec"))
+    return cells.mapInArrow(f, schema).repartition(key).mapInArrow(f, schema)
+
+
+class Means:
+    """Mean directions ``(centre, n, vec)`` of clusters: one array of at most BLOCK of them, or a written table read by such blocks."""
+
+    def __init__(self, ids: np.ndarray, n: np.ndarray, x: np.ndarray, table: DataFrame | None = None, count: int | None = None):
+        self.ids, self.n, self.x, self.table = ids, n, x, table
+        self.count = len(ids) if count is None else count
+
+    @staticmethod
+    def of(sums: DataFrame, width: int, least: int, block: int = BLOCK) -> Means:
+        """Directions of sums of at least ``least`` vectors that are not null."""
+        kept = sums.where(F.col("n") >= least)
+        rows = kept.limit(block + 1).toArrow()
+        if rows.num_rows <= block:
+            return Means._arrays(rows, width)
+        table = written(kept, "means")
+        return Means(np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, width), np.float32), table, table.count())
+
+    @staticmethod
+    def _arrays(rows: pa.Table, width: int) -> Means:
+        rows = rows.combine_chunks().sort_by("centre")
+        s = matrix_of(rows.column("vec").combine_chunks(), width).astype(np.float64) if rows.num_rows else np.empty((0, width))
+        size = np.linalg.norm(s, axis=1, keepdims=True)
+        ok = size[:, 0] > 0
+        return Means(rows.column("centre").to_numpy()[ok], rows.column("n").to_numpy()[ok], (s / np.maximum(size, 1e-300))[ok].astype(np.float32))
+
+    def blocks(self, width: int, block: int = BLOCK) -> Iterator[Means]:
+        if self.table is None:
+            if len(self.ids):
+                yield self
+            return
+        parts = -(-self.count // block) + 1
+        for b in range(parts):
+            part = Means._arrays(self.table.where(F.pmod(F.xxhash64("centre"), F.lit(parts)) == b).toArrow(), width)
+            if len(part.ids):
+                yield part
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        if self.table is not None:
+            return self.table
+        return spark.createDataFrame(pa.table({"centre": self.ids, "n": self.n, "vec": lists_of(self.x.astype(np.float64))}))
+
+    def without(self, gone: np.ndarray) -> Means:
+        if self.table is None:
+            keep = ~np.isin(self.ids, gone)
+            return Means(self.ids[keep], self.n[keep], self.x[keep])
+        left = written(self.table.where(~F.col("centre").isin(gone.tolist())), "means")
+        return Means(self.ids, self.n, self.x, left, left.count())
+
+    def plus(self, other: Means, width: int) -> Means:
+        """Both, numbered anew; a single array where it is no larger than a block."""
+        if self.table is None and other.table is None and len(self.ids) + len(other.ids) <= BLOCK:
+            return Means(np.arange(len(self.ids) + len(other.ids)), np.concatenate([self.n, other.n]), np.concatenate([self.x, other.x]))
+        spark = (self.table if self.table is not None else other.table).sparkSession if (self.table is not None or other.table is not None) else SparkSession.active()
+        both = self.frame(spark).withColumn("centre", F.col("centre") * 2).unionByName(other.frame(spark).withColumn("centre", F.col("centre") * 2 + 1))
+        return Means.of(both, width, 0)
+
+
+def _larger(part: Means) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Which of (ids, n, directions) have a larger mean of ``part`` at cosine ONE or more; of equal numbers the least id is the larger."""
+
+    def f(ids: np.ndarray, n: np.ndarray, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ids), bool)
+        for a in range(0, len(ids), 512):
+            s = slice(a, a + 512)
+            larger = (part.n[None] > n[s, None]) | ((part.n[None] == n[s, None]) & (part.ids[None] < ids[s, None]))
+            out[s] = ((x[s] @ part.x.T >= ONE) & larger).any(axis=1)
+        return out
+
+    return f
+
+
+def distinct_means(means: Means, width: int) -> Means:
+    """Means without those near a larger one; what is lost of a real cluster by that is loose again and found by the next round."""
+    if means.table is None:
+        gone = _larger(means)(means.ids, means.n, means.x)
+        return Means(means.ids[~gone], means.n[~gone], means.x[~gone])
+    rows = means.table
+    for part in means.blocks(width):
+        near = _larger(part)
+
+        def keep(batches: Batches, near=near) -> Batches:
+            for batch in batches:
+                x = matrix_of(batch.column("vec"), width)
+                x = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).astype(np.float32)
+                yield batch.filter(pa.array(~near(batch.column("centre").to_numpy(), batch.column("n").to_numpy(), x)))
 
-def _merged(centres: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Centres without those that are near a larger one of the same component (cosine ONE and more)."""
-    order = np.argsort(-size, kind="stable")
-    kept: list[int] = []
-    for i in order:
-        if not kept or (centres[kept] @ centres[i]).max() < ONE:
-            kept.append(i)
-    return centres[sorted(kept)]
+        rows = rows.mapInArrow(keep, "centre bigint, n bigint, vec array<double>")
+    return Means.of(rows, width, 0)
 
 
-def nearest(units: DataFrame, centres: np.ndarray, bound: float, other: float | None = None) -> DataFrame:
-    """``(id, vec, centre, cosine)`` of vectors within the cosine bound of a centre, by blocks of centres.
+def nearest(units: DataFrame, means: Means, width: int, bound: float, other: float | None = None, block: int = BLOCK) -> DataFrame:
+    """``(id, vec, centre, cosine)`` of vectors within the cosine bound of a mean; with ``other``: whose cosine with every further mean is below it."""
 
-    With ``other``: only those whose cosine with every further centre is below it.
-    """
-    width = centres.shape[1]
+    def narrow(part: Means):
+        ids, x_t = part.ids, part.x.T.astype(np.float64)
 
-    def block(first: int, part: np.ndarray):
-        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def f(batches: Batches) -> Batches:
             for batch in batches:
                 x = matrix_of(batch.column("vec"), width)
-                best, second, where = (np.full(len(x), -2.0) for _ in range(3))
+                best, second, where = np.full(len(x), -2.0), np.full(len(x), -2.0), np.zeros(len(x), np.int64)
                 for a in range(0, len(x), 2048):  # bounds the products held at once
-                    c = x[a : a + 2048].astype(np.float64) @ part.T.astype(np.float64)
+                    c = x[a : a + 2048].astype(np.float64) @ x_t
                     at = c.argmax(axis=1)
                     best[a : a + 2048], where[a : a + 2048] = c[np.arange(len(c)), at], at
-                    if c.shape[1] > 1:
-                        second[a : a + 2048] = np.partition(c, -2, axis=1)[:, -2]
-                columns = [batch.column("id"), batch.column("vec"), pa.array(where.astype(np.int32) + first), pa.array(best), pa.array(second)]
-                made = pa.RecordBatch.from_arrays(columns, names=["id", "vec", "centre", "cosine", "second"])
+                    if other is not None and c.shape[1] > 1:
+                        c[np.arange(len(c)), at] = -2.0
+                        second[a : a + 2048] = c.max(axis=1)
+                made = pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(ids[where]), pa.array(best), pa.array(second)], names=["id", "vec", "centre", "cosine", "second"])
                 yield made.filter(pa.array(best >= min(bound, other or bound)))
 
-        return units.mapInArrow(f, "id bigint, vec array<float>, centre int, cosine double, second double")
+        return units.mapInArrow(f, "id bigint, vec array<float>, centre bigint, cosine double, second double")
 
-    parts = [block(a, centres[a : a + CENTRE_BLOCK]) for a in range(0, len(centres), CENTRE_BLOCK)]
+    parts = [narrow(p) for p in means.blocks(width, block)]
     found = parts[0]
     if len(parts) > 1:
         for p in parts[1:]:
             found = found.unionByName(p)
         best = F.max(F.struct("cosine", "centre", "second", "vec")).alias("b")
-        rank = F.sort_array(F.collect_list("cosine"), asc=False).alias("all")  # one entry a block of centres
+        rank = F.sort_array(F.collect_list("cosine"), asc=False).alias("all")  # one entry a block of means
         found = found.groupBy("id").agg(best, rank).select(
             "id", "b.vec", "b.centre", "b.cosine", F.greatest("b.second", F.coalesce(F.try_element_at("all", F.lit(2)), F.lit(-2.0))).alias("second")
         )
@@ -182,158 +439,79 @@ def nearest(units: DataFrame, centres: np.ndarray, bound: float, other: float |
     return (found if other is None else found.where(F.col("second") < other)).drop("second")
 
 
-def centre_sums(units: DataFrame, centres: np.ndarray, bound: float) -> DataFrame:
-    """``(centre, n, s)``: number and vector sum of the vectors nearest each centre within the bound; summed in each task first."""
-    width = centres.shape[1]
+def outside(units: DataFrame, means: Means, width: int, bound: float) -> DataFrame:
+    """The vectors within the cosine bound of no mean; a narrow pass for each block of means."""
+    for part in means.blocks(width):
+        x_t = part.x.T
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            at, x = batch.column("centre").to_numpy(), matrix_of(batch.column("vec"), width).astype(np.float64)
-            order = np.argsort(at, kind="stable")
-            which, first = np.unique(at[order], return_index=True)
-            if len(which):
-                rows = np.concatenate([np.ones((len(x), 1)), x], axis=1)[order]
-                for c, s in zip(which.tolist(), np.add.reduceat(rows, first), strict=True):
-                    held[c] = held[c] + s if c in held else s
-        values = np.concatenate(list(held.values())) if held else np.empty(0)
-        pos = np.tile(np.arange(width + 1, dtype=np.int32), len(held))
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(held), np.int32), width + 1)), pa.array(pos), pa.array(values)], names=["centre", "pos", "value"])
-
-    parts = nearest(units, centres, bound).select("centre", "vec").mapInArrow(partial, "centre int, pos int, value double")
-    return parts.groupBy("centre", "pos").agg(F.sum("value").alias("value"))
-
-
-def _new_centres(sums: DataFrame, width: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean directions of the sums of at least ``least`` vectors; at most MOST_CENTRES of them."""
-    t = sums.toPandas().pivot(index="centre", columns="pos", values="value").sort_index().to_numpy()
-    t = t[t[:, 0] >= least] if len(t) else np.empty((0, width + 1))
-    mean = t[:, 1:] / np.maximum(np.linalg.norm(t[:, 1:], axis=1, keepdims=True), 1e-300)
-    return mean.astype(np.float32), t[:, 0].astype(np.int64)
-
-
-def outside(units: DataFrame, centres: np.ndarray, bound: float) -> DataFrame:
-    """The vectors within the cosine bound of no centre; a narrow pass for each block of centres."""
-    width = centres.shape[1]
-
-    def block(part: np.ndarray):
-        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def f(batches: Batches, x_t=x_t) -> Batches:
             for batch in batches:
                 x = matrix_of(batch.column("vec"), width)
                 best = np.full(len(x), -2.0)
                 for a in range(0, len(x), 2048):  # bounds the products held at once
-                    best[a : a + 2048] = (x[a : a + 2048].astype(np.float64) @ part.T.astype(np.float64)).max(axis=1)
+                    best[a : a + 2048] = (x[a : a + 2048] @ x_t).max(axis=1)
                 yield batch.filter(pa.array(best < bound))
 
-        return f
-
-    for a in range(0, len(centres), CENTRE_BLOCK):
-        units = units.mapInArrow(block(centres[a : a + CENTRE_BLOCK]), "id bigint, vec array<float>")
+        units = units.mapInArrow(f, "id bigint, vec array<float>")
     return units
 
 
-def ball_means(units: DataFrame, centres: np.ndarray, bound: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean direction and number of all vectors within the bound of each centre, for centres with ``least`` or more.
+def _still(a: Means, b: Means) -> bool:
+    """Whether two steps of means are the same."""
+    if a.table is None and b.table is None:
+        return np.array_equal(a.ids, b.ids) and bool(np.abs(a.x - b.x).max(initial=0) < 1e-6)
+    if a.count != b.count or a.table is None or b.table is None:
+        return False
+    unit = lambda t, name: t.select("centre", F.transform("vec", lambda v: v / F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, w: s + w * w))).alias(name))
+    both = unit(a.table, "x").join(unit(b.table, "y"), "centre", "full")
+    same = F.forall(F.zip_with("x", "y", lambda x, y: F.abs(x - y)), lambda d: d < 1e-6)
+    return not both.where(~F.coalesce(same, F.lit(False))).limit(1).count()
 
-    A vector counts for every centre it is near; sums are made in each task first.
-    """
-    width = centres.shape[1]
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, s = np.zeros(len(centres), np.int64), np.zeros((len(centres), width))
-        for batch in batches:
-            x = matrix_of(batch.column("vec"), width)
-            for a in range(0, len(x), 2048):
-                for b in range(0, len(centres), 1024):
-                    c = centres[b : b + 1024] @ x[a : a + 2048].T
-                    at, row = np.divmod(np.flatnonzero(c.ravel() >= bound), c.shape[1])
-                    which, first, hits = np.unique(at, return_index=True, return_counts=True)
-                    if len(which):
-                        n[b + which] += hits
-                        s[b + which] += np.add.reduceat(x[a + row].astype(np.float64), first)
-        at = np.flatnonzero(n)
-        lists = pa.ListArray.from_arrays(np.arange(0, at.size * width + 1, width, dtype=np.int32), pa.array(s[at].ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), lists], names=["centre", "n", "vec"])
-
-    parts = units.mapInArrow(partial, "centre int, n bigint, vec array<double>")
-    sums = parts.groupBy("centre").agg(F.sum("n").alias("n"), *_sums(width)[1:]).where(F.col("n") >= least)
-    t = sums.toPandas().sort_values("centre").drop(columns="centre").to_numpy(np.float64)
-    mean = t[:, 1:] / np.maximum(np.linalg.norm(t[:, 1:], axis=1, keepdims=True), 1e-300)
-    return mean.astype(np.float32), t[:, 0].astype(np.int64)
-
-
-def loose_groups(loose: DataFrame, width: int, least: int) -> np.ndarray:
-    """Centres of groups of ``least`` or more among vectors near no mean; every vector is tried against all of them.
-
-    Vectors with neighbours enough move to the mean of those, then to that of all within NEAR; so members of one
-    group meet in its mean. The time grows with the square of the rows; the driver holds ANCHORS of them at once.
-    """
-    slices = -(-loose.count() // ANCHORS)
-    half = (least + 1) // 2
-    tried = [np.empty((0, width), np.float32)]
-    for k in range(slices):
-        anchors = loose.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == k).select("vec").toArrow()["vec"].combine_chunks()
-        if len(anchors):
-            tried.append(ball_means(loose, matrix_of(anchors, width), NEIGHBOUR, half)[0])
-    centres = np.concatenate(tried)
-    size = np.zeros(len(centres), np.int64)
-    for need in (half, least):
-        if len(centres):
-            moved = [ball_means(loose, centres[a : a + ANCHORS], NEAR, need) for a in range(0, len(centres), ANCHORS)]
-            centres, size = (np.concatenate(x) for x in zip(*moved, strict=True))
-    return _merged(centres, size)
-
-
-def _centre_array(means: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = means.select("mean", "n").limit(MOST_CENTRES + 1).collect()
-    if len(rows) > MOST_CENTRES:
-        raise ValueError(f"more than {MOST_CENTRES} components")
-    return np.array([r.mean for r in rows], np.float32).reshape(-1, width), np.array([r.n for r in rows], np.int64)
-
-
-def _settled(units: DataFrame, centres: np.ndarray, bound: float, within: float, least: int) -> np.ndarray:
-    """Centres moved to the means of their members by exact passes, the first with ``bound``, and those with ``least`` members."""
-    need = LEAST_IN_CELL
-    previous: np.ndarray | None = None
+def settled(units: DataFrame, means: Means, width: int, bound: float, within: float, least: int) -> Means:
+    """Means moved to those of their members by exact passes, the first with ``bound``, and those with ``least`` members."""
+    need, previous = max(1, least // 2), None
     for _ in range(PASSES):
-        if not len(centres):
+        if not means.count:
             break
-        centres, size = _new_centres(centre_sums(units, centres, bound), centres.shape[1], need)
-        centres = _merged(centres, size) if len(centres) else centres
-        if bound == within and previous is not None and previous.shape == centres.shape and np.abs(previous - centres).max() < 1e-6:
+        members = nearest(units, means, width, bound).select("centre", F.lit(1).alias("n"), "vec")
+        means = distinct_means(Means.of(_summed(members, "centre", width), width, need), width)
+        if bound == within and previous is not None and _still(previous, means):
             break
-        previous, bound, need = centres, within, least
+        previous, bound, need = means, within, least
     else:
         warnings.warn(f"means still move after {PASSES} passes", stacklevel=2)
-    return centres
+    return means
 
 
-def assigned(units: DataFrame, centres: np.ndarray, within: float, apart: float, least: int) -> tuple[DataFrame | None, np.ndarray]:
-    """``(id, centre, cosine)`` of the members, and the centres that have ``least`` or more; no table if none has.
+def assigned(units: DataFrame, means: Means, width: int, within: float, apart: float, least: int) -> tuple[DataFrame | None, Means]:
+    """``(id, vec, centre, cosine)`` of the members, and the means that have ``least`` or more; no table if none has.
 
-    A centre with fewer is dropped and excludes no vector, so the rest is assigned again until none is dropped. Of
-    centres that may exclude each other's members the one with the fewest goes first.
+    A mean with fewer is dropped and excludes no vector, so the rest is assigned again until none is dropped. Of
+    means that may exclude each other's members the one with the fewest goes first.
     """
-    while len(centres):
-        members = written(nearest(units, centres, within, apart).select("id", "centre", "cosine"), "members")
-        n = np.zeros(len(centres), np.int64)
-        for centre, count in members.groupBy("centre").count().collect():  # at most MOST_CENTRES rows
-            n[centre] = count
-        few = np.flatnonzero(n < least)
-        if not len(few):
-            return members, centres
-        gone: list[int] = []
-        for i in few[np.argsort(n[few], kind="stable")]:
-            if not gone or (centres[gone] @ centres[i]).max() < OVERLAP:
-                gone.append(i)
-        centres = np.delete(centres, gone, axis=0)
-    return None, centres
+    while means.count:
+        members = written(nearest(units, means, width, within, apart), "members")
+        counts = members.groupBy("centre").agg(F.count("*").alias("c"))
+        few = means.frame(members.sparkSession).join(counts, "centre", "left").where(F.coalesce("c", F.lit(0)) < least).select("centre", F.coalesce("c", F.lit(0)).alias("n"), "vec")
+        weak = Means.of(few.orderBy("n", "centre").limit(BLOCK), width, 0)  # at most a block of them is dropped at once
+        if not weak.count:
+            return members, means
+        dropped(members)
+        order = np.argsort(weak.n, kind="stable")
+        x = weak.x[order]
+        # The first of each set that overlap; beside it those that overlap with no weaker one.
+        earlier = np.tril(x @ x.T >= OVERLAP, -1) if len(x) <= 8192 else None
+        gone = weak.ids[order][~earlier.any(axis=1)] if earlier is not None else weak.ids[order][:1]
+        means = means.without(gone)
+    return None, means
 
 
 def clusters(
-    vectors: DataFrame, key: str = "id", vec: str = "vec", width: int = 64, least: int = 10, within: float = 0.75, apart: float = 0.7, seed: int = 11, grids: int = GRIDS
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(members, homes, means)``: ``members(id, cluster_id, cosine)``, ``homes(id, cell)`` and the final mean directions.
+    vectors: DataFrame, key: str = "id", vec: str = "vec", width: int = 64, least: int = 10, within: float = 0.75, apart: float = 0.7, seed: int = 11,
+    rounds: tuple[tuple[int, int], ...] = ROUNDS,
+) -> tuple[DataFrame, DataFrame]:
+    """``(members, means)``: ``members(id, cluster_id, cosine, cell)`` and ``means(cluster_id, mean)``, the final mean directions.
 
     cluster_id is the least id of the cluster. A member's cosine with its cluster's mean direction is ``within`` or more and
     with every other's below ``apart``; clusters have ``least`` ids or more. Defined results: null ids, null vectors, null,
@@ -343,65 +521,50 @@ def clusters(
     spark = vectors.sparkSession
     ship_code(spark)
     units = written(unit_vectors(vectors, key, vec, width), "units")
-    m = min(COORDINATES, width)
+    means = Means(np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, width), np.float32))
+    loose, frame, level = units, 1, 0
+    while True:
+        need, frames = rounds[level]
+        dense = written(dense_cells(quantised(loose, range(frame, frame + frames), width, seed), need, width), "dense")
+        labels = least_labels(dense, adjacent(dense, width, seed))
+        parts = dense.join(labels, "node").select(F.col("label").alias("centre"), "n", "vec")
+        found = settled(loose, distinct_means(Means.of(_summed(parts, "centre", width), width, need), width), width, NEAR, within, least)
+        frame += frames
+        dropped(dense)
+        dropped(labels)
+        before = means.count
+        if found.count:
+            means = settled(units, means.plus(found, width), width, within, within, least) if before else found
+            rest = written(outside(units, means, width, within), "loose")
+            if loose is not units:
+                dropped(loose)
+            loose = rest
+        # The number of means rises from round to round, so the rounds end.
+        if level + 1 < len(rounds):
+            level += 1
+        elif means.count <= before:
+            break
+    members, means = assigned(units, means, width, within, apart, least)
+    dropped(units)
+    dropped(loose)
+    if members is None:
+        return spark.createDataFrame([], "id bigint, cluster_id bigint, cosine double, cell bigint"), spark.createDataFrame([], "cluster_id bigint, mean array<float>")
+    names = small_side(members.groupBy("centre").agg(F.min("id").alias("cluster_id")))
 
-    def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = cell_codes(matrix_of(batch.column("vec"), width), grids, m, seed)
-            lists = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, grids, dtype=np.int32), pa.array(codes.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "cells"])
-
-    placed = written(units.mapInArrow(quantise, "id bigint, cells array<bigint>"), "cells").select("id", F.explode("cells").alias("cell"))
-    counts = placed.groupBy("cell").agg(F.count("*").alias("c")).where(F.col("c") >= LEAST_IN_CELL)
-    dense_places = written(placed.join(counts, "cell"), "places")
-    homes = written(dense_places.groupBy("id").agg(F.max(F.struct("c", "cell")).alias("h")).select("id", "h.cell"), "homes")
-    at_home = written(units.join(homes, "id").select("cell", "vec"), "home-vectors")
-    first = _means(at_home.groupBy("cell").agg(*_sums(width)), width).select("cell", "mean")
-    near = at_home.join(first, "cell").where(dot(width)("vec", "mean") >= NEAR)
-    dense = written(
-        _means(near.groupBy("cell").agg(*_sums(width)), width).where((F.col("n") >= LEAST_IN_CELL) & (F.col("coherence") >= COHERENT)), "dense"
-    )
-    # Adjacent: a vector at home in one cell lies in the other too.
-    shared = (
-        dense_places.select("id", F.col("cell").alias("b"))
-        .join(homes.select("id", F.col("cell").alias("a")), "id")
-        .where("a <> b")
-        .select("a", "b")
-        .distinct()
-    )
-    ends = dense.select("cell", "mean")
-    edges = (
-        shared.join(ends.toDF("a", "mean_a"), "a").join(ends.toDF("b", "mean_b"), "b").where(dot(width)("mean_a", "mean_b") >= ADJACENT).select("a", "b")
-    )
-    labels = least_labels(dense.select(F.col("cell").alias("node")), edges)
-    parts = dense.join(labels, dense.cell == labels.node).select("label", "n", F.transform("mean", lambda v: v * F.col("n") * F.col("coherence")).alias("vec"))
-    sums = parts.groupBy("label").agg(F.sum("n").alias("n"), *_sums(width)[1:])
-    centres = _merged(*_centre_array(_means(sums, width), width))
-    centres = _settled(units, centres, NEAR, within, least)
-    more = loose_groups(written(outside(units, centres, within), "loose"), width, least)
-    if len(more):
-        centres = _settled(units, np.concatenate([centres, more]), within, within, least)
-    placed_members, centres = assigned(units, centres, within, apart, least)
-    if placed_members is None:
-        empty = spark.createDataFrame([], "id bigint, cluster_id bigint, cosine double")
-        return empty, homes, spark.createDataFrame([], "cluster_id bigint, mean array<float>")
-    names = placed_members.groupBy("centre").agg(F.min("id").alias("cluster_id"))
-    named = F.broadcast(names)  # at most MOST_CENTRES rows
-    members = placed_members.join(named, "centre").select("id", "cluster_id", "cosine")
-    means = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "centre int, mean array<float>").join(named, "centre")
-    return members, homes, means.select("cluster_id", "mean")
-
-
-def described(members: DataFrame, homes: DataFrame, words: DataFrame, typical: int = 5) -> DataFrame:
-    """``(cluster_id, size, mean_cosine, typical)``: size and most typical words, from the cluster's densest cell.
-
-    Members at home in no cell count as one cell, taken where a cluster has no other.
-    """
+    def cell(column: pa.Array) -> pa.Array:
+        return pa.array(cell_codes(matrix_of(column, width), 1, seed)[0])
+
+    placed = members.select("id", "centre", "cosine", F.arrow_udf(cell, "bigint")("vec").alias("cell"))
+    return placed.join(names, "centre").select("id", "cluster_id", "cosine", "cell"), means.frame(spark).join(names, "centre").select("cluster_id", F.col("vec").alias("mean"))
+
+
+def described(members: DataFrame, words: DataFrame, typical: int = 5) -> DataFrame:
+    """``(cluster_id, size, mean_cosine, typical)``: size and most typical words, from the cluster's densest cell."""
     size = members.groupBy("cluster_id").agg(F.count("*").alias("size"), F.round(F.avg("cosine"), 6).alias("mean_cosine"))
-    placed = members.join(homes.withColumn("homed", F.lit(True)), "id", "left").na.fill({"cell": 0, "homed": False})
-    cells = placed.groupBy("cluster_id", "homed", "cell").agg(F.count("*").alias("c"))
-    densest = cells.groupBy("cluster_id").agg(F.max(F.struct("homed", "c", "cell")).alias("d")).select("cluster_id", F.col("d.homed").alias("homed"), F.col("d.cell").alias("cell"))
-    inside = placed.join(F.broadcast(densest), ["cluster_id", "homed", "cell"])
+    cells = members.groupBy("cluster_id", "cell").agg(F.count("*").alias("c"))
+    densest = cells.groupBy("cluster_id").agg(F.max(F.struct("c", "cell")).alias("d")).select("cluster_id", "d.cell")
+    # The most typical of a cell by partial aggregation: a bounded list for each cluster.
+    inside = members.join(small_side(densest), ["cluster_id", "cell"])
     rank = F.row_number().over(W.partitionBy("cluster_id").orderBy(F.desc("cosine"), "id"))
     top = inside.withColumn("rank", rank).where(F.col("rank") <= typical)
     text = words.where("id is not null").groupBy("id").agg(F.min("word").alias("word"))

@@ -50,7 +50,7 @@ def p1_batches(spark, sf_dir):
 @query("p2_found")
 def p2_found(spark, sf_dir):
     """Every word in a cluster, and the smallest id of that cluster."""
-    members, _, _ = clusters.clusters(read_table(spark, sf_dir, "word_vectors"))
+    members, _ = clusters.clusters(read_table(spark, sf_dir, "word_vectors"))
     return members.select(F.col("id").cast("int"), F.col("cluster_id").cast("int"))
 
 
@@ -58,8 +58,8 @@ def p2_found(spark, sf_dir):
 def p2_clusters(spark, sf_dir):
     """Size and most typical words of every cluster."""
     words = read_table(spark, sf_dir, "word_vectors")
-    members, homes, _ = clusters.clusters(words)
-    return clusters.described(members, homes, words.select("id", "word"))
+    members, _ = clusters.clusters(words)
+    return clusters.described(members, words.select("id", "word"))
 
 
 _TERMS_SQL = """
