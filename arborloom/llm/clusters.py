@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arborloom.session import dropped, named, ship_code, small_side, written
+from arborloom.session import BROADCAST_ROWS, dropped, named, ship_code, small_side, written
 
 #: Rounds: vectors near the densest one of a dense cell, and frames. The last kind of round is repeated until it shows nothing new.
 ROUNDS = ((16, 1), (3, 8))
@@ -72,12 +72,11 @@ def unit_vectors(vectors: DataFrame, key: str, vec: str, width: int) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(ok)), lists_of(x[ok].astype(np.float32))], names=["id", "vec"])
 
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vec).cast("array<float>").alias("vec"))
-    usable = rows.where(F.col("id").isNotNull() & (F.size("vec") == width) & ~F.exists("vec", lambda v: v.isNull()))
-    scaled = usable.mapInArrow(scale, "id bigint, vec array<float>")
     repeated = small_side(written(rows.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"), "repeated"))
+    usable = rows.where(F.col("id").isNotNull() & (F.size("vec") == width) & ~F.exists("vec", lambda v: v.isNull()))
+    once, again = (usable.join(repeated, "id", how).mapInArrow(scale, "id bigint, vec array<float>") for how in ("left_anti", "left_semi"))
     # Of different vectors of one id a usable one counts, the least.
-    once = scaled.join(repeated, "id", "left_anti")
-    return once.unionByName(scaled.join(repeated, "id", "left_semi").groupBy("id").agg(F.min("vec").alias("vec")))
+    return once.unionByName(again.groupBy("id").agg(F.min("vec").alias("vec")))
 
 
 def turned(frame: int, width: int, seed: int) -> np.ndarray:
@@ -267,12 +266,14 @@ def least_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = written(both.observe(found, F.count("*").alias("c")), "edges")
     labels, held, changed = nodes.select("node", F.col("node").alias("label")), None, found.get["c"]
+    # A small graph goes to all tasks.
+    side = F.broadcast if changed <= BROADCAST_ROWS and nodes.count() <= BROADCAST_ROWS else lambda d: d
     while changed:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.node == near.a, "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
+        near = both.join(side(labels), both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(side(near), labels.node == near.a, "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
         # A jump to the label of one's label halves the way that is left.
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("further"))
-        ends = step.join(jump, "new", "left").select("node", F.least("new", F.coalesce("further", "new")).alias("to"), "label")
+        ends = step.join(side(jump), "new", "left").select("node", F.least("new", F.coalesce("further", "new")).alias("to"), "label")
         moves = Observation()
         moved = written(ends.observe(moves, F.coalesce(F.sum((F.col("to") < F.col("label")).cast("bigint")), F.lit(0)).alias("c")), "labels")
         labels, changed = moved.select("node", F.col("to").alias("label")), moves.get["c"]
@@ -283,8 +284,8 @@ def least_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return labels if held is None else named(labels, held)
 
 
-def _summed(parts: DataFrame, key: str, width: int) -> DataFrame:
-    """Sums of ``parts(key, n, vec)`` by key: in each task first, then by key."""
+def _summed(parts: DataFrame, key: str, width: int, partial: bool = True) -> DataFrame:
+    """Sums of ``parts(key, n, vec)`` by key: in each task first, unless ``parts`` are sums of tasks, then by key."""
 
     def f(batches: Batches) -> Batches:
         held: list[tuple] = []
@@ -310,7 +311,7 @@ def _summed(parts: DataFrame, key: str, width: int) -> DataFrame:
 
     schema = f"{key} bigint, n bigint, vec array<double>"
     cells = parts.select(F.col(key).cast("bigint").alias(key), F.col("n").cast("bigint").alias("n"), F.col("vec").cast("array<double>").alias("vec"))
-    return cells.mapInArrow(f, schema).repartition(key).mapInArrow(f, schema)
+    return (cells.mapInArrow(f, schema) if partial else cells).repartition(key).mapInArrow(f, schema)
 
 
 class Means:
@@ -468,14 +469,39 @@ def _still(a: Means, b: Means) -> bool:
     return not both.where(~F.coalesce(same, F.lit(False))).limit(1).count()
 
 
+def member_sums(units: DataFrame, means: Means, width: int, bound: float) -> DataFrame:
+    """``(centre, n, vec)``: number and sum of the vectors nearest each mean within the bound; of one block summed in the pass that compares them."""
+    if means.table is not None:
+        return _summed(nearest(units, means, width, bound).select("centre", F.lit(1).alias("n"), "vec"), "centre", width)
+    ids, x_t = means.ids, means.x.T.copy()
+
+    def f(batches: Batches) -> Batches:
+        n, s = np.zeros(len(ids), np.int64), np.zeros((len(ids), width))
+        for batch in batches:
+            x = matrix_of(batch.column("vec"), width)
+            for a in range(0, len(x), 2048):  # bounds the products held at once
+                c = x[a : a + 2048] @ x_t
+                at = c.argmax(axis=1)
+                hit = np.flatnonzero(c[np.arange(len(c)), at] >= bound)
+                order = hit[np.argsort(at[hit], kind="stable")]
+                if len(order):
+                    which, first, hits = np.unique(at[order], return_index=True, return_counts=True)
+                    n[which] += hits
+                    s[which] += np.add.reduceat(x[a + order].astype(np.float64), first)
+        at = np.flatnonzero(n)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(n[at]), lists_of(s[at])], names=["centre", "n", "vec"])
+
+    return _summed(units.select("vec").mapInArrow(f, "centre bigint, n bigint, vec array<double>"), "centre", width, partial=False)
+
+
 def settled(units: DataFrame, means: Means, width: int, bound: float, within: float, least: int) -> Means:
     """Means moved to those of their members by exact passes, the first with ``bound``, and those with ``least`` members."""
     need, previous = max(1, least // 2), None
     for _ in range(PASSES):
         if not means.count:
             break
-        members = nearest(units, means, width, bound).select("centre", F.lit(1).alias("n"), "vec")
-        means = distinct_means(Means.of(_summed(members, "centre", width), width, need), width)
+        means = distinct_means(Means.of(member_sums(units, means, width, bound), width, need), width)
         if bound == within and previous is not None and _still(previous, means):
             break
         previous, bound, need = means, within, least
