@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,6 +98,16 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_
     return F.broadcast(table) if small else table
 
 
+def once_each(rows: DataFrame, key: str, pick: Callable[[DataFrame], DataFrame], tag: str = "repeated") -> DataFrame:
+    """``rows`` with each key once: ``pick`` reduces the rows of repeated keys, the others stay where they are.
+
+    Only keys and the rows of repeated keys are shuffled, not the content of all rows. Null keys are left out.
+    """
+    again = small_side(written(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), tag))
+    once = rows.where(F.col(key).isNotNull()).join(again, key, "left_anti")
+    return once.unionByName(pick(rows.join(again, key, "left_semi")))
+
+
 def ship_code(spark: SparkSession) -> None:
     """Send the package to executors that may not have it on their path (once a session; nothing in local mode)."""
     if is_local(spark) or getattr(spark.sparkContext, "_arborloom_shipped", False):
