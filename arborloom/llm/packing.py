@@ -11,6 +11,8 @@ from their rank among the items of their length.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -22,33 +24,45 @@ from arborloom.session import BROADCAST_ROWS, ship_code, small_side, written
 ROWS_PER_SALT = 500_000
 
 
+def _added(reach: int, length: int, copies: int, mask: int) -> int:
+    """Totals that can be reached with up to ``copies`` of a further length, by binary splitting."""
+    step = 1
+    while copies > 0:
+        take = min(step, copies)
+        reach |= (reach << (length * take)) & mask
+        copies -= take
+        step *= 2
+    return reach
+
+
 def fullest(room: int, lengths: list[int], counts: dict[int, int]) -> dict[int, int]:
     """The combination of available lengths that fills ``room`` best, large lengths first among equals.
 
     Bitset subset-sum dynamic programme: bit ``x`` of a layer tells that total ``x`` can be reached with the
-    lengths so far; the copies of a length are added by binary splitting.
+    lengths so far. Of n layers every sqrt(n)-th is kept and those between are made again on the way back, so the
+    memory is room * sqrt(n) / 4 bytes (some 0.25 GB at a room of a million).
     """
     mask = (1 << (room + 1)) - 1
-    layers, used, reach = [], [], 1
-    for length in lengths:
-        if length > room:
-            break
-        copies, step = min(counts[length], room // length), 1
-        layers.append(reach)
-        used.append((length, copies))
-        while copies > 0:
-            take = min(step, copies)
-            reach |= (reach << (length * take)) & mask
-            copies -= take
-            step *= 2
+    used = [(length, min(counts[length], room // length)) for length in lengths if length <= room]
+    stride = max(1, math.isqrt(len(used)))
+    kept, reach = {}, 1
+    for k, (length, copies) in enumerate(used):
+        if k % stride == 0:
+            kept[k] = reach
+        reach = _added(reach, length, copies, mask)
     left, out = reach.bit_length() - 1, {}
-    for below, (length, copies) in zip(reversed(layers), reversed(used), strict=True):
-        m = min(copies, left // length)
-        while not below >> (left - m * length) & 1:
-            m -= 1
-        if m:
-            out[length] = m
-            left -= m * length
+    for first in range((len(used) - 1) // stride * stride, -1, -stride) if used else ():
+        part = used[first : first + stride]
+        layers = [kept[first]]
+        for length, copies in part[:-1]:
+            layers.append(_added(layers[-1], length, copies, mask))
+        for below, (length, copies) in zip(reversed(layers), reversed(part), strict=True):
+            m = min(copies, left // length)
+            while not below >> (left - m * length) & 1:
+                m -= 1
+            if m:
+                out[length] = m
+                left -= m * length
     return out
 
 
@@ -166,8 +180,9 @@ def pack(sequences: DataFrame, runs: DataFrame, rows_per_salt: int = ROWS_PER_SA
 
 
 def cut_sequences(placed: DataFrame) -> DataFrame:
-    """``(run, sent_id)`` of the sentences that had to be cut."""
-    return placed.where("n_pieces > 1 and piece = 0").select("run", "sent_id")
+    """``(run, sent_id)`` of the sentences that had to be cut and all of whose pieces have their place in a bin."""
+    pieces = placed.where("n_pieces > 1").groupBy("run", "sent_id", "n_pieces").agg(F.count("bin").alias("n_placed"))
+    return pieces.where("n_placed = n_pieces").select("run", "sent_id")
 
 
 def batches(placed: DataFrame) -> DataFrame:
@@ -180,6 +195,16 @@ def batches(placed: DataFrame) -> DataFrame:
     )
 
 
+def totals(placed: DataFrame) -> DataFrame:
+    """By run: sentences, pieces and tokens placed, bins over their capacity and bins in use."""
+    bins = placed.groupBy("run", "capacity", "bin").agg(F.sum("len").alias("used"), F.count("*").alias("n"))
+    per = bins.groupBy("run", "capacity").agg(
+        F.sum("n").alias("n_pieces"), F.sum("used").alias("tokens"), F.sum((F.col("used") > F.col("capacity")).cast("bigint")).alias("overfull"), F.count("*").alias("n_bins")
+    )
+    sentences = placed.where("piece = 0").groupBy("run").agg(F.count("*").alias("n_sentences"))
+    return per.join(sentences, "run").select("run", "capacity", "n_sentences", "n_pieces", "tokens", "overfull", "n_bins")
+
+
 def lower_bound(capacity: int, counts: dict[int, int]) -> int:
     """No packing needs fewer bins: for every size k, items over capacity - k stand alone, those over half the
     capacity have a bin each, and the others of at least k fill what room is left (the L2 bound)."""

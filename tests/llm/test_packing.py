@@ -19,6 +19,21 @@ def test_fullest_equals_brute_force(seed):
         assert all(v <= counts[k] for k, v in got.items())
 
 
+def test_many_lengths_and_few_kept_layers():
+    rng = random.Random(9)
+    lengths = sorted(rng.sample(range(40, 2000), 120))
+    counts = {n: rng.randrange(1, 3) for n in lengths}
+    for room in (39, 1999, 30_000, sum(n * c for n, c in counts.items())):
+        got = packing.fullest(room, lengths, counts)
+        total = sum(n * c for n, c in got.items())
+        reach = 1
+        for n, c in counts.items():
+            for _ in range(c):
+                reach |= reach << n
+        assert total == max(x for x in (*range(max(0, room - 2000), room + 1), 0) if x <= room and reach >> x & 1)
+        assert all(c <= counts[n] for n, c in got.items())
+
+
 def test_bins_use_every_item_once():
     rng = random.Random(1)
     counts = {k: rng.randrange(1, 200) for k in range(1, 65)}
@@ -60,6 +75,8 @@ def test_pack(spark):
     for r in cap:
         assert {b for x, b in bins if x == r} == set(range(sum(x == r for x, _ in bins)))
     df = packing.pack(seqs, runs)
+    t = {r.run: r for r in packing.totals(df).collect()}
+    assert all(t[r].overfull == 0 and t[r].n_bins == len({b for x, b in bins if x == r}) and t[r].tokens == sum(v for (x, _), v in bins.items() if x == r) for r in cap)
     assert {tuple(x) for x in packing.cut_sequences(df).collect()} == {k for k, v in whole.items() if len(v) > 1}
     assert packing.pack(seqs.limit(0), runs).count() == 0
     assert packing.pack(seqs, runs.limit(0)).count() == 0
