@@ -2,7 +2,7 @@
 
 A batch of strings is copied to one numpy array of code points. Lookup-table gathers and expansion offsets
 take apart canonical and look-neutral compatibility forms, drop signs without a look, turn every blank
-into a space and every look-alike letter into its Latin twin; combining marks are put in canonical order and
+into a space and every look-alike letter into the one that stands for its class; combining marks are put in canonical order and
 composed in vector passes; blanks at the ends of rows are cut. No string call per row.
 
 Kept apart on purpose: letter case, visible accents, raised and lowered signs, circled and squared signs,
@@ -12,28 +12,30 @@ fractions, and letters that are merely similar (0 and O, 1 and l, rn and m).
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborloom.session import ship_code, written
 
-#: Letters of other scripts that print as a Latin letter. Cyrillic, Greek, Armenian, Cherokee, IPA.
-LOOK_ALIKES = {
-    "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s",
-    "ԝ": "w", "х": "x", "у": "y", "А": "A", "В": "B", "С": "C", "Е": "E", "Ԍ": "G", "Н": "H", "І": "I", "Ј": "J", "К": "K",
-    "М": "M", "О": "O", "Р": "P", "Ԛ": "Q", "Ѕ": "S", "Т": "T", "Ԝ": "W", "Х": "X", "Ү": "Y", "Ӏ": "I",
-    "ο": "o", "ν": "v", "ϳ": "j", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Ϳ": "J", "Κ": "K", "Μ": "M",
-    "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "օ": "o", "ս": "u", "Օ": "O",
-    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T",
-    "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
-    "ɡ": "g",
+#: Classes of letters and signs that print alike, under one that stands for them. Cyrillic, Greek, Armenian, Cherokee, Coptic, Lisu, IPA.
+CLASSES = {
+    "A": "АΑᎪꓮ", "B": "ВΒᏴꓐⲂ", "C": "СᏟᏣꓚⲤ", "D": "Ꭰꓓ", "E": "ЕΕᎬꓰ", "F": "ꓝ", "G": "ԌᏀꓖ", "H": "НΗᎻꓧⲎ", "I": "ІӀΙꓲⲒ", "J": "ЈͿᎫꓙ",
+    "K": "КΚᏦꓗⲔ", "L": "Ꮮꓡ", "M": "МΜᎷꓟⲘ", "N": "ΝꓠⲚ", "O": "ОΟՕꓳⲞ", "P": "РΡᏢꓑⲢ", "Q": "Ԛ", "R": "Ꭱꓣ", "S": "ЅᏚꓢ", "T": "ТΤᎢꓔⲦ",
+    "U": "ꓴ", "V": "Ꮩꓦ", "W": "ԜᎳꓪ", "X": "ХΧꓫⲬ", "Y": "ҮΥꓬⲨ", "Z": "ΖᏃꓜ",
+    "a": "а", "c": "сⲥ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һհ", "i": "і", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօⲟ", "p": "рρⲣ", "q": "ԛ",
+    "s": "ѕ", "u": "սυ", "v": "ν", "w": "ԝ", "x": "х", "y": "у",
+    "Γ": "ГⲄ", "Λ": "Ⲗ", "Π": "ПⲠ", "Φ": "ФⲪ", "Θ": "Ѳ", "Ψ": "Ѱ", "κ": "кⲕᴋ", "ψ": "ѱ", "ω": "ѡⲱ", "α": "ɑ", "ε": "ɛ", "ı": "ι",
+    "в": "ʙ", "г": "ᴦ", "м": "ᴍ", "н": "ʜ", "п": "ᴨ", "т": "ᴛ",
+    "Æ": "Ӕ", "æ": "ӕ", "Ə": "Ә", "ə": "ә", "Ɵ": "Ө", "ɵ": "ө", "Ʒ": "Ӡ", "ʒ": "ӡ", "Đ": "ÐƉ", "-": "‐", "’": "ʼ",
 }
+LOOK_ALIKES = {c: stands for stands, cs in CLASSES.items() for c in cs}
 
 #: Compatibility forms whose look is that of what they stand for, leaving aside width and typeface.
 SAME_LOOK = {"<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>", "<small>", "<initial>", "<medial>", "<final>", "<isolated>"}
@@ -46,6 +48,8 @@ UNSEEN = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F,
 BLANKS = {0x9, 0xA, 0xB, 0xC, 0xD, 0x85, 0x2028, 0x2029, 0x2800}
 _RANGES = ((0, 0x20000), (0x2F800, 0x2FA20), (0xE0000, 0xE0200))
 _DEEP = 64
+#: Bytes of text that one step of the kernel handles; it needs some tens of bytes for each.
+STEP = 4_000_000
 
 
 def look(ch: str) -> str:
@@ -251,15 +255,26 @@ def canonical_points(points: np.ndarray, starts: np.ndarray, trim: bool = True)
     return _trim(points, starts) if trim else (points, starts)
 
 
+def _steps(strings: pa.Array) -> Iterator[pa.Array]:
+    """Slices of about STEP bytes; a longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(strings), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    before, a = np.append(0, np.cumsum(sizes)), 0
+    while a < len(strings):
+        b = max(a + 1, int(np.searchsorted(before, before[a] + STEP, side="right")) - 1)
+        yield strings.slice(a, b - a)
+        a = b
+
+
 def canonical_array(strings: pa.Array) -> pa.Array:
     """Canonical forms of an Arrow string array; null stays null."""
     if isinstance(strings, pa.ChunkedArray):
         strings = strings.combine_chunks()
-    if len(strings) == 0:
-        return pa.array([], pa.string())
-    points, starts = code_points(strings)
-    valid = None if strings.null_count == 0 else strings.is_valid().to_numpy(zero_copy_only=False)
-    return strings_of(*canonical_points(points, starts), valid).cast(pa.string())
+    out = []
+    for part in _steps(strings):
+        points, starts = code_points(part)
+        valid = None if part.null_count == 0 else part.is_valid().to_numpy(zero_copy_only=False)
+        out.append(strings_of(*canonical_points(points, starts), valid).cast(pa.string()))
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
 
 def with_canonical(df: DataFrame, column: str, out: str) -> DataFrame:

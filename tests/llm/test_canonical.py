@@ -31,7 +31,9 @@ def test_form_of_a_form_is_itself(text):
         ("ｗｏｒｄ", "word", True), ("wo​rd", "word", True), ("café", "café", True), ("сrеtіn", "cretin", True),
         (" word　", "word", True), ("a b", "a b", True), ("ﬁn", "fin", True), ("𝖺𝖻", "ab", True), ("K", "K", True),
         ("각", "각", True), ("cafe", "café", False), ("Word", "word", False), ("m²", "m2", False), ("h₂", "h2", False),
-        ("a b", "ab", False), ("O", "0", False), ("l", "1", False),
+        ("a b", "ab", False), ("O", "0", False), ("l", "1", False), ("Γ", "Г", True), ("Π", "П", True), ("Φ", "Ф", True), ("κ", "к", True), ("ρ", "p", True),
+        ("υ", "u", True), ("հ", "h", True), ("ո", "n", True), ("ꓐꓮꓠ", "BAN", True), ("ⲟⲣ", "op", True), ("co‐op", "co-op", True), ("Ꭰ", "D", True), ("Ꮐ", "G", True),
+        ("Γ", "Τ", False), ("π", "п", False), ("co–op", "co-op", False), ("ά", "α", False),
     ],
 )
 def test_looks(a, b, same):
@@ -47,6 +49,17 @@ def test_marks_without_end_and_slices():
     assert c.canonical_array(pa.array([long])).to_pylist() == ["é" * 200_000]
 
 
+def test_classes_stand_for_themselves():
+    assert not set(c.LOOK_ALIKES) & set(c.CLASSES) and all(len(x) == 1 for x in [*c.LOOK_ALIKES, *c.CLASSES])
+
+
+def test_steps_do_not_change_the_result(monkeypatch):
+    texts = pa.array(["ｗ" * 9, None, "", "é", " е​ "] * 20)
+    want = c.canonical_array(texts).to_pylist()
+    monkeypatch.setattr(c, "STEP", 10)
+    assert c.canonical_array(texts).to_pylist() == want
+
+
 def test_pairs_and_classes(spark):
     rows = [(1, "café"), (2, "café"), (2, "café"), (3, "cafe"), (4, None), (5, ""), (6, "ｃａｆｅ"), (None, "cafe"), (7, "cafe")]
     words = spark.createDataFrame(rows, "id int, word string").selectExpr("*", "1 as canonical", "2 as n")
