@@ -27,8 +27,8 @@ BITS = 20
 FACTORS = 4
 #: Judged documents the model is fitted to at most, chosen by a hash of the id.
 FIT_DOCUMENTS = 10_000
-#: A term is used if so many of the documents fitted to have it: LEAST_DOCUMENTS, and one more for every 1,000 up to MORE_DOCUMENTS.
-LEAST_DOCUMENTS, MORE_DOCUMENTS = 2, 4
+#: A term is used if so many of the documents fitted to have it, whatever their number.
+LEAST_DOCUMENTS = 3
 EPOCHS, WARM = 24, 6
 #: Added to every score: the bounded loss and the smoothed targets hold scores low, held-out judgements are right from -0.5 on.
 LIFT = 0.5
@@ -51,6 +51,16 @@ LAYOUTS = {
 }
 
 
+def steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of slices of about STEP bytes; a longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    before, a = np.append(0, np.cumsum(sizes)), 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(before, before[a] + STEP, side="right")) - 1)
+        yield a, b
+        a = b
+
+
 def plain(texts: pa.Array, layouts: pa.Array) -> pa.Array:
     """Texts without the markup of their layout; null texts become empty."""
     out = pc.fill_null(texts, "")
@@ -189,18 +199,21 @@ class Machine:
         return used[head], self.bias + np.add.reduceat(self.weight[f], head) + 0.5 * ((s * s).sum(axis=1) - q)
 
 
-def fit(bucket: np.ndarray, passage: np.ndarray, doc: np.ndarray, target: np.ndarray, epochs: int = EPOCHS, seed: int = 3) -> Machine:
-    """Learn from documents ``doc`` with targets between 0 and 1; features are in order of document and passage."""
+def fit(bucket: np.ndarray, passage: np.ndarray, doc: np.ndarray, target: np.ndarray, epochs: int = EPOCHS, seed: int = 3, interactions: bool = True) -> Machine:
+    """Learn from documents ``doc`` with targets between 0 and 1; features are in order of document and passage.
+
+    Without ``interactions`` the factors stay 0: a linear model, for comparison.
+    """
     n = len(target)
     pairs = np.unique(doc.astype(np.int64) << BITS | bucket)
     b, d = pairs & ((1 << BITS) - 1), pairs >> BITS
     seen = np.bincount(b, minlength=1 << BITS)
-    use = np.flatnonzero(seen >= LEAST_DOCUMENTS + min(MORE_DOCUMENTS, n // 1000))
+    use = np.flatnonzero(seen >= LEAST_DOCUMENTS)
     place = np.zeros(1 << BITS, np.int64)
     place[use] = np.arange(1, len(use) + 1)
     size = len(use) + 1
     rng = np.random.default_rng(seed)
-    weight, factor = np.zeros(size), rng.normal(scale=0.02, size=(size, FACTORS))
+    weight, factor = np.zeros(size), rng.normal(scale=0.02 * interactions, size=(size, FACTORS))
     factor[0] = 0
     # Start: shrunken log odds of a term's documents, so that the passages that decide are found at once.
     hit = np.bincount(place[b], weights=target[d], minlength=size)
@@ -244,7 +257,7 @@ def fit(bucket: np.ndarray, passage: np.ndarray, doc: np.ndarray, target: np.nda
         acc_w += gw * gw
         weight -= rate_now * gw / np.sqrt(acc_w)
         gv = np.repeat(s[chosen], span, axis=0) - factor[ff]
-        for k in range(FACTORS):
+        for k in range(FACTORS if interactions else 0):
             gk = np.bincount(ff, weights=gg * gv[:, k], minlength=size) + SHRINK * factor[:, k]
             acc_v[:, k] += gk * gk
             factor[:, k] -= 0.5 * rate_now * gk / np.sqrt(acc_v[:, k])
@@ -270,10 +283,12 @@ def fitted(documents: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bucket, passage, row = features(batch.column("text"), batch.column("fmt"))
-            bounds = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.astype(np.int32))) for x in (bucket, passage)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("target"), *lists], names=["doc_id", "target", "bucket", "passage"])
+            for a, b in steps(batch.column("text")):
+                part = batch.slice(a, b - a)
+                bucket, passage, row = features(part.column("text"), part.column("fmt"))
+                bounds = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.astype(np.int32))) for x in (bucket, passage)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("target"), *lists], names=["doc_id", "target", "bucket", "passage"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).sort_by("doc_id") if (batches := list(batches)) else None
@@ -313,15 +328,11 @@ def scored(documents: DataFrame, machine: Machine) -> DataFrame:
         for batch in batches:
             n = batch.num_rows
             best, count = np.full(n, -30.0), np.zeros(n, np.int64)
-            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            before, a = np.append(0, np.cumsum(sizes)), 0
-            while a < n:
-                b = max(a + 1, int(np.searchsorted(before, before[a] + STEP, side="right")) - 1)
+            for a, b in steps(batch.column("text")):
                 bucket, passage, row = features(batch.column("text").slice(a, b - a), batch.column("fmt").slice(a, b - a))
                 at, z = m.scores(bucket, passage)
                 np.maximum.at(best, row[at] + a, z)
                 count += np.bincount(row[at[z > 0]] + a, minlength=n)
-                a = b
             p = np.where(best > -30, 1 / (1 + np.exp(-np.clip(best, -30, 30))), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(p), pa.array(count)], names=["doc_id", "source", "score", "passages"])
 

@@ -43,6 +43,38 @@ def test_interactions_are_learnt_on_held_out_documents(spark):
     assert {r.source: r.n_docs for r in tx.rates(tx.scored(held, machine)).collect()} == {"s": 300, None: 300}
 
 
+def test_interactions_find_what_a_linear_model_misses():
+    """Insults with an aim are bad, insults alone and aims alone are not, and passages are long: weights alone cannot tell."""
+    rng = random.Random(8)
+
+    def made(n):
+        texts, bad = [], []
+        for _ in range(n):
+            kind = rng.randrange(4)
+            words = [rng.choice(SAFE) for _ in range(6)]
+            if kind & 1:
+                words[1] = rng.choice(INSULTS)
+            if kind & 2:
+                words[4] = rng.choice(AIMS)
+            texts.append(" ".join(words))
+            bad.append(kind == 3)
+        return texts, np.array(bad)
+
+    texts, bad = made(3000)
+    b, p, r = tx.features(pa.array(texts), pa.nulls(len(texts), pa.string()))
+    held, want = made(1000)
+    hb, hp, hr = tx.features(pa.array(held), pa.nulls(len(held), pa.string()))
+    right = {}
+    for how in (True, False):
+        m = tx.fit(b, p, r, bad.astype(float), interactions=how)
+        at, z = m.scores(hb, hp)
+        best = np.full(len(held), -30.0)
+        np.maximum.at(best, hr[at], z)
+        # The best threshold for each, so that only the order of the scores counts.
+        right[how] = max(((best > c) == want).mean() for c in np.unique(best))
+    assert right[True] > 0.97 and right[True] >= right[False]
+
+
 def test_edges(spark):
     rows = [(1, None, None, None), (2, "", "s", "prose"), (3, " \n\t ", "s", None), (4, "word. " * 50_000, "s", "lines"), (None, "x", "s", "prose"), (4, "word", "s", "prose")]
     docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as score", "2 as target")
