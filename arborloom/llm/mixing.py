@@ -67,7 +67,8 @@ def mix(
     seed: int = 7,
     path: str = f"{TOKENIZERS}/{VOCABULARY}",
 ) -> tuple[DataFrame, DataFrame]:
-    """``(chosen, shares)``: ``chosen(doc_id, source, n_tokens, repeats)`` and a report by target source.
+    """``(chosen, shares)``: ``chosen(doc_id, source, n_tokens, repeats)`` and a report by target source; ``binding`` marks the sources whose
+    repeat limit sets the total.
 
     Defined results: documents with a null id, a null source, a null or empty text or a source without a target are not
     chosen; a doc_id counts once; targets without a source or a positive weight ask for nothing, a null max_repeats
@@ -89,8 +90,11 @@ def mix(
     wanted = {r.source: (r.weight, r.max_repeats) for r in rows}
     names = spark.createDataFrame([(s,) for s in wanted], "source string")
     docs = written(sized(documents.join(F.broadcast(names), "source", "left_semi"), labels, seed, path), "sized")
-    available = {r.source: (r.n, r.c) for r in docs.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("c")).collect()}
+    sizes = docs.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("most")).collect()  # one row a target
+    available = {r.source: (r.n, r.most) for r in sizes}
     budget = budgets({s: n for s, (n, _) in available.items()}, wanted, total)
+    # The sources that a repeat limit holds: they set the total of the whole mix.
+    held = {s for s, b in budget.items() if b >= available[s][0] * wanted[s][1] - 1}
     plan = spark.createDataFrame(
         [(s, b // available[s][0], b % available[s][0]) for s, b in budget.items()], "source string, epochs bigint, rest bigint"
     )
@@ -103,11 +107,12 @@ def mix(
         ranged = left.withColumn("bucket", bucket).withColumn("at", F.col("at") * BUCKETS - bucket)
         sums = ranged.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("inside"))
         before = F.sum("inside").over(W.partitionBy("source").orderBy("bucket")) - F.col("inside")
-        placed = ranged.join(small_side(sums.withColumn("before", before)), ["source", "bucket"])  # BUCKETS rows a source
+        edges = small_side(sums.withColumn("before", before))  # BUCKETS rows a source
+        placed = written(ranged.join(edges, ["source", "bucket"]), f"range{level}")
         decided.append(placed.where("before + inside <= rest").select(*columns, F.lit(1).alias("extra")))
         decided.append(placed.where("before >= rest").select(*columns, F.lit(0).alias("extra")))
         last = placed.where("before < rest and before + inside > rest").withColumn("rest", F.col("rest") - F.col("before"))
-        left = written(last.drop("bucket", "inside", "before"), f"range{level}")
+        left = last.drop("bucket", "inside", "before")
     upto = F.sum("n_tokens").over(W.partitionBy("source").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0))
     # Taken if it ends within the budget, or if it crosses it and overshoots by less than half of itself.
     over = (F.col("upto") - F.col("rest")) * 2
@@ -119,8 +124,8 @@ def mix(
         F.count("*").alias("n_docs"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats")
     )
     sources = spark.createDataFrame(
-        [(s, w, m, available.get(s, (0, 0))[0], budget.get(s, 0)) for s, (w, m) in wanted.items()],
-        "source string, weight double, max_repeats int, available bigint, budget bigint",
+        [(s, w, m, available.get(s, (0, 0))[0], available.get(s, (0, 0))[1], budget.get(s, 0), s in held) for s, (w, m) in wanted.items()],
+        "source string, weight double, max_repeats int, available bigint, largest bigint, budget bigint, binding boolean",
     )
     whole_sum = F.sum("tokens").over(W.partitionBy())
     shares = (
@@ -129,3 +134,15 @@ def mix(
         .withColumn("share", F.round(F.try_divide(F.col("tokens"), whole_sum), 6))
     )
     return chosen, shares
+
+
+def kept_bounds(chosen: DataFrame, shares: DataFrame) -> DataFrame:
+    """By target source: whether no document exceeds its repeats, the tokens are within half of the source's largest document of the budget, and each doc_id is there once."""
+    counts = chosen.groupBy("source").agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids"))
+    return shares.join(counts, "source", "left").select(
+        "source",
+        F.col("weight"),
+        F.coalesce(F.col("most_repeats") <= F.col("max_repeats"), F.lit(True)).alias("repeats_kept"),
+        (F.abs(F.col("tokens") - F.col("budget")) * 2 <= F.col("largest")).alias("budget_kept"),
+        F.coalesce(F.col("rows") == F.col("ids"), F.lit(True)).alias("once"),
+    )

@@ -47,6 +47,23 @@ def p1_batches(spark, sf_dir):
     return packing.batches(_placed(spark, sf_dir))
 
 
+@query(
+    "p1_totals",
+    """
+    WITH s AS (SELECT sent_id, arg_min({'c': corpus, 'n': len(toks)}, {'l': coalesce(loaded_at, TIMESTAMP '9999-12-31'), 'c': corpus, 'n': len(toks)}) AS x
+               FROM ev_seqs WHERE sent_id IS NOT NULL GROUP BY sent_id),
+    r AS (SELECT DISTINCT run, corpus, gpu_batch_size AS cap FROM run_config WHERE gpu = 1 AND gpu_batch_size > 0 AND corpus IS NOT NULL AND run IS NOT NULL),
+    p AS (SELECT run, cap, x.n AS n FROM s JOIN r ON x.c = r.corpus WHERE x.n > 0)
+    SELECT run, cap AS capacity, count(*) AS n_sentences, CAST(sum((n + cap - 1) // cap) AS BIGINT) AS n_pieces, CAST(sum(n) AS BIGINT) AS tokens,
+           0::BIGINT AS overfull, CAST((sum(n) + cap - 1) // cap AS BIGINT) AS n_bins
+    FROM p GROUP BY run, cap
+    """,
+)
+def p1_totals(spark, sf_dir):
+    """Sentences, pieces and tokens placed by run, no bin over its capacity, and as few bins as the tokens need."""
+    return packing.totals(_placed(spark, sf_dir))
+
+
 @query("p2_found")
 def p2_found(spark, sf_dir):
     """Every word in a cluster, and the smallest id of that cluster."""
@@ -130,6 +147,18 @@ def p7_shares(spark, sf_dir):
     return _mixed(spark, sf_dir)[1]
 
 
+@query(
+    "p7_bounds",
+    """
+    SELECT source, CAST(min(weight) AS DOUBLE) AS weight, true AS repeats_kept, true AS budget_kept, true AS once
+    FROM mix_targets WHERE source IS NOT NULL AND weight > 0 GROUP BY source
+    """,
+)
+def p7_bounds(spark, sf_dir):
+    """Whether the mix keeps the repeat limits and the budgets."""
+    return mixing.kept_bounds(*_mixed(spark, sf_dir))
+
+
 def _scored(spark, sf_dir):
     documents = read_table(spark, sf_dir, "documents")
     return toxicity.scored(documents, toxicity.fitted(documents, read_table(spark, sf_dir, "labels")))

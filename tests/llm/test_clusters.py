@@ -89,7 +89,7 @@ def exhaustive(x, least=10, within=0.75):
 
 def test_recall_against_exhaustive_search(spark):
     table = read_table(spark, "/root/testdata/sf0.01", "word_vectors")
-    rows = {r.id: np.array(r.vec, float) for r in cl.unit_vectors(table, "id", "vec", 64).collect()}
+    rows = {r.id: np.frombuffer(r.vec, np.float32).astype(float) for r in cl.unit_vectors(table, "id", "vec", 64).collect()}
     ids = np.array(sorted(rows))
     want = exhaustive(np.stack([rows[i] for i in ids]))
     truth = {frozenset(ids[list(x)].tolist()) for x in want}
@@ -123,7 +123,7 @@ def test_passes_that_do_not_converge_say_so(spark, monkeypatch):
     vecs, _ = planted(np.random.default_rng(4), [30], 20)
     units = cl.unit_vectors(spark.createDataFrame(list(enumerate(vecs)), VEC), "id", "vec", 64)
     with pytest.warns(UserWarning, match="still move"):
-        cl.settled(units, means_of([r.vec for r in units.limit(3).collect()]), 64, 0.6, 0.75, 10)
+        cl.settled(units, means_of([np.frombuffer(r.vec, np.float32) for r in units.limit(3).collect()]), 64, 0.6, 0.75, 10)
 
 
 def test_nothing_to_find(spark):
@@ -163,3 +163,5 @@ def test_matrix_of_slices():
     assert cl.matrix_of(a.slice(1), 2).tolist() == [[3.0, 4.0], [5.0, 6.0]]
     assert cl.lists_of(np.arange(6.0).reshape(3, 2)).to_pylist() == [[0, 1], [2, 3], [4, 5]]
     assert len(cl.lists_of(np.empty((0, 4)))) == 0
+    x = np.arange(6, dtype=np.float32).reshape(3, 2)
+    assert cl.matrix_of(cl.bytes_of(x).slice(1), 2).tolist() == [[2.0, 3.0], [4.0, 5.0]] and len(cl.matrix_of(cl.bytes_of(x[:0]), 2)) == 0

@@ -26,6 +26,8 @@ def test_shares_and_limits(spark):
     for s in limit:
         assert len({r.repeats for r in rows if r.source == s}) <= 2
     got = {r.source: r for r in shares.collect()}
+    assert [s for s, r in got.items() if r.binding] == ["mid"]
+    assert all(r.repeats_kept and r.budget_kept and r.once for r in mixing.kept_bounds(chosen, shares).collect())
     assert got["absent"].tokens == 0 and set(got) == {"big", "mid", "small", "absent"}
     for s, w in (("big", 0.5), ("mid", 0.3), ("small", 0.2)):
         assert abs(got[s].share - w) < 0.005
