@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,15 +59,47 @@ def bracket_tag(tag: Column) -> Column:
     return tag.rlike("^-?[LR](R|S|C)B-?$")
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Natural log of the gamma function over a whole array: Stirling's series from 8 on, the recurrence below; NaN for 0 and less."""
+    x = np.asarray(x, float)
+    with np.errstate(all="ignore"):
+        y = np.where(x > 0, x, np.nan)
+        shift = np.zeros_like(y)
+        for _ in range(8):
+            low = y < 8
+            shift = np.where(low, shift + np.log(np.where(low, y, 1.0)), shift)
+            y = np.where(low, y + 1, y)
+        z = 1 / (y * y)
+        series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z * (1 / 1188 - z * 691 / 360360))))) / y
+        return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - shift
+
+
 def lgamma(x: Column) -> Column:
-    """Natural log of the gamma function (F05); SQL has none, so Arrow batches go through the C library's."""
+    """Natural log of the gamma function (F05), null for null and for 0 and less; SQL has none, so Arrow batches go through ``log_gamma``."""
 
     def f(a: pa.Array) -> pa.Array:
-        return pa.array([None if v is None or v <= 0 else math.lgamma(v) for v in a.to_pylist()], pa.float64())
+        return pa.array(log_gamma(a.to_numpy(zero_copy_only=False)), from_pandas=True)
 
     return F.arrow_udf(f, "double")(x.cast("double"))
 
 
+def normalised_from_log(logs: Column) -> Column:
+    """an array of log10 values as probabilities that sum to 1; null entries are 0."""
+    raised = F.transform(logs, lambda v: F.coalesce(F.pow(F.lit(10.0), v - F.array_max(logs)), F.lit(0.0)))
+    total = F.aggregate(raised, F.lit(0.0), lambda a, v: a + v)
+    return F.transform(raised, lambda v: v / total)
+
+
+def as_log(p: Column) -> Column:
+    """log10, null for 0."""
+    return F.when(p > 0, F.log10(p))
+
+
+def from_log(x: Column) -> Column:
+    """The reverse."""
+    return F.when(x.isNull(), F.lit(0.0)).otherwise(F.pow(F.lit(10.0), x))
+
+
 def normal_log_density(x: Column, mean: Column, sd: Column) -> Column:
     """Natural log of the normal density."""
     z = (x - mean) / sd
@@ -84,10 +118,15 @@ def annealing(iteration: Column, length: int, initial: float, final: float, phas
 
 
 def dirichlet_constant(counts: Column, alpha: float) -> Column:
-    """sum of ln gamma(c + alpha) less ln gamma of the sum, of an array of counts."""
+    """sum of ln gamma(c + alpha) less ln gamma of the sum, of an array of counts; null for a null array, 0 for an empty one."""
 
     def f(arrays: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else sum(math.lgamma(c + alpha) for c in x) - math.lgamma(sum(x) + alpha * len(x)) for x in arrays.to_pylist()], pa.float64())
+        flat = arrays.flatten().to_numpy(zero_copy_only=False) + alpha
+        row = pc.list_parent_indices(arrays).to_numpy(zero_copy_only=False)
+        logs = np.bincount(row, weights=log_gamma(flat), minlength=len(arrays))
+        total = np.bincount(row, weights=flat, minlength=len(arrays))
+        out = np.where(total > 0, logs - log_gamma(np.where(total > 0, total, 1.0)), 0.0)
+        return pa.array(out, mask=arrays.is_null().to_numpy(zero_copy_only=False))
 
     return F.arrow_udf(f, "double")(counts.cast("array<double>"))
 
@@ -97,3 +136,37 @@ def tempered(p: Column, temperature: float) -> Column:
     raised = F.transform(p, lambda x: F.pow(x, F.lit(1.0 / temperature)))
     total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
     return F.transform(raised, lambda x: x / total)
+
+
+def uniforms(keys: np.ndarray, stream: int) -> np.ndarray:
+    """Numbers in (0, 1) from 64-bit keys, one each, the same for the same key and stream: counter-based, so no generator is made for a row."""
+    with np.errstate(over="ignore"):
+        x = keys.astype(np.uint64) + np.uint64((stream + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return ((x >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+
+
+def normals(keys: np.ndarray, stream: int) -> np.ndarray:
+    """Standard normal numbers from keys (Box and Muller)."""
+    return np.sqrt(-2 * np.log(uniforms(keys, 2 * stream))) * np.cos(2 * math.pi * uniforms(keys, 2 * stream + 1))
+
+
+def gammas(keys: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """Gamma numbers of scale 1 from keys, whole arrays at a time (Marsaglia and Tsang's rejection; shapes below 1 are raised by 1 and scaled back)."""
+    shape = np.asarray(shape, float)
+    small = shape < 1
+    d = np.where(small, shape + 1, shape) - 1 / 3
+    c = 1 / np.sqrt(9 * d)
+    out, left, turn = np.empty(len(shape)), np.arange(len(shape)), 1
+    while len(left):
+        x = normals(keys[left], 3 * turn)
+        v = (1 + c[left] * x) ** 3
+        u = uniforms(keys[left], 6 * turn + 5)
+        with np.errstate(all="ignore"):
+            ok = (v > 0) & (np.log(u) < 0.5 * x * x + d[left] * (1 - v + np.log(v)))
+        out[left[ok]] = d[left[ok]] * v[ok]
+        left, turn = left[~ok], turn + 1
+    with np.errstate(all="ignore"):
+        return np.where(small, out * uniforms(keys, 0) ** (1 / shape), out)

@@ -1,15 +1,17 @@
 """Rows that fail to parse: delimited records split into valid typed rows and rejected ones with a reason.
 
-Records of files are assembled quote-aware (``sources/formats.py``), a row of a table is one record. Every record with a
-double quote goes through Python's strict ``csv`` reader, any other is split at the delimiters, inside one pass over each partition (``mapInArrow``), and structural exceptions are caught before the typed field constructors run.
-No shuffle; one narrow pass over the input.
+Lines are assembled to records quote-aware, every record goes through Python's strict ``csv`` reader inside one pass over each partition
+(``mapInArrow``), and structural exceptions are caught before the typed field constructors run. A row of a table is one record, line breaks
+within it included; in files (``sources/formats.py``) a quoted field may go on over lines, and a quote that is never closed costs only its own
+line. No shuffle; one narrow pass over the input.
 """
 
 from __future__ import annotations
 
 import csv
 import re
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,31 +35,55 @@ class Rejected(ValueError):
     """A record that does not parse; the message is the reason."""
 
 
-def split_record(raw: str, delimiter: str = "\t") -> list[str]:
-    """The fields of one record; raises ``Rejected(quoting)``.
+class Reader:
+    """The strict csv reader, one for many records: ``split`` gives the fields of one record or raises ``Rejected(quoting)``.
 
     A quoted field must be closed and followed by the delimiter or the end; an unquoted field must not
-    contain a double quote (the csv reader would take that one as text).
+    contain a double quote (the csv reader takes that one as text, so it is looked for beside it).
     """
-    if '"' not in raw:
-        return raw.split(delimiter)
-    cr, lf = [c for c in _MARKS if c not in raw][:2]
-    line = raw.replace("\r", cr).replace("\n", lf)
-    try:
-        rows = list(csv.reader([line], delimiter=delimiter, quotechar='"', doublequote=True, strict=True))
-    except csv.Error as e:
-        raise Rejected(QUOTING) from e
-    fields = rows[0] if rows else [""]
-    # Which fields were quoted is not told by the reader: walk over the record, which is well-formed now.
-    at = 0
-    for field in fields:
-        if line[at : at + 1] == '"':
-            at += len(field) + field.count('"') + 2 + len(delimiter)
-        elif '"' in field:
-            raise Rejected(QUOTING)
-        else:
-            at += len(field) + len(delimiter)
-    return [x.replace(cr, "\r").replace(lf, "\n") for x in fields]
+
+    def __init__(self, delimiter: str = "\t"):
+        csv.field_size_limit(2**31 - 1)
+        self.delimiter, self.line = delimiter, None
+        self.rows = csv.reader(self, delimiter=delimiter, quotechar='"', doublequote=True, strict=True)
+
+    def __iter__(self):
+        return self
+
+    def __next__(self) -> str:
+        line, self.line = self.line, None
+        if line is None:
+            raise StopIteration
+        return line
+
+    def split(self, raw: str) -> list[str]:
+        breaks = "\n" in raw or "\r" in raw
+        if breaks:
+            cr, lf = [c for c in _MARKS if c not in raw][:2]
+            raw = raw.replace("\r", cr).replace("\n", lf)
+        self.line = raw
+        try:
+            fields = next(self.rows)
+        except csv.Error as e:
+            raise Rejected(QUOTING) from e
+        if not fields:
+            return [""]
+        if '"' in raw:
+            # Which fields were quoted is not told by the reader: walk over the record, which is well-formed now.
+            at = 0
+            for field in fields:
+                if raw[at : at + 1] == '"':
+                    at += len(field) + field.count('"') + 2 + len(self.delimiter)
+                elif '"' in field:
+                    raise Rejected(QUOTING)
+                else:
+                    at += len(field) + len(self.delimiter)
+        return [x.replace(cr, "\r").replace(lf, "\n") for x in fields] if breaks else fields
+
+
+def split_record(raw: str, delimiter: str = "\t") -> list[str]:
+    """The fields of one record; raises ``Rejected(quoting)``."""
+    return Reader(delimiter).split(raw)
 
 
 def token_row(fields: list[str], tags: frozenset[str]) -> tuple[int, str, str, str, str, str, int]:
@@ -76,8 +102,8 @@ def token_row(fields: list[str], tags: frozenset[str]) -> tuple[int, str, str, s
     return int(tok_id), form, lemma, tag, feature, relation, int(head)
 
 
-def parse_line(raw: str | None, tags: frozenset[str]) -> tuple[str, str | None, tuple | None]:
-    """``(kind, reason, token)`` of a line; kind is blank, comment, bad or token."""
+def parse_line(raw: str | None, tags: frozenset[str], reader: Reader | None = None) -> tuple[str, str | None, tuple | None]:
+    """``(kind, reason, token)`` of a record; kind is blank, comment, bad or token."""
     if raw is None:
         return "bad", COLUMNS, None
     if raw.endswith("\r"):
@@ -87,7 +113,7 @@ def parse_line(raw: str | None, tags: frozenset[str]) -> tuple[str, str | None,
     if raw.startswith("#"):
         return "comment", None, None
     try:
-        fields = split_record(raw)
+        fields = (reader or Reader()).split(raw)
         if len(fields) != len(FIELDS):
             raise Rejected(COLUMNS)
         return "token", None, token_row(fields, tags)
@@ -95,18 +121,39 @@ def parse_line(raw: str | None, tags: frozenset[str]) -> tuple[str, str | None,
         return "bad", str(e), None
 
 
-def assemble_records(lines: Iterator[str]) -> Iterator[str]:
-    """Join lines of a quoted field that spans lines: a record ends where its double quotes are even in number."""
-    held: list[str] = []
-    odd = False
-    for line in lines:
-        held.append(line)
-        odd ^= line.count('"') % 2 == 1
-        if not odd:
-            yield "\n".join(held)
-            held = []
-    if held:
-        yield "\n".join(held)
+def assemble_records(lines: Iterable[str], whole: Callable[[str], bool] = lambda record: True) -> Iterator[str]:
+    """Join the lines of a quoted field that goes on over lines: a record ends where its double quotes are even in number.
+
+    Lines joined so that are not a ``whole`` record, or that run to the end, are taken apart again: the first stands alone, as
+    a quote that is not closed, and assembly starts anew with the next one. A line is joined at most twice, so the time is linear.
+    """
+    waiting: deque[str] = deque()
+    more = iter(lines)
+    end = object()
+    while True:
+        line = waiting.popleft() if waiting else next(more, end)
+        if line is end:
+            return
+        if line.count('"') % 2 == 0:
+            yield line
+            continue
+        held, at, closed = [line], 0, False
+        while not closed:
+            if at < len(waiting):
+                nxt = waiting[at]
+            elif (nxt := next(more, end)) is not end:
+                waiting.append(nxt)
+            else:
+                break
+            held.append(nxt)
+            at += 1
+            closed = nxt.count('"') % 2 == 1
+        if closed and whole(record := "\n".join(held)):
+            for _ in range(at):
+                waiting.popleft()
+            yield record
+        else:
+            yield line
 
 
 PARSED = T.StructType(
@@ -143,10 +190,9 @@ def parse_lines(lines: DataFrame, tagset: DataFrame) -> DataFrame:
     tags = frozenset(x for x in found if x is not None)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        csv.field_size_limit(2**31 - 1)
-        nothing = (None,) * len(FIELDS)
+        reader, nothing = Reader(), (None,) * len(FIELDS)
         for batch in batches:
-            done = [parse_line(x, tags) for x in batch.column("raw").to_pylist()]
+            done = [parse_line(x, tags, reader) for x in batch.column("raw").to_pylist()]
             fields = zip(*(token or nothing for _, _, token in done), strict=True) if done else [()] * len(FIELDS)
             columns = [batch.column(x) for x in ("line_id", "file", "line_no")]
             columns += [pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.string())]

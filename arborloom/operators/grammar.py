@@ -10,10 +10,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from arborloom.functions.scalars import gammas
+
 #: Categories of a grammar whose algebra runs densely.
 MOST_CATEGORIES = 200
 STEPS = 50
@@ -41,7 +43,8 @@ def branching_rules(toks: DataFrame, categories: int = 5) -> DataFrame:
 def conditional(rules: DataFrame, lhs: str = "lhs", cnt: str = "cnt") -> DataFrame:
     """Count over the total of the left side. Totals come from partial sums, so a frequent left side is no hot window."""
     totals = rules.groupBy(lhs).agg(F.sum(cnt).alias("_total"))
-    return rules.join(F.broadcast(totals), lhs).withColumn("p", F.col(cnt) / F.col("_total")).drop("_total")  # one row a category
+    # Left sides may be words: whether their totals are broadcast is left to the sizes adaptive execution sees.
+    return rules.join(totals, lhs).withColumn("p", F.col(cnt) / F.col("_total")).drop("_total")
 
 
 def marginal(rules: DataFrame, cnt: str = "cnt") -> DataFrame:
@@ -69,6 +72,12 @@ def head_model(rules: DataFrame) -> DataFrame:
     return parts.join(whole, "lhs").select("lhs", "child", (F.col("w") / F.col("t")).alias("p"))
 
 
+def head_model_of(rules: DataFrame) -> DataFrame:
+    """A12 for rules ``(lhs, rhs, cnt)`` of any arity: each child has its share p / number of children of the rule, over the rules of the parent."""
+    p = conditional(rules).select("lhs", "p", F.size("rhs").alias("n"), F.explode("rhs").alias("child"))
+    return p.groupBy("lhs", "child").agg(F.sum(F.col("p") / F.col("n")).alias("p"))
+
+
 def starving(rules: DataFrame) -> DataFrame:
     """The category of least count if that is under 0.5 % of the average (over n - 1), with the largest as donor."""
     per = rules.where("lhs <> 0").groupBy("lhs").agg(F.sum("cnt").alias("c"))
@@ -98,28 +107,25 @@ def rule_enumeration(spark: SparkSession, categories: int, words: int) -> DataFr
     return top.unionByName(end).unionByName(rest)
 
 
-def with_prior(keys: DataFrame, rules: DataFrame, alpha: float) -> DataFrame:
-    """Prior plus observed counts; ROOT's prior is 1."""
+def with_prior(keys: DataFrame, rules: DataFrame, alpha: float | Column) -> DataFrame:
+    """Prior plus observed counts; ROOT's prior is 1. ``alpha`` is a number or an expression over the rule's columns."""
     on = (keys.lhs == rules.lhs) & (keys.r1 == rules.r1) & keys.r2.eqNullSafe(rules.r2) & (keys.is_lex == rules.is_lex)
-    prior = F.when(keys.lhs == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-    return keys.join(rules, on, "left").select(keys.lhs, keys.r1, keys.r2, keys.is_lex, (prior + F.coalesce(rules.cnt, F.lit(0))).alias("post"))
+    seen = keys.join(rules, on, "left").select(keys.lhs, keys.r1, keys.r2, keys.is_lex, F.coalesce(rules.cnt, F.lit(0)).alias("cnt"))
+    prior = F.when(F.col("lhs") == 0, F.lit(1.0)).otherwise(alpha if isinstance(alpha, Column) else F.lit(alpha))
+    return seen.select("lhs", "r1", "r2", "is_lex", (prior + F.col("cnt")).alias("post"))
 
 
 def dirichlet_draw(posterior: DataFrame, seed: int, iteration: int, coefficient: float = 1.0, prior: str | None = None) -> DataFrame:
     """Probabilities of each left side drawn from its Dirichlet posterior.
 
-    The draws are gamma variates keyed by (seed, iteration, rule), one Arrow row each, so a left side with many rules
+    The draws are gamma variates keyed by (seed, iteration, rule), made over whole Arrow batches, so a left side with many rules
     is never one group; they are normalised with partial sums. ``coefficient`` scales what exceeds the ``prior`` column (annealing).
     """
     shape = F.col("post") if prior is None else F.when(F.col("lhs") == 0, F.col("post")).otherwise((F.col("post") - F.col(prior)) * coefficient + F.col(prior))
 
     def gamma(keys: pa.Array, shapes: pa.Array) -> pa.Array:
-        out = []
-        for k, a in zip(keys.to_pylist(), shapes.to_pylist(), strict=True):
-            rng = np.random.Generator(np.random.Philox(key=k & (2**64 - 1)))
-            # Small shapes: the boosted form keeps the draw above 0.
-            out.append(max(float(rng.gamma(a + 1.0) * rng.random() ** (1.0 / a)), 1e-300))
-        return pa.array(out, pa.float64())
+        # A draw of a small shape is kept above 0.
+        return pa.array(np.maximum(gammas(keys.to_numpy(), shapes.to_numpy()), 1e-300))
 
     key = F.xxhash64(F.lit(seed), F.lit(iteration), "lhs", "r1", F.coalesce("r2", F.lit("")))
     drawn = posterior.withColumn("cnt", F.arrow_udf(gamma, "double")(key, shape.cast("double")))

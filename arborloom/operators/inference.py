@@ -6,17 +6,22 @@ are keyed by (seed, iteration, sentence), so results do not depend on partitioni
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arborloom.functions.scalars import uniforms
 from arborloom.operators.grammar import Components
 from arborloom.operators.states import Rows, end_index, tag_given_state
 from arborloom.session import ship_code
 
+#: Filter entries (sentences x length x states) or transitions (sentences x transitions) of a block of sentences of one length.
+BLOCK_CELLS = 4_000_000
+
 
 class Chain:
     """A hidden Markov chain with sparse transitions.
@@ -39,93 +44,132 @@ class Chain:
             with np.errstate(divide="ignore"):
                 self.dense = np.full((len(self.start),) * 2, -np.inf)
                 self.dense[self.prev, self.nxt] = np.log10(self.p)
+            self.matrix = np.zeros((len(self.start),) * 2)
+            self.matrix[self.prev, self.nxt] = self.p
 
-    def emit(self, o: int) -> np.ndarray:
-        return self.emission[o][self.kind] if 0 <= o < len(self.emission) else np.zeros(len(self.kind))
+    def emit(self, o: np.ndarray) -> np.ndarray:
+        """Emission of a column of observations by state; an observation that the chain does not know has none."""
+        known = (o >= 0) & (o < len(self.emission))
+        return self.emission[np.where(known, o, 0)][:, self.kind] * known[:, None]
 
     def step(self, alpha: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.start))
+        if self.dense is not None:
+            return alpha @ self.matrix
+        out = np.zeros((len(alpha), len(self.start)))
         if len(self.head):
-            out[self.into] = np.add.reduceat(alpha[self.prev] * self.p, self.head)
+            out[:, self.into] = np.add.reduceat(alpha[:, self.prev] * self.p, self.head, axis=1)
         return out
 
-    def forward(self, obs: list[int], prune: float = 0.0) -> tuple[list[np.ndarray], float]:
-        """Q03: filters after each observation and log10 of the probability, with the end; no mass raises ValueError.
+    def forward_block(self, obs: np.ndarray, prune: float = 0.0) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Q03, Q06: over sentences of one length (rows of ``obs``): filters after each observation, log10 of the probability with the
+        end, and where each sentence loses all mass (-1: nowhere; the length: at the end).
 
         Q07: with ``prune`` states under the largest over ``prune`` are dropped after each observation.
         """
-        alphas, log = [], 0.0
-        for t, o in enumerate(obs):
-            alpha = (self.start if t == 0 else self.step(alphas[-1])) * self.emit(o)
-            total = alpha.sum()
-            if not total > 0:
-                raise ValueError(f"observation {t} has no mass")
+        alphas, log, dead = [], np.zeros(len(obs)), np.full(len(obs), -1)
+        for t in range(obs.shape[1]):
+            alpha = (self.start if t == 0 else self.step(alphas[-1])) * self.emit(obs[:, t])
+            total = alpha.sum(axis=1)
+            dead[(dead < 0) & ~(total > 0)] = t
             if prune:
-                alpha = np.where(alpha >= alpha.max() / prune, alpha, 0.0)
-                total = alpha.sum()
-            alphas.append(alpha / total)
-            log += np.log10(total)
-        if not alphas:
-            return alphas, 0.0
-        last = float(alphas[-1] @ self.end)
-        if not last > 0:
-            raise ValueError("the end has no mass")
-        return alphas, log + np.log10(last)
+                alpha = np.where(alpha >= alpha.max(axis=1, keepdims=True) / prune, alpha, 0.0)
+                total = alpha.sum(axis=1)
+            safe = np.where(total > 0, total, 1.0)
+            alphas.append(alpha / safe[:, None])
+            log += np.log10(safe)
+        if alphas:
+            last = alphas[-1] @ self.end
+            dead[(dead < 0) & ~(last > 0)] = obs.shape[1]
+            log += np.log10(np.where(last > 0, last, 1.0))
+        return alphas, log, dead
 
-    def sample(self, obs: list[int], rng: np.random.Generator) -> tuple[list[int], float]:
-        """Q04, Q05: states drawn backwards from the posterior."""
-        alphas, log = self.forward(obs)
-        path, weight = [], self.end
-        for alpha in reversed(alphas):
-            mass = np.cumsum(alpha * weight)
-            s = int(np.searchsorted(mass, rng.random() * mass[-1], side="right"))
-            path.append(min(s, len(mass) - 1))
-            weight = np.zeros(len(self.start))
-            at = slice(*np.searchsorted(self.nxt, [path[-1], path[-1] + 1]))
-            weight[self.prev[at]] = self.p[at]
-        return path[::-1], log
+    def sample_block(self, obs: np.ndarray, draw: Callable[[int], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Q04, Q05: states drawn backwards from the posterior; ``draw(t)`` gives a number in (0, 1) for each sentence."""
+        alphas, log, dead = self.forward_block(obs)
+        path = np.zeros(obs.shape, np.int64)
+        weight = np.broadcast_to(self.end, (len(obs), len(self.end)))
+        for t in range(obs.shape[1] - 1, -1, -1):
+            mass = np.cumsum(alphas[t] * weight, axis=1)
+            s = np.minimum((mass <= draw(t)[:, None] * mass[:, -1:]).sum(axis=1), mass.shape[1] - 1)
+            path[:, t] = s
+            if self.dense is not None:
+                weight = self.matrix[:, s].T
+            else:
+                lo, hi = np.searchsorted(self.nxt, s), np.searchsorted(self.nxt, s, side="right")
+                n = hi - lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                weight = np.zeros((len(obs), len(self.start)))
+                weight[np.repeat(np.arange(len(obs)), n), self.prev[at]] = self.p[at]
+        return path, log, dead
 
-    def viterbi(self, obs: list[int], first_beam: int = 0, beam: int = 0) -> tuple[list[int], float]:
+    def viterbi_block(self, obs: np.ndarray, first_beam: int = 0, beam: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Q08; with beams (T07, Q09) only so many best states go on after the first and the later observations. Ties: the lowest state."""
         back: list[np.ndarray] = []
-        score = np.empty(0)
-        with np.errstate(divide="ignore"):
+        n, size = len(obs), len(self.start)
+        score = np.empty((n, 0))
+        with np.errstate(divide="ignore", invalid="ignore"):
             p, end = np.log10(self.p), np.log10(self.end)
-            seen: dict[int, np.ndarray] = {}
-            for t, o in enumerate(obs):
-                if o not in seen:
-                    seen[o] = np.log10(self.emit(o))
-                e = seen[o]
+            for t in range(obs.shape[1]):
+                e = np.log10(self.emit(obs[:, t]))
                 if t == 0:
                     score = np.log10(self.start) + e
                 elif self.dense is not None:
-                    w = score[:, None] + self.dense
-                    link = w.argmax(axis=0)
+                    w = score[:, :, None] + self.dense
+                    link = w.argmax(axis=1)
                     back.append(link)
-                    score = w[link, np.arange(len(link))] + e
+                    score = np.take_along_axis(w, link[:, None, :], 1)[:, 0] + e
                 else:
-                    into, link = np.full(len(self.start), -np.inf), np.full(len(self.start), -1)
+                    into, link = np.full((n, size), -np.inf), np.zeros((n, size), np.int64)
                     if len(self.head):
-                        w = score[self.prev] + p
-                        best = np.maximum.reduceat(w, self.head)
-                        into[self.into] = best
-                        hit = np.flatnonzero(w == np.repeat(best, np.diff(np.append(self.head, len(w)))))
-                        link_of = np.full(len(self.start), len(self.start))
-                        np.minimum.at(link_of, self.nxt[hit], self.prev[hit])
-                        link = link_of
+                        w = score[:, self.prev] + p
+                        best = np.maximum.reduceat(w, self.head, axis=1)
+                        same = w == np.repeat(best, np.diff(np.append(self.head, w.shape[1])), axis=1)
+                        into[:, self.into] = best
+                        link[:, self.into] = np.minimum.reduceat(np.where(same, self.prev, size - 1), self.head, axis=1)
                     back.append(link)
                     score = into + e
                 limit = first_beam if t == 0 else beam
-                if limit and (score > -np.inf).sum() > limit:
-                    floor = np.partition(score, -limit)[-limit]
+                if limit and limit < size:
+                    floor = np.partition(score, size - limit, axis=1)[:, size - limit, None]
                     score = np.where(score >= floor, score, -np.inf)
-        final = score + end
-        if not len(obs) or not final.max() > -np.inf:
+            final = score + end
+        path = np.zeros(obs.shape, np.int64)
+        path[:, -1] = final.argmax(axis=1)
+        for t in range(obs.shape[1] - 2, -1, -1):
+            path[:, t] = back[t][np.arange(n), path[:, t + 1]]
+        best = final.max(axis=1)
+        return path, best, np.where(best > -np.inf, -1, obs.shape[1])
+
+    def _one(self, obs: list[int]) -> np.ndarray:
+        return np.array(obs, np.int64).reshape(1, -1)
+
+    def forward(self, obs: list[int], prune: float = 0.0) -> tuple[list[np.ndarray], float]:
+        """Q03 for one sentence; no mass raises ValueError."""
+        if not obs:
+            return [], 0.0
+        alphas, log, dead = self.forward_block(self._one(obs), prune)
+        if dead[0] >= 0:
+            raise ValueError(reason(int(dead[0]), len(obs)))
+        return [a[0] for a in alphas], float(log[0])
+
+    def sample(self, obs: list[int], rng: np.random.Generator) -> tuple[list[int], float]:
+        """Q04, Q05 for one sentence."""
+        path, log, dead = self.sample_block(self._one(obs), lambda t: rng.random(1))
+        if dead[0] >= 0:
+            raise ValueError(reason(int(dead[0]), len(obs)))
+        return path[0].tolist(), float(log[0])
+
+    def viterbi(self, obs: list[int], first_beam: int = 0, beam: int = 0) -> tuple[list[int], float]:
+        """Q08, Q09 for one sentence."""
+        path, log, dead = self.viterbi_block(self._one(obs), first_beam, beam) if obs else ([], [0.0], [0])
+        if dead[0] >= 0:
             raise ValueError("no path")
-        path = [int(final.argmax())]
-        for link in reversed(back):
-            path.append(int(link[path[-1]]))
-        return path[::-1], float(final.max())
+        return path[0].tolist(), float(log[0])
+
+
+def reason(at: int, length: int) -> str:
+    """Why a sentence has no parse."""
+    return "the end has no mass" if at >= length else f"observation {at} has no mass"
 
 
 def chain_of(c: Components, lex: np.ndarray, prev: np.ndarray, nxt: np.ndarray, p: np.ndarray) -> Chain:
@@ -164,8 +208,8 @@ def inferred(sentences: DataFrame, chain: Chain, how: str, key: str = "sent_id",
     """``(key, log10p, path, last, success, error)`` by ``how``: forward, sample, viterbi or beam.
 
     A sentence without a parse has success false and the reason (K05); null and empty sentences have an empty path and probability 1. ``path``
-    holds state names (null for forward), ``last`` the last filter (forward only). A batch is spread over the shuffle partitions by key first: the
-    rows are small and the work on them is not, which adaptive execution, merging partitions by bytes, cannot see (O17).
+    holds state names (null for forward), ``last`` the last filter (forward only). Q06: the sentences of a batch that are of one length are taken
+    through the chain together, in blocks of BLOCK_CELLS filter entries; rows stay where they are.
     """
     ship_code(sentences.sparkSession)
     sent = sentences.sparkSession.sparkContext.broadcast(chain)
@@ -173,28 +217,42 @@ def inferred(sentences: DataFrame, chain: Chain, how: str, key: str = "sent_id",
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Chain = sent.value
         for batch in batches:
-            out: dict[str, list] = {x: [] for x in ("log", "path", "last", "ok", "error")}
-            for k, o in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                log, path, last, error = 0.0, None if how == "forward" else [], None, None
-                try:
-                    if o and how == "forward":
-                        alphas, log = c.forward(o)
-                        last = alphas[-1].tolist()
-                    elif o:
-                        if how == "sample":
-                            s, log = c.sample(o, np.random.Generator(np.random.Philox(key=[seed * 1_000_003 + iteration, k & (2**64 - 1)])))
-                        else:
-                            s, log = c.viterbi(o, *((first_beam, beam) if how == "beam" else (0, 0)))
-                        path = c.name[s].tolist()
-                except ValueError as e:
-                    log, error = None, str(e)
-                for x, v in zip(out, (log, path, last, error is None, error), strict=True):
-                    out[x].append(v)
-            columns = [batch.column(0), pa.array(out["log"], pa.float64()), pa.array(out["path"], pa.list_(pa.int64())), pa.array(out["last"], pa.list_(pa.float64())), pa.array(out["ok"], pa.bool_()), pa.array(out["error"], pa.string())]
+            keys = batch.column(0).fill_null(0).to_numpy()
+            lists = batch.column(1)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            first = np.cumsum(size) - size
+            n = len(keys)
+            log, ok, errors = np.zeros(n), np.ones(n, bool), [None] * n
+            paths: list = [None if how == "forward" else [] for _ in range(n)]
+            lasts: list = [None] * n
+            for length in np.unique(size[size > 0]):
+                rows_of = np.flatnonzero(size == length)
+                wide = len(c.start) ** 2 if c.dense is not None else len(c.prev)
+                per = max(1, BLOCK_CELLS // max(int(length) * len(c.start), wide))
+                for a in range(0, len(rows_of), per):
+                    at = rows_of[a : a + per]
+                    obs = flat[first[at][:, None] + np.arange(length)].astype(np.int64)
+                    if how == "forward":
+                        alphas, part, dead = c.forward_block(obs)
+                        for i, v in zip(at, alphas[-1], strict=True):
+                            lasts[i] = v
+                    elif how == "sample":
+                        base = uniforms(keys[at], seed * 1_000_003 + iteration).view(np.uint64)
+                        path, part, dead = c.sample_block(obs, lambda t: uniforms(base, t))  # noqa: B023
+                    else:
+                        path, part, dead = c.viterbi_block(obs, *((first_beam, beam) if how == "beam" else (0, 0)))
+                    log[at] = part
+                    if how != "forward":
+                        for i, v in zip(at, c.name[path], strict=True):
+                            paths[i] = v
+                    for i in np.flatnonzero(dead >= 0):
+                        k = at[i]
+                        ok[k], errors[k], lasts[k] = False, "no path" if how in ("viterbi", "beam") else reason(int(dead[i]), int(length)), None
+                        paths[k] = None if how == "forward" else []
+            columns = [batch.column(0), pa.array(log, mask=~ok), pa.array(paths, pa.list_(pa.int64())), pa.array(lasts, pa.list_(pa.float64())), pa.array(ok), pa.array(errors, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "log10p", "path", "last", "success", "error"])
 
     schema = "key bigint, log10p double, path array<bigint>, last array<double>, success boolean, error string"
     rows = sentences.select(F.col(key).cast("bigint").alias("key"), F.col(obs).cast("array<int>").alias("obs"))
-    if not sentences.isStreaming:
-        rows = rows.repartition(int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     return rows.mapInArrow(f, schema).withColumnRenamed("key", key)

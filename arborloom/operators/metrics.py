@@ -14,9 +14,9 @@ def plog(p: Column, log=F.log2) -> Column:
 def distribution(df: DataFrame, column: str) -> DataFrame:
     """Share of every id from 0 to the largest; ids not seen have 0."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("bigint").alias("id")).agg(F.count("*").alias("cnt"))
-    ends = counts.agg(F.max("id").alias("most"), F.sum("cnt").alias("total"))
-    ids = ends.where("most >= 0").select(F.explode(F.sequence(F.lit(0), F.col("most"))).alias("id"), "total")
-    return ids.join(counts, "id", "left").select("id", (F.coalesce("cnt", F.lit(0)) / F.col("total")).alias("p"))
+    most, total = counts.agg(F.max("id"), F.sum("cnt")).first()
+    ids = df.sparkSession.range(0, (most if most is not None else -1) + 1)
+    return ids.join(counts, "id", "left").select("id", (F.coalesce("cnt", F.lit(0)) / F.lit(total or 1)).alias("p"))
 
 
 def joint(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -93,6 +93,33 @@ def bracket_scores(matches: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def scored_spans(nodes: DataFrame, spans: DataFrame, cutoff: int = 0, deleted: tuple[str, ...] = ()) -> DataFrame:
+    """The spans that a scorer looks at: of trees with at most ``cutoff`` words (0: of any), labels in ``deleted`` left out.
+
+    Words under a deleted label do not count for the length.
+    """
+    size = nodes.where(F.col("word").isNotNull() & ~F.col("label").isin(*deleted)).groupBy("tree_id").agg(F.count("*").alias("_n"))
+    kept = spans.where(~F.col("label").isin(*deleted)) if deleted else spans
+    return kept.join(size.where(F.col("_n") <= cutoff), "tree_id", "left_semi") if cutoff else kept
+
+
+def within_errors(system: DataFrame, gold: DataFrame, most: int = 10) -> DataFrame:
+    """Trees ``(tree_id)`` whose system and gold leaves ``(tree_id, leaf_ix, word)`` differ in number or words; more than ``most`` of them is an error."""
+    s, g = system.select("tree_id", "leaf_ix", F.col("word").alias("s")), gold.select("tree_id", "leaf_ix", F.col("word").alias("g"))
+    bad = s.join(g, ["tree_id", "leaf_ix"], "full").where(~F.col("s").eqNullSafe(F.col("g"))).select("tree_id").distinct()
+    if bad.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} trees whose leaves differ")
+    return bad
+
+
+def phrase_recall(system: DataFrame, gold: DataFrame) -> DataFrame:
+    """For each gold phrase type, gold spans that the system has under any label."""
+    s = system.groupBy("tree_id", "span").agg(F.count("*").alias("n_s"))
+    g = gold.groupBy("tree_id", "span", F.col("label").alias("phrase")).agg(F.count("*").alias("n_g"))
+    sums = g.join(s, ["tree_id", "span"], "left").groupBy("phrase").agg(F.sum("n_g").alias("n_gold"), F.sum(F.least("n_g", F.coalesce("n_s", F.lit(0)))).alias("n_match"))
+    return sums.withColumn("recall", F.round(F.col("n_match") / F.col("n_gold"), 6))
+
+
 def label_scores(system: DataFrame, gold: DataFrame) -> DataFrame:
     """Each system label against each gold phrase type; spans ``(tree_id, label, span)`` match by tree and span."""
     s = system.groupBy("tree_id", "span", F.col("label")).agg(F.count("*").alias("n_s"))

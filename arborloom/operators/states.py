@@ -38,11 +38,27 @@ def end_index(size: int, depth: int) -> int:
     return 2 * size ** (2 * depth)
 
 
-def state_text(s: Column) -> Column:
-    """Q13: ``j::ACTa/AWAb;..::f::POSg`` of the filled levels."""
+def state_text(s: Column, order: str = "jabfg") -> Column:
+    """Q13: text of a state: ``jabfg``: ``j::ACTa/AWAb;..::f::POSg``; ``fjabg`` with f first; ``whole``: every level, filled or not, and J, F named.
+
+    The first two show the first level and every filled one.
+    """
     sign = lambda x: F.when(x == 1, F.lit("+")).otherwise(F.lit("-"))
-    pairs = F.zip_with(s["a"], s["b"], lambda a, b: F.concat(F.lit("ACT"), a.cast("string"), F.lit("/AWA"), b.cast("string")))
-    return F.concat(sign(s["j"]), F.lit("::"), F.array_join(pairs, ";"), F.lit("::"), sign(s["f"]), F.lit("::POS"), s["g"].cast("string"))
+    pairs = F.zip_with(s["a"], s["b"], lambda a, b: F.struct(a.alias("a"), F.concat(F.lit("ACT"), a.cast("string"), F.lit("/AWA"), b.cast("string")).alias("t")))
+    pos = F.concat(F.lit("POS"), s["g"].cast("string"))
+    if order == "whole":
+        return F.concat_ws("::", F.concat(F.lit("J"), sign(s["j"])), F.array_join(F.transform(pairs, lambda x: x["t"]), "::"), F.concat(F.lit("F"), sign(s["f"])), pos)
+    shown = F.array_join(F.transform(F.filter(pairs, lambda x, i: (x["a"] > 0) | (i == 0)), lambda x: x["t"]), ";")
+    if order == "fjabg":
+        return F.concat_ws("::", sign(s["f"]), sign(s["j"]), shown, pos)
+    if order == "jabfg":
+        return F.concat_ws("::", sign(s["j"]), shown, sign(s["f"]), pos)
+    raise ValueError(f"no such order: {order}")
+
+
+def tag_sequence(states: Column) -> Column:
+    """g of every state of a sample."""
+    return F.transform(states, lambda x: x["g"])
 
 
 def valid_states(spark: SparkSession, size: int, depth: int) -> DataFrame:

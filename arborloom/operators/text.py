@@ -78,13 +78,26 @@ def wiki_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+#: Signs that bracketed formats reserve, and the names they are written by.
+ESCAPES = (
+    ("(", "-LRB-"), (")", "-RRB-"), ("<", "-LTB-"), (">", "-RTB-"), ("[", "-LSB-"), ("]", "-RSB-"), ("{", "-LCB-"), ("}", "-RCB-"), ("^", "-CARAT-"), ("_", "-UNDERSCORE-"),
+)
+
+
 def escape_brackets(text: Column) -> Column:
     """Brackets and signs that bracketed formats reserve, by name."""
-    for sign, name in (("(", "-LRB-"), (")", "-RRB-"), ("<", "-LAB-"), (">", "-RAB-"), ("[", "-LSB-"), ("]", "-RSB-"), ("{", "-LCB-"), ("}", "-RCB-"), ("^", "-CARET-"), ("_", "-UNDER-")):
+    for sign, name in ESCAPES:
         text = F.replace(text, F.lit(sign), F.lit(name))
     return text
 
 
+def escaped(text: str) -> str:
+    """P23 on one text, for kernels."""
+    for sign, name in ESCAPES:
+        text = text.replace(sign, name)
+    return text
+
+
 def right_branching(words: Column) -> Column:
     """``(X (X w1)(X (X w2) ... (X wn)))``."""
     n = F.size(words)
@@ -162,7 +175,7 @@ def first_occurrence_dictionary(toks: DataFrame) -> DataFrame:
 
 def encoded(toks: DataFrame, dictionary: DataFrame, unknown: int | None = None) -> DataFrame:
     """Ids of words; without ``unknown`` words that are not in the dictionary are dropped."""
-    found = toks.join(small_side(dictionary, 2_000_000), "tok", "inner" if unknown is None else "left")
+    found = toks.join(small_side(dictionary), "tok", "inner" if unknown is None else "left")
     return found if unknown is None else found.withColumn("id", F.coalesce("id", F.lit(unknown)))
 
 
@@ -192,26 +205,65 @@ def dense_counts(df: DataFrame, condition: str, outcome: str) -> DataFrame:
     return keys.join(counts, [condition, outcome], "left").fillna(0, ["cnt"])
 
 
-def in_reference_order(rows: DataFrame, reference: DataFrame, order: str, value: str) -> DataFrame:
-    """Each row with the reference row of the same value and the same rank among its equals."""
-    rank = F.row_number().over(W.partitionBy(value).orderBy(order))
-    a = rows.select(F.col(order).alias("row_order"), value, rank.alias("rank"))
-    b = reference.select(F.col(order).alias("ref_order"), value, rank.alias("rank"))
-    return a.join(b, [value, "rank"])
+def _ranked(rows: DataFrame, order: str, value: str, out: str, width: int) -> DataFrame:
+    """Rank of each row among those of its value, by ``order``: ranges of ``order`` are ranked side by side and offset by the counts before them."""
+    ranged = rows.select(F.col(order).alias(out), value, F.floor(F.col(order) / width).alias("range"))
+    counts = ranged.groupBy(value, "range").agg(F.count("*").alias("inside"))
+    before = F.coalesce(F.sum("inside").over(W.partitionBy(value).orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(W.partitionBy(value, "range").orderBy(out))
+    return ranged.withColumn("within", within).join(counts.withColumn("before", before), [value, "range"]).select(out, value, (F.col("before") + F.col("within")).alias("rank"))
+
+
+def in_reference_order(rows: DataFrame, reference: DataFrame, order: str, value: str, width: int = 1_000_000) -> DataFrame:
+    """Each row with the reference row of the same value and the same rank among its equals.
+
+    ``order`` is a number; a frequent value is ranked in ranges of ``width`` numbers and joined by value and rank, so it is in no single task.
+    """
+    return _ranked(rows, order, value, "row_order", width).join(_ranked(reference, order, value, "ref_order", width), [value, "rank"])
+
+
+def leftovers(rows: DataFrame, reference: DataFrame, value: str) -> DataFrame:
+    """Values of which one side has more: ``(value, n_rows, n_ref)``; a reference queue used up in order leaves none."""
+    a = rows.groupBy(value).agg(F.count("*").alias("n_rows"))
+    b = reference.groupBy(value).agg(F.count("*").alias("n_ref"))
+    return a.join(b, value, "full").fillna(0, ["n_rows", "n_ref"]).where("n_rows <> n_ref")
+
+
+#: Signs of page junk and of equations in trees.
+JUNK, EQUATION = ("(?i)redirect", "ARTICLE"), ("Equation", "#)")
 
 
 def shallow_tree(tree: Column, depth: int) -> Column:
     """Whether a tree with depth-tagged labels goes to embedding depth 1 or 2 only and is no page junk."""
-    fits = ~tree.rlike("-d[3-4]") & ~tree.rlike("(?i)redirect") & ~F.contains(tree, F.lit("ARTICLE"))
+    fits = ~tree.rlike("-d[3-4]") & ~tree.rlike(JUNK[0]) & ~F.contains(tree, F.lit(JUNK[1]))
     if depth == 1:
         return fits & F.contains(tree, F.lit("-d2")) & ~F.contains(tree, F.lit("d2 ("))
-    return fits & ~F.contains(tree, F.lit("Equation")) & ~F.contains(tree, F.lit("#)"))
+    return fits & ~F.contains(tree, F.lit(EQUATION[0])) & ~F.contains(tree, F.lit(EQUATION[1]))
+
+
+def tag_morphs(form: Column, lemma: Column, tag: Column) -> Column:
+    """P20: ``tag/word`` of a token; a lemma of several morphs joined by plus signs gives one for each, with the tag of the same place.
+
+    Further tags are not used, a morph without a tag has an empty one; empty morphs at the end are dropped. Null lemma: ``tag/form``.
+    """
+    morphs = F.split(F.regexp_replace(lemma, "\\++$", ""), "\\+")
+    tags = F.split(tag, "\\+")
+    pairs = F.transform(morphs, lambda m, i: F.concat(F.coalesce(F.get(tags, i), F.lit("")), F.lit("/"), m))
+    return F.when(F.contains(lemma, F.lit("+")), pairs).otherwise(F.array(F.concat(tag, F.lit("/"), form)))
 
 
 def expand_morphs(tree: Column) -> Column:
-    """A leaf ``a/T1+b/T2`` becomes the preterminals ``(T1 a) (T2 b)``."""
-    spaced = F.regexp_replace(tree, "(?<=[^\\s()/+]/[^\\s()/+]{1,40})\\+", " ")
-    return F.regexp_replace(spaced, "([^\\s()/]+)/([^\\s()/]+)", "($2 $1)")
+    """A leaf ``a/T1+b/T2`` becomes the preterminals ``(T1 a) (T2 b)``, a leaf ``a/T`` one; a leaf with a part without a tag stays.
+
+    Works leaf by leaf, whatever their length; the last slash of a part divides word and tag. Blanks between brackets are brought to one form.
+    """
+    pieces = F.regexp_extract_all(tree, F.lit("[()]|[^\\s()]+"), F.lit(0))
+    tagged = lambda m: m.rlike("^.+/[^/]+$")
+    one = lambda m: F.regexp_replace(m, "^(.+)/([^/]+)$", "($2 $1)")
+    morphs = lambda x: F.split(x, "\\+")
+    label = lambda i: (i > 0) & (F.get(pieces, i - 1) == "(")
+    made = lambda x, i: F.when(~label(i) & F.forall(morphs(x), tagged), F.array_join(F.transform(morphs(x), one), " ")).otherwise(x)
+    return F.regexp_replace(F.regexp_replace(F.array_join(F.transform(pieces, made), " "), "\\( ", "("), " \\)", ")")
 
 
 def state_stream(text: Column, what: str) -> Column:

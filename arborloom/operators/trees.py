@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from arborloom.operators.text import escaped
 from arborloom.session import ship_code
 
 _TOKEN = re.compile(r"[()]|[^\s()]+")
@@ -110,29 +111,84 @@ def productions(nodes: DataFrame) -> DataFrame:
     return phrases.unionByName(words)
 
 
-def spans(nodes: DataFrame) -> DataFrame:
-    """``(tree_id, label, span)``: the words of every node over more than one leaf, as one string."""
-    leaves = nodes.where("word is not null").groupBy("tree_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("l", "word"))), lambda x: x["word"]).alias("leaves"))
-    return nodes.where("r > l").join(leaves, "tree_id").select("tree_id", "label", "l", "r", F.array_join(F.slice("leaves", F.col("l") + 1, F.col("r") - F.col("l") + 1), " ").alias("span"))
+def spans(nodes: DataFrame, text: bool = False) -> DataFrame:
+    """``(tree_id, label, span)`` of every node over more than one leaf; span stands for its words.
 
+    The words of a tree are hashed once each; a span is the 128-bit hash of their hashes, so no text is multiplied by the depth of a tree. With ``text``
+    spans are the words themselves, joined by blanks.
+    """
+    value = F.col("word") if text else F.xxhash64("word")
+    leaves = nodes.where("word is not null").groupBy("tree_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("l", value.alias("v")))), lambda x: x["v"]).alias("leaves"))
+    part = F.slice("leaves", F.col("l") + 1, F.col("r") - F.col("l") + 1)
+    span = F.array_join(part, " ") if text else span_key(part)
+    return nodes.where("r > l").join(leaves, "tree_id").select("tree_id", "label", "l", "r", span.alias("span"))
+
+
+def span_key(hashes: Column) -> Column:
+    """128 bits that stand for a sequence of hashes of words."""
+    return F.struct(F.xxhash64(hashes).alias("h1"), F.xxhash64(F.lit(1), hashes).alias("h2"))
+
+
+def _per_tree(nodes: DataFrame, columns: list[str], schema: str, f) -> DataFrame:
+    """``f(rows)`` gives the result rows of each tree, its nodes being in preorder; one pass over sorted partitions, one tree in memory."""
+    names = ["tree_id", *columns]
+
+    def g(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = [x.split(" ")[0] for x in schema.split(", ")]
+        kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+        types = [kinds[x.split(" ")[1]] for x in schema.split(", ")]
+        held: list[tuple] = []
+
+        def flush(rows: list[tuple]) -> pa.RecordBatch:
+            out: list[tuple] = []
+            a = 0
+            while a < len(rows):
+                b = a
+                while b < len(rows) and rows[b][0] == rows[a][0]:
+                    b += 1
+                out += [(rows[a][0], *r) for r in f([r[1:] for r in rows[a:b]])]
+                a = b
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=fields)
 
-def without_unary(nodes: DataFrame) -> DataFrame:
-    """Phrases over one phrase give way to it; a chain keeps its lowest node."""
-    ends = nodes.where("n_children != 1")
-    w = W.partitionBy("tree_id").orderBy("node_id")
-    # The depth of a kept node falls by the number of dropped ones above it: those whose preorder range holds it.
-    kept = ends.select("tree_id", "node_id", "label", "word", "l", "r", F.col("depth").alias("old_depth"))
-    return _reparented(kept.withColumn("node_id", (F.row_number().over(w) - 1).cast("int")))
+        for batch in batches:
+            held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            if not held:
+                continue
+            cut = next((i for i in range(len(held) - 1, -1, -1) if held[i][0] != held[-1][0]), -1) + 1
+            if cut:
+                yield flush(held[:cut])
+                held = held[cut:]
+        if held:
+            yield flush(held)
+
+    ship_code(nodes.sparkSession)
+    return nodes.select(*names).repartition("tree_id").sortWithinPartitions("tree_id", "node_id").mapInArrow(g, schema)
 
 
-def _reparented(kept: DataFrame) -> DataFrame:
-    """Parents, ranks and depths anew for nodes in preorder with spans and old depths: the parent is the last node before that lay higher and spans the node."""
-    w = W.partitionBy("tree_id")
-    with_all = kept.withColumn("all", F.collect_list(F.struct("node_id", "old_depth", "l", "r")).over(w.orderBy("node_id").rowsBetween(W.unboundedPreceding, -1)))
-    parent = F.coalesce(F.try_element_at(F.filter("all", lambda x: (x["old_depth"] < F.col("old_depth")) & (x["l"] <= F.col("l")) & (x["r"] >= F.col("r"))), F.lit(-1))["node_id"], F.lit(-1))
-    rows = with_all.withColumn("parent_id", parent).drop("all")
-    ix = (F.row_number().over(W.partitionBy("tree_id", "parent_id").orderBy("node_id")) - 1).cast("int")
-    return rows.withColumn("child_ix", ix)
+def without_unary(nodes: DataFrame) -> DataFrame:
+    """Phrases over one phrase give way to it; a chain keeps its lowest node. One stack pass a tree."""
+
+    def collapse(rows: list[tuple]) -> list[tuple]:
+        out: list[list] = []
+        stack: list[tuple[int, int]] = []  # depth of a kept node and its new number
+        children: list[int] = []
+        for _, label, word, l, r, depth, n in rows:  # noqa: E741
+            while stack and stack[-1][0] >= depth:
+                stack.pop()
+            if n == 1:
+                continue
+            parent = stack[-1][1] if stack else -1
+            ix = 0
+            if parent >= 0:
+                ix = children[parent]
+                children[parent] += 1
+            out.append((len(out), parent, ix, label, word, l, r))
+            children.append(0)
+            stack.append((depth, len(out) - 1))
+        return out
+
+    schema = "tree_id bigint, node_id int, parent_id int, child_ix int, label string, word string, l int, r int"
+    return _per_tree(nodes, ["node_id", "label", "word", "l", "r", "depth", "n_children"], schema, collapse)
 
 
 def punctuation_free_length(nodes: DataFrame, punctuation: list[str]) -> DataFrame:
@@ -219,33 +275,37 @@ def parse_states(text: str) -> list[tuple[int, int, int, int, int, str]]:
 
 
 def dependency_tree(words: list[str], tags: list[str], heads: list[int]) -> str:
-    """Constituency tree of a dependency sentence: a head takes a dependent beside it once that one has all of its own.
+    """Constituency tree of a dependency sentence: a head with all its dependents beside it becomes a flat ``(X ..)``.
 
-    Nodes are adjacent spans; a word with all its dependents is ready. Bracketing goes on until one node is left; a
-    sentence that gets stuck (crossing or cyclic heads) gives ``(ERROR ...)`` over its leaves.
+    Brackets in words are written by name. A sentence in which some head cannot have all its dependents side by side (crossing, cyclic or several
+    outermost heads, heads out of range) gives ``(TOP (S error))``. One pass over the heads, whatever their order.
     """
     n = len(words)
-    left = [0] * (n + 1)
-    for h in heads:
-        if 0 < h <= n:
-            left[h] += 1
-    nodes = [(i + 1, f"({t} {w})", t) for i, (w, t) in enumerate(zip(words, tags, strict=True))]
-    moved = True
-    while len(nodes) > 1 and moved:
-        moved = False
-        for i in range(len(nodes) - 1):
-            (a, ta, la), (b, tb, lb) = nodes[i], nodes[i + 1]
-            if heads[b - 1] == a and left[b] == 0:
-                nodes[i : i + 2] = [(a, f"({la}P {ta} {tb})", la)]
-                left[a] -= 1
-            elif heads[a - 1] == b and left[a] == 0:
-                nodes[i : i + 2] = [(b, f"({lb}P {ta} {tb})", lb)]
-                left[b] -= 1
-            else:
-                continue
-            moved = True
-            break
-    return nodes[0][1] if len(nodes) == 1 else "(ERROR " + " ".join(t for _, t, _ in nodes) + ")"
+    error = "(TOP (S error))"
+    below: list[list[int]] = [[] for _ in range(n + 1)]
+    for i, h in enumerate(heads, 1):
+        if not 0 <= h <= n:
+            return error
+        below[h].append(i)
+    if len(below[0]) != 1:
+        return error
+    order = [below[0][0]]
+    for i in order:
+        order.extend(below[i])
+    if len(order) != n:
+        return error
+    first, last, text = list(range(n + 1)), list(range(n + 1)), [""] * (n + 1)
+    for i in reversed(order):
+        leaf = f"({tags[i - 1]} {words[i - 1].replace('(', '-LRB-').replace(')', '-RRB-')})"
+        if not below[i]:
+            text[i] = leaf
+            continue
+        parts = sorted([(first[d], last[d], text[d]) for d in below[i]] + [(i, i, leaf)])
+        if any(a[1] + 1 != b[0] for a, b in zip(parts, parts[1:], strict=False)):
+            return error
+        first[i], last[i] = parts[0][0], parts[-1][1]
+        text[i] = f"(X {' '.join(p[2] for p in parts)})"
+    return text[order[0]]
 
 
 def mapped(df: DataFrame, f, out: str, *columns: str) -> DataFrame:
@@ -284,13 +344,19 @@ def gold_toy_trees(n: Column) -> Column:
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
-    """``(tree_id, node_id, ancestor_id, distance)``: nodes higher up whose preorder range holds the node, within a tree."""
-    w = W.partitionBy("tree_id")
-    with_last = nodes.withColumn("all", F.collect_list(F.struct("node_id", "depth", "l", "r")).over(w.orderBy("node_id").rowsBetween(W.unboundedPreceding, -1)))
-    # Going back from the node, an ancestor is the first node met of each smaller depth.
-    above = F.filter("all", lambda x: (x["depth"] < F.col("depth")) & (x["l"] <= F.col("l")) & (x["r"] >= F.col("r")))
-    rows = with_last.select("tree_id", "node_id", "depth", F.explode(above).alias("x"))
-    return rows.groupBy("tree_id", "node_id", (F.col("depth") - F.col("x.depth")).alias("distance")).agg(F.max("x.node_id").alias("ancestor_id"))
+    """``(tree_id, node_id, distance, ancestor_id)``: the nodes above each node, from the stack of one pass a tree."""
+
+    def above(rows: list[tuple]) -> list[tuple]:
+        out: list[tuple] = []
+        stack: list[tuple[int, int]] = []
+        for node, depth in rows:
+            while stack and stack[-1][0] >= depth:
+                stack.pop()
+            out += [(node, depth - d, a) for d, a in stack]
+            stack.append((depth, node))
+        return out
+
+    return _per_tree(nodes, ["node_id", "depth"], "tree_id bigint, node_id int, distance int, ancestor_id int", above)
 
 
 def siblings(nodes: DataFrame) -> DataFrame:
@@ -341,10 +407,19 @@ def dependencies_of(trees: DataFrame, model: DataFrame, key: str = "tree_id", tr
     return trees.select(F.col(key).cast("bigint"), tree).mapInArrow(f, "tree_id bigint, dependent int, head int")
 
 
+#: Fixed values of the incremental-parse format: divider, first state, empty level and relations.
+DIVIDER, EMPTY_LEVEL, RELATIONS = "----------", "-.0/-.0", "0/0/0,0/0/0,0/0/0,0/0/0"
+FIRST_STATE = f"0 0;BOG.0/BOG.0;{EMPTY_LEVEL};{EMPTY_LEVEL};{EMPTY_LEVEL};-.0;{RELATIONS}"
+
+
 def incremental_parse(steps: list[tuple[int, int, int, int, int, str]], levels: int = 4) -> list[str]:
-    """One line a word, last word first: number, 0 if it forks else 1, the stack of incomplete ``a/b`` before the next word, tag and word."""
+    """The parse of a sentence, last line first: a closing row, a row a word, the first state and a divider.
+
+    A row has its number, 0 if the word forks else 1, the stack of incomplete ``a/b`` before the next word, the tag, relations and the word;
+    reserved signs in words are written by name.
+    """
     stack: list[str] = []
-    lines = []
+    lines = [DIVIDER, FIRST_STATE]
     for k, (f, j, a, b, g, word) in enumerate(steps, 1):
         if f == 0 and stack:
             stack.pop()
@@ -352,6 +427,17 @@ def incremental_parse(steps: list[tuple[int, int, int, int, int, str]], levels:
             stack[-1] = f"{stack[-1].split('/')[0]}/{b}_"
         elif j == 0:
             stack.append(f"{a}_/{b}_")
-        shown = [*stack, *["-.0/-.0"] * (levels - len(stack))]
-        lines.append(f"{k} {int(f == 0)};{';'.join(shown)};{g}_ {word}")
+        shown = [*stack, *[EMPTY_LEVEL] * (levels - len(stack))]
+        lines.append(f"{k} {int(f == 0)};{';'.join(shown)};{g}_;{RELATIONS} {escaped(word)}")
+    lines.append(f"{len(steps) + 1} 1;{';'.join([EMPTY_LEVEL] * levels)};99_;{RELATIONS} null")
     return lines[::-1]
+
+
+def incremental_parses(states: DataFrame, text: str = "states", levels: int = 4) -> DataFrame:
+    """S30 over a table: ``parse``, the lines of the state sequence in ``text``; null where it cannot be read."""
+    return mapped(states, lambda x: "\n".join(incremental_parse(parse_states(x), levels)), "parse", text)
+
+
+def labelled(tree: Column) -> Column:
+    """The label X for brackets that have none."""
+    return F.regexp_replace(F.regexp_replace(tree, "\\((?=\\()", "(X "), "\\( +(?=[^\\s()]+\\))", "(X ")

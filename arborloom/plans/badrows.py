@@ -1,5 +1,7 @@
 """Queries of problem 3: lines that do not parse."""
 
+from pyspark.sql import functions as F
+
 from arborloom.operators import badrows
 from arborloom.plans import query
 from arborloom.session import read_table
@@ -33,9 +35,10 @@ def p3_tokens(spark, sf_dir):
     return badrows.tokens(_parsed(spark, sf_dir))
 
 
-@query("p3_report")
+@query("p3_report", _SQL + """, k AS (SELECT file, CASE WHEN s IS NULL THEN 'bad' WHEN regexp_full_match(s, ' *') THEN 'blank' WHEN starts_with(s, '#') THEN 'comment' END AS kind,
+    CASE WHEN s IS NULL THEN 'columns' END AS reason FROM t WHERE s IS NULL OR regexp_full_match(s, ' *') OR starts_with(s, '#')
+    UNION ALL SELECT file, CASE WHEN reason IS NULL THEN 'token' ELSE 'bad' END, reason FROM c)
+  SELECT file, kind, reason, count(*) AS n_lines FROM k GROUP BY ALL""")
 def p3_report(spark, sf_dir):
     """Lines by file, kind and reason."""
-    from pyspark.sql import functions as F
-
     return _parsed(spark, sf_dir).groupBy("file", "kind", "reason").agg(F.count("*").alias("n_lines"))

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from arborloom.functions import scalars
-from arborloom.operators import generate, grammar, inference, sampler, states
+from arborloom.operators import generate, grammar, inference, sampler, states, tables
 from arborloom.plans import query
 from arborloom.plans.base import EV, EVT, TOK, int_sentences, word_tokens
 from arborloom.session import read_table
@@ -81,6 +81,14 @@ def q_posterior_mean(spark, sf):
     return grammar.conditional(post).select("lhs", "r1", "r2", "is_lex", F.round("p", 9).alias("p"))
 
 
+@query("dirichlet_mass", f"WITH {_RULES} SELECT lhs, count(*) AS n, 1.0::DOUBLE AS mass FROM rc GROUP BY lhs")
+def q_dirichlet_mass(spark, sf):
+    """An annealed draw has every rule of its posterior and sums to 1 in each category."""
+    post = rules(spark, sf).select("lhs", "r1", "r2", "is_lex", (F.col("cnt") + 0.2).alias("post"), F.lit(0.2).alias("prior"))
+    drawn = grammar.dirichlet_draw(post, 5, 0, 0.5, "prior")
+    return drawn.groupBy("lhs").agg(F.count("*").alias("n"), F.round(F.sum("p"), 6).alias("mass"))
+
+
 @query("dirichlet_draw")
 def q_dirichlet(spark, sf):
     """A seeded draw."""
@@ -228,13 +236,15 @@ def q_forward(spark, sf):
     return r.select("sent_id", F.round("log10p", 6).alias("log10p"), F.round(F.col("last")[0], 6).alias("filter0"))
 
 
-@query("viterbi", f"""WITH RECURSIVE {_OBS}, r AS (SELECT sent_id, t, log10(0.5 * b0) AS v0, log10(0.5 * b1) AS v1 FROM b WHERE t = 0
-  UNION ALL SELECT r.sent_id, b.t, greatest(v0 + log10(0.6), v1 + log10(0.3)) + log10(b0), greatest(v0 + log10(0.4), v1 + log10(0.7)) + log10(b1) FROM r JOIN b ON b.sent_id = r.sent_id AND b.t = r.t + 1)
-  SELECT sent_id, round(greatest(arg_max(v0, t), arg_max(v1, t)), 6) AS log10p, CAST(max(t) + 1 AS INTEGER) AS n FROM r GROUP BY sent_id""")
+@query("viterbi", f"""WITH RECURSIVE {_OBS}, r AS (SELECT sent_id, t, log10(0.5 * b0) AS v0, log10(0.5 * b1) AS v1, '0' AS p0, '1' AS p1 FROM b WHERE t = 0
+  UNION ALL SELECT r.sent_id, b.t, greatest(v0 + log10(0.6), v1 + log10(0.3)) + log10(b0), greatest(v0 + log10(0.4), v1 + log10(0.7)) + log10(b1),
+    CASE WHEN v0 + log10(0.6) >= v1 + log10(0.3) THEN p0 ELSE p1 END || '0', CASE WHEN v0 + log10(0.4) >= v1 + log10(0.7) THEN p0 ELSE p1 END || '1' FROM r JOIN b ON b.sent_id = r.sent_id AND b.t = r.t + 1),
+  z AS (SELECT sent_id, arg_max({{'a': v0, 'b': v1, 'p': p0, 'q': p1}}, t) AS x FROM r GROUP BY sent_id)
+  SELECT sent_id, round(greatest(x.a, x.b), 6) AS log10p, CASE WHEN x.a >= x.b THEN x.p ELSE x.q END AS path FROM z""")
 def q_viterbi(spark, sf):
-    """Q08: probability of the best path and its length."""
+    """Q08, Q06: probability and states of the best path of every sentence."""
     r = inference.inferred(_observed(spark, sf), hmm(), "viterbi")
-    return r.select("sent_id", F.round("log10p", 6).alias("log10p"), F.size("path").alias("n"))
+    return r.select("sent_id", F.round("log10p", 6).alias("log10p"), F.array_join(F.col("path").cast("array<string>"), "").alias("path"))
 
 
 @query("beam_viterbi")
@@ -245,10 +255,38 @@ def q_beam(spark, sf):
 
 @query("backward_sample")
 def q_backward(spark, sf):
-    """Seeded posterior samples."""
+    """Seeded posterior samples."""
     return inference.inferred(_observed(spark, sf), hmm(), "sample", seed=3).select("sent_id", "path", "log10p")
 
 
+def compiled_chain(spark, sf) -> inference.Chain:
+    """A chain of 3 categories at depth 2 with a lexicon over all token ids: more states than the beams."""
+    words = int_sentences(spark, sf).select(F.max(F.array_max("toks"))).first()[0] or 1
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet(np.ones(9), 4).reshape(4, 3, 3) * 0.45
+    full = np.zeros((4, 4, 4))
+    full[1:, 1:, 1:] = p[1:]
+    full[0, 1:, 0] = 0.5 * rng.dirichlet(np.ones(3))
+    c = grammar.components(full, np.array([0.5, 0.55, 0.55, 0.55]), 2)
+    lex = np.zeros((words + 1, 5))
+    lex[:, 1:4] = rng.dirichlet(np.ones(words + 1), 3).T
+    t = states.transitions(spark, c).toPandas()  # bounded by the state space of 3 categories at depth 2
+    return inference.chain_of(c, lex, t["prev"].to_numpy(), t["nxt"].to_numpy(), t["p"].to_numpy())
+
+
+_KNOWN = EV + ", k AS (SELECT sent_id, len(toks) AS n FROM ev WHERE len(list_filter(toks, lambda x: x IS NULL OR x < 0)) = 0)"
+
+
+@query("beam_compiled", f"WITH {_KNOWN} SELECT sent_id, CAST(n AS INTEGER) AS n, true AS not_better FROM k")
+def q_beam_compiled(spark, sf):
+    """Beams of 100 and 50 over a compiled grammar of more states than that, and the exact path: as long, and never less probable."""
+    s = int_sentences(spark, sf).where("not exists(toks, x -> x is null or x < 0)").select("sent_id", "toks").distinct()
+    chain = compiled_chain(spark, sf)
+    beam = inference.inferred(s, chain, "beam", obs="toks").select("sent_id", F.col("log10p").alias("b"), F.size("path").alias("n"))
+    best = inference.inferred(s, chain, "viterbi", obs="toks").select("sent_id", "log10p")
+    return beam.join(best, "sent_id").select("sent_id", "n", (F.coalesce("b", F.lit(float("-inf"))) <= F.col("log10p") + 1e-9).alias("not_better"))
+
+
 @query("gaussian_draw")
 def q_gaussian(spark, sf):
     """A seeded posterior draw for every label and dimension of the embeddings."""
@@ -272,6 +310,82 @@ def q_train(spark, sf):
     return rules_
 
 
+@query("train_words", "SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS lhs, 1.0::DOUBLE AS mass")
+def q_train_words(spark, sf):
+    """The sampler over the words of the corpus with two restarts, a start by strategy and a moving alpha for each category: the
+    probabilities of the rules of every category sum to 1.
+    """
+    s = int_sentences(spark, sf).where("not exists(toks, x -> x is null or x < 0)").select("sent_id", F.transform("toks", lambda x: x + 1).alias("toks")).distinct()
+    words = s.select(F.max(F.array_max("toks"))).first()[0] or 1
+    how = sampler.Settings(categories=3, depth=1, iterations=3, restarts=2, start="right_branching", sample_alpha=True, alpha_array=True)
+    rules_, _ = sampler.train(s, words, how)
+    return rules_.groupBy("lhs").agg(F.round(F.sum("p"), 6).alias("mass"))
+
+
+@query("alpha_split", f"""WITH {EV}, c AS (SELECT sum(len(toks)) AS w, count(*) AS s FROM ev), v AS (SELECT count(DISTINCT x) AS t FROM (SELECT unnest(toks) AS x FROM ev) WHERE x IS NOT NULL)
+  SELECT round(0.1 * (w - s) / 9 / 3, 6) AS binary_alpha, round(0.1 * w / t / 3, 6) AS lexical_alpha FROM c, v""")
+def q_alpha_split(spark, sf):
+    """Pseudo-counts of binary and lexical rules from the size of the corpus."""
+    ev = int_sentences(spark, sf)
+    r = ev.agg(F.sum(F.size("toks")).alias("w"), F.count("*").alias("s")).first()
+    types = ev.select(F.explode("toks").alias("x")).where("x is not null").distinct().count()
+    b, lexical = sampler.scaled_alphas(r.w, r.s, types, 3, 0.1)
+    return spark.createDataFrame([(round(b, 6), round(lexical, 6))], "binary_alpha double, lexical_alpha double")
+
+
+@query("strategy_start", f"""WITH {EV}, k AS (SELECT sent_id, toks FROM ev WHERE len(list_filter(toks, lambda x: x IS NULL)) = 0), n AS (SELECT sum(len(toks)) AS w, count(*) AS s FROM (SELECT DISTINCT sent_id, toks FROM k))
+  SELECT true AS is_lex, CAST(w + s AS BIGINT) AS cnt FROM n UNION ALL SELECT false, CAST(w AS BIGINT) FROM n""")
+def q_strategy(spark, sf):
+    """Rules of left branching trees with random categories: a lexical one a word, a binary one an inner node, two of ROOT a sentence."""
+    s = int_sentences(spark, sf).where("not exists(toks, x -> x is null)").select("sent_id", "toks").distinct()
+    return sampler.strategy_counts(s, "left_branching", 3, 5).groupBy("is_lex").agg(F.sum("cnt").alias("cnt"))
+
+
+@query("damped_update", f"""WITH {_RULES}, t AS (SELECT lhs, sum(cnt) AS s, count(*) AS k FROM rc GROUP BY lhs)
+  SELECT rc.lhs, r1, r2, is_lex, round(0.75 * cnt / s + 0.25 / k, 9) AS p FROM rc JOIN t ON t.lhs = rc.lhs""")
+def q_damped(spark, sf):
+    """F16: a quarter of the way from the rule probabilities to even ones."""
+    r = rules(spark, sf).withColumn("r2", F.coalesce("r2", F.lit("")))
+    old = grammar.conditional(r)
+    even = grammar.conditional(r.withColumn("cnt", F.lit(1)))
+    on = ["lhs", "r1", "r2", "is_lex"]
+    return tables.damped(old, even, on, 0.25).select("lhs", "r1", F.nullif("r2", F.lit("")).alias("r2"), "is_lex", F.round("p", 9).alias("p"))
+
+
+@query("condition_entries", f"WITH {_RULES} SELECT count(DISTINCT lhs) AS n_conditions, count(*) AS n_entries FROM rc WHERE lhs <> 3")
+def q_entries(spark, sf):
+    """size of the rule table without one condition."""
+    r = rules(spark, sf).withColumn("cond", F.col("lhs").cast("string"))
+    return tables.entries(tables.without_conditions(r, "3"))
+
+
+@query("located_tokens", f"""WITH {EV}, s AS (SELECT corpus, sent_id, len(toks) AS n, sum(len(toks)) OVER (ORDER BY sent_id) AS upto FROM (SELECT sent_id, any_value(corpus) AS corpus, any_value(toks) AS toks FROM ev GROUP BY sent_id)),
+  i AS (SELECT unnest(range(0, (SELECT CAST(sum(n) AS BIGINT) FROM s), 1000)) AS ix) SELECT CAST(ix AS BIGINT) AS ix, sent_id, CAST(ix - (upto - n) AS BIGINT) AS pos FROM i JOIN s ON ix >= upto - n AND ix < upto""")
+def q_located(spark, sf):
+    """Every thousandth running token number brought back to its sentence and place."""
+    from pyspark.sql import Window as W
+
+    ev = int_sentences(spark, sf).groupBy("sent_id").agg(F.first(F.size("toks")).alias("n"))
+    block = F.floor(F.col("sent_id") / 4096)
+    sums = ev.groupBy(block.alias("block")).agg(F.sum("n").alias("inside"))
+    before = F.coalesce(F.sum("inside").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a block of 4,096 sentences
+    within = F.sum("n").over(W.partitionBy("block").orderBy("sent_id"))
+    lengths = ev.withColumn("block", block).withColumn("within", within).join(sums.withColumn("before", before), "block").select("sent_id", "n", (F.col("before") + F.col("within")).alias("upto"))
+    total = ev.agg(F.sum("n")).first()[0] or 0
+    return tables.located(lengths, spark.range(0, total, 1000).withColumnRenamed("id", "ix"))
+
+
+@query("normalised_logs", f"WITH {_RULES} SELECT lhs, r1, r2, round(p, 9) AS p FROM rp WHERE NOT is_lex AND lhs > 0")
+def q_normalised_logs(spark, sf):
+    """Logs of rule counts brought back to probabilities; the lexical share is put back after."""
+    r = rules(spark, sf).where("lhs > 0")
+    share = r.groupBy("lhs").agg((F.sum(F.when(~F.col("is_lex"), F.col("cnt"))) / F.sum("cnt")).alias("share"))
+    items = F.array_sort(F.collect_list(F.struct("r1", "r2", scalars.as_log(F.col("cnt").cast("double")).alias("x"))))  # categories squared a row
+    logs = r.where(~F.col("is_lex")).groupBy("lhs").agg(items.alias("i")).withColumn("p", scalars.normalised_from_log(F.transform("i", lambda x: x["x"])))
+    rows = logs.select("lhs", F.explode(F.arrays_zip("i", "p")).alias("z")).join(share, "lhs")
+    return rows.select("lhs", "z.i.r1", "z.i.r2", F.round(F.col("z.p") * F.col("share"), 9).alias("p"))
+
+
 @query("token_hmm_mass", f"WITH {EVT} SELECT CAST(tok % 2 AS INTEGER) AS obs, count(*) AS cnt FROM evt GROUP BY 1")
 def q_obs(spark, sf):
     """Observations of the toy chain."""

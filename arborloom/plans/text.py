@@ -24,25 +24,27 @@ def q_corpus_stats(spark, sf):
     return size.join(kinds, size.corpus.eqNullSafe(kinds.corpus)).drop(kinds.corpus)
 
 
-@query("lowercase_words", f"WITH {TW} SELECT sent_id, lower(array_to_string(list_filter(words, lambda w: NOT contains(w, '/')), ' ')) AS folded FROM tw")
+_FOLD = """CASE WHEN len(string_split({s}, '/')) >= len(string_split({s}, ' '))
+    THEN array_to_string(list_transform(string_split({s}, ' '), lambda p: CASE WHEN contains(p, '/') THEN p[:instr(p, '/')] || lower(p[instr(p, '/') + 1:]) ELSE lower(p) END), ' ')
+    ELSE array_to_string(list_transform(string_split({s}, ' '), lambda p: CASE WHEN contains(p, '/') THEN p ELSE lower(p) END), ' ') END"""
+
+
+@query("lowercase_words", f"WITH {TW}, j AS (SELECT sent_id, array_to_string(words, ' ') AS s FROM tw) SELECT sent_id, {_FOLD.format(s='s')} AS folded FROM j")
 def q_lowercase_words(spark, sf):
-    """P01 on plain words."""
-    plain = word_sentences(spark, sf).withColumn("words", F.filter("words", lambda w: ~F.contains(w, F.lit("/"))))
-    return plain.select("sent_id", t.fold_case(F.array_join("words", " ")).alias("folded"))
+    """P01 on sentences of words, some of which have a slash or a blank."""
+    return word_sentences(spark, sf).select("sent_id", t.fold_case(F.array_join("words", " ")).alias("folded"))
 
 
-@query("lowercase_tagwords", f"WITH {PAIR} SELECT sent_id, pos, tag || '/' || lower(word) AS folded FROM pr WHERE NOT regexp_matches(word, '[/ ]')")
+@query("lowercase_tagwords", f"WITH {PAIR}, j AS (SELECT sent_id, pos, tag || '/' || word AS s FROM pr) SELECT sent_id, pos, {_FOLD.format(s='s')} AS folded FROM j")
 def q_lowercase_tagwords(spark, sf):
     """P01 on tag/word tokens."""
-    pairs = word_tags(spark, sf).where(~F.col("word").rlike("[/ ]"))
-    return pairs.select("sent_id", "pos", t.fold_case(F.concat("tag", F.lit("/"), "word")).alias("folded"))
+    return word_tags(spark, sf).select("sent_id", "pos", t.fold_case(F.concat("tag", F.lit("/"), "word")).alias("folded"))
 
 
-@query("strip_tags", f"WITH {PAIR} SELECT sent_id, pos, word AS stripped FROM pr WHERE NOT regexp_matches(word, '[/ ]') AND NOT regexp_matches(tag, '[/ ]') AND tag <> ''")
+@query("strip_tags", f"WITH {PAIR} SELECT sent_id, pos, regexp_replace(tag || '/' || word, '(^| )[^ /]+/', '\\1', 'g') AS stripped FROM pr")
 def q_strip_tags(spark, sf):
     """P02."""
-    pairs = word_tags(spark, sf).where("not word rlike '[/ ]' and not tag rlike '[/ ]' and tag <> ''")
-    return pairs.select("sent_id", "pos", t.strip_tags(F.concat("tag", F.lit("/"), "word")).alias("stripped"))
+    return word_tags(spark, sf).select("sent_id", "pos", t.strip_tags(F.concat("tag", F.lit("/"), "word")).alias("stripped"))
 
 
 @query("number_collapse", f"""WITH {PAIR} SELECT sent_id, pos, regexp_replace(tag || '/' || word, '/[^ /]*[0-9][^ /]*', '/number_token', 'g') AS collapsed FROM pr""")
@@ -103,12 +105,14 @@ def q_dict_encode(spark, sf):
     return t.ordered_lists(t.encoded(toks, t.first_occurrence_dictionary(toks)), value="id", out="ids")
 
 
-@query("encode_unk", f"""WITH {TOK}, d AS (SELECT word AS tok, min(id) AS id FROM word_dict WHERE word <> '' AND id % 2 = 1 GROUP BY word)
+@query("encode_unk", f"""WITH {TOK}, v AS (SELECT tok FROM tok GROUP BY tok HAVING count(*) >= 2), d AS (SELECT word AS tok, min(id) AS id FROM word_dict JOIN v ON v.tok = word GROUP BY word)
   SELECT sent_id, list(coalesce(d.id, 0) ORDER BY pos) AS ids FROM tok LEFT JOIN d ON d.tok = tok.tok GROUP BY sent_id""")
 def q_encode_unk(spark, sf):
-    """Ids from a dictionary that lacks half of the words; those are 0."""
-    half = read_table(spark, sf, "word_dict").where("word <> '' and id % 2 = 1").groupBy(F.col("word").alias("tok")).agg(F.min("id").alias("id"))
-    return t.ordered_lists(t.encoded(word_tokens(spark, sf), half, unknown=0), value="id", out="ids")
+    """Ids from the dictionary of the words seen twice and more; others are 0."""
+    toks = word_tokens(spark, sf)
+    seen = t.word_counts(toks).where("cnt >= 2").select("tok")
+    known = read_table(spark, sf, "word_dict").where("word <> ''").groupBy(F.col("word").alias("tok")).agg(F.min("id").alias("id")).join(seen, "tok", "left_semi")
+    return t.ordered_lists(t.encoded(toks, known, unknown=0), value="id", out="ids")
 
 
 @query("word_freq_sorted", f"WITH {EVT} SELECT tok, count(*) AS cnt FROM evt WHERE tok IS NOT NULL GROUP BY tok")
@@ -172,12 +176,23 @@ def q_conll_words(spark, sf):
     return s.select("sent_id", F.col("s.form").alias("words"), F.col("s.tag").alias("tags"))
 
 
-@query("morph_split", f"""WITH {CT} SELECT sent_id, tok_id, CAST(unnest(range(len(parts))) AS INTEGER) AS part_no, unnest(parts) AS part FROM
-  (SELECT sent_id, tok_id, string_split_regex(coalesce(nullif(lemma, '_'), form), '[-''/ ]') AS parts FROM ct WHERE form IS NOT NULL)""")
+@query("morph_split", f"""WITH {CT}, m AS (SELECT sent_id, tok_id, form, replace(coalesce(lemma, form), '-', '+') AS lemma, tag || '+X+' || tag AS tags FROM ct WHERE form IS NOT NULL AND tag IS NOT NULL),
+  p AS (SELECT sent_id, tok_id, CASE WHEN contains(lemma, '+') THEN list_transform(string_split(regexp_replace(lemma, '\\++$', ''), '+'), lambda w, i: coalesce(string_split(tags, '+')[i], '') || '/' || w) ELSE [tags || '/' || form] END AS t FROM m)
+  SELECT sent_id, tok_id, CAST(unnest(range(len(t))) AS INTEGER) AS part_no, unnest(t) AS tagword FROM p""")
 def q_morph_split(spark, sf):
-    """P20: a lemma of several parts gives several morphs."""
-    lemma = F.coalesce(F.expr("nullif(lemma, '_')"), "form")
-    return conll(spark, sf).where("form is not null").select("sent_id", "tok_id", F.posexplode(F.split(lemma, "[-'/ ]")).alias("part_no", "part"))
+    """P20: a lemma of several morphs gives several tag/word pairs; hyphens of lemmas stand for the plus signs that few of these have."""
+    rows = conll(spark, sf).where("form is not null and tag is not null")
+    lemma, tags = F.replace(F.coalesce("lemma", "form"), F.lit("-"), F.lit("+")), F.concat("tag", F.lit("+X+"), "tag")
+    return rows.select("sent_id", "tok_id", F.posexplode(t.tag_morphs(F.col("form"), lemma, tags)).alias("part_no", "tagword"))
+
+
+@query("expand_morphs", f"""WITH {PAIR}, w AS (SELECT sent_id, pos, tag, word FROM pr WHERE NOT regexp_matches(word, '[()/+\\s]') AND NOT regexp_matches(tag, '[()/+\\s]') AND tag <> '')
+  SELECT sent_id, pos, '(NP (' || tag || ' ' || word || ') (' || tag || 'S ' || word || 'x) (' || tag || ' ' || word || '))' AS tree FROM w""")
+def q_expand_morphs(spark, sf):
+    """Leaves of two morphs and of one, made from every word that has no reserved sign."""
+    w = word_tags(spark, sf).where(~F.col("word").rlike("[()/+\\s]") & ~F.col("tag").rlike("[()/+\\s]") & (F.col("tag") != ""))
+    leaf = F.concat(F.lit("(NP "), "word", F.lit("/"), "tag", F.lit("+"), "word", F.lit("x/"), "tag", F.lit("S "), "word", F.lit("/"), "tag", F.lit(")"))
+    return w.select("sent_id", "pos", t.expand_morphs(leaf).alias("tree"))
 
 
 @query("paste_columns", f"""WITH {TOK}, {CT}, f AS (SELECT sent_id, CAST(row_number() OVER (PARTITION BY sent_id ORDER BY tok_id) - 1 AS INTEGER) AS pos, form FROM ct)
@@ -193,14 +208,14 @@ def q_paste_columns(spark, sf):
 @query("ref_semi", f"WITH {TOK} SELECT DISTINCT tok FROM tok WHERE tok IN (SELECT form FROM conll_tokens)")
 def q_ref_semi(spark, sf):
     """J04."""
-    forms = read_table(spark, sf, "conll_tokens").select(F.col("form").alias("tok"))
+    forms = read_table(spark, sf, "conll_tokens").select(F.col("form").alias("tok")).distinct()
     return word_tokens(spark, sf).select("tok").distinct().join(forms, "tok", "left_semi")
 
 
 @query("ref_anti", f"WITH {TOK} SELECT DISTINCT tok FROM tok WHERE tok NOT IN (SELECT form FROM conll_tokens WHERE form IS NOT NULL)")
 def q_ref_anti(spark, sf):
     """J05, X04."""
-    forms = read_table(spark, sf, "conll_tokens").select(F.col("form").alias("tok"))
+    forms = read_table(spark, sf, "conll_tokens").select(F.col("form").alias("tok")).distinct()
     return word_tokens(spark, sf).select("tok").distinct().join(forms, "tok", "left_anti")
 
 
@@ -212,7 +227,15 @@ def q_ref_ordered(spark, sf):
     """The n-th occurrence of a word with the n-th in the reference."""
     a = word_tokens(spark, sf).select((F.col("sent_id") * 1000 + F.col("pos")).alias("o"), F.col("tok").alias("v"))
     b = conll(spark, sf).where("form is not null").select((F.col("sent_id") * 1000 + F.col("tok_id")).alias("o"), F.col("form").alias("v"))
-    return t.in_reference_order(a, b, "o", "v")
+    return t.in_reference_order(a, b, "o", "v").select("row_order", "v", F.col("rank").cast("int").alias("rank"), "ref_order")
+
+
+@query("ref_leftovers", f"""WITH {TOK}, {CT}, a AS (SELECT tok AS v, count(*) AS n FROM tok GROUP BY tok), b AS (SELECT form AS v, count(*) AS m FROM ct WHERE form IS NOT NULL GROUP BY form)
+  SELECT coalesce(a.v, b.v) AS v, coalesce(n, 0) AS n_rows, coalesce(m, 0) AS n_ref FROM a FULL JOIN b ON a.v = b.v WHERE coalesce(n, 0) <> coalesce(m, 0)""")
+def q_ref_leftovers(spark, sf):
+    """Words that one side has more often, which an ordered reference would report as an error."""
+    a = word_tokens(spark, sf).select(F.col("tok").alias("v"))
+    return t.leftovers(a, conll(spark, sf).where("form is not null").select(F.col("form").alias("v")), "v")
 
 
 @query("word_links", """SELECT w.tag, count(*) AS n_tokens, count(DISTINCT d.id) AS n_ids FROM (SELECT DISTINCT sent_id, tok_id, form, tag FROM conll_tokens) w
@@ -221,8 +244,9 @@ def q_word_links(spark, sf):
     """Chained inner joins, token to word to vector."""
     vectors = read_table(spark, sf, "word_vectors").select("id").distinct()
     known = read_table(spark, sf, "word_dict").select("id", F.col("word").alias("form")).distinct().join(vectors, "id")
-    toks = read_table(spark, sf, "conll_tokens").select("sent_id", "tok_id", "form", "tag").distinct()
-    return toks.join(known, "form").groupBy("tag").agg(F.count("*").alias("n_tokens"), F.countDistinct("id").alias("n_ids"))
+    # Tokens are counted by form and tag first: a frequent word is one row of the join.
+    toks = read_table(spark, sf, "conll_tokens").select("sent_id", "tok_id", "form", "tag").distinct().groupBy("form", "tag").agg(F.count("*").alias("c"))
+    return toks.join(known, "form").groupBy("tag").agg(F.sum("c").alias("n_tokens"), F.countDistinct("id").alias("n_ids"))
 
 
 @query("top_words_per_tag", f"""WITH {PAIR}, c AS (SELECT tag, word, count(*) AS cnt FROM pr GROUP BY tag, word)
@@ -258,7 +282,7 @@ def q_wiki_normalise(spark, sf):
 
 
 @query("escape_brackets", f"""WITH {TOK} SELECT sent_id, pos, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(tok,
-  '(', '-LRB-'), ')', '-RRB-'), '<', '-LAB-'), '>', '-RAB-'), '[', '-LSB-'), ']', '-RSB-'), '{{', '-LCB-'), '}}', '-RCB-'), '^', '-CARET-'), '_', '-UNDER-') AS escaped FROM tok""")
+  '(', '-LRB-'), ')', '-RRB-'), '<', '-LTB-'), '>', '-RTB-'), '[', '-LSB-'), ']', '-RSB-'), '{{', '-LCB-'), '}}', '-RCB-'), '^', '-CARAT-'), '_', '-UNDERSCORE-') AS escaped FROM tok""")
 def q_escape_brackets(spark, sf):
     """P23."""
     return word_tokens(spark, sf).select("sent_id", "pos", t.escape_brackets(F.col("tok")).alias("escaped"))

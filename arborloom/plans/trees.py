@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from arborloom.operators import metrics, trees
 from arborloom.operators import text as t
 from arborloom.plans import query
-from arborloom.plans.base import LN, TOK, conll, word_sentences
+from arborloom.plans.base import CT, LN, TOK, conll, word_sentences
 from arborloom.session import read_table
 
 _TREES = LN + """, tr AS (SELECT ln.doc_id * 100000 + line_no AS tree_id, line AS tree FROM ln JOIN (SELECT doc_id, fmt FROM documents) d ON d.doc_id = ln.doc_id
@@ -17,6 +17,17 @@ run AS (SELECT *, sum(CASE x WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (
 ok AS (SELECT tree_id FROM run GROUP BY tree_id HAVING arg_max(d, i) = 0 AND min(CASE WHEN i < (SELECT 1) THEN 1 ELSE d END) >= 0 AND count(*) FILTER (WHERE d = 0 AND x <> ')') = 0 AND count(*) FILTER (WHERE d = 0) = 1)"""
 
 
+#: Nodes of balanced trees: brackets matched by level, leaves counted, parents the last open bracket one level up.
+_NODES = _TREES + """, tt AS (SELECT run.* FROM run JOIN ok ON ok.tree_id = run.tree_id),
+br AS (SELECT tree_id, i, x, lv, lead(i) OVER (PARTITION BY tree_id, lv ORDER BY i) AS e FROM (SELECT tree_id, i, x, CASE x WHEN '(' THEN d ELSE d + 1 END AS lv FROM tt WHERE x IN ('(', ')'))),
+lf AS (SELECT tree_id, i, x AS word, row_number() OVER (PARTITION BY tree_id ORDER BY i) - 1 AS k FROM tt WHERE x NOT IN ('(', ')') AND before <> '('),
+op AS (SELECT br.tree_id, br.i, br.e, br.lv AS depth, la.x AS label, lf.word, row_number() OVER (PARTITION BY br.tree_id ORDER BY br.i) - 1 AS node_id
+  FROM br JOIN tt la ON la.tree_id = br.tree_id AND la.i = br.i + 1 LEFT JOIN lf ON lf.tree_id = br.tree_id AND lf.i = br.i + 2 WHERE br.x = '('),
+nd AS (SELECT op.*, (SELECT min(k) FROM lf WHERE lf.tree_id = op.tree_id AND lf.i > op.i) AS l, (SELECT max(k) FROM lf WHERE lf.tree_id = op.tree_id AND lf.i < op.e) AS r, up.node_id AS parent_id
+  FROM op ASOF LEFT JOIN op up ON op.tree_id = up.tree_id AND op.depth = up.depth + 1 AND op.i > up.i),
+kd AS (SELECT *, row_number() OVER (PARTITION BY tree_id, parent_id ORDER BY i) - 1 AS child_ix FROM nd)"""
+
+
 def line_trees(spark, sf):
     """One tree a line of the documents laid out as line trees."""
     docs = read_table(spark, sf, "documents").where("fmt = 'linetrees' and text is not null")
@@ -65,7 +76,9 @@ def q_tree_roundtrip(spark, sf):
     return trees.written_trees(nodes(spark, sf))
 
 
-@query("tree_productions")
+@query("tree_productions", f"""WITH {_NODES} SELECT lhs, rhs, is_lex, count(*) AS cnt FROM (
+    SELECT any_value(p.label) AS lhs, list(c.label ORDER BY c.i) AS rhs, false AS is_lex FROM kd c JOIN kd p ON p.tree_id = c.tree_id AND p.node_id = c.parent_id GROUP BY c.tree_id, c.parent_id
+    UNION ALL SELECT label, [word], true FROM kd WHERE word IS NOT NULL) GROUP BY ALL""")
 def q_tree_productions(spark, sf):
     """Counts of rules."""
     p = trees.productions(nodes(spark, sf))
@@ -81,26 +94,39 @@ def q_lexical_rules(spark, sf):
     return trees.productions(nodes(spark, sf)).where("is_lex").groupBy("lhs", F.col("rhs")[0].alias("word")).agg(F.count("*").alias("cnt"))
 
 
-@query("tree_spans")
+@query("tree_spans", f"""WITH {_NODES} SELECT label, n_leaves, count(*) AS cnt, count(DISTINCT span) AS n_kinds FROM (
+    SELECT any_value(kd.label) AS label, CAST(any_value(kd.r - kd.l) + 1 AS INTEGER) AS n_leaves, string_agg(lf.word, ' ' ORDER BY lf.k) AS span
+    FROM kd JOIN lf ON lf.tree_id = kd.tree_id AND lf.k BETWEEN kd.l AND kd.r WHERE kd.r > kd.l GROUP BY kd.tree_id, kd.node_id) GROUP BY label, n_leaves""")
 def q_tree_spans(spark, sf):
-    """Spans of more than one leaf."""
-    return trees.spans(nodes(spark, sf)).groupBy("label", "span").agg(F.count("*").alias("cnt"))
+    """Spans of more than one leaf, and how many of them differ in their words, by label and length."""
+    s = trees.spans(nodes(spark, sf)).withColumn("n_leaves", (F.col("r") - F.col("l") + 1).cast("int"))
+    return s.groupBy("label", "n_leaves").agg(F.count("*").alias("cnt"), F.countDistinct("span").alias("n_kinds"))
 
 
-@query("branching_score")
+@query("branching_score", f"""WITH {_NODES}, nk AS (SELECT tree_id, parent_id, count(*) AS n FROM kd WHERE parent_id IS NOT NULL GROUP BY ALL),
+  two AS (SELECT kd.*, coalesce(n, 0) = 2 AS two FROM kd LEFT JOIN nk ON nk.tree_id = kd.tree_id AND nk.parent_id = kd.node_id),
+  s AS (SELECT count(*) FILTER (WHERE c.two AND c.child_ix = 0) AS n_left, count(*) FILTER (WHERE c.two AND c.child_ix = 1) AS n_right FROM two c JOIN two p ON p.tree_id = c.tree_id AND p.node_id = c.parent_id AND p.two)
+  SELECT n_left, n_right, round(n_right / (n_left + n_right), 6) AS right_share FROM s""")
 def q_branching_score(spark, sf):
     """Right children that branch against left ones."""
     b = trees.branching(nodes(spark, sf))
     return b.withColumn("right_share", F.round(F.try_divide(F.col("n_right"), F.col("n_left") + F.col("n_right")), 6))
 
 
-@query("center_embedded")
+@query("center_embedded", f"""WITH {_NODES} SELECT DISTINCT b.tree_id FROM kd b JOIN kd c ON c.tree_id = b.tree_id AND c.parent_id = b.node_id AND c.child_ix = 0
+  JOIN kd d ON d.tree_id = c.tree_id AND d.parent_id = c.node_id AND d.child_ix = 1 WHERE b.child_ix = 1 AND b.parent_id IS NOT NULL""")
 def q_center_embedded(spark, sf):
     """E10."""
     return trees.center_embedded(nodes(spark, sf))
 
 
-@query("unary_collapsed")
+@query("unary_collapsed", f"""WITH {_NODES}, nk AS (SELECT tree_id, parent_id, count(*) AS n FROM kd WHERE parent_id IS NOT NULL GROUP BY ALL),
+  k AS (SELECT kd.tree_id, kd.i, kd.e, kd.label, kd.word, kd.l, kd.r, row_number() OVER (PARTITION BY kd.tree_id ORDER BY kd.i) - 1 AS id FROM kd
+    LEFT JOIN nk ON nk.tree_id = kd.tree_id AND nk.parent_id = kd.node_id WHERE coalesce(n, 0) <> 1),
+  p AS (SELECT k.tree_id, k.id, max(u.id) AS parent FROM k JOIN k u ON u.tree_id = k.tree_id AND u.i < k.i AND u.e > k.e GROUP BY k.tree_id, k.id)
+  SELECT k.tree_id, CAST(k.id AS INTEGER) AS node_id, CAST(coalesce(parent, -1) AS INTEGER) AS parent_id,
+    CAST(row_number() OVER (PARTITION BY k.tree_id, coalesce(parent, -1) ORDER BY k.i) - 1 AS INTEGER) AS child_ix, label, word, CAST(l AS INTEGER) AS l, CAST(r AS INTEGER) AS r
+  FROM k LEFT JOIN p ON p.tree_id = k.tree_id AND p.id = k.id""")
 def q_unary_collapsed(spark, sf):
     """R07, P19."""
     return trees.without_unary(nodes(spark, sf)).select("tree_id", "node_id", "parent_id", "child_ix", "label", "word", "l", "r")
@@ -117,11 +143,11 @@ def q_label_entropy(spark, sf):
 
 
 def _branch_spans(spark, sf, right):
-    """Spans of right or left branching trees of the tagged sentences; the label is the length class of the span."""
-    s = word_sentences(spark, sf).where("size(words) > 1").select(F.col("sent_id").alias("tree_id"), "words", F.size("words").alias("n"))
-    span = F.slice("words", F.col("i") + 1, F.col("n") - F.col("i")) if right else F.slice("words", 1, F.col("n") - F.col("i"))
-    return s.select("tree_id", "words", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 2)).alias("i")).select(
-        "tree_id", F.concat(F.lit("L"), ((F.col("n") - F.col("i")) % 4).cast("string")).alias("label"), F.array_join(span, " ").alias("span")
+    """Spans of right or left branching trees of the tagged sentences, by hash; the label is the length class of the span."""
+    s = word_sentences(spark, sf).where("size(words) > 1").select(F.col("sent_id").alias("tree_id"), F.transform("words", lambda w: F.xxhash64(w)).alias("v"), F.size("words").alias("n"))
+    span = F.slice("v", F.col("i") + 1, F.col("n") - F.col("i")) if right else F.slice("v", F.lit(1), F.col("n") - F.col("i"))
+    return s.select("tree_id", "v", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 2)).alias("i")).select(
+        "tree_id", F.concat(F.lit("L"), ((F.col("n") - F.col("i")) % 4).cast("string")).alias("label"), (F.col("n") - F.col("i")).alias("size"), trees.span_key(span).alias("span")
     )
 
 
@@ -144,6 +170,23 @@ _LABELS = _SPANS + """, ls AS (SELECT tree_id, span, label, count(*) AS n_s FROM
     FROM h JOIN (SELECT label, sum(n_s) AS n_sys FROM ls GROUP BY label) a ON a.label = h.label JOIN (SELECT phrase, sum(n_g) AS n_gold FROM gs GROUP BY phrase) b ON b.phrase = h.phrase)"""
 
 
+@query("phrase_recall", f"""WITH {_SPANS}, ls AS (SELECT tree_id, span, count(*) AS n_s FROM lb GROUP BY ALL), gs AS (SELECT tree_id, span, label AS phrase, count(*) AS n_g FROM rb GROUP BY ALL)
+  SELECT phrase, CAST(sum(n_g) AS BIGINT) AS n_gold, CAST(sum(least(n_g, coalesce(n_s, 0))) AS BIGINT) AS n_match, round(sum(least(n_g, coalesce(n_s, 0))) / sum(n_g), 6) AS recall
+  FROM gs LEFT JOIN ls ON ls.tree_id = gs.tree_id AND ls.span = gs.span GROUP BY phrase""")
+def q_phrase_recall(spark, sf):
+    """Recall of each gold phrase type, whatever the system's label."""
+    return metrics.phrase_recall(_branch_spans(spark, sf, False), _branch_spans(spark, sf, True))
+
+
+@query("bracket_f1_cut", f"""WITH {_SPANS}, sz AS (SELECT sent_id AS tree_id, len(words) AS n FROM tw) SELECT CAST(sum(n_sys) AS BIGINT) AS n_sys, CAST(sum(n_gold) AS BIGINT) AS n_gold, CAST(sum(n_match) AS BIGINT) AS n_match,
+  round(sum(n_match) / sum(n_sys), 6) AS precision, round(sum(n_match) / sum(n_gold), 6) AS recall, round(2 * sum(n_match) / (sum(n_sys) + sum(n_gold)), 6) AS f1 FROM m JOIN sz ON sz.tree_id = m.tree_id WHERE sz.n <= 10""")
+def q_bracket_f1_cut(spark, sf):
+    """E03 with a cutoff length of 10 words."""
+    m = metrics.span_matches(_branch_spans(spark, sf, False), _branch_spans(spark, sf, True), ["tree_id", "span"])
+    size = word_sentences(spark, sf).select(F.col("sent_id").alias("tree_id"), F.size("words").alias("n"))
+    return metrics.bracket_scores(m.join(size.where("n <= 10"), "tree_id"))
+
+
 @query("label_f1", f"WITH {_LABELS} SELECT label, phrase, CAST(n_match AS BIGINT) AS n_match, CAST(n_sys AS BIGINT) AS n_sys, CAST(n_gold AS BIGINT) AS n_gold, f1 FROM sc")
 def q_label_f1(spark, sf):
     """E05."""
@@ -179,6 +222,14 @@ def q_perm_test(spark, sf):
     return metrics.permutation_test(p, 200)
 
 
+@query("dependency_units", f"""WITH {CT}, s AS (SELECT sent_id, count(*) AS n, count(*) FILTER (WHERE coalesce(head, 0) = 0) AS n_roots FROM ct GROUP BY sent_id)
+  SELECT sent_id, n AS n_words, n_roots FROM s WHERE n_roots <> 1""")
+def q_dependency_units(spark, sf):
+    """Sentences that no tree can cover, as they have no outermost head or several."""
+    s = conll(spark, sf).groupBy("sent_id").agg(F.count("*").alias("n_words"), F.sum((F.coalesce("head", F.lit(0)) == 0).cast("bigint")).alias("n_roots"))
+    return s.where("n_roots <> 1")
+
+
 @query("dependency_trees")
 def q_dependency_trees(spark, sf):
     """Constituency trees of dependency sentences."""
@@ -210,12 +261,22 @@ def q_toy_trees(spark, sf):
 
 @query("head_dependencies")
 def q_head_dependencies(spark, sf):
-    """Dependencies of the line trees under the head model of their own rules."""
+    """Dependencies of the line trees under the head model of their own rules, of any arity."""
+    from arborloom.operators import grammar
+
+    rules = trees.productions(nodes(spark, sf)).where(~F.col("is_lex")).groupBy("lhs", "rhs").agg(F.count("*").alias("cnt"))
+    return trees.dependencies_of(line_trees(spark, sf), grammar.head_model_of(rules))
+
+
+@query("tree_head_model", f"""WITH {_NODES}, pr AS (SELECT any_value(p.label) AS lhs, list(c.label ORDER BY c.i) AS rhs FROM kd c JOIN kd p ON p.tree_id = c.tree_id AND p.node_id = c.parent_id GROUP BY c.tree_id, c.parent_id),
+  rc AS (SELECT lhs, rhs, count(*) AS cnt FROM pr GROUP BY ALL), rp AS (SELECT lhs, rhs, cnt / sum(cnt) OVER (PARTITION BY lhs) AS p FROM rc)
+  SELECT lhs, child, round(sum(p / n), 6) AS p FROM (SELECT lhs, p, len(rhs) AS n, unnest(rhs) AS child FROM rp) GROUP BY lhs, child""")
+def q_tree_head_model(spark, sf):
+    """A12 over the line trees: share of each child label of each phrase, rules of any arity."""
     from arborloom.operators import grammar
 
-    p = trees.productions(nodes(spark, sf)).where(~F.col("is_lex") & (F.size("rhs") == 2))
-    rules = p.groupBy("lhs", F.col("rhs")[0].alias("r1"), F.col("rhs")[1].alias("r2"), "is_lex").agg(F.count("*").alias("cnt"))
-    return trees.dependencies_of(line_trees(spark, sf), grammar.head_model(rules))
+    rules = trees.productions(nodes(spark, sf)).where(~F.col("is_lex")).groupBy("lhs", "rhs").agg(F.count("*").alias("cnt"))
+    return grammar.head_model_of(rules).select("lhs", "child", F.round("p", 6).alias("p"))
 
 
 @query("held_out_recall")
@@ -224,15 +285,30 @@ def q_held_out(spark, sf):
     return metrics.held_out_recall(_branch_spans(spark, sf, False), _branch_spans(spark, sf, True), 1000)
 
 
-@query("tree_ancestors")
+@query("tree_ancestors", f"""WITH {_NODES} SELECT n.tree_id, CAST(n.node_id AS INTEGER) AS node_id, CAST(n.depth - a.depth AS INTEGER) AS distance, CAST(a.node_id AS INTEGER) AS ancestor_id
+  FROM kd n JOIN kd a ON a.tree_id = n.tree_id AND a.i < n.i AND a.e > n.e""")
 def q_ancestors(spark, sf):
     """R09."""
     return trees.ancestors(nodes(spark, sf))
 
 
-@query("html_code_pairs", """SELECT code, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '<TOKEN[^>]* pos="([A-Z]+)"', 1)) AS code FROM documents WHERE fmt = 'ltf') GROUP BY code""")
+@query("html_code_pairs", """SELECT code, r_name AS place, count(*) AS n FROM (SELECT n.n_name, r.r_name, unnest(string_split(regexp_replace(lower(n.n_name), '[^a-z|]', '-', 'g') || '|' || regexp_replace(lower(r.r_name), '[^a-z|]', '-', 'g'), '|')) AS code
+  FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey) GROUP BY ALL""")
 def q_html_pairs(spark, sf):
-    """P29 on the markup at hand: attribute values of annotation XML, counted."""
-    docs = read_table(spark, sf, "documents").where("fmt = 'ltf'")
-    codes = F.regexp_extract_all("text", F.lit('<TOKEN[^>]* pos="([A-Z]+)"'), F.lit(1))
-    return docs.select(F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    """Code and place pairs scraped from table rows of pages; the pages are made from the nations and their regions."""
+    n, r = read_table(spark, sf, "nation"), read_table(spark, sf, "region")
+    code = lambda c: F.regexp_replace(F.lower(c), "[^a-z|]", "-")
+    row = F.concat(F.lit("<tr><td>"), code("n_name"), F.lit("|"), code("r_name"), F.lit(":</td> <td class='x'> "), F.col("r_name"), F.lit(" </td></tr>"))
+    pages = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).groupBy("r_name").agg(F.array_join(F.collect_list(row), "\n").alias("html"))  # a page a region: 25 rows in all
+    return pages.select(F.explode(t.code_places(F.col("html"))).alias("x")).select("x.*").groupBy("code", "place").agg(F.count("*").alias("n"))
+
+
+@query("incremental_parse")
+def q_incremental(spark, sf):
+    """S30 over every sentence: right branching parses in the incremental format."""
+    s = word_sentences(spark, sf).where("size(words) > 1")
+    n = F.size("words")
+    # Right branching: the first word opens 1/1, every later one is joined below it, the last closes.
+    state = lambda w, i: F.concat(F.when(i > 1, F.lit("+")).otherwise(F.lit("-")), F.when(i == 0, F.lit("::ACT0/AWA0::")).otherwise(F.lit("::ACT1/AWA1::")), F.when(i < n - 1, F.lit("+")).otherwise(F.lit("-")), F.lit("::POS1::"), F.regexp_replace(w, "[ :]", "_"))
+    states = s.select("sent_id", F.array_join(F.transform("words", state), " ").alias("states"))
+    return trees.incremental_parses(states).select("sent_id", "parse")

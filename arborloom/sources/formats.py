@@ -89,30 +89,48 @@ def read_line_trees(spark: SparkSession, path: str, limit: int | None = None) ->
 
 
 def read_conll(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, sent_id, tok_id, fields)``: blocks between empty lines; comments and multiword ranges dropped."""
-    blocks = read_lines(spark, path, lineSep="\n\n").select("file", F.col("line_id").alias("sent_id"), F.explode(F.split("line", "\r?\n")).alias("row"))
-    fields = F.split("row", "\t")
-    rows = blocks.where("row rlike '^[0-9]+[\t ]'").select("file", "sent_id", F.when(F.instr("row", "\t") > 0, fields).otherwise(F.split("row", " +")).alias("fields"))
-    return rows.select("file", "sent_id", F.col("fields")[0].cast("int").alias("tok_id"), "fields")
+    """``(file, sent_id, tok_id, fields)``: blocks between blank lines, with any line end; comments and multiword ranges dropped.
+
+    sent_id is the line_id of the block's first line. A file is read in splits; the number of blank lines before a split comes from sums over
+    splits, so no file is sorted in one task.
+    """
+    rows = read_lines(spark, path).withColumn("split", F.shiftright("line_id", 33)).withColumn("blank", F.col("line").rlike("^[ \t\r]*$").cast("int"))
+    sums = rows.groupBy("file", "split").agg(F.sum("blank").alias("inside"))  # one row a split
+    before = F.coalesce(F.sum("inside").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    within = F.sum("blank").over(W.partitionBy("file", "split").orderBy("line_id"))
+    placed = rows.withColumn("within", within).join(F.broadcast(sums.withColumn("before", before)), ["file", "split"])
+    line = F.regexp_replace("line", "\r$", "")
+    fields = F.when(F.instr("row", "\t") > 0, F.split("row", "\t")).otherwise(F.split("row", " +"))
+    toks = placed.select("file", "line_id", (F.col("before") + F.col("within")).alias("block"), line.alias("row")).where("row rlike '^[0-9]+[\t ]'")
+    first = F.min("line_id").over(W.partitionBy("file", "block"))
+    return toks.select("file", first.alias("sent_id"), F.regexp_extract("row", "^[0-9]+", 0).cast("int").alias("tok_id"), fields.alias("fields"))
 
 
 def read_delimited(spark: SparkSession, path: str, n_fields: int, delimiter: str = "\t") -> tuple[DataFrame, DataFrame]:
     """``(rows, rejected)`` of whole files of delimited records; a quoted field may span lines.
 
-    One file is one task's work: records are assembled quote-aware in file order. ``rows(file, record_no, fields)``;
-    ``rejected(file, record_no, raw, reason)``.
+    One file is one task's work: records are assembled quote-aware in file order, and a quote that is never closed costs only its line.
+    ``rows(file, record_no, fields)``; ``rejected(file, record_no, raw, reason)``.
     """
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = badrows.Reader(delimiter)
+
+        def whole(record: str) -> bool:
+            try:
+                return len(reader.split(record.removesuffix("\r"))) == n_fields
+            except badrows.Rejected:
+                return False
+
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for file, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 lines = text.split("\n")
-                for no, raw in enumerate(badrows.assemble_records(lines[:-1] if lines[-1] == "" else lines)):
+                for no, raw in enumerate(badrows.assemble_records(lines[:-1] if lines[-1] == "" else lines, whole)):
                     fields, reason = None, None
                     try:
-                        fields = badrows.split_record(raw.removesuffix("\r"), delimiter)
+                        fields = reader.split(raw.removesuffix("\r"))
                         if len(fields) != n_fields:
                             raise badrows.Rejected(badrows.COLUMNS)
                     except badrows.Rejected as e:
@@ -253,6 +271,35 @@ def segments(steps: DataFrame) -> DataFrame:
     return parts.unionByName(steps.groupBy("sent_id").agg(*ends).withColumn("segment", F.lit(-1).cast("bigint")))
 
 
+def gaussian_lines(gaussian: DataFrame) -> DataFrame:
+    """``(pos, dim, line)`` of ``gaussian(pos, dim, mean, sd)``; dim -1 is the heading of a tag, and every line has its own heading before it."""
+    number = lambda c: F.format_string("%.6f", c.cast("double"))
+    value = F.concat(F.lit("P( "), F.col("dim").cast("string"), F.lit(" | POS"), F.col("pos").cast("string"), F.lit(" ) ~ N("), number(F.col("mean")), F.lit(", "), number(F.col("sd")), F.lit(")"))
+    head = F.concat(F.lit("## Writing pos_ind="), F.col("pos").cast("string"), F.lit(", dim = "), F.col("dim").cast("string"))
+    tags = gaussian.select("pos").distinct().select("pos", F.lit(-1).alias("dim"), F.concat(F.lit("## writing pos_ind="), F.col("pos").cast("string")).alias("line"))
+    return tags.unionByName(gaussian.select("pos", F.col("dim").cast("int"), F.concat(head, F.lit("\n"), value).alias("line")))
+
+
+def write_gaussian(gaussian: DataFrame, path: str) -> None:
+    """The lines in order of tag and dimension."""
+    gaussian_lines(gaussian).orderBy("pos", "dim").select("line").write.mode("overwrite").text(path)
+
+
+def read_gaussian(spark: SparkSession, path: str) -> DataFrame:
+    """The reverse of S19: ``(pos, dim, mean, sd)``."""
+    pattern = r"^P\( (\d+) \| POS(\d+) \) ~ N\((\S+), (\S+)\)$"
+    get = lambda i, t: F.regexp_extract("value", pattern, i).cast(t)
+    return spark.read.text(path).where(F.col("value").rlike(pattern)).select(get(2, "int").alias("pos"), get(1, "int").alias("dim"), get(3, "double").alias("mean"), get(4, "double").alias("sd"))
+
+
+def write_token_attributes(tokens: DataFrame, path: str) -> None:
+    """Tokens ``(seg_id, pos, word, a, b, g, f, j)`` as annotation XML, a segment a row, the state's parts as attributes of its tokens."""
+    part = F.struct("pos", *(F.col(c).cast("string").alias(f"_{c}") for c in "abgfj"), F.col("word").alias("_VALUE"))
+    segs = tokens.groupBy(F.col("seg_id").cast("string").alias("_id")).agg(F.array_sort(F.collect_list(part)).alias("t"))
+    rows = segs.select("_id", F.transform("t", lambda x: F.struct(*(x[f"_{c}"].alias(f"_{c}") for c in "abgfj"), x["_VALUE"].alias("_VALUE"))).alias("TOKEN"))
+    rows.write.mode("overwrite").format("xml").option("rootTag", "LTF").option("rowTag", "SEG").save(path)
+
+
 def write_annotations(spans: DataFrame, path: str) -> None:
     """Spans as annotation XML."""
     rows = spans.select(F.concat_ws("-", F.lit("ann"), F.col("sent_id").cast("string"), F.col("segment").cast("string")).alias("_id"), F.col("begin").alias("_start"), F.col("end").alias("_end"))
@@ -271,6 +318,13 @@ def read_config(text: str) -> dict[str, dict[str, str]]:
     return {s: dict(c.items(s)) for s in c.sections()}
 
 
+def config_entries(lines: DataFrame, line: str) -> DataFrame:
+    """``key`` and ``value`` of the lines of INI texts that set one; comments, sections and other lines dropped."""
+    value = F.col(line)
+    rows = lines.where(F.contains(value, F.lit("=")) & ~F.startswith(value, F.lit("#")) & ~F.startswith(value, F.lit("[")))
+    return rows.withColumn("key", F.trim(F.split(value, "=")[0])).withColumn("value", F.trim(F.regexp_replace(value, "^[^=]*=", "")))
+
+
 def config_text(config: dict[str, dict[str, object]]) -> str:
     """The reverse."""
     return "\n".join(f"[{s}]\n" + "".join(f"{k} = {v}\n" for k, v in values.items()) for s, values in config.items())

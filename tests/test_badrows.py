@@ -42,3 +42,24 @@ def test_table(spark):
 
 def test_records_over_lines():
     assert list(b.assemble_records(iter(['a\t"b', 'c"\td', "e", 'f"g']))) == ['a\t"b\nc"\td', "e", 'f"g']
+    # A quote that is never closed, or closed by a line that makes no whole record, costs its own line only.
+    assert list(b.assemble_records(iter(['"a', "b", "c"]))) == ['"a', "b", "c"]
+    lines = ['x\t"a', "1\t2", '3\t"4', '5"', '"', "6\t7"]
+    two = lambda r: len(b.split_record(r)) == 2
+
+    def whole(r):
+        try:
+            return two(r)
+        except b.Rejected:
+            return False
+
+    assert list(b.assemble_records(iter(lines), whole)) == ['x\t"a', "1\t2", '3\t"4\n5"', '"', "6\t7"]
+
+
+def test_one_reader_for_many_records():
+    r = b.Reader()
+    assert r.split("a\tb") == ["a", "b"] and r.split("") == [""] and r.split('"a\nb"\t') == ["a\nb", ""]
+    for bad in ('"a', '"a"b', 'a"b', 'x\t"'):
+        with pytest.raises(b.Rejected):
+            r.split(bad)
+        assert r.split("c\td") == ["c", "d"]

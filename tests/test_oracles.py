@@ -5,7 +5,7 @@ import pytest
 from arborloom import plans
 from tests.oracle import DATA, compare
 
-for name in ("badrows", "text", "trees", "metrics", "grammar", "streaming"):
+for name in ("badrows", "text", "trees", "metrics", "grammar", "formats", "streaming"):
     importlib.import_module(f"arborloom.plans.{name}")
 
 

@@ -41,6 +41,19 @@ def test_conll_and_delimited(spark, tmp_path):
     assert sorted(tuple(r.fields) for r in good.collect()) == [("a", "b\nc"), ("d", "e")]
     # The open quote of the last line reaches the end of the file.
     assert [r.reason for r in bad.orderBy("record_no").collect()] == ["columns", "quoting"]
+    good, bad = s.read_delimited(spark, put(tmp_path, "r.tsv", 'a\tb\nc\t"d\ne\tf\ng\th\n'), 2)
+    assert sorted(tuple(r.fields) for r in good.collect()) == [("a", "b"), ("e", "f"), ("g", "h")]
+    assert [(r.raw, r.reason) for r in bad.collect()] == [('c\t"d', "quoting")]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_conll_line_ends(spark, tmp_path, end):
+    text = "1\ta\n2\tb\n \n\n1\tc\n".replace("\n", end)
+    rows = s.read_conll(spark, put(tmp_path, "e.conll", text)).collect()
+    blocks = {}
+    for r in rows:
+        blocks.setdefault(r.sent_id, []).append((r.tok_id, r.fields[1]))
+    assert sorted(map(sorted, blocks.values())) == [[(1, "a"), (2, "b")], [(1, "c")]]
 
 
 def test_xml_and_korean(spark, tmp_path):
