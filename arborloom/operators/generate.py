@@ -33,6 +33,97 @@ def random_grammar(categories: int, words: int, seed: int, branching: tuple[floa
     return out
 
 
+def layered_grammar(
+    active: int, awaited: int, tags: int, words: int, seed: int, branching: float = 0.5, recursion: float = 0.1, termination: float = 0.4, one_word: float = 0.1
+) -> dict[str, list[tuple[tuple[str, ...], float]]]:
+    """Active (A..), awaited (B..) and word (P..) categories under the root T.
+
+    A phrase has rules of four classes, each class with shares drawn at random: both children phrases (``recursion``), the left one
+    (``branching``), the right one, none (``termination``); termination takes its share first, then recursion, then branching. The root goes to
+    a word category with ``one_word``. Words come from stick breaking.
+    """
+    rng = np.random.default_rng(seed)
+    a, b, p = ([f"{x}{i}" for i in range(1, n + 1)] for x, n in (("A", active), ("B", awaited), ("P", tags)))
+
+    def spread(outcomes: list[tuple[str, ...]], mass: float) -> list[tuple[tuple[str, ...], float]]:
+        weight = rng.random(len(outcomes))
+        return [(o, float(mass * w)) for o, w in zip(outcomes, weight / weight.sum(), strict=True)]
+
+    pairs = lambda x, y: [(i, j) for i in x for j in y]
+    out = {"T": spread([(x,) for x in a], 1 - one_word) + spread([(x,) for x in p], one_word)}
+    go_on = 1 - termination
+    for c in (*a, *b):
+        out[c] = (
+            spread(pairs(p, p), termination) + spread(pairs(a, b), go_on * recursion)
+            + spread(pairs(a, p), go_on * (1 - recursion) * branching) + spread(pairs(p, b), go_on * (1 - recursion) * (1 - branching))
+        )
+    for i, c in enumerate(p):
+        beta = rng.beta(1, 3, words)
+        beta[-1] = 1.0
+        sticks = beta * np.concatenate([[1.0], np.cumprod(1 - beta)[:-1]])
+        out[c] = [((f"w{i}_{k}",), float(x)) for k, x in enumerate(sticks)]
+    return out
+
+
+def expand_layered(rules: dict, rng: np.random.Generator, most_depth: int, most_recursion: int) -> str:
+    """A tree of a layered grammar, without recursion in Python.
+
+    A left child of a right child lies one embedding deeper; at ``most_depth`` awaited phrases take only rules whose left child is a word, and from
+    ``most_recursion`` levels on every phrase ends in two words.
+    """
+    out: list[str] = []
+    stack: list = [("T", 0, 0, False)]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            out.append(item)
+            continue
+        symbol, depth, level, right = item
+        options = rules.get(symbol)
+        if options is None:
+            out.append(f" {symbol}")
+            continue
+        if symbol[0] in "AB" and level >= most_recursion:
+            options = [r for r in options if all(x[0] == "P" for x in r[0])]
+        elif symbol[0] == "B" and depth >= most_depth:
+            options = [r for r in options if r[0][0][0] == "P"]
+        w = np.array([x for _, x in options])
+        rhs = options[int(rng.choice(len(options), p=w / w.sum()))][0]
+        out.append(f" ({symbol}")
+        stack.append(")")
+        if len(rhs) == 1:
+            stack.append((rhs[0], depth, level + 1, right))
+        else:
+            stack += [(rhs[1], depth, level + 1, True), (rhs[0], depth + right, level + 1, False)]
+    return "".join(out).strip()
+
+
+def embedding_depth(nodes: DataFrame) -> DataFrame:
+    """``(tree_id, depth)``: the most phrases that are left children of right children on the way to any node of a tree (a node table)."""
+    from arborloom.operators.trees import ancestors
+
+    turn = nodes.where("child_ix = 0 and word is null").select("tree_id", "node_id", F.col("parent_id")).join(nodes.where("child_ix = 1").select("tree_id", F.col("node_id").alias("parent_id")), ["tree_id", "parent_id"])
+    turns = turn.select("tree_id", "node_id")
+    above = ancestors(nodes).join(turns.withColumnRenamed("node_id", "ancestor_id"), ["tree_id", "ancestor_id"]).select("tree_id", "node_id")
+    deep = above.unionByName(turns).groupBy("tree_id", "node_id").agg(F.count("*").alias("d")).groupBy("tree_id").agg(F.max("d").alias("depth"))
+    return nodes.select("tree_id").distinct().join(deep, "tree_id", "left").select("tree_id", F.coalesce("depth", F.lit(0)).alias("depth"))
+
+
+#: Rules of a conditional model from which trees are drawn.
+MOST_RULES = 1_000_000
+
+
+def rules_of_model(model: DataFrame, name: str = "R") -> dict[str, list[tuple[tuple[str, ...], float]]]:
+    """The rules of a conditional model ``(id, cond, out, p)`` with arrays cond and out; at most MOST_RULES, checked."""
+    rows = model.where((F.col("id") == name) & (F.col("p") > 0)).select(F.array_join("cond", " ").alias("c"), "out", "p").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"a model of more than {MOST_RULES} rules")
+    out: dict[str, list] = {}
+    for r in sorted(rows, key=lambda r: (r.c, r.out)):
+        out.setdefault(r.c, []).append((tuple(x for x in r.out if x != "-"), float(r.p)))
+    return {c: [(rhs, w / sum(x for _, x in options)) for rhs, w in options if rhs] for c, options in out.items()}
+
+
 def expand(rules: dict, symbol: str, rng: np.random.Generator, most_depth: int, depth: int = 0) -> str:
     """A bracketed tree of a symbol; beyond ``most_depth`` only terminating rules are drawn."""
     options = rules[symbol]
@@ -44,13 +135,14 @@ def expand(rules: dict, symbol: str, rng: np.random.Generator, most_depth: int,
     return f"({symbol} {' '.join(parts)})"
 
 
-def sampled_trees(spark: SparkSession, rules: dict, n: int, seed: int, start: str = "T", most_depth: int = 12) -> DataFrame:
-    """``(tree_id, tree)`` for tree ids 0 .. n - 1."""
+def sampled_trees(spark: SparkSession, rules: dict, n: int, seed: int, start: str = "T", most_depth: int = 12, layered: int = 0) -> DataFrame:
+    """``(tree_id, tree)`` for tree ids 0 .. n - 1; ``layered``: the levels of a layered grammar, whose embedding is bounded by ``most_depth``."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            trees = [expand(rules, start, np.random.Generator(np.random.Philox(key=[seed, i])), most_depth) for i in ids]
+            made = (np.random.Generator(np.random.Philox(key=[seed, i])) for i in ids)
+            trees = [expand_layered(rules, rng, most_depth, layered) if layered else expand(rules, start, rng, most_depth) for rng in made]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees, pa.string())], names=["tree_id", "tree"])
 
     return spark.range(n).select(F.col("id").alias("tree_id")).mapInArrow(f, "tree_id bigint, tree string")

@@ -204,12 +204,26 @@ def chain_of(c: Components, lex: np.ndarray, prev: np.ndarray, nxt: np.ndarray,
     return Chain(start, np.repeat(src, count), to, weight, stop, lex, tag, full)
 
 
-def inferred(sentences: DataFrame, chain: Chain, how: str, key: str = "sent_id", obs: str = "obs", seed: int = 0, iteration: int = 0, first_beam: int = 100, beam: int = 50) -> DataFrame:
+def gaussian_lexicon(vectors: dict[int, np.ndarray], mean: np.ndarray, sd: np.ndarray, words: int) -> np.ndarray:
+    """An emission table lex[word, category] from vectors by word and the diagonal normals of the categories, mean[category, dim] and sd likewise.
+
+    Each word's densities are scaled to at most 1, which takes a constant from the log probability of a sentence and changes no path; words
+    without a vector are alike under all categories.
+    """
+    out = np.ones((words + 1, len(mean)))
+    for word, v in vectors.items():
+        z = (np.asarray(v, float) - mean) / sd
+        log = (-0.5 * z * z - np.log(sd)).sum(axis=1)
+        out[word] = np.exp(log - log.max())
+    return out
+
+
+def inferred(sentences: DataFrame, chain: Chain, how: str, key: str = "sent_id", obs: str = "obs", seed: int = 0, iteration: int = 0, first_beam: int = 100, beam: int = 50, keep: bool = False) -> DataFrame:
     """``(key, log10p, path, last, success, error)`` by ``how``: forward, sample, viterbi or beam.
 
     A sentence without a parse has success false and the reason (K05); null and empty sentences have an empty path and probability 1. ``path``
     holds state names (null for forward), ``last`` the last filter (forward only). Q06: the sentences of a batch that are of one length are taken
-    through the chain together, in blocks of BLOCK_CELLS filter entries; rows stay where they are.
+    through the chain together, in blocks of BLOCK_CELLS filter entries; rows stay where they are. With ``keep`` the observations come along, as ``obs``.
     """
     ship_code(sentences.sparkSession)
     sent = sentences.sparkSession.sparkContext.broadcast(chain)
@@ -251,8 +265,9 @@ def inferred(sentences: DataFrame, chain: Chain, how: str, key: str = "sent_id",
                         ok[k], errors[k], lasts[k] = False, "no path" if how in ("viterbi", "beam") else reason(int(dead[i]), int(length)), None
                         paths[k] = None if how == "forward" else []
             columns = [batch.column(0), pa.array(log, mask=~ok), pa.array(paths, pa.list_(pa.int64())), pa.array(lasts, pa.list_(pa.float64())), pa.array(ok), pa.array(errors, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "log10p", "path", "last", "success", "error"])
+            names = ["key", "log10p", "path", "last", "success", "error"]
+            yield pa.RecordBatch.from_arrays([*columns, lists] if keep else columns, names=[*names, "obs"] if keep else names)
 
-    schema = "key bigint, log10p double, path array<bigint>, last array<double>, success boolean, error string"
+    schema = "key bigint, log10p double, path array<bigint>, last array<double>, success boolean, error string" + (", obs array<int>" if keep else "")
     rows = sentences.select(F.col(key).cast("bigint").alias("key"), F.col(obs).cast("array<int>").alias("obs"))
     return rows.mapInArrow(f, schema).withColumnRenamed("key", key)

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from arborloom.session import ship_code
+
 
 def plog(p: Column, log=F.log2) -> Column:
     """p log p with 0 log 0 = 0."""
@@ -137,6 +144,17 @@ def best_labels(scores: DataFrame) -> DataFrame:
     return scores.groupBy("phrase").agg(best).select("phrase", "b.label", "b.f1")
 
 
+def ranked_labels(scores: DataFrame) -> DataFrame:
+    """Labels of each phrase type by F1, the best first; a table of labels times phrase types."""
+    return scores.withColumn("rank", F.row_number().over(W.partitionBy("phrase").orderBy(F.desc("f1"), "label")))
+
+
+def throughput(tokens: int, seconds: float, target: int) -> tuple[float, float]:
+    """Seconds a token, and the hours that ``target`` tokens would take."""
+    each = seconds / tokens if tokens else 0.0
+    return each, each * target / 3600
+
+
 def greedy_labels(scores: DataFrame) -> DataFrame:
     """Labels added to a phrase type in the order of best F1 while the joint F1 grows.
 
@@ -162,29 +180,60 @@ def greedy_labels(scores: DataFrame) -> DataFrame:
     return scores.groupBy("phrase").applyInPandas(pick, "phrase string, labels string, f1 double")
 
 
-def permutation_test(pairs: DataFrame, n: int, salt: str = "s") -> DataFrame:
-    """``pairs(tree_id, m_a, s_a, m_b, s_b, g)`` of matched, system and gold span counts of two systems.
+#: The prime of the coins: products of two numbers below it stay within 64 bits, in numpy and in SQL.
+PRIME = 2**31 - 1
 
-    Each permutation swaps the systems of a tree by a coin from a hash of (salt, permutation, tree). The swaps of all permutations
-    are summed in the pass over the trees: the table grows by n only inside a task (n is a parameter, not data).
-    """
-    coin = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(salt), F.col("i").cast("string"), F.col("tree_id").cast("string"))), 1, 4), 16, 10).cast("int") % 2 == 1
-    trials = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("i")).withColumn("swap", coin & (F.col("i") > 0))
-    a = lambda x: F.when(F.col("swap"), F.col(f"{x}_b")).otherwise(F.col(f"{x}_a"))
-    b = lambda x: F.when(F.col("swap"), F.col(f"{x}_a")).otherwise(F.col(f"{x}_b"))
-    sums = trials.groupBy("i").agg(
-        F.sum(a("m")).alias("ma"), F.sum(a("s")).alias("sa"), F.sum(b("m")).alias("mb"), F.sum(b("s")).alias("sb"), F.sum("g").alias("g")
-    )
-    f = lambda m, s: 2 * F.col(m) / (F.col(s) + F.col("g"))
-    gaps = sums.select("i", F.abs(f("ma", "sa") - f("mb", "sb")).alias("gap"))
+
+def coins(keys: np.ndarray, n: int) -> np.ndarray:
+    """Coins of permutations 1 .. n for each key: a quadratic congruence, the same whatever the order of rows."""
+    x = (keys[:, None] % PRIME * 48271 + np.arange(1, n + 1) * 69621 + 1) % PRIME
+    return ((x * x % PRIME * 16807 + x) % PRIME % 2).astype(bool)
+
+
+def permutation_sums(pairs: DataFrame, n: int) -> DataFrame:
+    """``(i, ma, sa, mb, sb, g)``: the sums of both systems under each permutation, 0 being as observed; summed in each task, n + 1 rows a task."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((n + 1, 5), np.int64)
+        for batch in batches:
+            key, ma, sa, mb, sb, g = (c.to_numpy().astype(np.int64) for c in batch.columns)
+            for a in range(0, len(key), 4096):  # bounds the coins held at once
+                s = slice(a, a + 4096)
+                swap = np.concatenate([np.zeros((len(key[s]), 1), bool), coins(key[s], n)], axis=1).astype(np.int64).T
+                m, c = swap @ (mb[s] - ma[s]), swap @ (sb[s] - sa[s])
+                held += np.stack([ma[s].sum() + m, sa[s].sum() + c, mb[s].sum() - m, sb[s].sum() - c, np.full(n + 1, g[s].sum())], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + 1)), *(pa.array(held[:, k]) for k in range(5))], names=["i", "ma", "sa", "mb", "sb", "g"])
+
+    schema = "i bigint, ma bigint, sa bigint, mb bigint, sb bigint, g bigint"
+    cells = pairs.select(*(F.coalesce(F.col(c).cast("bigint"), F.lit(0)) for c in ("tree_id", "m_a", "s_a", "m_b", "s_b", "g")))
+    ship_code(pairs.sparkSession)
+    return cells.mapInArrow(f, schema).groupBy("i").agg(*(F.sum(c).alias(c) for c in ("ma", "sa", "mb", "sb", "g")))
+
+
+def permutation_gaps(pairs: DataFrame, n: int) -> DataFrame:
+    """``(i, gap)``: the absolute gap of the F scores of both systems under each permutation."""
+    f = lambda m, s: 2 * F.col(m) / F.nullif(F.col(s) + F.col("g"), F.lit(0))
+    return permutation_sums(pairs, n).select("i", F.abs(f("ma", "sa") - f("mb", "sb")).alias("gap"))
+
+
+def permutation_test(pairs: DataFrame, n: int) -> DataFrame:
+    """``pairs(tree_id, m_a, s_a, m_b, s_b, g)`` of matched, system and gold span counts of two systems; each permutation swaps the systems of a tree by a coin."""
+    gaps = permutation_gaps(pairs, n)
     seen = gaps.where("i = 0").select(F.col("gap").alias("observed"))
+    larger = F.sum((F.col("gap") > F.col("observed") + 1e-12).cast("int"))
     return gaps.where("i > 0").join(F.broadcast(seen)).agg(
-        F.round(F.first("observed"), 6).alias("observed"),
-        F.round((1 + F.sum((F.col("gap") > F.col("observed") + 1e-12).cast("int"))) / (1 + F.count("*")), 6).alias("p_value"),
-        F.round((1 + F.sum((F.col("gap") > F.col("observed") + 1e-12).cast("int"))) / F.count("*"), 6).alias("p_compatible"),
+        F.round(F.first("observed"), 6).alias("observed"), F.round((1 + larger) / (1 + F.count("*")), 6).alias("p_value"), F.round((1 + larger) / F.count("*"), 6).alias("p_compatible")
     )
 
 
+def running_p_values(pairs: DataFrame, n: int) -> DataFrame:
+    """``(i, p_value)`` after each permutation; a table of n rows, whatever the number of trees."""
+    gaps = permutation_gaps(pairs, n)
+    seen = gaps.where("i = 0").select(F.col("gap").alias("observed"))
+    larger = F.sum((F.col("gap") > F.col("observed") + 1e-12).cast("int")).over(W.orderBy("i").rowsBetween(W.unboundedPreceding, 0))
+    return gaps.where("i > 0").join(F.broadcast(seen)).select("i", F.round((1 + larger) / (1 + F.col("i")), 6).alias("p_value"))
+
+
 def held_out_recall(system: DataFrame, gold: DataFrame, first: int) -> DataFrame:
     """Labels are chosen on trees below ``first`` and scored on the others: ``(phrase, labels, f1, n_match, n_gold, recall)``."""
     dev, test = F.col("tree_id") < first, F.col("tree_id") >= first
@@ -192,7 +241,7 @@ def held_out_recall(system: DataFrame, gold: DataFrame, first: int) -> DataFrame
     pairs = chosen.select("phrase", F.explode(F.split("labels", ",")).alias("label"))
     scores = label_scores(system.where(test), gold.where(test)).join(pairs, ["phrase", "label"])
     sums = scores.groupBy("phrase").agg(F.sum("n_match").alias("n_match"), F.max("n_gold").alias("n_gold"))
-    return chosen.join(sums, "phrase", "left").withColumn("recall", F.round(F.try_divide(F.col("n_match"), F.col("n_gold")), 6))
+    return chosen.join(sums, "phrase", "left").fillna(0, ["n_match", "n_gold"]).withColumn("recall", F.round(F.try_divide(F.col("n_match"), F.col("n_gold")), 6))
 
 
 def posterior_components(chain: DataFrame, rules: list[str], k: int = 4) -> DataFrame:

@@ -54,6 +54,36 @@ class Settings:
     checkpoint: Callable[[int, DataFrame], None] | None = field(default=None, compare=False)
 
 
+#: Names of trainer parameters in config files, and the settings they set.
+NAMES = {
+    "startabp": "categories", "depth": "depth", "init_alpha": "alpha", "alpha_scale": "alpha_scale", "sample_alpha_flag": "sample_alpha", "alpha_array_flag": "alpha_array",
+    "burnin": "burnin", "batch_size": "batch_size", "seed": "seed", "init_anneal_likelihood": "init_anneal", "final_anneal_likelihood": "final_anneal",
+    "anneal_length": "anneal_length", "anneal_likelihood_phase": "anneal_phases", "MAP": "best_of_phase", "random_restarts": "restarts", "init_strategy": "start",
+    "super_cooling_start_iter": "cooling_start", "super_cooling_length": "cooling_length", "super_cooling_target_ac": "cooling_target",
+}
+
+
+def settings_of(config: dict[str, dict[str, str]]) -> Settings:
+    """Settings from the sections of a config file (keys in any case); keys that the trainer does not have are left alone.
+
+    The passes are the burn-in and ``num_samples`` times ``sample_iters``; ``alpha_pcfg_range`` gives both bounds; super-cooling counts only with its flag.
+    """
+    given = {k.lower(): v for k, v in config.get("params", {}).items()}
+    truth = lambda v: v.strip().lower() in ("1", "true", "yes", "on")
+    out = Settings(output=config.get("io", {}).get("output_dir"))
+    for name, own in NAMES.items():
+        if name.lower() in given:
+            now, v = getattr(out, own), given[name.lower()]
+            setattr(out, own, truth(v) if isinstance(now, bool) else type(now)(float(v)) if isinstance(now, (int, float)) else v)
+    if "alpha_pcfg_range" in given:
+        out.alpha_low, out.alpha_high = (float(x) for x in given["alpha_pcfg_range"].strip("[] ").split(","))
+    if "sample_iters" in given:
+        out.iterations = out.burnin + int(float(given["sample_iters"])) * int(float(given.get("num_samples", "1")))
+    if not truth(given.get("super_cooling", "0")):
+        out.cooling_start = 0
+    return out
+
+
 def scaled_alphas(words: int, sentences: int, types: int, categories: int, scale: float) -> tuple[float, float]:
     """Pseudo-count of each binary and each lexical rule: ``scale`` times the inner nodes and the words, spread over the rules of all categories."""
     if not 0 < scale <= 1:
@@ -276,8 +306,8 @@ def train(sentences: DataFrame, words: int, s: Settings, resume: int | None = No
         if s.batch_size and s.batch_size < n:
             lo = it * s.batch_size % n
             window = base.where(F.pmod(F.col("ix") - lo - 1, F.lit(n)) < s.batch_size)
-        parses = inference.inferred(window, chain, "sample", obs="toks", seed=s.seed, iteration=it).join(window.select("sent_id", "toks"), "sent_id")
-        kept = written(parses.select("sent_id", "path", "log10p", "success", "toks"), "parses")
+        parses = inference.inferred(window, chain, "sample", obs="toks", seed=s.seed, iteration=it, keep=True)
+        kept = written(parses.select("sent_id", "path", "log10p", "success", F.col("obs").alias("toks")), "parses")
         logprob = float(kept.agg(F.sum("log10p")).first()[0] or 0.0)
         series.append((it, logprob))
         counts = written(counted(kept, s.categories + 2, s.depth), "counts")

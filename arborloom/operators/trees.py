@@ -439,5 +439,43 @@ def incremental_parses(states: DataFrame, text: str = "states", levels: int = 4)
 
 
 def labelled(tree: Column) -> Column:
-    """The label X for brackets that have none."""
-    return F.regexp_replace(F.regexp_replace(tree, "\\((?=\\()", "(X "), "\\( +(?=[^\\s()]+\\))", "(X ")
+    """The label X for every bracket and every word of a tree that has no labels."""
+    opened = F.regexp_replace(F.regexp_replace(tree, "\\(\\s*", "( "), "\\)", " )")
+    words = F.regexp_replace(opened, "(?<=\\s)([^()\\s]+)", "(X $1)")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(words, "\\( ", "(X "), "\\s+\\)", ")"), "\\s+", " ")
+
+
+def proper_trees(trees: DataFrame, key: str = "tree_id", tree: str = "tree") -> DataFrame:
+    """P19 over a table: bracketings without labels, or with words alone, as trees of X without unary chains (a node table)."""
+    return without_unary(read_trees(trees.withColumn(tree, labelled(F.col(tree))), key, tree))
+
+
+#: Fixed values of P25: preterminals of punctuation that go, and the tags of empty nodes.
+PUNCTUATION = (",", ".", "``", "`", "--", "-RRB-", "-LRB-", "-LCB-", "-RCB-", "''", "'", "...", "?", "!", ":", ";")
+EMPTY_TAG = "-NONE-"
+
+
+def cleaned(trees: DataFrame, key: str = "tree_id", tree: str = "tree") -> DataFrame:
+    """P25: ``(key, tree)`` for evaluation: empty nodes and traces dropped, lower case, unary chains collapsed, punctuation dropped, collapsed again.
+
+    Trees that do not balance, and those of which nothing is left, have no row.
+    """
+
+    def clean(text: str) -> str | None:
+        children: dict[int, list] = {}
+        rows = read_tree(text)
+        for r in rows:
+            children.setdefault(r[1], []).append(r)
+
+        made: dict[int, str | None] = {}
+        for r in reversed(rows):
+            label, word = r[3], r[4]
+            if word is not None:
+                gone = label == EMPTY_TAG or word.startswith("*") or word in PUNCTUATION
+                made[r[0]] = None if gone else f"({label} {word.lower()})"
+                continue
+            kept = [x for x in (made[c[0]] for c in children.get(r[0], [])) if x]
+            made[r[0]] = None if not kept else kept[0] if len(kept) == 1 else f"({label} {' '.join(kept)})"
+        return made.get(0) if rows else None
+
+    return mapped(trees.select(F.col(key).alias("_key"), F.col(tree).alias("_tree")), clean, "_clean", "_tree").where("_clean is not null").select(F.col("_key").alias(key), F.col("_clean").alias(tree))

@@ -174,6 +174,15 @@ def q_chain(spark, sf):
     return formats.scalar_series(formats.read_table_with_header(spark, path)).select(F.col("step").cast("bigint").alias("step"), "name", "value").where("value is not null")
 
 
+@query("read_reports", f"WITH {_CHAIN} SELECT iter, p AS value FROM ch WHERE rule = 'A'")
+def q_reports(spark, sf):
+    """A report an iteration, of which the first line with the key counts; the iteration comes from the path."""
+    path = _place(spark, "reports")
+    report = F.concat(F.lit("run\nrule A = "), F.col("p").cast("string"), F.lit("\nrule A = 0\n"))
+    _chain(spark, sf).where("rule = 'A'").select("iter", report.alias("value")).write.partitionBy("iter").text(path)
+    return formats.with_iteration(formats.read_reports(spark, path, "rule A"), r"iter=(\d+)/").select("iter", F.round("value", 6).alias("value"))
+
+
 @query("append_series", f"WITH {_CHAIN} SELECT iter, rule, p FROM ch WHERE iter BETWEEN 2 AND 5")
 def q_append(spark, sf):
     """A series appended by iteration and read from the second to the fifth."""

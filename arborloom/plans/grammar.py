@@ -260,17 +260,16 @@ def q_backward(spark, sf):
 
 
 def compiled_chain(spark, sf) -> inference.Chain:
-    """A chain of 3 categories at depth 2 with a lexicon over all token ids: more states than the beams."""
+    """A chain of 2 categories at depth 2 (122 states) with a lexicon over all token ids: more states than the beams."""
     words = int_sentences(spark, sf).select(F.max(F.array_max("toks"))).first()[0] or 1
     rng = np.random.default_rng(4)
-    p = rng.dirichlet(np.ones(9), 4).reshape(4, 3, 3) * 0.45
-    full = np.zeros((4, 4, 4))
-    full[1:, 1:, 1:] = p[1:]
-    full[0, 1:, 0] = 0.5 * rng.dirichlet(np.ones(3))
-    c = grammar.components(full, np.array([0.5, 0.55, 0.55, 0.55]), 2)
-    lex = np.zeros((words + 1, 5))
-    lex[:, 1:4] = rng.dirichlet(np.ones(words + 1), 3).T
-    t = states.transitions(spark, c).toPandas()  # bounded by the state space of 3 categories at depth 2
+    full = np.zeros((3, 3, 3))
+    full[1:, 1:, 1:] = 0.45 * rng.dirichlet(np.ones(4), 2).reshape(2, 2, 2)
+    full[0, 1:, 0] = 0.5 * rng.dirichlet(np.ones(2))
+    c = grammar.components(full, np.array([0.5, 0.55, 0.55]), 2)
+    lex = np.zeros((words + 1, 4))
+    lex[:, 1:3] = rng.dirichlet(np.ones(words + 1), 2).T
+    t = states.transitions(spark, c).toPandas()  # bounded by the state space
     return inference.chain_of(c, lex, t["prev"].to_numpy(), t["nxt"].to_numpy(), t["p"].to_numpy())
 
 
@@ -301,6 +300,28 @@ def q_sample_trees(spark, sf):
     return generate.sampled_trees(spark, generate.random_grammar(4, 8, seed=1), 500, seed=9)
 
 
+@query("layered_trees", "SELECT id AS tree_id, true AS shallow FROM range(400) t(id)")
+def q_layered(spark, sf):
+    """Trees of a layered random grammar, embedded twice at most."""
+    from arborloom.operators.trees import read_trees
+
+    made = generate.sampled_trees(spark, generate.layered_grammar(3, 3, 4, 20, seed=3), 400, seed=4, most_depth=2, layered=12)
+    return generate.embedding_depth(read_trees(made)).select("tree_id", (F.col("depth") <= 2).alias("shallow"))
+
+
+@query("model_trees", f"WITH {_RULES} SELECT DISTINCT CAST(lhs AS VARCHAR) AS label, true AS known FROM rp WHERE lhs > 0")
+def q_model_trees(spark, sf):
+    """Trees from the conditional model of the corpus' own rules; every label drawn is one of the model's."""
+    from arborloom.operators.trees import read_trees
+
+    p = grammar.conditional(rules(spark, sf)).where("lhs > 0 or r1 <> '-ROOT-'")
+    out = F.when(F.col("is_lex"), F.array(F.concat(F.lit("w"), F.regexp_replace("r1", "[\\s()]", "_")))).when(F.col("lhs") == 0, F.array("r1")).otherwise(F.array("r1", "r2"))
+    model = p.select(F.lit("R").alias("id"), F.array(F.when(F.col("lhs") == 0, F.lit("T")).otherwise(F.col("lhs").cast("string"))).alias("cond"), out.alias("out"), "p")
+    labels = read_trees(generate.sampled_trees(spark, generate.rules_of_model(model), 400, seed=2)).where("label <> 'T'").select("label").distinct()
+    mine = rules(spark, sf).where("lhs > 0").select(F.col("lhs").cast("string").alias("label")).distinct().withColumn("known", F.lit(True))
+    return mine.join(labels.withColumn("drawn", F.lit(True)), "label", "full").select("label", F.coalesce("known", F.lit(False)).alias("known"))
+
+
 @query("train_small")
 def q_train(spark, sf):
     """Two passes of the sampler over the sentences of the tag sequences; tokens are the tags."""

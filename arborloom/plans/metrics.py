@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from arborloom.operators import metrics as m
+from arborloom.operators import tables
 from arborloom.plans import query
 from arborloom.plans.base import PAIR, word_tags
 from arborloom.session import read_table
@@ -107,3 +108,75 @@ def q_gauss_logpdf(spark, sf):
 
     g = e.groupBy(F.col("label").alias("tag"), "dim").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
     return e.join(small_side(g), "dim").groupBy("vec_id", "tag").agg(F.round(F.sum(normal_log_density(F.col("v"), F.col("m"), F.col("s"))), 3).alias("log_density"))
+
+
+_STEPS = """st AS (SELECT user_id AS sent_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS pos, count(*) OVER (PARTITION BY user_id) AS n,
+  CAST(event_id % 2 AS INTEGER) AS f, CAST(event_id // 2 % 2 AS INTEGER) AS j FROM events)"""
+
+
+def _steps(spark, sf):
+    """Fork and join decisions: bits of the events of each user, in order."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("user_id")
+    pos = (F.row_number().over(w.orderBy("ts", "event_id")) - 1).alias("pos")
+    return read_table(spark, sf, "events").select(F.col("user_id").alias("sent_id"), pos, F.count("*").over(w).alias("n"), (F.col("event_id") % 2).alias("f"), (F.expr("event_id div 2") % 2).alias("j"))
+
+
+@query("center_events", f"WITH {_STEPS} SELECT sent_id, count(*) FILTER (WHERE f = 1 AND j = 0 AND pos >= 2 AND pos < n - 1) AS n_events FROM st GROUP BY sent_id")
+def q_center_events(spark, sf):
+    """A17."""
+    return tables.center_events(_steps(spark, sf), "sent_id")
+
+
+@query("branching_odds", f"""WITH {_STEPS} SELECT sent_id, round(count(*) FILTER (WHERE pos > 0 AND f = 1 AND j = 0) / count(*), 6) AS deep_share,
+  round(count(*) FILTER (WHERE f = 0 AND j = 0) / nullif(count(*) FILTER (WHERE f = j), 0), 6) AS left_share FROM st GROUP BY sent_id""")
+def q_branching_odds(spark, sf):
+    """A18."""
+    return tables.branching_odds(_steps(spark, sf), "sent_id").select("sent_id", F.round("deep_share", 6).alias("deep_share"), F.round("left_share", 6).alias("left_share"))
+
+
+@query("used_states", "SELECT max(head) AS most, min(head) AS least, count(DISTINCT head) AS n_used, coalesce(bool_and(head BETWEEN 0 AND 40), true) AS valid FROM conll_tokens")
+def q_used_states(spark, sf):
+    """Greatest and least value, how many are used, and whether all are within bounds."""
+    return tables.used_states(read_table(spark, sf, "conll_tokens"), "head", 40)
+
+
+@query("tag_functions", f"""WITH {PAIR}, c AS (SELECT corpus, tag, count(*) AS cnt FROM pr WHERE corpus IS NOT NULL GROUP BY ALL), l AS (SELECT corpus, list(cnt ORDER BY tag) AS x FROM c GROUP BY corpus)
+  SELECT corpus, round(list_sum(list_transform(x, lambda v: lgamma(v + 0.5::DOUBLE))) - lgamma(list_sum(x) + 0.5::DOUBLE * len(x)), 4) AS constant,
+    round((x[1]::DOUBLE ** 0.5) / list_sum(list_transform(x, lambda v: v::DOUBLE ** 0.5)), 6) AS tempered FROM l""")
+def q_tag_functions(spark, sf):
+    """Dirichlet constant of the tag counts of each corpus, and the share of the first tag at temperature 2."""
+    from arborloom.functions import scalars
+
+    c = word_tags(spark, sf).where("corpus is not null").groupBy("corpus", "tag").agg(F.count("*").alias("cnt"))
+    x = c.groupBy("corpus").agg(F.transform(F.array_sort(F.collect_list(F.struct("tag", "cnt"))), lambda v: v["cnt"].cast("double")).alias("x"))  # one entry a tag
+    return x.select("corpus", F.round(scalars.dirichlet_constant(F.col("x"), 0.5), 4).alias("constant"), F.round(scalars.tempered(F.col("x"), 2.0)[0], 6).alias("tempered"))
+
+
+@query("stack_functions", """WITH e AS (SELECT DISTINCT sent_id, toks FROM ev_seqs WHERE sent_id IS NOT NULL AND len(toks) > 0 AND len(list_filter(toks, lambda x: x IS NULL)) = 0), p AS (SELECT *, coalesce(list_position(toks, 0), 0) AS z FROM e)
+  SELECT sent_id, CAST(CASE WHEN z = 0 THEN len(toks) - 1 ELSE z - 2 END AS INTEGER) AS deepest, CAST(coalesce(list_position(list_transform(toks, lambda t: t - 100 >= 0), true), 0) - 1 AS INTEGER) AS first_known FROM p""")
+def q_stack_functions(spark, sf):
+    """last entry before the first 0 of a token list taken as a stack; first entry that is not negative after 100 is taken off."""
+    from arborloom.functions import scalars
+    from arborloom.plans.base import int_sentences
+
+    s = int_sentences(spark, sf).where("not exists(toks, x -> x is null)").select("sent_id", "toks").distinct()
+    return s.select("sent_id", scalars.deepest(F.col("toks")).alias("deepest"), scalars.first_non_negative(F.transform("toks", lambda t: t - 100)).alias("first_known"))
+
+
+@query("label_functions", """SELECT DISTINCT l_discount, replace(regexp_replace(printf('%.6f', l_discount::DOUBLE), '\\.?0+$', ''), '.', 'p') AS label, CASE WHEN l_discount > 0.05 THEN 0.0::DOUBLE END AS mask FROM lineitem""")
+def q_label_functions(spark, sf):
+    """numbers as file-safe labels; a condition as a log mask."""
+    from arborloom.functions import scalars
+
+    d = read_table(spark, sf, "lineitem").select("l_discount").distinct()
+    return d.select("l_discount", scalars.file_label(F.col("l_discount")).alias("label"), scalars.log_mask(F.col("l_discount") > 0.05).alias("mask"))
+
+
+@query("bracket_tags", f"WITH {PAIR} SELECT DISTINCT tag, regexp_full_match(tag, '-?[LR](R|S|C)B-?') AS is_bracket FROM pr")
+def q_bracket_tags(spark, sf):
+    """F14."""
+    from arborloom.functions import scalars
+
+    return word_tags(spark, sf).select("tag").distinct().withColumn("is_bracket", scalars.bracket_tag(F.col("tag")))

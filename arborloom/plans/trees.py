@@ -164,10 +164,26 @@ def q_bracket_f1(spark, sf):
     return metrics.bracket_scores(m)
 
 
-_LABELS = _SPANS + """, ls AS (SELECT tree_id, span, label, count(*) AS n_s FROM lb GROUP BY ALL), gs AS (SELECT tree_id, span, label AS phrase, count(*) AS n_g FROM rb GROUP BY ALL),
-  h AS (SELECT label, phrase, sum(least(n_s, n_g)) AS n_match FROM ls JOIN gs ON ls.tree_id = gs.tree_id AND ls.span = gs.span GROUP BY label, phrase),
-  sc AS (SELECT h.label, h.phrase, n_match, n_sys, n_gold, round(2 * (n_match / n_sys) * (n_match / n_gold) / (n_match / n_sys + n_match / n_gold), 6) AS f1
-    FROM h JOIN (SELECT label, sum(n_s) AS n_sys FROM ls GROUP BY label) a ON a.label = h.label JOIN (SELECT phrase, sum(n_g) AS n_gold FROM gs GROUP BY phrase) b ON b.phrase = h.phrase)"""
+
+def _scores(x: str, kept: str) -> str:
+    """Label scores over the trees kept, under names that end with x."""
+    return f"""ls{x} AS (SELECT tree_id, span, label, count(*) AS n_s FROM lb WHERE {kept} GROUP BY ALL), gs{x} AS (SELECT tree_id, span, label AS phrase, count(*) AS n_g FROM rb WHERE {kept} GROUP BY ALL),
+  h{x} AS (SELECT label, phrase, sum(least(n_s, n_g)) AS n_match FROM ls{x} a JOIN gs{x} b ON a.tree_id = b.tree_id AND a.span = b.span GROUP BY label, phrase),
+  sc{x} AS (SELECT h.label, h.phrase, CAST(n_match AS BIGINT) AS n_match, CAST(n_sys AS BIGINT) AS n_sys, CAST(n_gold AS BIGINT) AS n_gold, round(2 * (n_match / n_sys) * (n_match / n_gold) / (n_match / n_sys + n_match / n_gold), 6) AS f1
+    FROM h{x} h JOIN (SELECT label, sum(n_s) AS n_sys FROM ls{x} GROUP BY label) a ON a.label = h.label JOIN (SELECT phrase, sum(n_g) AS n_gold FROM gs{x} GROUP BY phrase) b ON b.phrase = h.phrase)"""
+
+
+def _greedy(x: str) -> str:
+    """Labels added to each phrase type while the joint F1 grows."""
+    f = "2 * (m + c.n_match) / (s + c.n_sys + gold)"
+    return f"""g{x} AS (SELECT DISTINCT phrase, n_gold AS gold, CAST([] AS VARCHAR[]) AS chosen, 0::BIGINT AS m, 0::BIGINT AS s, 0.0::DOUBLE AS best FROM sc{x}
+    UNION ALL SELECT phrase, gold, list_append(chosen, label), m + n_match, s + n_sys, f FROM (
+      SELECT g.*, c.label, c.n_match, c.n_sys, {f} AS f, row_number() OVER (PARTITION BY g.phrase ORDER BY {f} DESC, c.f1 DESC, c.label) AS k
+      FROM g{x} g JOIN sc{x} c ON c.phrase = g.phrase AND NOT list_contains(chosen, c.label)) WHERE k = 1 AND f > best),
+  gr{x} AS (SELECT phrase, arg_max(chosen, len(chosen)) AS chosen, round(max(best), 6) AS f1 FROM g{x} GROUP BY phrase)"""
+
+
+_LABELS = f"{_SPANS}, {_scores('', 'true')}"
 
 
 @query("phrase_recall", f"""WITH {_SPANS}, ls AS (SELECT tree_id, span, count(*) AS n_s FROM lb GROUP BY ALL), gs AS (SELECT tree_id, span, label AS phrase, count(*) AS n_g FROM rb GROUP BY ALL)
@@ -187,7 +203,7 @@ def q_bracket_f1_cut(spark, sf):
     return metrics.bracket_scores(m.join(size.where("n <= 10"), "tree_id"))
 
 
-@query("label_f1", f"WITH {_LABELS} SELECT label, phrase, CAST(n_match AS BIGINT) AS n_match, CAST(n_sys AS BIGINT) AS n_sys, CAST(n_gold AS BIGINT) AS n_gold, f1 FROM sc")
+@query("label_f1", f"WITH {_LABELS} SELECT label, phrase, n_match, n_sys, n_gold, f1 FROM sc")
 def q_label_f1(spark, sf):
     """E05."""
     return metrics.label_scores(_branch_spans(spark, sf, False), _branch_spans(spark, sf, True))
@@ -199,7 +215,13 @@ def q_best_label(spark, sf):
     return metrics.best_labels(q_label_f1(spark, sf))
 
 
-@query("greedy_labels")
+@query("ranked_labels", f"WITH {_LABELS} SELECT phrase, label, f1, CAST(row_number() OVER (PARTITION BY phrase ORDER BY f1 DESC, label) AS INTEGER) AS rank FROM sc")
+def q_ranked_labels(spark, sf):
+    """Labels of each phrase type in the order of their F1."""
+    return metrics.ranked_labels(q_label_f1(spark, sf)).select("phrase", "label", "f1", "rank")
+
+
+@query("greedy_labels", f"WITH RECURSIVE {_LABELS}, {_greedy('')} SELECT phrase, array_to_string(list_sort(chosen), ',') AS labels, f1 FROM gr")
 def q_greedy_labels(spark, sf):
     """E07."""
     return metrics.greedy_labels(q_label_f1(spark, sf))
@@ -209,17 +231,29 @@ _PAIRS = _SPANS + """, pa AS (SELECT tree_id, CAST(sum(n_match) AS BIGINT) AS m_
   pq AS (SELECT tree_id, m_a, s_a, CAST(floor(g * (1 + tree_id % 3) / 3) AS BIGINT) AS m_b, g AS s_b, g FROM pa)"""
 
 
-@query("perm_test", f"""WITH {_PAIRS}, tr AS (SELECT *, unnest(range(201)) AS i FROM pq),
-  c AS (SELECT *, i > 0 AND ('0x' || md5('s-' || i || '-' || tree_id)[1:4])::INTEGER % 2 = 1 AS swap FROM tr),
+_GAPS = _PAIRS + """, tr AS (SELECT *, unnest(range(201)) AS i FROM pq), x1 AS (SELECT *, (tree_id % 2147483647 * 48271 + i * 69621 + 1) % 2147483647 AS x FROM tr),
+  c AS (SELECT *, i > 0 AND (x * x % 2147483647 * 16807 + x) % 2147483647 % 2 = 1 AS swap FROM x1),
   sm AS (SELECT i, sum(CASE WHEN swap THEN m_b ELSE m_a END) AS ma, sum(CASE WHEN swap THEN s_b ELSE s_a END) AS sa, sum(CASE WHEN swap THEN m_a ELSE m_b END) AS mb, sum(CASE WHEN swap THEN s_a ELSE s_b END) AS sb, sum(g) AS g FROM c GROUP BY i),
-  gp AS (SELECT i, abs(2 * ma / (sa + g) - 2 * mb / (sb + g)) AS gap FROM sm), o AS (SELECT gap AS observed FROM gp WHERE i = 0)
-  SELECT round(max(observed), 6) AS observed, round((1 + count(*) FILTER (WHERE gap > observed + 1e-12)) / (1 + count(*)), 6) AS p_value, round((1 + count(*) FILTER (WHERE gap > observed + 1e-12)) / count(*), 6) AS p_compatible FROM gp, o WHERE i > 0""")
-def q_perm_test(spark, sf):
-    """Permutation test with a hash coin, 200 permutations."""
+  gp AS (SELECT i, abs(2 * ma / (sa + g) - 2 * mb / (sb + g)) AS gap FROM sm), o AS (SELECT gap AS observed FROM gp WHERE i = 0)"""
+
+
+def _two_systems(spark, sf):
     m = metrics.span_matches(_branch_spans(spark, sf, False), _branch_spans(spark, sf, True), ["tree_id", "span"])
     p = m.groupBy("tree_id").agg(F.sum("n_match").alias("m_a"), F.sum("n_sys").alias("s_a"), F.sum("n_gold").alias("g"))
-    p = p.withColumn("m_b", F.floor(F.col("g") * (1 + F.col("tree_id") % 3) / 3)).withColumn("s_b", F.col("g"))
-    return metrics.permutation_test(p, 200)
+    return p.withColumn("m_b", F.floor(F.col("g") * (1 + F.col("tree_id") % 3) / 3)).withColumn("s_b", F.col("g"))
+
+
+@query("perm_test", f"""WITH {_GAPS} SELECT round(max(observed), 6) AS observed, round((1 + count(*) FILTER (WHERE gap > observed + 1e-12)) / (1 + count(*)), 6) AS p_value,
+  round((1 + count(*) FILTER (WHERE gap > observed + 1e-12)) / count(*), 6) AS p_compatible FROM gp, o WHERE i > 0""")
+def q_perm_test(spark, sf):
+    """Permutation test with coins by congruence, 200 permutations."""
+    return metrics.permutation_test(_two_systems(spark, sf), 200)
+
+
+@query("running_p_values", f"WITH {_GAPS} SELECT CAST(i AS BIGINT) AS i, round((1 + sum(CASE WHEN gap > observed + 1e-12 THEN 1 ELSE 0 END) OVER (ORDER BY i)) / (1 + i), 6) AS p_value FROM gp, o WHERE i > 0")
+def q_running_p(spark, sf):
+    """The p-value after each permutation."""
+    return metrics.running_p_values(_two_systems(spark, sf), 200)
 
 
 @query("dependency_units", f"""WITH {CT}, s AS (SELECT sent_id, count(*) AS n, count(*) FILTER (WHERE coalesce(head, 0) = 0) AS n_roots FROM ct GROUP BY sent_id)
@@ -230,7 +264,19 @@ def q_dependency_units(spark, sf):
     return s.where("n_roots <> 1")
 
 
-@query("dependency_trees")
+#: Trees of dependency sentences: a head's span is that of all words below it; every span must be whole, under one outermost head.
+_DEPS = CT + """, dp AS (SELECT sent_id, tok_id, coalesce(form, '_') AS form, coalesce(tag, 'X') AS tag, coalesce(head, 0) AS head FROM ct),
+nm AS (SELECT sent_id, row_number() OVER (PARTITION BY sent_id ORDER BY tok_id NULLS FIRST, form, tag, head) AS i, form, tag, head, count(*) OVER (PARTITION BY sent_id) AS n FROM dp),
+an AS (SELECT sent_id, i AS node, i AS up FROM nm UNION SELECT an.sent_id, node, nm.head FROM an JOIN nm ON nm.sent_id = an.sent_id AND nm.i = an.up WHERE nm.head > 0),
+sp AS (SELECT sent_id, up AS j, min(node) AS lo, max(node) AS hi, count(*) AS c FROM an GROUP BY ALL),
+bad AS (SELECT sent_id FROM nm GROUP BY sent_id HAVING count(*) FILTER (WHERE head = 0) <> 1 OR max(head) > count(*) OR min(head) < 0 UNION SELECT sent_id FROM sp WHERE hi - lo + 1 <> c
+  UNION SELECT nm.sent_id FROM nm JOIN sp ON sp.sent_id = nm.sent_id AND sp.j = nm.i WHERE head = 0 AND c <> n),
+oc AS (SELECT sent_id, lo, count(*) AS opens FROM sp WHERE c > 1 GROUP BY ALL), cc AS (SELECT sent_id, hi, count(*) AS closes FROM sp WHERE c > 1 GROUP BY ALL),
+tx AS (SELECT nm.sent_id, string_agg(repeat('(X ', coalesce(opens, 0)) || '(' || tag || ' ' || replace(replace(form, '(', '-LRB-'), ')', '-RRB-') || ')' || repeat(')', coalesce(closes, 0)), ' ' ORDER BY i) AS tree
+  FROM nm LEFT JOIN oc ON oc.sent_id = nm.sent_id AND oc.lo = nm.i LEFT JOIN cc ON cc.sent_id = nm.sent_id AND cc.hi = nm.i GROUP BY nm.sent_id)"""
+
+
+@query("dependency_trees", f"WITH RECURSIVE {_DEPS} SELECT sent_id, CASE WHEN sent_id IN (SELECT sent_id FROM bad) THEN '(TOP (S error))' ELSE tree END AS tree FROM tx")
 def q_dependency_trees(spark, sf):
     """Constituency trees of dependency sentences."""
     rows = conll(spark, sf).select("sent_id", "tok_id", F.coalesce("form", F.lit("_")).alias("form"), F.coalesce("tag", F.lit("X")).alias("tag"), F.coalesce("head", F.lit(0)).alias("head"))
@@ -259,13 +305,21 @@ def q_toy_trees(spark, sf):
     return spark.range(200).select(F.col("id").alias("tree_id"), trees.gold_toy_trees(F.col("id")).alias("tree"))
 
 
-@query("head_dependencies")
+@query("head_dependencies", f"""WITH RECURSIVE {_NODES}, pr AS (SELECT any_value(p.label) AS lhs, list(c.label ORDER BY c.i) AS rhs FROM kd c JOIN kd p ON p.tree_id = c.tree_id AND p.node_id = c.parent_id GROUP BY c.tree_id, c.parent_id),
+  rc AS (SELECT lhs, rhs, count(*) AS cnt FROM pr GROUP BY ALL), rp AS (SELECT lhs, rhs, cnt / sum(cnt) OVER (PARTITION BY lhs) AS p FROM rc),
+  hm AS (SELECT lhs, child, round(sum(p / n), 9) AS p FROM (SELECT lhs, p, len(rhs) AS n, unnest(rhs) AS child FROM rp) GROUP BY lhs, child),
+  hc AS (SELECT tree_id, parent_id, node_id FROM (SELECT c.tree_id, c.parent_id, c.node_id, row_number() OVER (PARTITION BY c.tree_id, c.parent_id ORDER BY hm.p DESC, c.child_ix) AS k
+    FROM kd c JOIN kd p ON p.tree_id = c.tree_id AND p.node_id = c.parent_id JOIN hm ON hm.lhs = p.label AND hm.child = c.label) WHERE k = 1),
+  hd AS (SELECT tree_id, node_id, l + 1 AS leaf FROM kd WHERE word IS NOT NULL UNION ALL SELECT hc.tree_id, hc.parent_id, hd.leaf FROM hd JOIN hc ON hc.tree_id = hd.tree_id AND hc.node_id = hd.node_id)
+  SELECT kd.tree_id, CAST(a.leaf AS INTEGER) AS dependent, CAST(coalesce(b.leaf, 0) AS INTEGER) AS head FROM kd JOIN hd a ON a.tree_id = kd.tree_id AND a.node_id = kd.node_id
+  LEFT JOIN hd b ON b.tree_id = kd.tree_id AND b.node_id = kd.parent_id WHERE b.leaf IS NULL OR b.leaf <> a.leaf""")
 def q_head_dependencies(spark, sf):
     """Dependencies of the line trees under the head model of their own rules, of any arity."""
     from arborloom.operators import grammar
 
     rules = trees.productions(nodes(spark, sf)).where(~F.col("is_lex")).groupBy("lhs", "rhs").agg(F.count("*").alias("cnt"))
-    return trees.dependencies_of(line_trees(spark, sf), grammar.head_model_of(rules))
+    # Rounded, so that equal shares are equal whatever the order of their sums.
+    return trees.dependencies_of(line_trees(spark, sf), grammar.head_model_of(rules).withColumn("p", F.round("p", 9)))
 
 
 @query("tree_head_model", f"""WITH {_NODES}, pr AS (SELECT any_value(p.label) AS lhs, list(c.label ORDER BY c.i) AS rhs FROM kd c JOIN kd p ON p.tree_id = c.tree_id AND p.node_id = c.parent_id GROUP BY c.tree_id, c.parent_id),
@@ -279,7 +333,9 @@ def q_tree_head_model(spark, sf):
     return grammar.head_model_of(rules).select("lhs", "child", F.round("p", 6).alias("p"))
 
 
-@query("held_out_recall")
+@query("held_out_recall", f"""WITH RECURSIVE {_SPANS}, {_scores('d', 'tree_id < 1000')}, {_greedy('d')}, {_scores('t', 'tree_id >= 1000')},
+  hit AS (SELECT t.phrase, sum(n_match) AS n_match, max(n_gold) AS n_gold FROM sct t JOIN (SELECT phrase, unnest(chosen) AS label FROM grd) c ON c.phrase = t.phrase AND c.label = t.label GROUP BY t.phrase)
+  SELECT d.phrase, array_to_string(list_sort(chosen), ',') AS labels, f1, coalesce(CAST(n_match AS BIGINT), 0) AS n_match, coalesce(n_gold, 0) AS n_gold, round(n_match / nullif(n_gold, 0), 6) AS recall FROM grd d LEFT JOIN hit ON hit.phrase = d.phrase""")
 def q_held_out(spark, sf):
     """Labels chosen on the first sentences, scored on the rest."""
     return metrics.held_out_recall(_branch_spans(spark, sf, False), _branch_spans(spark, sf, True), 1000)
@@ -303,7 +359,15 @@ def q_html_pairs(spark, sf):
     return pages.select(F.explode(t.code_places(F.col("html"))).alias("x")).select("x.*").groupBy("code", "place").agg(F.count("*").alias("n"))
 
 
-@query("incremental_parse")
+_ESCAPED = "regexp_replace(tok.tok, '[ :]', '_', 'g')"
+for _sign, _name in t.ESCAPES:
+    _ESCAPED = f"replace({_ESCAPED}, '{_sign}', '{_name}')"
+
+
+@query("incremental_parse", f"""WITH {TOK}, r AS (SELECT tok.sent_id, tok.corpus, pos, len(words) AS n, {_ESCAPED} AS w FROM tok JOIN tw ON tw.sent_id = tok.sent_id AND tw.corpus IS NOT DISTINCT FROM tok.corpus AND tw.words[tok.pos + 1] = tok.tok WHERE len(words) > 1),
+  k AS (SELECT DISTINCT sent_id, corpus, n, pos, (pos + 1) || CASE WHEN pos < n - 1 THEN ' 0;1_/1_' ELSE ' 1;-.0/-.0' END || ';-.0/-.0;-.0/-.0;-.0/-.0;1_;{trees.RELATIONS} ' || w AS line FROM r)
+  SELECT sent_id, (n + 1) || ' 1;-.0/-.0;-.0/-.0;-.0/-.0;-.0/-.0;99_;{trees.RELATIONS} null' || chr(10) || string_agg(line, chr(10) ORDER BY pos DESC) || chr(10) || '{trees.FIRST_STATE}' || chr(10) || '{trees.DIVIDER}' AS parse
+  FROM k GROUP BY sent_id, corpus, n""")
 def q_incremental(spark, sf):
     """S30 over every sentence: right branching parses in the incremental format."""
     s = word_sentences(spark, sf).where("size(words) > 1")

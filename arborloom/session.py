@@ -109,10 +109,15 @@ def once_each(rows: DataFrame, key: str, pick: Callable[[DataFrame], DataFrame],
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Send the package to executors that may not have it on their path (once a session; nothing in local mode)."""
-    if is_local(spark) or getattr(spark.sparkContext, "_arborloom_shipped", False):
+    """Send the package to workers that may not have it on their path, once a session; in a one-process session only if
+    neither PYTHONPATH nor the working folder leads to it.
+    """
+    if getattr(spark.sparkContext, "_arborloom_shipped", False):
         return
     here = Path(__file__).resolve().parent
+    seen = [Path(x).resolve() for x in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) if x]
+    if is_local(spark) and here.parent in seen:
+        return
     target = os.path.join(tempfile.mkdtemp(prefix="arborloom-code-"), "arborloom_code.zip")
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(here.rglob("*.py")):

@@ -98,7 +98,7 @@ def read_conll(spark: SparkSession, path: str) -> DataFrame:
     sums = rows.groupBy("file", "split").agg(F.sum("blank").alias("inside"))  # one row a split
     before = F.coalesce(F.sum("inside").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     within = F.sum("blank").over(W.partitionBy("file", "split").orderBy("line_id"))
-    placed = rows.withColumn("within", within).join(F.broadcast(sums.withColumn("before", before)), ["file", "split"])
+    placed = rows.withColumn("within", within).join(sums.withColumn("before", before), ["file", "split"])
     line = F.regexp_replace("line", "\r$", "")
     fields = F.when(F.instr("row", "\t") > 0, F.split("row", "\t")).otherwise(F.split("row", " +"))
     toks = placed.select("file", "line_id", (F.col("before") + F.col("within")).alias("block"), line.alias("row")).where("row rlike '^[0-9]+[\t ]'")

@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arborloom.functions import scalars
 from arborloom.operators import generate, grammar, inference, metrics, sampler, states, trees
@@ -125,11 +126,25 @@ def test_generated_trees(spark):
     assert sorted(map(tuple, generate.sampled_trees(spark, g, 40, seed=1).collect())) == sorted(map(tuple, rows))
 
 
+def test_layered_grammar(spark):
+    g = generate.layered_grammar(2, 3, 2, 6, seed=1, branching=0.7, recursion=0.4, termination=0.2)
+    assert all(sum(w for _, w in options) == pytest.approx(1) for options in g.values())
+    share = lambda c, f: sum(w for rhs, w in g[c] if f(rhs))
+    assert share("B1", lambda r: r[0][0] == "P" and r[1][0] == "P") == pytest.approx(0.2) and share("A2", lambda r: r[0][0] == "A" and r[1][0] == "B") == pytest.approx(0.8 * 0.4)
+    rows = generate.sampled_trees(spark, g, 60, seed=5, most_depth=1, layered=9)
+    n = trees.read_trees(rows)
+    assert generate.embedding_depth(n).where("depth > 1").count() == 0 and n.select("tree_id").distinct().count() == 60
+    assert n.agg(F.max("depth")).first()[0] <= 11
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, generate.sampled_trees(spark, g, 60, seed=5, most_depth=1, layered=9).repartition(3).collect()))
+    model = spark.createDataFrame([("R", ["T"], ["x", "-"], 1.0), ("R", ["x"], ["a"], 0.5), ("R", ["x"], ["x", "x"], 0.5), ("Q", ["x"], ["z"], 1.0)], "id string, cond array<string>, out array<string>, p double")
+    assert generate.rules_of_model(model) == {"T": [(("x",), 1.0)], "x": [(("a",), 0.5), (("x", "x"), 0.5)]}
+
+
 def test_alpha_step_stays_inside():
     rng = np.random.default_rng(0)
     a = 0.2
     for _ in range(50):
-        a = sampler.alpha_step(a, [rng.dirichlet([0.5] * 4) for _ in range(3)], 0.05, 0.4, rng, sd=0.1)
+        a = sampler.alpha_step(a, [(4, float(np.log(rng.dirichlet([0.5] * 4)).sum())) for _ in range(3)], 0.05, 0.4, rng, sd=0.1)
         assert 0.05 < a < 0.4
 
 
@@ -160,3 +175,92 @@ def test_series(spark):
     assert sorted(map(tuple, metrics.collected(s, ["f1", "vi"]).collect())) == [("a", 1, 0.5, 2.0), ("a", 2, 0.6, None)]
     best = spark.createDataFrame([("a", 1, -5.0), ("b", 2, -3.0), ("b", 4, -3.0)], "run string, iter int, logprob double")
     assert tuple(sampler.best_of(best).first()) == ("b", 2, -3.0)
+
+
+def test_log_gamma_and_gammas():
+    x = np.array([1e-3, 0.5, 1, 2.5, 7.99, 8, 100, 1e6])
+    assert np.allclose(scalars.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-12) and np.isnan(scalars.log_gamma(np.array([0.0, -1.0]))).all()
+    keys = np.arange(40_000)
+    for shape in (0.3, 1.0, 6.5):
+        g = scalars.gammas(keys, np.full(len(keys), shape))
+        assert (g > 0).all() and abs(g.mean() / shape - 1) < 0.03 and abs(g.var() / shape - 1) < 0.08
+        assert (scalars.gammas(keys[::-1], np.full(len(keys), shape))[::-1] == g).all()
+    u, z = scalars.uniforms(keys, 3), scalars.normals(keys, 2)
+    assert 0 < u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 0.01 and abs(z.mean()) < 0.02 and abs(z.std() - 1) < 0.02
+
+
+def test_blocks_equal_single_sentences():
+    rng = np.random.default_rng(1)
+    a = rng.dirichlet(np.ones(5), 5) * (rng.random((5, 5)) > 0.4)
+    prev, nxt = np.nonzero(a)
+    for dense in (True, False):
+        c = inference.Chain(rng.dirichlet(np.ones(5)), prev, nxt, a[prev, nxt], rng.random(5), rng.random((4, 5)), np.arange(5))
+        if not dense:
+            c.dense = None
+        obs = rng.integers(0, 4, (60, 6))
+        obs[3, 2] = 9
+        alphas, log, dead = c.forward_block(obs)
+        path, best, gone = c.viterbi_block(obs)
+        for i, o in enumerate(obs.tolist()):
+            if dead[i] >= 0:
+                with pytest.raises(ValueError):
+                    c.forward(o)
+                assert gone[i] >= 0
+                continue
+            assert c.forward(o)[1] == pytest.approx(log[i]) and np.allclose(c.forward(o)[0][-1], alphas[-1][i])
+            assert c.viterbi(o) == (path[i].tolist(), pytest.approx(best[i]))
+            p = np.log10(c.start[path[i][0]] * c.emission[o[0], path[i][0]])
+            for k in range(1, len(o)):
+                p += np.log10(a[path[i][k - 1], path[i][k]] * c.emission[o[k], path[i][k]])
+            assert p + np.log10(c.end[path[i][-1]]) == pytest.approx(best[i])
+        drawn, _, lost = c.sample_block(obs, lambda t: np.full(len(obs), 0.3))
+        assert all((a[r[:-1], r[1:]] > 0).all() for r, x in zip(drawn, lost) if x < 0)
+
+
+def test_state_orders(spark):
+    s = spark.createDataFrame([(1, [2, 0], [3, 0], 0, 4), (0, [2, 5], [3, 1], 1, 4)], "j int, a array<int>, b array<int>, f int, g int").select(F.struct("*").alias("s"))
+    got = s.select(*(states.state_text(F.col("s"), o).alias(o) for o in ("jabfg", "fjabg", "whole"))).collect()
+    assert [tuple(r) for r in got] == [
+        ("+::ACT2/AWA3::-::POS4", "-::+::ACT2/AWA3::POS4", "J+::ACT2/AWA3::ACT0/AWA0::F-::POS4"), ("-::ACT2/AWA3;ACT5/AWA1::+::POS4", "+::-::ACT2/AWA3;ACT5/AWA1::POS4", "J-::ACT2/AWA3::ACT5/AWA1::F+::POS4"),
+    ]
+    with pytest.raises(ValueError):
+        states.state_text(F.col("s"), "x")
+
+
+def test_trainer_options(spark):
+    rng = np.random.default_rng(2)
+    sents = spark.createDataFrame([(i, [int(x) for x in rng.integers(1, 4, 4)]) for i in range(30)], "sent_id bigint, toks array<int>")
+    seen = []
+    how = sampler.Settings(
+        categories=2, iterations=7, restarts=2, start="left_branching", sample_alpha=True, alpha_array=True, init_anneal=0.5, anneal_length=4, anneal_phases=2, best_of_phase=True,
+        cooling_start=6, cooling_length=1, cooling_target=3.0, checkpoint=lambda it, rules: seen.append((it, rules.count())),
+    )
+    rules, series = sampler.train(sents, 3, how)
+    assert [i for i, _ in series] == list(range(7)) and [i for i, _ in seen] == list(range(7))
+    assert {r.lhs: round(r.m, 6) for r in rules.groupBy("lhs").agg(F.sum("p").alias("m")).collect()} == {0: 1.0, 1: 1.0, 2: 1.0}
+    assert [sampler.annealing_value(i, how) for i in (0, 2, 4, 5)] == [0.5, 0.75, 1.0, 3.0]
+    scaled = sampler.train(sents, 3, sampler.Settings(categories=2, iterations=1, alpha_scale=0.05))
+    assert len(scaled[1]) == 1 and sampler.scaled_alphas(120, 30, 3, 2, 0.05) == (0.05 * 90 / 8, 0.05 * 120 / 6)
+    for bad in (0.0, 1.5, 0.9):
+        with pytest.raises(ValueError):
+            sampler.scaled_alphas(1200, 30, 3, 2, bad)
+
+
+def test_settings_of_a_config():
+    from arborloom.sources.formats import read_config
+
+    text = "[io]\noutput_dir = out\n[params]\nstartabp = 4\ndepth=2\nMAP = true\nburnin = 3\nsample_iters=5\nnum_samples=2\nalpha_pcfg_range = 0.1,0.9\nother = 1\nsuper_cooling_start_iter = 9\ninit_strategy = gold_pos\n"
+    s = sampler.settings_of(read_config(text))
+    assert (s.output, s.categories, s.depth, s.best_of_phase, s.iterations, s.alpha_low, s.alpha_high, s.cooling_start, s.start) == ("out", 4, 2, True, 13, 0.1, 0.9, 0, "gold_pos")
+    assert sampler.settings_of(read_config(text + "super_cooling = 1\n")).cooling_start == 9 and sampler.settings_of({}) == sampler.Settings()
+
+
+@pytest.mark.parametrize("name", list(sampler.STRATEGIES))
+def test_strategies(spark, name):
+    sents = spark.createDataFrame([(1, [1, 2, 3], [2, 1, 2]), (2, [3], [1]), (3, [], []), (4, None, None)], "sent_id bigint, toks array<int>, tags array<int>")
+    counts = sampler.strategy_counts(sents, name, 2, 3, "tags").collect()
+    assert sum(r.cnt for r in counts if r.is_lex) == 4 + 2 and sum(r.cnt for r in counts if not r.is_lex) == 2 + 2
+    if name == "gold_pos":
+        assert {(r.lhs, r.r1, r.cnt) for r in counts if r.is_lex and r.lhs} == {(2, "1", 1), (1, "2", 1), (2, "3", 1), (1, "3", 1)}
+    with pytest.raises(ValueError):
+        sampler.strategy_counts(sents, "no", 2, 3)
