@@ -540,12 +540,10 @@ def assigned(units: DataFrame, means: Means, width: int, within: float, apart: f
         if not weak.count:
             return members, means
         dropped(members)
-        order = np.argsort(weak.n, kind="stable")
+        order = np.argsort(weak.n, kind="stable")[:8192]  # the weakest first; the others follow in later passes
         x = weak.x[order]
-        # The first of each set that overlap; beside it those that overlap with no weaker one.
-        earlier = np.tril(x @ x.T >= OVERLAP, -1) if len(x) <= 8192 else None
-        gone = weak.ids[order][~earlier.any(axis=1)] if earlier is not None else weak.ids[order][:1]
-        means = means.without(gone)
+        # Of means that overlap the weakest goes; a mean goes if no weaker one overlaps with it.
+        means = means.without(weak.ids[order][~np.tril(x @ x.T >= OVERLAP, -1).any(axis=1)])
     return None, means
 
 
