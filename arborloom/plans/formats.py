@@ -63,7 +63,7 @@ _VEC = """v AS (SELECT min(d.id) AS id, d.word, any_value(v.vec) AS vec FROM (SE
   JOIN (SELECT DISTINCT id, word FROM word_dict WHERE regexp_full_match(word, '[A-Za-z]+')) d ON d.id = v.id GROUP BY d.word HAVING count(*) = 1)"""
 
 
-@query("read_word_vectors", f"WITH {_VEC} SELECT id, CAST(len(vec) AS INTEGER) AS width, round(CAST(vec[1] AS DOUBLE), 4) AS first, round(CAST(vec[64] AS DOUBLE), 4) AS last FROM v")
+@query("read_word_vectors", f"WITH {_VEC} SELECT id, CAST(len(vec) AS INTEGER) AS width, round(CAST(vec[1] AS DOUBLE), 4) + 0.0 AS first, round(CAST(vec[64] AS DOUBLE), 4) + 0.0 AS last FROM v")
 def q_word_vectors(spark, sf):
     """Vectors of words that have one, as text lines with a header."""
     v = read_table(spark, sf, "word_vectors").where("size(vec) = 64 and not exists(vec, x -> x is null or isnan(x) or abs(x) = double('infinity'))").select("id", "vec").distinct()
@@ -71,7 +71,7 @@ def q_word_vectors(spark, sf):
     one = v.join(d, "id").groupBy("word").agg(F.min("id").alias("id"), F.first("vec").alias("vec"), F.count("*").alias("c")).where("c = 1")
     lines = one.select(F.concat_ws(" ", "word", F.array_join(F.col("vec").cast("array<string>"), " ")))
     back = formats.read_word_vectors(spark, _lines(lines, "vectors"), one.select("word", "id"), 64)
-    return back.select("id", F.size("vec").alias("width"), F.round(F.col("vec")[0].cast("double"), 4).alias("first"), F.round(F.col("vec")[63].cast("double"), 4).alias("last"))
+    return back.select("id", F.size("vec").alias("width"), (F.round(F.col("vec")[0].cast("double"), 4) + F.lit(0.0)).alias("first"), (F.round(F.col("vec")[63].cast("double"), 4) + F.lit(0.0)).alias("last"))
 
 
 @query("read_states", f"""WITH {TOK} SELECT CAST(CASE WHEN pos > 1 THEN 1 ELSE 0 END AS INTEGER) AS j, CAST(CASE WHEN pos < len(words) - 1 THEN 1 ELSE 0 END AS INTEGER) AS f, CAST(1 + length(tok.tok) % 5 AS INTEGER) AS g, count(*) AS n
@@ -128,8 +128,10 @@ def q_conll_blocks(spark, sf):
   SELECT replace(coalesce(nullif(regexp_extract(x, ' pos="([^"]*)"', 1), ''), 'UNK'), '/', '\\/') AS tag, count(*) AS n FROM k GROUP BY tag""")
 def q_ltf(spark, sf):
     """Tokens of annotation XML by tag."""
+    path = _place(spark, "ltf")
     docs = read_table(spark, sf, "documents").where("fmt = 'ltf' and text like '%</LTF>%'").select("text")
-    return formats.read_ltf(spark, _lines(docs, "ltf")).select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    docs.write.option("maxRecordsPerFile", 1).text(path)  # the format has one document a file
+    return formats.read_ltf(spark, path).select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 @query("read_conditional_model", f"WITH {_RULES} SELECT 'R' AS id, CAST(lhs AS VARCHAR) AS cond, r1 || ' ' || r2 AS out, round(p, 6) AS p FROM rp WHERE NOT is_lex")
@@ -214,14 +216,14 @@ def q_lex(spark, sf):
 
 
 @query("write_gaussian", """WITH e AS (SELECT label, CAST(unnest(range(len(embedding))) AS INTEGER) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings)
-  SELECT label AS pos, dim, round(round(avg(v), 6), 4) + 0.0 AS mean, round(round(stddev_pop(v), 6), 4) + 0.0 AS sd FROM e GROUP BY label, dim""")
+  SELECT label AS pos, dim, round(avg(v), 6) + 0.0 AS mean, round(stddev_pop(v), 6) + 0.0 AS sd FROM e GROUP BY label, dim""")
 def q_gaussian_file(spark, sf):
     """Gaussian parameters of each label written as lines and read."""
     e = read_table(spark, sf, "embeddings").select(F.col("label").alias("pos"), F.posexplode("embedding").alias("dim", "x"))
     g = e.groupBy("pos", "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.stddev_pop(F.col("x").cast("double")).alias("sd"))
     path = _place(spark, "gaussian")
     formats.write_gaussian(g, path)
-    return formats.read_gaussian(spark, path).select("pos", "dim", (F.round("mean", 4) + F.lit(0.0)).alias("mean"), (F.round("sd", 4) + F.lit(0.0)).alias("sd"))
+    return formats.read_gaussian(spark, path).select("pos", "dim", (F.col("mean") + F.lit(0.0)).alias("mean"), (F.col("sd") + F.lit(0.0)).alias("sd"))
 
 
 @query("write_annotations", f"WITH {EV} SELECT CAST(len(toks) - 1 AS BIGINT) AS last, count(*) AS n FROM ev GROUP BY 1")
