@@ -19,7 +19,7 @@ from arborloom.operators.grammar import Components
 from arborloom.operators.states import Rows, end_index, tag_given_state
 from arborloom.session import ship_code
 
-#: Filter entries (sentences x length x states) or transitions (sentences x transitions) of a block of sentences of one length.
+#: Filter entries (sentences x length x states) or transitions (sentences x transitions) of a block of sentences taken side by side.
 BLOCK_CELLS = 4_000_000
 
 
@@ -60,57 +60,65 @@ class Chain:
             out[:, self.into] = np.add.reduceat(alpha[:, self.prev] * self.p, self.head, axis=1)
         return out
 
-    def forward_block(self, obs: np.ndarray, prune: float = 0.0) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Q03, Q06: over sentences of one length (rows of ``obs``): filters after each observation, log10 of the probability with the
-        end, and where each sentence loses all mass (-1: nowhere; the length: at the end).
+    def forward_block(self, obs: np.ndarray, prune: float = 0.0, length: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Q03, Q06: over sentences side by side, the longest first (rows of ``obs``, used up to ``length``): filters after each observation of the
+        sentences that go on, log10 of the probability with the end, and where each sentence loses all mass (-1: nowhere; its length: at the end).
 
         Q07: with ``prune`` states under the largest over ``prune`` are dropped after each observation.
         """
+        length = np.full(len(obs), obs.shape[1]) if length is None else length
         alphas, log, dead = [], np.zeros(len(obs)), np.full(len(obs), -1)
         for t in range(obs.shape[1]):
-            alpha = (self.start if t == 0 else self.step(alphas[-1])) * self.emit(obs[:, t])
+            n = int(np.searchsorted(-length, -t))  # sentences longer than t
+            alpha = (self.start if t == 0 else self.step(alphas[-1][:n])) * self.emit(obs[:n, t])
             total = alpha.sum(axis=1)
-            dead[(dead < 0) & ~(total > 0)] = t
+            dead[:n][(dead[:n] < 0) & ~(total > 0)] = t
             if prune:
                 alpha = np.where(alpha >= alpha.max(axis=1, keepdims=True) / prune, alpha, 0.0)
                 total = alpha.sum(axis=1)
             safe = np.where(total > 0, total, 1.0)
             alphas.append(alpha / safe[:, None])
-            log += np.log10(safe)
-        if alphas:
-            last = alphas[-1] @ self.end
-            dead[(dead < 0) & ~(last > 0)] = obs.shape[1]
-            log += np.log10(np.where(last > 0, last, 1.0))
+            log[:n] += np.log10(safe)
+            ends = np.flatnonzero(length[:n] == t + 1)
+            last = alphas[-1][ends] @ self.end
+            dead[ends[(dead[ends] < 0) & ~(last > 0)]] = t + 1
+            log[ends] += np.log10(np.where(last > 0, last, 1.0))
         return alphas, log, dead
 
-    def sample_block(self, obs: np.ndarray, draw: Callable[[int], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def sample_block(self, obs: np.ndarray, draw: Callable[[int], np.ndarray], length: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Q04, Q05: states drawn backwards from the posterior; ``draw(t)`` gives a number in (0, 1) for each sentence."""
-        alphas, log, dead = self.forward_block(obs)
+        length = np.full(len(obs), obs.shape[1]) if length is None else length
+        alphas, log, dead = self.forward_block(obs, length=length)
         path = np.zeros(obs.shape, np.int64)
-        weight = np.broadcast_to(self.end, (len(obs), len(self.end)))
+        weight = np.empty((0, len(self.end)))
         for t in range(obs.shape[1] - 1, -1, -1):
+            n = len(alphas[t])
+            weight = np.concatenate([weight, np.broadcast_to(self.end, (n - len(weight), len(self.end)))])
             mass = np.cumsum(alphas[t] * weight, axis=1)
-            s = np.minimum((mass <= draw(t)[:, None] * mass[:, -1:]).sum(axis=1), mass.shape[1] - 1)
-            path[:, t] = s
+            s = np.minimum((mass <= draw(t)[:n, None] * mass[:, -1:]).sum(axis=1), mass.shape[1] - 1)
+            path[:n, t] = s
             if self.dense is not None:
                 weight = self.matrix[:, s].T
             else:
                 lo, hi = np.searchsorted(self.nxt, s), np.searchsorted(self.nxt, s, side="right")
-                n = hi - lo
-                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                weight = np.zeros((len(obs), len(self.start)))
-                weight[np.repeat(np.arange(len(obs)), n), self.prev[at]] = self.p[at]
+                k = hi - lo
+                at = np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(k.sum())
+                weight = np.zeros((n, len(self.start)))
+                weight[np.repeat(np.arange(n), k), self.prev[at]] = self.p[at]
         return path, log, dead
 
-    def viterbi_block(self, obs: np.ndarray, first_beam: int = 0, beam: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def viterbi_block(self, obs: np.ndarray, first_beam: int = 0, beam: int = 0, length: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Q08; with beams (T07, Q09) only so many best states go on after the first and the later observations. Ties: the lowest state."""
+        length = np.full(len(obs), obs.shape[1]) if length is None else length
         back: list[np.ndarray] = []
-        n, size = len(obs), len(self.start)
-        score = np.empty((n, 0))
+        size = len(self.start)
+        score, best, last = np.empty((0, size)), np.full(len(obs), -np.inf), np.zeros(len(obs), np.int64)
         with np.errstate(divide="ignore", invalid="ignore"):
             p, end = np.log10(self.p), np.log10(self.end)
             for t in range(obs.shape[1]):
-                e = np.log10(self.emit(obs[:, t]))
+                n = int(np.searchsorted(-length, -t))
+                e = np.log10(self.emit(obs[:n, t]))
+                score = score[:n]
                 if t == 0:
                     score = np.log10(self.start) + e
                 elif self.dense is not None:
@@ -122,9 +130,9 @@ class Chain:
                     into, link = np.full((n, size), -np.inf), np.zeros((n, size), np.int64)
                     if len(self.head):
                         w = score[:, self.prev] + p
-                        best = np.maximum.reduceat(w, self.head, axis=1)
-                        same = w == np.repeat(best, np.diff(np.append(self.head, w.shape[1])), axis=1)
-                        into[:, self.into] = best
+                        top = np.maximum.reduceat(w, self.head, axis=1)
+                        same = w == np.repeat(top, np.diff(np.append(self.head, w.shape[1])), axis=1)
+                        into[:, self.into] = top
                         link[:, self.into] = np.minimum.reduceat(np.where(same, self.prev, size - 1), self.head, axis=1)
                     back.append(link)
                     score = into + e
@@ -132,13 +140,17 @@ class Chain:
                 if limit and limit < size:
                     floor = np.partition(score, size - limit, axis=1)[:, size - limit, None]
                     score = np.where(score >= floor, score, -np.inf)
-            final = score + end
+                ends = np.flatnonzero(length[:n] == t + 1)
+                final = score[ends] + end
+                best[ends], last[ends] = final.max(axis=1, initial=-np.inf), final.argmax(axis=1) if len(ends) else 0
         path = np.zeros(obs.shape, np.int64)
-        path[:, -1] = final.argmax(axis=1)
-        for t in range(obs.shape[1] - 2, -1, -1):
-            path[:, t] = back[t][np.arange(n), path[:, t + 1]]
-        best = final.max(axis=1)
-        return path, best, np.where(best > -np.inf, -1, obs.shape[1])
+        for t in range(obs.shape[1] - 1, -1, -1):
+            n = int(np.searchsorted(-length, -t))
+            go_on = int(np.searchsorted(-length, -(t + 1)))
+            path[go_on:n, t] = last[go_on:n]
+            if go_on:
+                path[:go_on, t] = back[t][np.arange(go_on), path[:go_on, t + 1]]
+        return path, best, np.where(best > -np.inf, -1, length)
 
     def _one(self, obs: list[int]) -> np.ndarray:
         return np.array(obs, np.int64).reshape(1, -1)
@@ -222,14 +234,15 @@ def inferred(sentences: DataFrame, chain: Chain, how: str, key: str = "sent_id",
     """``(key, log10p, path, last, success, error)`` by ``how``: forward, sample, viterbi or beam.
 
     A sentence without a parse has success false and the reason (K05); null and empty sentences have an empty path and probability 1. ``path``
-    holds state names (null for forward), ``last`` the last filter (forward only). Q06: the sentences of a batch that are of one length are taken
-    through the chain together, in blocks of BLOCK_CELLS filter entries; rows stay where they are. With ``keep`` the observations come along, as ``obs``.
+    holds state names (null for forward), ``last`` the last filter (forward only). Q06: the sentences of a batch are taken through the chain side by side, the
+    longest first, in blocks of BLOCK_CELLS filter entries; rows stay where they are. With ``keep`` the observations come along, as ``obs``.
     """
     ship_code(sentences.sparkSession)
     sent = sentences.sparkSession.sparkContext.broadcast(chain)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Chain = sent.value
+        wide = len(c.start) ** 2 if c.dense is not None else len(c.prev)
         for batch in batches:
             keys = batch.column(0).fill_null(0).to_numpy()
             lists = batch.column(1)
@@ -240,30 +253,35 @@ def inferred(sentences: DataFrame, chain: Chain, how: str, key: str = "sent_id",
             log, ok, errors = np.zeros(n), np.ones(n, bool), [None] * n
             paths: list = [None if how == "forward" else [] for _ in range(n)]
             lasts: list = [None] * n
-            for length in np.unique(size[size > 0]):
-                rows_of = np.flatnonzero(size == length)
-                wide = len(c.start) ** 2 if c.dense is not None else len(c.prev)
-                per = max(1, BLOCK_CELLS // max(int(length) * len(c.start), wide))
-                for a in range(0, len(rows_of), per):
-                    at = rows_of[a : a + per]
-                    obs = flat[first[at][:, None] + np.arange(length)].astype(np.int64)
-                    if how == "forward":
-                        alphas, part, dead = c.forward_block(obs)
-                        for i, v in zip(at, alphas[-1], strict=True):
-                            lasts[i] = v
-                    elif how == "sample":
-                        base = uniforms(keys[at], seed * 1_000_003 + iteration).view(np.uint64)
-                        path, part, dead = c.sample_block(obs, lambda t: uniforms(base, t))  # noqa: B023
-                    else:
-                        path, part, dead = c.viterbi_block(obs, *((first_beam, beam) if how == "beam" else (0, 0)))
-                    log[at] = part
-                    if how != "forward":
-                        for i, v in zip(at, c.name[path], strict=True):
-                            paths[i] = v
-                    for i in np.flatnonzero(dead >= 0):
-                        k = at[i]
-                        ok[k], errors[k], lasts[k] = False, "no path" if how in ("viterbi", "beam") else reason(int(dead[i]), int(length)), None
-                        paths[k] = None if how == "forward" else []
+            order = np.argsort(-size, kind="stable")[: int((size > 0).sum())]  # the longest first
+            a = 0
+            while a < len(order):
+                longest = int(size[order[a]])
+                per = max(1, BLOCK_CELLS // max(longest * len(c.start), wide))
+                at = order[a : a + per]
+                a += per
+                n_of = size[at]
+                obs = np.full((len(at), longest), -1, np.int64)
+                inside = np.arange(longest) < n_of[:, None]
+                obs[inside] = flat[np.repeat(first[at] - (np.cumsum(n_of) - n_of), n_of) + np.arange(n_of.sum())]
+                if how == "forward":
+                    alphas, part, dead = c.forward_block(obs, length=n_of)
+                    for i, k in enumerate(at):
+                        lasts[k] = alphas[n_of[i] - 1][i]
+                elif how == "sample":
+                    base = uniforms(keys[at], seed * 1_000_003 + iteration).view(np.uint64)
+                    path, part, dead = c.sample_block(obs, lambda t: uniforms(base, t), n_of)  # noqa: B023
+                else:
+                    path, part, dead = c.viterbi_block(obs, *((first_beam, beam) if how == "beam" else (0, 0)), length=n_of)
+                log[at] = part
+                if how != "forward":
+                    named = c.name[path]
+                    for i, k in enumerate(at):
+                        paths[k] = named[i, : n_of[i]]
+                for i in np.flatnonzero(dead >= 0):
+                    k = at[i]
+                    ok[k], errors[k], lasts[k] = False, "no path" if how in ("viterbi", "beam") else reason(int(dead[i]), int(n_of[i])), None
+                    paths[k] = None if how == "forward" else []
             columns = [batch.column(0), pa.array(log, mask=~ok), pa.array(paths, pa.list_(pa.int64())), pa.array(lasts, pa.list_(pa.float64())), pa.array(ok), pa.array(errors, pa.string())]
             names = ["key", "log10p", "path", "last", "success", "error"]
             yield pa.RecordBatch.from_arrays([*columns, lists] if keep else columns, names=[*names, "obs"] if keep else names)

@@ -213,6 +213,17 @@ def test_blocks_equal_single_sentences():
             for k in range(1, len(o)):
                 p += np.log10(a[path[i][k - 1], path[i][k]] * c.emission[o[k], path[i][k]])
             assert p + np.log10(c.end[path[i][-1]]) == pytest.approx(best[i])
+        length = np.sort(rng.integers(1, 7, 60))[::-1]
+        mixed = np.where(np.arange(6) < length[:, None], obs, -1)
+        (_, log2, dead2), (path2, best2, gone2) = c.forward_block(mixed, length=length), c.viterbi_block(mixed, length=length)
+        some, _, _ = c.sample_block(mixed, lambda t: np.full(len(obs), 0.3), length)
+        for i, n in enumerate(length.tolist()):
+            o = mixed[i, :n].tolist()
+            if dead2[i] >= 0:
+                assert gone2[i] >= 0
+                continue
+            assert c.forward(o)[1] == pytest.approx(log2[i]) and c.viterbi(o) == (path2[i, :n].tolist(), pytest.approx(best2[i]))
+            assert some[i, :n].tolist() == c.sample_block(np.array([o]), lambda t: np.full(1, 0.3))[0][0].tolist()
         drawn, _, lost = c.sample_block(obs, lambda t: np.full(len(obs), 0.3))
         assert all((a[r[:-1], r[1:]] > 0).all() for r, x in zip(drawn, lost) if x < 0)
 
