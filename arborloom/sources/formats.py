@@ -145,7 +145,10 @@ def read_delimited(spark: SparkSession, path: str, n_fields: int, delimiter: str
 
 
 def read_ltf(spark: SparkSession, path: str) -> DataFrame:
-    """``(seg_id, words, tags)`` of annotation XML, one document a file; the default tag is UNK, a slash in a tag is escaped."""
+    """``(seg_id, words, tags)`` of annotation XML, one document a file; the default tag is UNK, a slash in a tag is escaped.
+
+    A document that is not well-formed is read up to the fault.
+    """
     schema = "_id string, TOKEN array<struct<_VALUE: string, _id: string, _pos: string>>"
     segs = spark.read.format("xml").option("rowTag", "SEG").schema(schema).load(path)
     tag = lambda x: F.replace(F.coalesce(x["_pos"], F.lit("UNK")), F.lit("/"), F.lit("\\/"))
