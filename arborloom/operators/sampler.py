@@ -84,12 +84,20 @@ def settings_of(config: dict[str, dict[str, str]]) -> Settings:
     return out
 
 
+def spread_alphas(words: int, sentences: int, types: int, categories: int, scale: float) -> tuple[float, float]:
+    """Pseudo-count of each binary and each lexical rule: ``scale`` times the inner nodes and the words, spread over the rules of all categories.
+
+    Both are figures of the corpus, whatever their size; without types the lexical one is infinite, without words not a number.
+    """
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return scale * (words - sentences) / categories**2 / categories, float(np.float64(scale * words) / types / categories)
+
+
 def scaled_alphas(words: int, sentences: int, types: int, categories: int, scale: float) -> tuple[float, float]:
-    """Pseudo-count of each binary and each lexical rule: ``scale`` times the inner nodes and the words, spread over the rules of all categories."""
+    """``spread_alphas`` as a prior of the trainer, which takes no lexical pseudo-count over 1."""
     if not 0 < scale <= 1:
         raise ValueError("the scale must be over 0 and at most 1")
-    binary = scale * (words - sentences) / categories**2 / categories
-    lexical = scale * words / types / categories
+    binary, lexical = spread_alphas(words, sentences, types, categories, scale)
     if lexical > 1:
         raise ValueError("a lexical pseudo-count over 1: lower the scale")
     return binary, lexical

@@ -350,8 +350,8 @@ def q_alpha_split(spark, sf):
     ev = int_sentences(spark, sf)
     r = ev.agg(F.sum(F.size("toks")).alias("w"), F.count("*").alias("s")).first()
     types = ev.select(F.explode("toks").alias("x")).where("x is not null").distinct().count()
-    b, lexical = sampler.scaled_alphas(r.w, r.s, types, 3, 0.1)
-    return spark.createDataFrame([(round(b, 6), round(lexical, 6))], "binary_alpha double, lexical_alpha double")
+    b, lexical = (None, None) if r.w is None else (round(x, 6) for x in sampler.spread_alphas(r.w, r.s, types, 3, 0.1))
+    return spark.createDataFrame([(b, lexical)], "binary_alpha double, lexical_alpha double")
 
 
 @query("strategy_start", f"""WITH {EV}, k AS (SELECT sent_id, toks FROM ev WHERE len(list_filter(toks, lambda x: x IS NULL)) = 0), n AS (SELECT sum(len(toks)) AS w, count(*) AS s FROM (SELECT DISTINCT sent_id, toks FROM k))

@@ -1,6 +1,7 @@
 import itertools
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -257,6 +258,18 @@ def test_trainer_options(spark):
             sampler.scaled_alphas(1200, 30, 3, 2, bad)
 
 
+@pytest.mark.parametrize("toks", [[[7] * 40, [7] * 25], [[7, None]], [[None, None]], []])
+def test_alpha_split_of_any_corpus(spark, tmp_path, toks):
+    """Many words of one type, null words, no words: the figures SQL gives, also over 1."""
+    from arborloom.plans import ORACLES, QUERIES
+
+    rows = [(i, t, [1] * len(t), "c") for i, t in enumerate(toks)]
+    spark.createDataFrame(rows, "sent_id bigint, toks array<int>, tags array<int>, corpus string").write.parquet(f"{tmp_path}/ev_seqs.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW ev_seqs AS SELECT * FROM '{tmp_path}/ev_seqs.parquet/*.parquet'")
+    assert [str(tuple(r)) for r in QUERIES["alpha_split"](spark, str(tmp_path)).collect()] == [str(r) for r in con.execute(ORACLES["alpha_split"]).fetchall()]
+
+
 def test_settings_of_a_config():
     from arborloom.sources.formats import read_config
 
