@@ -115,28 +115,39 @@ MOST_RULES = 1_000_000
 
 def rules_of_model(model: DataFrame, name: str = "R") -> dict[str, list[tuple[tuple[str, ...], float]]]:
     """The rules of a conditional model ``(id, cond, out, p)`` with arrays cond and out; at most MOST_RULES, checked."""
-    rows = model.where((F.col("id") == name) & (F.col("p") > 0)).select(F.array_join("cond", " ").alias("c"), "out", "p").limit(MOST_RULES + 1).collect()
-    if len(rows) > MOST_RULES:
+    rows = model.where((F.col("id") == name) & (F.col("p") > 0)).select(F.array_join("cond", " ").alias("c"), "out", "p").limit(MOST_RULES + 1).toArrow()
+    if rows.num_rows > MOST_RULES:
         raise ValueError(f"a model of more than {MOST_RULES} rules")
     out: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r.c, r.out)):
-        out.setdefault(r.c, []).append((tuple(x for x in r.out if x != "-"), float(r.p)))
-    return {c: [(rhs, w / sum(x for _, x in options)) for rhs, w in options if rhs] for c, options in out.items()}
+    for c, rhs, p in sorted(zip(*(x.to_pylist() for x in rows.columns), strict=True), key=lambda r: r[:2]):
+        out.setdefault(c, []).append((tuple(x for x in rhs if x != "-"), float(p)))
+    totals = {c: sum(x for _, x in options) for c, options in out.items()}
+    return {c: [(rhs, w / totals[c]) for rhs, w in options if rhs] for c, options in out.items()}
 
 
-def expand(rules: dict, symbol: str, rng: np.random.Generator, most_depth: int, depth: int = 0) -> str:
-    """A bracketed tree of a symbol; beyond ``most_depth`` only terminating rules are drawn."""
-    options = rules[symbol]
-    if depth >= most_depth:
-        options = [r for r in options if len(r[0]) == 1] or options
+def _outcomes(options: list[tuple[tuple[str, ...], float]]) -> tuple[list[tuple[str, ...]], np.ndarray]:
+    """Right sides and their running probability, from which a draw takes one search."""
     p = np.array([w for _, w in options])
-    rhs = options[int(rng.choice(len(options), p=p / p.sum()))][0]
+    upto = np.cumsum(p / p.sum())
+    return [rhs for rhs, _ in options], upto / upto[-1]
+
+
+def prepared(rules: dict) -> dict[str, tuple]:
+    """For each symbol the outcomes of all its rules and of its terminating ones, made once for all nodes that ``expand`` draws."""
+    return {c: (_outcomes(options), _outcomes([r for r in options if len(r[0]) == 1] or options)) for c, options in rules.items()}
+
+
+def expand(rules: dict[str, tuple], symbol: str, rng: np.random.Generator, most_depth: int, depth: int = 0) -> str:
+    """A bracketed tree of a symbol, from ``prepared`` rules; beyond ``most_depth`` only terminating rules are drawn."""
+    right_sides, upto = rules[symbol][depth >= most_depth]
+    rhs = right_sides[int(upto.searchsorted(rng.random(), side="right"))]
     parts = [expand(rules, x, rng, most_depth, depth + 1) if x in rules else x for x in rhs]
     return f"({symbol} {' '.join(parts)})"
 
 
 def sampled_trees(spark: SparkSession, rules: dict, n: int, seed: int, start: str = "T", most_depth: int = 12, layered: int = 0) -> DataFrame:
     """``(tree_id, tree)`` for tree ids 0 .. n - 1; ``layered``: the levels of a layered grammar, whose embedding is bounded by ``most_depth``."""
+    rules = rules if layered else prepared(rules)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

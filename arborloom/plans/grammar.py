@@ -7,7 +7,7 @@ from arborloom.functions import scalars
 from arborloom.operators import generate, grammar, inference, sampler, states, tables
 from arborloom.plans import query
 from arborloom.plans.base import EV, EVT, TOK, int_sentences, word_tokens
-from arborloom.session import read_table
+from arborloom.session import read_table, written
 
 _RULES = TOK + """, cc AS (SELECT sent_id, pos, tok, 1 + length(tok) % 5 AS c, 1 + length(lead(tok) OVER (PARTITION BY sent_id ORDER BY pos)) % 5 AS nxt FROM tok),
   ru AS (SELECT CAST(c AS INTEGER) AS lhs, tok AS r1, NULL::VARCHAR AS r2, true AS is_lex FROM cc UNION ALL SELECT c, c::VARCHAR, nxt::VARCHAR, false FROM cc WHERE nxt IS NOT NULL
@@ -314,11 +314,12 @@ def q_model_trees(spark, sf):
     """Trees from the conditional model of the corpus' own rules; every label drawn is one of the model's."""
     from arborloom.operators.trees import read_trees
 
-    p = grammar.conditional(rules(spark, sf)).where("lhs > 0 or r1 <> '-ROOT-'")
+    counts = written(rules(spark, sf), "rules")
+    p = grammar.conditional(counts).where("lhs > 0 or r1 <> '-ROOT-'")
     out = F.when(F.col("is_lex"), F.array(F.concat(F.lit("w"), F.regexp_replace("r1", "[^\\p{L}\\p{N}]", "_")))).when(F.col("lhs") == 0, F.array("r1")).otherwise(F.array("r1", "r2"))
     model = p.select(F.lit("R").alias("id"), F.array(F.when(F.col("lhs") == 0, F.lit("T")).otherwise(F.col("lhs").cast("string"))).alias("cond"), out.alias("out"), "p")
     labels = read_trees(generate.sampled_trees(spark, generate.rules_of_model(model), 400, seed=2)).where("label <> 'T'").select("label").distinct()
-    mine = rules(spark, sf).where("lhs > 0").select(F.col("lhs").cast("string").alias("label")).distinct().withColumn("known", F.lit(True))
+    mine = counts.where("lhs > 0").select(F.col("lhs").cast("string").alias("label")).distinct().withColumn("known", F.lit(True))
     return mine.join(labels.withColumn("drawn", F.lit(True)), "label", "full").select("label", F.coalesce("known", F.lit(False)).alias("known"))
 
 

@@ -1,5 +1,6 @@
 import itertools
 import math
+import time
 
 import duckdb
 import numpy as np
@@ -270,6 +271,24 @@ def test_alpha_split_of_any_corpus(spark, tmp_path, toks):
     assert [str(tuple(r)) for r in QUERIES["alpha_split"](spark, str(tmp_path)).collect()] == [str(r) for r in con.execute(ORACLES["alpha_split"]).fetchall()]
 
 
+def test_large_model_of_rules(spark):
+    """40,000 words of one category: the time grows with the rules, not with their square; each node draws as ``Generator.choice`` does."""
+    words = spark.range(40_000).select(F.lit("R").alias("id"), F.array(F.lit("x")).alias("cond"), F.array(F.concat(F.lit("w"), F.col("id").cast("string"))).alias("out"), (F.lit(0.6) / 40_000).alias("p"))
+    inner = spark.createDataFrame([("R", ["T"], ["x"], 1.0), ("R", ["x"], ["x", "x"], 0.4)], "id string, cond array<string>, out array<string>, p double")
+    began = time.perf_counter()
+    rules = generate.rules_of_model(words.unionByName(inner))
+    assert time.perf_counter() - began < 20 and len(rules["x"]) == 40_001 and sum(w for _, w in rules["x"]) == pytest.approx(1)
+
+    def plain(symbol, rng, depth=0):
+        options = [r for r in rules[symbol] if depth < 4 or len(r[0]) == 1]
+        p = np.array([w for _, w in options])
+        rhs = options[int(rng.choice(len(options), p=p / p.sum()))][0]
+        return f"({symbol} {' '.join(plain(x, rng, depth + 1) if x in rules else x for x in rhs)})"
+
+    made = generate.sampled_trees(spark, rules, 12, seed=3, most_depth=4).collect()
+    assert [r.tree for r in made] == [plain("T", np.random.Generator(np.random.Philox(key=[3, r.tree_id]))) for r in made]
+
+
 def test_settings_of_a_config():
     from arborloom.sources.formats import read_config
 
