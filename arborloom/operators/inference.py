@@ -6,6 +6,7 @@ are keyed by (seed, iteration, sentence), so results do not depend on partitioni
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,8 +29,11 @@ class Chain:
 
     start: probability of the first state; prev, nxt, p: transitions; end: probability of ending after a state; emission[o]: probability of
     observation o by emission class; kind: emission class of each state; name: what a state is called in results.
+    late: rows of emission of the observations from len(emission) on, where a batch brings its own.
     """
 
+    late: np.ndarray | None = None
+
     def __init__(self, start, prev, nxt, p, end, emission, kind, name=None):
         self.start, self.end = np.asarray(start, float), np.asarray(end, float)
         order = np.argsort(nxt, kind="stable")
@@ -50,7 +54,11 @@ class Chain:
     def emit(self, o: np.ndarray) -> np.ndarray:
         """Emission of a column of observations by state; an observation that the chain does not know has none."""
         known = (o >= 0) & (o < len(self.emission))
-        return self.emission[np.where(known, o, 0)][:, self.kind] * known[:, None]
+        out = self.emission[np.where(known, o, 0)][:, self.kind] * known[:, None]
+        if self.late is not None:
+            at = np.flatnonzero(o >= len(self.emission))
+            out[at] = self.late[o[at] - len(self.emission)][:, self.kind]
+        return out
 
     def step(self, alpha: np.ndarray) -> np.ndarray:
         if self.dense is not None:
@@ -230,15 +238,16 @@ def gaussian_lexicon(vectors: dict[int, np.ndarray], mean: np.ndarray, sd: np.nd
     return out
 
 
-def inferred(sentences: DataFrame, chain: Chain, how: str, key: str = "sent_id", obs: str = "obs", seed: int = 0, iteration: int = 0, first_beam: int = 100, beam: int = 50, keep: bool = False) -> DataFrame:
+def inferred(sentences: DataFrame, chain: Chain, how: str, key: str = "sent_id", obs: str = "obs", seed: int = 0, iteration: int = 0, first_beam: int = 100, beam: int = 50, keep: bool = False, late: DataFrame | None = None) -> DataFrame:
     """``(key, log10p, path, last, success, error)`` by ``how``: forward, sample, viterbi or beam.
 
     A sentence without a parse has success false and the reason (K05); null and empty sentences have an empty path and probability 1. ``path``
     holds state names (null for forward), ``last`` the last filter (forward only). Q06: the sentences of a batch are taken through the chain side by side, the
     longest first, in blocks of BLOCK_CELLS filter entries; rows stay where they are. With ``keep`` the observations come along, as ``obs``.
+    ``late(w, e)`` has the emissions by class of observations that the chain does not hold: only sentences with such are shuffled, to be joined with them.
     """
     ship_code(sentences.sparkSession)
-    sent = sentences.sparkSession.sparkContext.broadcast(chain)
+    sent, joined = sentences.sparkSession.sparkContext.broadcast(chain), late is not None
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Chain = sent.value
@@ -249,6 +258,8 @@ def inferred(sentences: DataFrame, chain: Chain, how: str, key: str = "sent_id",
             size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
             first = np.cumsum(size) - size
+            if joined:
+                c, flat = _with_late(sent.value, flat, first, batch.column(2))
             n = len(keys)
             log, ok, errors = np.zeros(n), np.ones(n, bool), [None] * n
             paths: list = [None if how == "forward" else [] for _ in range(n)]
@@ -288,4 +299,29 @@ def inferred(sentences: DataFrame, chain: Chain, how: str, key: str = "sent_id",
 
     schema = "key bigint, log10p double, path array<bigint>, last array<double>, success boolean, error string" + (", obs array<int>" if keep else "")
     rows = sentences.select(F.col(key).cast("bigint").alias("key"), F.col(obs).cast("array<int>").alias("obs"))
+    if late is not None:
+        rows = _joined_late(rows, len(chain.emission), late)
     return rows.mapInArrow(f, schema).withColumnRenamed("key", key)
+
+
+def _joined_late(rows: DataFrame, edge: int, late: DataFrame) -> DataFrame:
+    """``rows(key, obs)`` with ``late``: place and emissions of the observations from ``edge`` on; rows without such stay where they are."""
+    kind = "array<struct<pos: int, e: array<double>>>"
+    has = F.coalesce(F.exists("obs", lambda x: F.coalesce(x >= edge, F.lit(False))), F.lit(False))
+    far = rows.where(has).withColumn("_k", F.coalesce("key", F.lit(0))).withColumn("_h", F.xxhash64("obs"))
+    words = far.select("_k", "_h", F.posexplode("obs").alias("pos", "w")).where(F.col("w") >= edge).join(late, "w")
+    # A set, since a row may be there twice.
+    found = words.groupBy("_k", "_h").agg(F.collect_set(F.struct("pos", "e")).cast(kind).alias("late"))
+    return rows.where(~has).withColumn("late", F.lit(None).cast(kind)).unionByName(far.join(found, ["_k", "_h"], "left").select("key", "obs", "late"))
+
+
+def _with_late(chain: Chain, flat: np.ndarray, first: np.ndarray, column: pa.Array) -> tuple[Chain, np.ndarray]:
+    """The chain with the emissions that a batch brings, and the observations numbered after its own; one without emissions is unknown (-1)."""
+    edge = len(chain.emission)
+    count = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cells = column.flatten()
+    out = copy.copy(chain)
+    out.late = pc.struct_field(cells, "e").flatten().to_numpy(zero_copy_only=False).reshape(-1, chain.emission.shape[1])
+    numbered = np.where(flat < edge, flat, -1).astype(np.int64)
+    numbered[np.repeat(first, count) + pc.struct_field(cells, "pos").to_numpy(zero_copy_only=False).astype(np.int64)] = edge + np.arange(len(cells))
+    return out, numbered

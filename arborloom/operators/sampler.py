@@ -225,20 +225,44 @@ def counted(parses: DataFrame, size: int, depth: int) -> DataFrame:
     return rows.groupBy("lhs", "r1", "r2", "is_lex").agg(F.sum("cnt").alias("cnt"))
 
 
-#: Words of a lexicon that the kernel holds (categories x words numbers); transitions of a chain.
+#: Words of a lexicon that the kernel holds (categories x words numbers), further ones being joined with their sentences; transitions of a chain.
 MOST_WORDS, MOST_TRANSITIONS = 2_000_000, 50_000_000
 
 
+def lexical(rules: DataFrame) -> DataFrame:
+    """``(lhs, w, p)`` of the rules of words."""
+    return rules.where("is_lex and lhs > 0").select(F.col("lhs").cast("int").alias("lhs"), F.col("r1").cast("int").alias("w"), F.col("p").cast("double").alias("p"))
+
+
+def lexical_mass(rules: DataFrame, categories: int) -> np.ndarray:
+    """Sum of p over the words of each category, as wide as a row of the lexicon."""
+    out = np.zeros(categories + 2)
+    for r in lexical(rules).groupBy("lhs").agg(F.sum("p").alias("p")).collect():  # one row a category
+        out[r.lhs] = r.p
+    return out
+
+
+def late_words(rules: DataFrame, categories: int, words: int) -> DataFrame | None:
+    """``(w, e)``: emissions by category of the words beyond MOST_WORDS; none if there are no such words."""
+    if words <= MOST_WORDS:
+        return None
+    mass = np.maximum(lexical_mass(rules, categories), 1e-300)
+    cells = [F.coalesce(F.sum(F.when(F.col("lhs") == c, F.col("p") / float(mass[c]))), F.lit(0.0)) for c in range(categories + 2)]
+    return lexical(rules).where(F.col("w") > MOST_WORDS).groupBy("w").agg(F.array(*cells).alias("e"))
+
+
 def compiled(spark: SparkSession, rules: DataFrame, categories: int, words: int, depth: int) -> tuple[grammar.Components, inference.Chain]:
-    """Rules with p to component models and their chain. The transition table is bounded by the state space, not by the data; both bounds are checked."""
-    if words > MOST_WORDS:
-        raise ValueError(f"a lexicon of more than {MOST_WORDS} words")
+    """Rules with p to component models and their chain. The transition table is bounded by the state space, not by the data; its bound is checked.
+
+    The chain holds the words up to MOST_WORDS; ``late_words`` has the emissions of the others.
+    """
+    held = min(words, MOST_WORDS)
     p, mass = grammar.dense(rules, categories)
     c = grammar.components(p, mass, depth)
-    lex = np.zeros((words + 1, categories + 2))
-    table = rules.where("is_lex and lhs > 0").select(F.col("lhs").cast("int"), F.col("r1").cast("int").alias("w"), F.col("p").cast("double")).toArrow()
+    lex = np.zeros((held + 1, categories + 2))
+    table = lexical(rules).where(F.col("w") <= held).toArrow()
     lex[table.column("w").to_numpy(), table.column("lhs").to_numpy()] = table.column("p").to_numpy()
-    lex /= np.maximum(lex.sum(axis=0, keepdims=True), 1e-300)
+    lex /= np.maximum(lex.sum(axis=0, keepdims=True) if held == words else lexical_mass(rules, categories), 1e-300)
     t = states.transitions(spark, c).limit(MOST_TRANSITIONS + 1).toArrow()
     if t.num_rows > MOST_TRANSITIONS:
         raise ValueError(f"more than {MOST_TRANSITIONS} transitions: lower the depth or the categories")
@@ -314,7 +338,7 @@ def train(sentences: DataFrame, words: int, s: Settings, resume: int | None = No
         if s.batch_size and s.batch_size < n:
             lo = it * s.batch_size % n
             window = base.where(F.pmod(F.col("ix") - lo - 1, F.lit(n)) < s.batch_size)
-        parses = inference.inferred(window, chain, "sample", obs="toks", seed=s.seed, iteration=it, keep=True)
+        parses = inference.inferred(window, chain, "sample", obs="toks", seed=s.seed, iteration=it, keep=True, late=late_words(rules, s.categories, words))
         kept = written(parses.select("sent_id", "path", "log10p", "success", F.col("obs").alias("toks")), "parses")
         logprob = float(kept.agg(F.sum("log10p")).first()[0] or 0.0)
         series.append((it, logprob))

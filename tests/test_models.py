@@ -289,6 +289,21 @@ def test_large_model_of_rules(spark):
     assert [r.tree for r in made] == [plain("T", np.random.Generator(np.random.Philox(key=[3, r.tree_id]))) for r in made]
 
 
+def test_words_beyond_the_lexicon_held(spark, monkeypatch):
+    """Words over MOST_WORDS are joined with their sentences; a key twice, a row twice, long and empty sentences draw as with the whole lexicon held."""
+    rng = np.random.default_rng(6)
+    rows = [(i % 37, [int(x) for x in rng.integers(1, 9, int(rng.integers(1, 7)))]) for i in range(40)]
+    sents = spark.createDataFrame([*rows, rows[0], (50, []), (51, [1, 1, 1])], "sent_id bigint, toks array<int>")
+    how = sampler.Settings(categories=2, iterations=3, restarts=1, start="right_branching")
+    table = lambda d: {(r.lhs, r.r1, r.r2, r.is_lex): r.p for r in d.collect()}
+    whole, series = sampler.train(sents, 8, how)
+    whole = table(whole)
+    for most in (0, 3, 7):
+        monkeypatch.setattr(sampler, "MOST_WORDS", most)
+        part, again = sampler.train(sents, 8, how)
+        assert table(part) == pytest.approx(whole) and [p for _, p in again] == pytest.approx([p for _, p in series])
+
+
 def test_settings_of_a_config():
     from arborloom.sources.formats import read_config
 
