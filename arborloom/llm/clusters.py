@@ -5,7 +5,8 @@ The further coordinates, by size, order the vectors of a cell, so that a full ce
 dense, by one rule at every number of rows. Cells are counted in SQL; a cell is dense if one of its vectors has enough others near it. Dense cells whose
 means point into one cell of a turned frame and one way are adjacent; the least cell label is propagated over adjacent cells until nothing changes.
 The components' means are settled to their fixed points by exact passes, and the vectors near them leave. The rest is quantised in further frames with a
-lower density until a round of frames shows no new cluster. Membership is tested exactly against all means, as the definition of a cluster asks.
+lower density until a round of frames shows no new cluster. Membership is tested exactly against all means, as the definition of a cluster asks: every
+vector is compared with every mean once and keeps the means it may come near; a mean that turns too far from the place of that comparison is compared again.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arborloom.session import BROADCAST_ROWS, dropped, named, ship_code, small_side, written
+from arborloom.session import BROADCAST_ROWS, dropped, named, removed, ship_code, small_side, written
 
 #: Rounds: vectors near the densest one of a dense cell, and frames. The last kind of round is repeated until it shows nothing new.
 ROUNDS = ((16, 1), (3, 8))
@@ -42,10 +43,47 @@ BLOCK = 65_536
 PASSES = 200
 #: Cosine of means whose members may exclude each other.
 OVERLAP = 0.5
+#: Cosine from which on a vector lists a mean. A mean that has turned by less than the angle between this cosine and a bound is listed by all vectors within the bound.
+LISTED = 0.5
+#: Parts in which a written table is replaced, so that only one of them is there twice.
+PARTS = 4
 
 Batches = Iterator[pa.RecordBatch]
 
 
+def _tiles(x: np.ndarray, y: np.ndarray, rows: int = 512, columns: int = 2048) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Products of the rows of x and y in pieces that stay in the cache: first row of each and the piece."""
+    parts = [(b, np.ascontiguousarray(y[b : b + columns].T)) for b in range(0, len(y), columns)]
+    for a in range(0, len(x), rows):
+        for b, y_t in parts:
+            yield a, b, x[a : a + rows] @ y_t
+
+
+def near_pairs(x: np.ndarray, y: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the rows of x and y whose product is the bound or more, by row of x, then of y."""
+    rows, columns = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for a, b, c in _tiles(x, y):
+        hit = (c >= bound).ravel()
+        whole = len(hit) // 8 * 8
+        at = (np.flatnonzero(hit[:whole].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()  # hits are few: eight are looked at in one
+        at = np.concatenate([at[hit[at]], whole + np.flatnonzero(hit[whole:])])
+        rows.append(a + at // c.shape[1])
+        columns.append(b + at % c.shape[1])
+    row, column = np.concatenate(rows), np.concatenate(columns)
+    order = np.lexsort((column, row))
+    return row[order], column[order]
+
+
+def nearest_row(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of x the largest product with a row of y, and which (of equal ones the first)."""
+    best, where = np.full(len(x), -2.0, np.float32), np.zeros(len(x), np.int64)
+    for a, b, c in _tiles(x, y):
+        top = c.max(axis=1)
+        more = np.flatnonzero(top > best[a : a + len(c)])
+        best[a + more], where[a + more] = top[more], b + c[more].argmax(axis=1)
+    return best, where
+
+
 def matrix_of(column: pa.Array, width: int) -> np.ndarray:
     """The rows of a list column of one width, or of a column of the bytes of such rows."""
     if not pa.types.is_binary(column.type):
@@ -392,10 +430,8 @@ def _larger(part: Means) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.nd
 
     def f(ids: np.ndarray, n: np.ndarray, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids), bool)
-        for a in range(0, len(ids), 512):
-            s = slice(a, a + 512)
-            larger = (part.n[None] > n[s, None]) | ((part.n[None] == n[s, None]) & (part.ids[None] < ids[s, None]))
-            out[s] = ((x[s] @ part.x.T >= ONE) & larger).any(axis=1)
+        i, j = near_pairs(x, part.x, ONE)
+        out[i[(part.n[j] > n[i]) | ((part.n[j] == n[i]) & (part.ids[j] < ids[i]))]] = True
         return out
 
     return f
@@ -425,18 +461,19 @@ def nearest(units: DataFrame, means: Means, width: int, bound: float, other: flo
 
     def narrow(part: Means):
         ids, x_t = part.ids, part.x.T.astype(np.float64)
+        rows = max(16, (4 << 20) // max(1, len(ids)))
 
         def f(batches: Batches) -> Batches:
             for batch in batches:
                 x = matrix_of(batch.column("vec"), width)
                 best, second, where = np.full(len(x), -2.0), np.full(len(x), -2.0), np.zeros(len(x), np.int64)
-                for a in range(0, len(x), 2048):  # bounds the products held at once
-                    c = x[a : a + 2048].astype(np.float64) @ x_t
+                for a in range(0, len(x), rows):  # bounds the products held at once
+                    c = x[a : a + rows].astype(np.float64) @ x_t
                     at = c.argmax(axis=1)
-                    best[a : a + 2048], where[a : a + 2048] = c[np.arange(len(c)), at], at
+                    best[a : a + rows], where[a : a + rows] = c[np.arange(len(c)), at], at
                     if other is not None and c.shape[1] > 1:
                         c[np.arange(len(c)), at] = -2.0
-                        second[a : a + 2048] = c.max(axis=1)
+                        second[a : a + rows] = c.max(axis=1)
                 made = pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(ids[where]), pa.array(best), pa.array(second)], names=["id", "vec", "centre", "cosine", "second"])
                 yield made.filter(pa.array(best >= min(bound, other or bound)))
 
@@ -459,15 +496,10 @@ def nearest(units: DataFrame, means: Means, width: int, bound: float, other: flo
 def outside(units: DataFrame, means: Means, width: int, bound: float) -> DataFrame:
     """The vectors within the cosine bound of no mean; a narrow pass for each block of means."""
     for part in means.blocks(width):
-        x_t = part.x.T
 
-        def f(batches: Batches, x_t=x_t) -> Batches:
+        def f(batches: Batches, y=part.x) -> Batches:
             for batch in batches:
-                x = matrix_of(batch.column("vec"), width)
-                best = np.full(len(x), -2.0)
-                for a in range(0, len(x), 2048):  # bounds the products held at once
-                    best[a : a + 2048] = (x[a : a + 2048] @ x_t).max(axis=1)
-                yield batch.filter(pa.array(best < bound))
+                yield batch.filter(pa.array(nearest_row(matrix_of(batch.column("vec"), width), y)[0] < bound))
 
         units = units.mapInArrow(f, f"id bigint, vec {_kind(units)}")
     return units
@@ -485,25 +517,28 @@ def _still(a: Means, b: Means) -> bool:
     return not both.where(~F.coalesce(same, F.lit(False))).limit(1).count()
 
 
+def _add(n: np.ndarray, s: np.ndarray, which: np.ndarray, x: np.ndarray, sign: int = 1) -> None:
+    """Number and sum of the rows of x added to those of ``which``."""
+    order = np.argsort(which, kind="stable")
+    if len(order):
+        at, first, count = np.unique(which[order], return_index=True, return_counts=True)
+        n[at] += sign * count
+        s[at] += sign * np.add.reduceat(x[order].astype(np.float64), first)
+
+
 def member_sums(units: DataFrame, means: Means, width: int, bound: float) -> DataFrame:
     """``(centre, n, vec)``: number and sum of the vectors nearest each mean within the bound; of one block summed in the pass that compares them."""
     if means.table is not None:
         return _summed(nearest(units, means, width, bound).select("centre", F.lit(1).alias("n"), "vec"), "centre", width)
-    ids, x_t = means.ids, means.x.T.copy()
+    ids, y = means.ids, means.x
 
     def f(batches: Batches) -> Batches:
         n, s = np.zeros(len(ids), np.int64), np.zeros((len(ids), width))
         for batch in batches:
             x = matrix_of(batch.column("vec"), width)
-            for a in range(0, len(x), 2048):  # bounds the products held at once
-                c = x[a : a + 2048] @ x_t
-                at = c.argmax(axis=1)
-                hit = np.flatnonzero(c[np.arange(len(c)), at] >= bound)
-                order = hit[np.argsort(at[hit], kind="stable")]
-                if len(order):
-                    which, first, hits = np.unique(at[order], return_index=True, return_counts=True)
-                    n[which] += hits
-                    s[which] += np.add.reduceat(x[a + order].astype(np.float64), first)
+            best, at = nearest_row(x, y)
+            hit = np.flatnonzero(best >= bound)
+            _add(n, s, at[hit], x[hit])
         at = np.flatnonzero(n)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(n[at]), lists_of(s[at])], names=["centre", "n", "vec"])
@@ -511,13 +546,212 @@ def member_sums(units: DataFrame, means: Means, width: int, bound: float) -> Dat
     return _summed(units.select("vec").mapInArrow(f, "centre bigint, n bigint, vec array<double>"), "centre", width, partial=False)
 
 
-def settled(units: DataFrame, means: Means, width: int, bound: float, within: float, least: int) -> Means:
+class Lists:
+    """Vectors with the numbers of the means they may be near, ``table(id, vec, near)``; near is the bytes of 32-bit numbers.
+
+    ``places`` holds by number where each mean was when all vectors were last compared with it: those at cosine LISTED list it. So a mean at less than
+    the angle between LISTED and a bound from its place is listed by all vectors within the bound (angles of directions satisfy the triangle
+    inequality), and passes look at listed means only, with the results of passes over all of them. Without places (means of more than
+    one block) passes go over all means.
+    """
+
+    def __init__(self, table: DataFrame, places: np.ndarray | None, width: int):
+        self.table, self.places, self.width = table, places, width
+        self.compared = 0 if places is None else len(places)
+        self.last: tuple[Means, float] | None = None  # the step that the sums are of
+        self.n, self.s = np.zeros(self.compared, np.int64), np.zeros((self.compared, width))
+
+    @staticmethod
+    def of(units: DataFrame, means: Means, width: int) -> Lists:
+        """All vectors compared with all means, whose ids are their numbers."""
+        if means.table is not None:
+            return Lists(written(units, "units"), None, width)
+        return Lists(written(Lists._listed(units, means.ids, means.x, width), "listed"), means.x.copy(), width)
+
+    @staticmethod
+    def _listed(units: DataFrame, numbers: np.ndarray, y: np.ndarray, width: int) -> DataFrame:
+        more = "near" in units.columns
+        numbers = numbers.astype(np.int32)
+
+        def f(batches: Batches) -> Batches:
+            for batch in batches:
+                x = matrix_of(batch.column("vec"), width)
+                row, at = near_pairs(x, y, LISTED)
+                number = numbers[at]
+                if more:
+                    listed, before = _pairs(batch.column("near"))
+                    both = np.unique(np.concatenate([listed, row]) << 32 | np.concatenate([before, number]).astype(np.int64))
+                    row, number = both >> 32, (both & 0xFFFFFFFF).astype(np.int32)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(x)) * 4)]).astype(np.int32)
+                near = pa.BinaryArray.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(number.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), near], names=["id", "vec", "near"])
+
+        return units.mapInArrow(f, f"id bigint, vec {_kind(units)}, near binary")
+
+    def vectors(self) -> DataFrame:
+        return self.table.select("id", "vec")
+
+    def joined(self, means: Means, late: list[Means]) -> Means:
+        """The means and those found late, listed; without places numbered anew."""
+        if self.places is not None and all(m.table is None for m in (means, *late)) and len(self.places) + sum(m.count for m in late) <= BLOCK:
+            late = [Means(*(np.concatenate(p) for p in zip(*((m.ids, m.n, m.x) for m in late), strict=True)))]  # one comparison for all of them
+        else:
+            self.places = None
+        for new in late:
+            if self.places is not None:
+                new = self.number(new)
+                means = Means(np.concatenate([means.ids, new.ids]), np.concatenate([means.n, new.n]), np.concatenate([means.x, new.x]))
+            else:
+                means = means.plus(new, self.width)
+        return means
+
+    def loose(self, means: Means, bound: float) -> DataFrame:
+        """``(id, vec)`` of the vectors within the bound of no mean, written."""
+        return written(outside(self.vectors(), means, self.width, bound) if self.places is None else self.outside(means, bound), "loose")
+
+    def number(self, means: Means) -> Means:
+        """New means with the numbers that follow, listed."""
+        numbers = len(self.places) + np.arange(len(means.ids))
+        self._compare(numbers, means.x)
+        return Means(numbers, means.n, means.x)
+
+    def _compare(self, numbers: np.ndarray, x: np.ndarray) -> None:
+        """All vectors compared with means at ``x``; the table is replaced part by part."""
+        top = int(numbers.max()) + 1
+        fresh = top - len(self.places)
+        if fresh > 0:
+            self.places = np.concatenate([self.places, np.zeros((fresh, self.width), np.float32)])
+            self.n, self.s = np.concatenate([self.n, np.zeros(fresh, np.int64)]), np.concatenate([self.s, np.zeros((fresh, self.width))])
+        self.places[numbers] = x
+        self.compared += len(numbers)
+        spark, old, files = self.table.sparkSession, self.table, sorted(self.table.inputFiles())
+        size, new = -(-len(files) // PARTS), None
+        for a in range(0, len(files), size or 1):
+            part = spark.read.schema(old.schema).parquet(*files[a : a + size])
+            new = written(Lists._listed(part, numbers, x, self.width), "listed", new)
+            removed(spark, files[a : a + size])
+        if new is not None:
+            self.table = new
+            dropped(old)
+
+    def reach(self, means: Means, bound: float) -> None:
+        """Means that have turned too far from their places are compared again; former entries stay."""
+        cosine = np.einsum("ij,ij->i", means.x.astype(np.float64), self.places[means.ids].astype(np.float64))
+        far = np.arccos(np.clip(cosine, -1, 1)) > np.arccos(LISTED) - np.arccos(bound) - 1e-3
+        if far.any():
+            self._compare(means.ids[far], means.x[far])
+
+    def _place(self, means: Means) -> np.ndarray:
+        place = np.full(len(self.places), -1, np.int64)
+        place[means.ids] = np.arange(len(means.ids))
+        return place
+
+    def step(self, means: Means, bound: float, least: int) -> Means:
+        """The means of the vectors nearest each mean within the bound, those of ``least`` or more; only changes since the last step are summed."""
+        self.reach(means, bound)
+        width, count = self.width, len(self.places)
+        steps = [(self._place(m), m.ids, m.x, b, sign) for m, b, sign in (*(((*self.last, -1),) if self.last else ()), (means, bound, 1))]
+
+        def f(batches: Batches) -> Batches:
+            n, s, t = np.zeros(count, np.int64), np.zeros((count, width)), np.zeros(count, bool)
+            for batch in batches:
+                x = matrix_of(batch.column("vec"), width)
+                row, number = _pairs(batch.column("near"))
+                homes = []
+                for place, ids, y, b, _ in steps:
+                    best, at, _ = _best_listed(x, row, number, place, y)
+                    homes.append(np.where(best >= b, ids[at] if len(ids) else -1, -1))
+                for home, (*_, sign) in zip(homes, steps, strict=True):
+                    hit = np.flatnonzero((home >= 0) & ((home != homes[0]) | (home != homes[-1]) | (len(homes) == 1)))
+                    _add(n, s, home[hit], x[hit], sign)
+                    t[home[hit]] = True
+            at = np.flatnonzero(t)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), lists_of(s[at])], names=["centre", "n", "vec"])
+
+        # A task sends on a sum for each mean, so tasks are few.
+        tasks = self.table.select("vec", "near").coalesce(4 * self.table.sparkSession.sparkContext.defaultParallelism)
+        got = _summed(tasks.mapInArrow(f, "centre bigint, n bigint, vec array<double>"), "centre", width, partial=False).toArrow().combine_chunks()
+        if got.num_rows:
+            at = got.column("centre").to_numpy()
+            self.n[at] += got.column("n").to_numpy()
+            self.s[at] += matrix_of(got.column("vec").combine_chunks(), width)
+        self.last = (means, bound)
+        size = np.linalg.norm(self.s, axis=1)
+        at = np.flatnonzero((self.n >= least) & (size > 0))
+        return Means(at, self.n[at].copy(), (self.s[at] / size[at, None]).astype(np.float32))
+
+    def outside(self, means: Means, bound: float) -> DataFrame:
+        """``(id, vec)`` of the vectors within the bound of no mean."""
+        self.reach(means, bound)
+        place, y, width = self._place(means), means.x, self.width
+
+        def f(batches: Batches) -> Batches:
+            for batch in batches:
+                best, _, _ = _best_listed(matrix_of(batch.column("vec"), width), *_pairs(batch.column("near")), place, y)
+                yield batch.select(["id", "vec"]).filter(pa.array(best < bound))
+
+        return self.table.mapInArrow(f, f"id bigint, vec {_kind(self.table)}")
+
+    def nearest(self, means: Means, bound: float, other: float, seed: int) -> DataFrame:
+        """``(id, centre, cosine, cell)`` of the vectors within the bound of a mean whose cosine with every further mean is below ``other``."""
+        self.reach(means, min(bound, other))
+        place, ids, y, width = self._place(means), means.ids, means.x, self.width
+
+        def f(batches: Batches) -> Batches:
+            for batch in batches:
+                x = matrix_of(batch.column("vec"), width)
+                best, at, second = _best_listed(x, *_pairs(batch.column("near")), place, y)
+                hit = np.flatnonzero((best >= bound) & (second < other))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(pa.array(hit)), pa.array(ids[at[hit]]), pa.array(best[hit]), pa.array(cell_codes(x[hit], 1, seed)[0])], names=["id", "centre", "cosine", "cell"]
+                )
+
+        return self.table.mapInArrow(f, "id bigint, centre bigint, cosine double, cell bigint")
+
+
+def _pairs(near: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and numbers of a column of listed numbers."""
+    if not len(near):
+        return np.empty(0, np.int64), np.empty(0, np.int32)
+    ends = np.frombuffer(near.buffers()[1], np.int32)[near.offset : near.offset + len(near) + 1]
+    data = np.frombuffer(near.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.empty(0, np.uint8)
+    return np.repeat(np.arange(len(near)), np.diff(ends) // 4), data.copy().view(np.int32)
+
+
+def _best_listed(x: np.ndarray, row: np.ndarray, number: np.ndarray, place: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of x the largest product with a listed row of y, which (of equal ones the first), and the second largest; -2 without."""
+    best, where, second = np.full(len(x), -2.0), np.zeros(len(x), np.int64), np.full(len(x), -2.0)
+    kept = place[number] >= 0
+    row, at = row[kept], place[number[kept]]
+    if len(row):
+        c = np.empty(len(row))
+        for a in range(0, len(row), 16_384):  # bounds the copies held at once
+            s = slice(a, a + 16_384)
+            c[s] = np.einsum("ij,ij->i", x[row[s]].astype(np.float64), y[at[s]].astype(np.float64))
+        order = np.lexsort((at, -c, row))
+        row, at, c = row[order], at[order], c[order]
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        best[row[first]], where[row[first]] = c[first], at[first]
+        next_ = first + 1
+        next_ = next_[(next_ < len(row))]
+        next_ = next_[row[next_] == row[next_ - 1]]
+        second[row[next_]] = c[next_]
+    return best, where, second
+
+
+def settled(units: DataFrame | Lists, means: Means, width: int, bound: float, within: float, least: int) -> Means:
     """Means moved to those of their members by exact passes, the first with ``bound``, and those with ``least`` members."""
     need, previous = max(1, least // 2), None
+    lists = units if isinstance(units, Lists) else None
     for _ in range(PASSES):
         if not means.count:
             break
-        means = distinct_means(Means.of(member_sums(units, means, width, bound), width, need), width)
+        if lists is not None and lists.places is not None:
+            means = lists.step(means, bound, need)
+        else:
+            means = Means.of(member_sums(units if lists is None else lists.vectors(), means, width, bound), width, need)
+        means = distinct_means(means, width)
         if bound == within and previous is not None and _still(previous, means):
             break
         previous, bound, need = means, within, least
@@ -526,14 +760,19 @@ def settled(units: DataFrame, means: Means, width: int, bound: float, within: fl
     return means
 
 
-def assigned(units: DataFrame, means: Means, width: int, within: float, apart: float, least: int) -> tuple[DataFrame | None, Means]:
-    """``(id, vec, centre, cosine)`` of the members, and the means that have ``least`` or more; no table if none has.
+def assigned(units: DataFrame | Lists, means: Means, width: int, within: float, apart: float, least: int, seed: int = 11) -> tuple[DataFrame | None, Means]:
+    """``(id, centre, cosine, cell)`` of the members, and the means that have ``least`` or more; no table if none has.
 
     A mean with fewer is dropped and excludes no vector, so the rest is assigned again until none is dropped. Of
     means that may exclude each other's members the one with the fewest goes first.
     """
     while means.count:
-        members = written(nearest(units, means, width, within, apart), "members")
+        if isinstance(units, Lists) and units.places is not None:
+            near = units.nearest(means, within, apart, seed)
+        else:
+            cell = F.arrow_udf(lambda column: pa.array(cell_codes(matrix_of(column, width), 1, seed)[0]), "bigint")
+            near = nearest(units.vectors() if isinstance(units, Lists) else units, means, width, within, apart).select("id", "centre", "cosine", cell("vec").alias("cell"))
+        members = written(near, "members")
         counts = members.groupBy("centre").agg(F.count("*").alias("c"))
         few = means.frame(members.sparkSession).join(counts, "centre", "left").where(F.coalesce("c", F.lit(0)) < least).select("centre", F.coalesce("c", F.lit(0)).alias("n"), "vec")
         weak = Means.of(few.orderBy("n", "centre").limit(BLOCK), width, 0)  # at most a block of them is dropped at once
@@ -547,6 +786,13 @@ def assigned(units: DataFrame, means: Means, width: int, within: float, apart: f
     return None, means
 
 
+def _replaced(table: DataFrame, by: DataFrame) -> DataFrame:
+    """``by`` written, and the table it was made of removed."""
+    new = written(by, "loose")
+    dropped(table)
+    return new
+
+
 def clusters(
     vectors: DataFrame, key: str = "id", vec: str = "vec", width: int = 64, least: int = 10, within: float = 0.75, apart: float = 0.7, seed: int = 11,
     rounds: tuple[tuple[int, int], ...] = ROUNDS,
@@ -560,42 +806,48 @@ def clusters(
     """
     spark = vectors.sparkSession
     ship_code(spark)
-    units = written(unit_vectors(vectors, key, vec, width), "units")
+    units = unit_vectors(vectors, key, vec, width)
     means = Means(np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, width), np.float32))
-    loose, frame, level = units, 1, 0
+    whole, loose, late, frame, level = None, units, [], 1, 0
     while True:
         need, frames = rounds[level]
         dense = written(dense_cells(quantised(loose, range(frame, frame + frames), width, seed), need, width), "dense")
         labels = least_labels(dense, adjacent(dense, width, seed))
         parts = dense.join(labels, "node").select(F.col("label").alias("centre"), "n", "vec")
-        found = settled(loose, distinct_means(Means.of(_summed(parts, "centre", width), width, need), width), width, NEAR, within, least)
+        starts = distinct_means(Means.of(_summed(parts, "centre", width), width, need), width)
         frame += frames
         dropped(dense)
         dropped(labels)
-        before = means.count
-        if found.count:
-            means = settled(units, means.plus(found, width), width, within, within, least) if before else found
-            rest = written(outside(units, means, width, within), "loose")
-            if loose is not units:
-                dropped(loose)
-            loose = rest
-        # The number of means rises from round to round, so the rounds end.
-        if level + 1 < len(rounds):
-            level += 1
-        elif means.count <= before:
-            break
-    members, means = assigned(units, means, width, within, apart, least)
-    dropped(units)
+        if whole is None:
+            if starts.table is None:
+                starts = Means(np.arange(len(starts.ids)), starts.n, starts.x)
+            whole = Lists.of(units, starts, width)
+            means = settled(whole, starts, width, NEAR, within, least)
+            loose = whole.loose(means, within)
+        else:
+            found = settled(loose, starts, width, NEAR, within, least)
+            if found.count:  # these rounds go on over the vectors that are left; the means found join the others after the last
+                late.append(found)
+                loose = _replaced(loose, outside(loose, found, width, within))
+            elif late:
+                before, tried = means.count, loose
+                means = settled(whole, whole.joined(means, late), width, within, within, least)
+                loose, late = whole.loose(means, within), []
+                # The number of means rises from time to time, so the rounds end; without a vector that the last round had not, it holds for these as well.
+                freed = loose.select("id").join(tried.select("id"), "id", "left_anti").limit(1).count()
+                dropped(tried)
+                if not freed or means.count <= before:
+                    break
+            else:
+                break
+        level = min(level + 1, len(rounds) - 1)
+    members, means = assigned(whole, means, width, within, apart, least, seed)
+    dropped(whole.table)
     dropped(loose)
     if members is None:
         return spark.createDataFrame([], "id bigint, cluster_id bigint, cosine double, cell bigint"), spark.createDataFrame([], "cluster_id bigint, mean array<float>")
     names = small_side(members.groupBy("centre").agg(F.min("id").alias("cluster_id")))
-
-    def cell(column: pa.Array) -> pa.Array:
-        return pa.array(cell_codes(matrix_of(column, width), 1, seed)[0])
-
-    placed = members.select("id", "centre", "cosine", F.arrow_udf(cell, "bigint")("vec").alias("cell"))
-    return placed.join(names, "centre").select("id", "cluster_id", "cosine", "cell"), means.frame(spark).join(names, "centre").select("cluster_id", F.col("vec").alias("mean"))
+    return members.join(names, "centre").select("id", "cluster_id", "cosine", "cell"), means.frame(spark).join(names, "centre").select("cluster_id", F.col("vec").alias("mean"))
 
 
 def described(members: DataFrame, words: DataFrame, typical: int = 5) -> DataFrame:

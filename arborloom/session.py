@@ -59,14 +59,14 @@ def _path_of(spark: SparkSession, path: str):
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
+def written(df: DataFrame, tag: str, to: DataFrame | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back; with ``to``, beside the rows of that written table.
 
     The table is computed once, survives lost executors, and is removed by ``dropped`` or when the session's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/arborloom-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_folder(spark)}/arborloom-{tag}-{uuid.uuid4().hex}" if to is None else to._arborloom_path
+    df.write.mode("errorifexists" if to is None else "append").parquet(path)
     fs, hadoop_path = _path_of(spark, path)
     fs.deleteOnExit(hadoop_path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -87,6 +87,13 @@ def dropped(df: DataFrame) -> None:
         fs.delete(hadoop_path, True)
 
 
+def removed(spark: SparkSession, files: list[str]) -> None:
+    """Remove single files of a written table that no later plan reads."""
+    for file in files:
+        fs, hadoop_path = _path_of(spark, file)
+        fs.delete(hadoop_path, False)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows and ``size`` bytes as Parquet; otherwise without a mark, for a shuffled join.
 

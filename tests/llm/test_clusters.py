@@ -168,3 +168,46 @@ def test_matrix_of_slices():
     assert len(cl.lists_of(np.empty((0, 4)))) == 0
     x = np.arange(6, dtype=np.float32).reshape(3, 2)
     assert cl.matrix_of(cl.bytes_of(x).slice(1), 2).tolist() == [[2.0, 3.0], [4.0, 5.0]] and len(cl.matrix_of(cl.bytes_of(x[:0]), 2)) == 0
+
+
+def unit_rows(spark, seed, sizes, noise):
+    vecs, _ = planted(np.random.default_rng(seed), sizes, noise, cosine=0.8)
+    units = cl.unit_vectors(spark.createDataFrame(list(enumerate(vecs)), VEC), "id", "vec", 64)
+    rows = {r.id: np.frombuffer(r.vec, np.float32) for r in units.collect()}
+    return units, np.stack([rows[i] for i in sorted(rows)])
+
+
+def test_vectors_are_compared_once_with_means_that_stay_in_place(spark):
+    units, x = unit_rows(spark, 8, [40, 30, 20, 12], 200)
+    starts = means_of(x[np.random.default_rng(1).choice(len(x), 30, replace=False)])
+    lists = cl.Lists.of(units, starts, 64)
+    got = cl.settled(lists, starts, 64, 0.6, 0.75, 10)
+    want = cl.settled(units, starts, 64, 0.6, 0.75, 10)  # every pass over all means
+    assert want.count and np.array_equal(got.ids, want.ids) and np.array_equal(got.n, want.n) and np.allclose(got.x, want.x, atol=1e-6)
+    before = lists.compared
+    assert np.array_equal(cl.settled(lists, got, 64, 0.75, 0.75, 10).n, want.n)
+    assert lists.compared == before  # nothing moved, so no vector is compared with all means again
+    assert sorted(r.id for r in lists.outside(got, 0.75).collect()) == sorted(r.id for r in cl.outside(units, got, 64, 0.75).collect())
+
+
+def test_means_that_turn_far_or_come_late_are_listed(spark):
+    units, x = unit_rows(spark, 9, [40, 30, 20], 100)
+    rng = np.random.default_rng(3)
+    lists = cl.Lists.of(units, means_of(x[rng.choice(len(x), 5, replace=False)]), 64)
+    turned = means_of(x[rng.choice(len(x), 5, replace=False)])
+    late = lists.number(means_of(x[rng.choice(len(x), 4, replace=False)]))
+    both = cl.Means(np.concatenate([turned.ids, late.ids]), np.ones(9, np.int64), np.concatenate([turned.x, late.x]))
+    got = sorted((r.id, r.centre, round(r.cosine, 9)) for r in lists.nearest(both, 0.75, 0.7, 11).collect())
+    assert got == sorted((r.id, r.centre, round(r.cosine, 9)) for r in cl.nearest(units, both, 64, 0.75, 0.7).collect()) and got
+    assert lists.table.count() == len(x) and lists.compared >= 9
+
+
+@pytest.mark.parametrize("rows, columns", [(0, 5), (5, 0), (3, 3), (1100, 4200)])
+def test_products_by_tiles(rows, columns):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(rows, 8)).astype(np.float32), rng.normal(size=(columns, 8)).astype(np.float32)
+    c = x @ y.T
+    got = set(zip(*(p.tolist() for p in cl.near_pairs(x, y, 6.0)), strict=True))
+    assert got ^ set(zip(*(p.tolist() for p in np.nonzero(c >= 6)), strict=True)) <= set(zip(*np.nonzero(np.abs(c - 6) < 1e-4), strict=True))
+    best, where = cl.nearest_row(x, y)
+    assert np.allclose(best, c.max(axis=1, initial=-2.0), atol=1e-4) and all(abs(c[i, w] - b) < 1e-4 for i, (b, w) in enumerate(zip(best, where, strict=True)) if columns and b > -2)
