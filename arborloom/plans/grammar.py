@@ -318,7 +318,7 @@ def q_model_trees(spark, sf):
     p = grammar.conditional(counts).where("lhs > 0 or r1 <> '-ROOT-'")
     out = F.when(F.col("is_lex"), F.array(F.concat(F.lit("w"), F.regexp_replace("r1", "[^\\p{L}\\p{N}]", "_")))).when(F.col("lhs") == 0, F.array("r1")).otherwise(F.array("r1", "r2"))
     model = p.select(F.lit("R").alias("id"), F.array(F.when(F.col("lhs") == 0, F.lit("T")).otherwise(F.col("lhs").cast("string"))).alias("cond"), out.alias("out"), "p")
-    labels = read_trees(generate.sampled_trees(spark, generate.rules_of_model(model), 400, seed=2)).where("label <> 'T'").select("label").distinct()
+    labels = read_trees(generate.trees_of_model(model, 400, seed=2)).where("label <> 'T'").select("label").distinct()
     mine = counts.where("lhs > 0").select(F.col("lhs").cast("string").alias("label")).distinct().withColumn("known", F.lit(True))
     return mine.join(labels.withColumn("drawn", F.lit(True)), "label", "full").select("label", F.coalesce("known", F.lit(False)).alias("known"))
 

@@ -289,6 +289,24 @@ def test_large_model_of_rules(spark):
     assert [r.tree for r in made] == [plain("T", np.random.Generator(np.random.Philox(key=[3, r.tree_id]))) for r in made]
 
 
+def test_model_of_more_rules_than_are_held(spark, monkeypatch):
+    """Trees come from blocks of rules as from a dictionary of all of them, whatever the size of a block; rules of one symbol that is a category, of
+    several words, written twice and with an empty right side among them.
+    """
+    rng = np.random.default_rng(3)
+    rows = [("R", [c], [f"w{k}"], float(rng.random())) for c in ("x", "y") for k in range(150)]
+    rows += [("R", ["x"], ["x", "y"], 40.0), ("R", ["x"], ["y"], 9.0), ("R", ["y"], ["w7", "x"], 60.0), ("R", ["y"], ["v", "w"], 5.0), ("R", ["y"], ["w3", "-"], 3.0), ("R", ["x"], ["-"], 2.0)]
+    rows += [("R", ["T"], ["x", "-"], 1.0), ("R", ["T"], ["z"], 0.5), ("R", ["z"], ["x", "x"], 1.0), rows[5], ("R", ["y"], ["q"], 0.0), ("Q", ["x"], ["other"], 9.0)]
+    model = spark.createDataFrame(rows, "id string, cond array<string>, out array<string>, p double")
+    want = {tuple(r) for r in generate.sampled_trees(spark, generate.rules_of_model(model), 60, seed=4, most_depth=5).collect()}
+    monkeypatch.setattr(generate, "MOST_RULES", 10)
+    for block in (1, 7, 4096):
+        monkeypatch.setattr(generate, "BLOCK", block)
+        got = generate.trees_of_model(model, 60, seed=4, most_depth=5).collect()
+        assert len(got) == 60 and {tuple(r) for r in got} == want
+    assert generate.trees_of_model(model.where("id = 'Q'"), 5, seed=1).count() == 0
+
+
 def test_words_beyond_the_lexicon_held(spark, monkeypatch):
     """Words over MOST_WORDS are joined with their sentences; a key twice, a row twice, long and empty sentences draw as with the whole lexicon held."""
     rng = np.random.default_rng(6)
