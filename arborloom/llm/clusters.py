@@ -5,8 +5,9 @@ The further coordinates, by size, order the vectors of a cell, so that a full ce
 dense, by one rule at every number of rows. Cells are counted in SQL; a cell is dense if one of its vectors has enough others near it. Dense cells whose
 means point into one cell of a turned frame and one way are adjacent; the least cell label is propagated over adjacent cells until nothing changes.
 The components' means are settled to their fixed points by exact passes, and the vectors near them leave. The rest is quantised in further frames with a
-lower density until a round of frames shows no new cluster. Membership is tested exactly against all means, as the definition of a cluster asks: every
-vector is compared with every mean once and keeps the means it may come near; a mean that turns too far from the place of that comparison is compared again.
+lower density until a round of frames shows no new cluster; what lies around a dense cell of too few vectors leaves this search too. Membership is tested
+exactly against all means, as the definition of a cluster asks: every vector is compared with every mean once and keeps the means it may come near; a mean
+that turns too far from the place of that comparison is compared again.
 """
 
 from __future__ import annotations
@@ -786,6 +787,29 @@ def assigned(units: DataFrame | Lists, means: Means, width: int, within: float,
     return None, means
 
 
+def too_small(loose: DataFrame, starts: Means, width: int, within: float, least: int) -> DataFrame:
+    """``(id)`` of the vectors within the bound of a start that has fewer than ``least`` vectors at cosine NEIGHBOUR or more, written.
+
+    Members of one cluster are about as near to each other, so what surrounds such a start is a group of too few.
+    """
+    pairs = loose.sparkSession.createDataFrame([], "centre bigint, id bigint, inside boolean")
+    for part in starts.blocks(width):
+
+        def f(batches: Batches, ids=part.ids, y=part.x) -> Batches:
+            for batch in batches:
+                x = matrix_of(batch.column("vec"), width)
+                row, at = near_pairs(x, y, NEIGHBOUR)
+                inside = np.concatenate([np.empty(0, bool), *(np.einsum("ij,ij->i", x[row[a : a + 16_384]], y[at[a : a + 16_384]]) >= within for a in range(0, len(row), 16_384))])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), batch.column("id").take(pa.array(row)), pa.array(inside)], names=["centre", "id", "inside"])
+
+        pairs = pairs.unionByName(loose.mapInArrow(f, "centre bigint, id bigint, inside boolean"))
+    pairs = written(pairs, "pairs")
+    few = pairs.groupBy("centre").agg(F.count("*").alias("c")).where(F.col("c") < least)
+    found = written(pairs.where("inside").join(few, "centre", "left_semi").select("id").distinct(), "few")
+    dropped(pairs)
+    return found
+
+
 def _replaced(table: DataFrame, by: DataFrame) -> DataFrame:
     """``by`` written, and the table it was made of removed."""
     new = written(by, "loose")
@@ -808,7 +832,7 @@ def clusters(
     ship_code(spark)
     units = unit_vectors(vectors, key, vec, width)
     means = Means(np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, width), np.float32))
-    whole, loose, late, frame, level = None, units, [], 1, 0
+    whole, loose, late, few, frame, level = None, units, [], [], 1, 0
     while True:
         need, frames = rounds[level]
         dense = written(dense_cells(quantised(loose, range(frame, frame + frames), width, seed), need, width), "dense")
@@ -829,10 +853,15 @@ def clusters(
             if found.count:  # these rounds go on over the vectors that are left; the means found join the others after the last
                 late.append(found)
                 loose = _replaced(loose, outside(loose, found, width, within))
+                # Dense cells of too few vectors leave as well, else each round would settle all of them again.
+                few.append(too_small(loose, starts, width, within, least))
+                loose = _replaced(loose, loose.join(small_side(few[-1]), "id", "left_anti"))
             elif late:
                 before, tried = means.count, loose
                 means = settled(whole, whole.joined(means, late), width, within, within, least)
                 loose, late = whole.loose(means, within), []
+                for gone in few:
+                    loose = _replaced(loose, loose.join(small_side(gone), "id", "left_anti"))
                 # The number of means rises from time to time, so the rounds end; without a vector that the last round had not, it holds for these as well.
                 freed = loose.select("id").join(tried.select("id"), "id", "left_anti").limit(1).count()
                 dropped(tried)
@@ -842,8 +871,8 @@ def clusters(
                 break
         level = min(level + 1, len(rounds) - 1)
     members, means = assigned(whole, means, width, within, apart, least, seed)
-    dropped(whole.table)
-    dropped(loose)
+    for table in (whole.table, loose, *few):
+        dropped(table)
     if members is None:
         return spark.createDataFrame([], "id bigint, cluster_id bigint, cosine double, cell bigint"), spark.createDataFrame([], "cluster_id bigint, mean array<float>")
     names = small_side(members.groupBy("centre").agg(F.min("id").alias("cluster_id")))

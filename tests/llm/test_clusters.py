@@ -211,3 +211,26 @@ def test_products_by_tiles(rows, columns):
     assert got ^ set(zip(*(p.tolist() for p in np.nonzero(c >= 6)), strict=True)) <= set(zip(*np.nonzero(np.abs(c - 6) < 1e-4), strict=True))
     best, where = cl.nearest_row(x, y)
     assert np.allclose(best, c.max(axis=1, initial=-2.0), atol=1e-4) and all(abs(c[i, w] - b) < 1e-4 for i, (b, w) in enumerate(zip(best, where, strict=True)) if columns and b > -2)
+
+
+def test_groups_of_too_few_are_tried_once(spark, monkeypatch):
+    """Groups below ten are settled in one round, not in each; they end the rounds sooner and no cluster is lost by it."""
+    sizes = [40] * 3 + [12] * 3 + [6] * 60
+    vecs, label = planted(np.random.default_rng(7), sizes, 300, cosine=0.95)
+    tried, settled = [], cl.settled
+    monkeypatch.setattr(cl, "settled", lambda units, means, *a: tried.append(means.count) or settled(units, means, *a))
+    got = sets_of(cl.clusters(spark.createDataFrame(list(enumerate(vecs)), VEC))[0].collect())
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, truth_of(label, sizes).values()))
+    assert tried[1] >= 50 and len(tried) > 2 and max(tried[2:]) < 20
+
+
+def test_only_groups_of_too_few_leave(spark):
+    sizes = [30, 12, 10, 9, 6, 4]
+    vecs, label = planted(np.random.default_rng(5), sizes, 200, cosine=0.9)
+    units = cl.unit_vectors(spark.createDataFrame(list(enumerate(vecs)), VEC), "id", "vec", 64)
+    x = np.array(vecs) / np.linalg.norm(vecs, axis=1, keepdims=True)
+    centres = np.array([x[np.array(label) == k].sum(axis=0) for k in range(6)])
+    starts = means_of(centres / np.linalg.norm(centres, axis=1, keepdims=True))
+    gone = {r.id for r in cl.too_small(units, starts, 64, 0.75, 10).collect()}
+    assert gone == {i for i, k in enumerate(label) if k >= 3}
+    assert cl.too_small(units, means_of(np.empty((0, 64))), 64, 0.75, 10).count() == 0
